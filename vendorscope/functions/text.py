@@ -32,37 +32,44 @@ def py_float_repr(c) -> Column:
     Spark's double-to-string cast gives the same shortest digits but Java's
     layout (``1.0E-5``, ``-1.23456785E7``, ``Infinity``). Python uses plain
     notation for 1e-4 <= |x| < 1e16 and ``1e-05`` / ``1.5e+16`` otherwise.
+    The parsed parts are bound once through a lambda so the expression stays
+    small enough for whole-stage codegen.
     """
     s = _c(c).cast("double").cast("string")
-    neg = s.startswith("-")
-    body = F.regexp_replace(s, "^-", "")
-    sign = F.when(neg, F.lit("-")).otherwise(F.lit(""))
-    mant = F.substring_index(body, "E", 1)
-    e = F.substring_index(body, "E", -1).cast("int")
-    digits = F.regexp_replace(F.regexp_replace(mant, r"\.", ""), "0+$", "")
-    digits = F.when(digits == "", F.lit("0")).otherwise(digits)
-    nd = F.length(digits)
-    e1 = e + F.lit(1)
-    # digits after the first e + 1 become the fraction (substr with a column start)
-    tail = F.call_function("substr", digits, e + F.lit(2))
-    plain_pos = F.concat(F.rpad(digits, e1, F.lit("0")), F.lit("."),
-                         F.when(nd > e1, tail).otherwise(F.lit("0")))
-    plain_neg = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - F.lit(1)), digits)
-    sci = F.concat(
-        F.substring(digits, 1, 1),
-        F.when(nd > 1, F.concat(F.lit("."), F.call_function("substr", digits, F.lit(2)))).otherwise(F.lit("")),
-        F.lit("e"), F.when(e < 0, F.lit("-")).otherwise(F.lit("+")),
-        F.lpad(F.abs(e).cast("string"), 2, "0"),
-    )
-    from_sci = F.concat(
-        sign,
-        F.when((e >= -4) & (e < 16), F.when(e >= 0, plain_pos).otherwise(plain_neg)).otherwise(sci),
-    )
+
+    def assemble(p) -> Column:
+        d, e, sign = p["d"], p["e"], p["sign"]
+        nd = F.length(d)
+        e1 = e + F.lit(1)
+        plain_pos = F.concat(F.rpad(d, e1, F.lit("0")), F.lit("."),
+                             F.when(nd > e1, F.call_function("substr", d, e + F.lit(2)))
+                              .otherwise(F.lit("0")))
+        plain_neg = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - F.lit(1)), d)
+        sci = F.concat(
+            F.substring(d, 1, 1),
+            F.when(nd > 1, F.concat(F.lit("."), F.call_function("substr", d, F.lit(2))))
+             .otherwise(F.lit("")),
+            F.lit("e"), F.when(e < 0, F.lit("-")).otherwise(F.lit("+")),
+            F.lpad(F.abs(e).cast("string"), 2, "0"))
+        return F.concat(sign, F.when((e >= -4) & (e < 16),
+                                     F.when(e >= 0, plain_pos).otherwise(plain_neg))
+                               .otherwise(sci))
+
+    def parse(sv) -> Column:
+        neg = sv.startswith("-")
+        body = F.when(neg, F.call_function("substr", sv, F.lit(2))).otherwise(sv)
+        parts = F.struct(
+            F.regexp_replace(F.regexp_replace(F.substring_index(body, "E", 1), r"\.", ""), "0+$", "")
+             .alias("d"),
+            F.substring_index(body, "E", -1).cast("int").alias("e"),
+            F.when(neg, F.lit("-")).otherwise(F.lit("")).alias("sign"))
+        return F.transform(F.array(parts), assemble)[0]
+
     return (
         F.when(s == "NaN", F.lit("nan"))
         .when(s == "Infinity", F.lit("inf"))
         .when(s == "-Infinity", F.lit("-inf"))
-        .when(s.contains("E"), from_sci)
+        .when(s.contains("E"), F.transform(F.array(s), parse)[0])
         .otherwise(s)
     )
 

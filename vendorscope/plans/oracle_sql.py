@@ -129,3 +129,45 @@ def with_views(body: str, *ctes: str, summary: bool = True, clean: bool = True)
         blocks.append(CLEAN)
     blocks.extend(ctes)
     return "WITH " + ",".join(blocks) + "\n" + body
+
+
+def dollar_label_sql(v: str) -> str:
+    """The dollar label in DuckDB: printf rounds the binary value like Python,
+    and DuckDB prints doubles exactly as Python's ``str``."""
+    return (f"(CASE WHEN isnan({v}) THEN 'nan' "
+            f"WHEN ({v}) >= 1000000 THEN printf('%.6f', ({v}) / 1000000) || 'M' "
+            f"WHEN ({v}) >= 1000 THEN printf('%.2f', ({v}) / 1000) || 'K' "
+            f"ELSE CAST({v} AS VARCHAR) END)")
+
+
+def np_quantiles(name: str, src: str, groups: list[str], probs: list[float]) -> str:
+    """CTEs ``{name}`` = (groups..., prob, value): numpy/pandas linear quantiles
+    of ``x`` in ``src`` per group, from exact ranks (row_number), with numpy's
+    two-sided lerp and pandas' q*100/100 round trip."""
+    g = ", ".join(groups)
+    gsel = (g + ", ") if groups else ""
+    part = f"PARTITION BY {g}" if groups else ""
+    on = " AND ".join([f"o.{c} IS NOT DISTINCT FROM i.{c}" for c in groups] + ["o.k = i.i0"])
+    on_b = on.replace("o.", "o2.").replace("i.i0", "i.i1")
+    qp = ", ".join(repr((p * 100.0) / 100.0) for p in probs)
+    pl = ", ".join(repr(float(p)) for p in probs)
+    return f"""
+{name}_src AS (SELECT {gsel}CAST(x AS DOUBLE) AS x FROM {src} WHERE x IS NOT NULL AND NOT isnan(CAST(x AS DOUBLE))),
+{name}_ord AS (SELECT {gsel}x, row_number() OVER ({part} ORDER BY x) - 1 AS k,
+                      count(*) OVER ({part}) AS n FROM {name}_src),
+{name}_p AS (SELECT unnest([{qp}]::DOUBLE[]) AS qq, unnest([{pl}]::DOUBLE[]) AS prob),
+{name}_i AS (
+  SELECT {gsel}prob,
+         CASE WHEN v >= n - 1 THEN n - 1 ELSE CAST(floor(v) AS BIGINT) END AS i0,
+         CASE WHEN v >= n - 1 THEN n - 1 ELSE CAST(floor(v) AS BIGINT) + 1 END AS i1,
+         CASE WHEN v >= n - 1 THEN v + 1 ELSE v - floor(v) END AS t
+  FROM (SELECT DISTINCT {gsel}n FROM {name}_ord) AS grp,
+       LATERAL (SELECT prob, CAST(n - 1 AS DOUBLE) * qq AS v FROM {name}_p) AS pv
+),
+{name} AS (
+  SELECT {", ".join("i." + c for c in groups) + ", " if groups else ""}i.prob,
+         CASE WHEN isnan(val) THEN NULL ELSE val END AS value
+  FROM (SELECT i.*, CASE WHEN i.t >= 0.5 THEN o2.x - (o2.x - o.x) * (1 - i.t)
+                         ELSE o.x + (o2.x - o.x) * i.t END AS val
+        FROM {name}_i i JOIN {name}_ord o ON {on} JOIN {name}_ord o2 ON {on_b}) AS i
+)"""

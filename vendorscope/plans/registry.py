@@ -74,4 +74,4 @@ def oracle_queries() -> dict[str, str]:
 
 def _load() -> None:
     # importing the query modules fills REGISTRY
-    from vendorscope.plans import queries_mart  # noqa: F401
+    from vendorscope.plans import queries_analysis, queries_mart  # noqa: F401
