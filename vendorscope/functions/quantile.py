@@ -40,16 +40,16 @@ def numpy_lerp(a: Column, b: Column, t: Column) -> Column:
 def _long_form(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
     if len(columns) == 1:
         c = columns[0]
-        return df.select(*by, F.lit(c).alias("column"), F.col(c).cast("double").alias("_qx"))
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("_qx"))
+        return df.select(*by, F.lit(c).alias("column_name"), F.col(c).cast("double").alias("_qx"))
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("_qx"))
                       for c in columns])
     return (df.select(*by, F.explode(pairs).alias("_kv"))
-              .select(*by, F.col("_kv.column").alias("column"), F.col("_kv._qx").alias("_qx")))
+              .select(*by, F.col("_kv.column_name").alias("column_name"), F.col("_kv._qx").alias("_qx")))
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
                     by: Sequence[str] = (), accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
-    """Long result ``(*by, column, prob, value)``: pandas ``Series.quantile``
+    """Long result ``(*by, column_name, prob, value)``: pandas ``Series.quantile``
     (linear) of every column in ``columns`` per ``by`` group. NULL and NaN are
     skipped; a group without values yields no row (pandas gives NaN)."""
     by = list(by)
@@ -61,7 +61,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     for p in eff:
         bprobs += [max(0.0, p - m), min(1.0, p + m)]
 
-    keys = by + ["column"]
+    keys = by + ["column_name"]
     long = _long_form(df, columns, by).filter(F.col("_qx").isNotNull() & ~F.isnan("_qx"))
 
     sketch = long.groupBy(*keys).agg(
@@ -124,7 +124,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
         F.col("_qmissed"),
         F.raise_error(F.lit("exact_quantiles: rank outside sketch bracket; raise accuracy")).cast("double"),
     ).otherwise(nan_to_null(numpy_lerp(F.col("_qa"), F.col("_qb"), F.col("_qgamma"))))
-    return picked.select(*by, "column", prob_of_k.alias("prob"), value.alias("value"))
+    return picked.select(*by, "column_name", prob_of_k.alias("prob"), value.alias("value"))
 
 
 def quantile_values(df: DataFrame, column: str, probs: Sequence[float],
