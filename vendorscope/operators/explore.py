@@ -34,11 +34,14 @@ def preview(df: DataFrame, n: int = 5) -> DataFrame:
     return df.limit(n)
 
 
-def most_active_vendor(purchases: DataFrame) -> Column:
-    """The vendor with the most purchase lines (ties: smallest number), as a
+def most_active_vendor(purchases: DataFrame, price_list: DataFrame | None = None) -> Column:
+    """The vendor with the most purchase lines (ties: smallest number), among
+    vendors that also appear in ``price_list`` when given (a semi join), as a
     scalar subquery: a data-derived stand-in for a hand-picked vendor id."""
-    busiest = (purchases.filter(F.col("VendorNumber").isNotNull())
-               .groupBy("VendorNumber").agg(F.count(F.lit(1)).alias("lines"))
+    p = purchases.filter(F.col("VendorNumber").isNotNull())
+    if price_list is not None:
+        p = p.join(price_list.select("VendorNumber"), "VendorNumber", "left_semi")
+    busiest = (p.groupBy("VendorNumber").agg(F.count(F.lit(1)).alias("lines"))
                .orderBy(F.col("lines").desc(), F.col("VendorNumber")).limit(1))
     return busiest.select("VendorNumber").scalar()
 

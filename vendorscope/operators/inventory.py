@@ -51,17 +51,18 @@ def with_order_size(clean: DataFrame) -> DataFrame:
     })
 
 
-def order_sizes(clean: DataFrame) -> DataFrame:
-    """The order-size label next to each row's purchase quantity."""
-    return with_order_size(clean).select("VendorNumber", "VendorName", "Brand", "Description",
+def order_sizes(clean: DataFrame, sized: DataFrame | None = None) -> DataFrame:
+    """The order-size label next to each row's purchase quantity
+    (``sized``: an already labelled frame, e.g. the stored analysis frame)."""
+    return (sized if sized is not None else with_order_size(clean)).select("VendorNumber", "VendorName", "Brand", "Description",
                                          "TotalPurchaseQuantity", "UnitPurchasePrice", "OrderSize")
 
 
-def unit_price_by_order_size(clean: DataFrame) -> DataFrame:
+def unit_price_by_order_size(clean: DataFrame, sized: DataFrame | None = None) -> DataFrame:
     """Mean unit price per order size, all three sizes in category order
     (an empty size keeps its row with a NULL mean, as pandas' categorical
     grouping does). One conditional aggregate, then three rows."""
-    sized = with_order_size(clean)
+    sized = sized if sized is not None else with_order_size(clean)
     aggs = []
     for label in ORDER_SIZE_LABELS:
         hit = F.col("OrderSize") == label

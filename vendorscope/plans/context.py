@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vendorscope.operators.inventory import final_frame
 from vendorscope.operators.summary import consistent_rows, vendor_sales_summary
 from vendorscope.session import materialize
 from vendorscope.sources.fixtures import VendorSources, vendor_sources
@@ -22,6 +23,7 @@ class VendorContext:
     spark: SparkSession
     sources: VendorSources
     _summary: DataFrame | None = field(default=None, repr=False)
+    _analysis: DataFrame | None = field(default=None, repr=False)
 
     @property
     def summary(self) -> DataFrame:
@@ -37,6 +39,16 @@ class VendorContext:
         """the consistent rows all later questions analyse."""
         return consistent_rows(self.summary)
 
+    @property
+    def analysis(self) -> DataFrame:
+        """The clean rows with UnitPurchasePrice, OrderSize and
+        UnsoldInventoryValue (the analysed, exported frame), materialised
+        once: OrderSize depends on quantile edges of the whole frame, and
+        every order-size question then reads stored labels."""
+        if self._analysis is None:
+            self._analysis = materialize(final_frame(self.clean), "vendor_analysis")
+        return self._analysis
+
 
 _CONTEXTS: dict[tuple[int, str], VendorContext] = {}
 

@@ -163,7 +163,7 @@ sized AS (
 SELECT VendorNumber, VendorName, Brand, Description, TotalPurchaseQuantity, UnitPurchasePrice,
        OrderSize FROM sized""", QCUT), doubles=("UnitPurchasePrice",))
 def order_size(ctx: VendorContext):
-    return I.order_sizes(ctx.clean)
+    return I.order_sizes(ctx.clean, ctx.analysis)
 
 
 @register("unit_price_by_order_size", with_views("""
@@ -173,7 +173,7 @@ FROM (VALUES (1, 'Small'), (2, 'Medium'), (3, 'Large')) AS s(SizeRank, OrderSize
 LEFT JOIN sized z ON z.OrderSize = s.OrderSize
 GROUP BY s.SizeRank, s.OrderSize""", QCUT), doubles=("UnitPurchasePrice",))
 def unit_price_by_order_size(ctx: VendorContext):
-    return I.unit_price_by_order_size(ctx.clean)
+    return I.unit_price_by_order_size(ctx.clean, ctx.analysis)
 
 
 # ------------------------------------------------------------------ B7/B8 --
@@ -216,5 +216,5 @@ def unsold_by_vendor(ctx: VendorContext):
 SELECT *, (TotalPurchaseQuantity - TotalSalesQuantity) * PurchasePrice AS UnsoldInventoryValue
 FROM sized""", QCUT), doubles=SUMMARY_DOUBLES + ("UnitPurchasePrice", "UnsoldInventoryValue"))
 def final_export(ctx: VendorContext):
-    return I.final_frame(ctx.clean)
+    return ctx.analysis
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from vendorscope.functions.numeric import numeric_columns
 from vendorscope.operators import distributions as D
-from vendorscope.operators import inventory as I
 from vendorscope.operators import stats as ST
 from vendorscope.plans.context import VendorContext
 from vendorscope.plans.oracle_sql import np_quantiles, with_views
@@ -311,7 +310,7 @@ ob_long AS (SELECT OrderSize, 'UnitPurchasePrice' AS column_name, UnitPurchasePr
             FROM sized WHERE isfinite(UnitPurchasePrice))""", _box_sql("ob_long", ["OrderSize"])),
           doubles=BOX_DOUBLES)
 def boxplot_by_order_size(ctx: VendorContext):
-    return D.boxplot_stats(I.with_order_size(ctx.clean), ["UnitPurchasePrice"], by=["OrderSize"])
+    return D.boxplot_stats(ctx.analysis, ["UnitPurchasePrice"], by=["OrderSize"])
 
 
 @register("outliers", with_views("""

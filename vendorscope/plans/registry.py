@@ -74,4 +74,5 @@ def oracle_queries() -> dict[str, str]:
 
 def _load() -> None:
     # importing the query modules fills REGISTRY
-    from vendorscope.plans import queries_analysis, queries_mart, queries_stats  # noqa: F401
+    from vendorscope.plans import (queries_analysis, queries_explore, queries_mart,  # noqa: F401
+                                   queries_stats)
