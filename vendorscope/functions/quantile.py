@@ -38,9 +38,8 @@ def numpy_lerp(a: Column, b: Column, t: Column) -> Column:
 
 
 def _long_form(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
-    if len(columns) == 1:
-        c = columns[0]
-        return df.select(*by, F.lit(c).alias("column_name"), F.col(c).cast("double").alias("_qx"))
+    # always through explode, even for one column: a literal key column would
+    # be constant-folded and turn the equi-joins below into cross joins
     pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("_qx"))
                       for c in columns])
     return (df.select(*by, F.explode(pairs).alias("_kv"))
