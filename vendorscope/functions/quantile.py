@@ -38,12 +38,13 @@ def numpy_lerp(a: Column, b: Column, t: Column) -> Column:
 
 
 def _long_form(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
-    # always through explode, even for one column: a literal key column would
-    # be constant-folded and turn the equi-joins below into cross joins
-    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("_qx"))
-                      for c in columns])
-    return (df.select(*by, F.explode(pairs).alias("_kv"))
-              .select(*by, F.col("_kv.column_name").alias("column_name"), F.col("_kv._qx").alias("_qx")))
+    """(by..., column_name, _qx): ``unpivot`` (an Expand, inside codegen).
+    The column name comes out of the Expand, never a literal, so it is not
+    constant-folded and the equi-joins below stay equi-joins."""
+    wide = df.select(*by, *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(columns)])
+    long = wide.unpivot(list(by), [f"_v{i}" for i in range(len(columns))], "_qcol", "_qx")
+    names = F.array(*[F.lit(c) for c in columns])
+    return long.select(*by, names[F.substring(F.col("_qcol"), 3, 6).cast("int")].alias("column_name"), "_qx")
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
@@ -76,8 +77,13 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     small = F.broadcast(brackets) if not by else brackets
 
     x = F.col("_qx")
-    kept = F.exists(F.arrays_zip("_los", "_his"), lambda z: (x >= z["_los"]) & (x <= z["_his"]))
-    gap = F.size(F.filter("_his", lambda h: h < x))
+    # unrolled over the (few) targets: plain comparisons, codegen-friendly
+    kept = F.lit(False)
+    gap = F.lit(0)
+    for k in range(len(eff)):
+        lo_k, hi_k = F.col("_los")[k], F.col("_his")[k]
+        kept = kept | ((x >= lo_k) & (x <= hi_k))
+        gap = gap + F.when(hi_k < x, 1).otherwise(0)
     counted = (
         long.join(small.select(*keys, "_los", "_his"), keys)
         .groupBy(*keys, gap.alias("_qg"), kept.alias("_qkept"), F.when(kept, x).alias("_qxk"))

@@ -23,12 +23,13 @@ from vendorscope.functions.quantile import exact_quantiles
 
 
 def finite_long(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """(by..., column_name, x) for every finite value of the given columns."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("x"))
-                      for c in columns])
-    return (df.select(*by, F.explode(pairs).alias("_kv"))
-              .select(*by, "_kv.column_name", "_kv.x")
-              .filter(is_finite(F.col("x"))))
+    """(by..., column_name, x) for every finite value of the given columns
+    (``unpivot``: one Expand inside codegen)."""
+    wide = df.select(*by, *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(columns)])
+    names = F.array(*[F.lit(c) for c in columns])
+    return (wide.unpivot(list(by), [f"_v{i}" for i in range(len(columns))], "_col", "x")
+                .filter(is_finite(F.col("x")))
+                .select(*by, names[F.substring(F.col("_col"), 3, 6).cast("int")].alias("column_name"), "x"))
 
 
 def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 30) -> DataFrame:
@@ -89,15 +90,20 @@ def _kde_partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def kde(df: DataFrame, columns: Sequence[str] | None = None, gridsize: int = 200,
         bins: int = 30) -> DataFrame:
+    """X5 over columns of ``df``; see ``kde_long``."""
+    cols = list(columns) if columns is not None else numeric_columns(df.schema)
+    return kde_long(finite_long(df, cols), gridsize, bins)
+
+
+def kde_long(long: DataFrame, gridsize: int = 200, bins: int = 30) -> DataFrame:
     """Gaussian KDE as the histogram's overlay draws it: Scott's bandwidth
     (sd * n^(-1/5)), evaluated exactly on ``gridsize`` points spanning
     [min, max]. Exact O(n x gridsize) work, spread over partitions by
     ``mapInPandas`` with per-partition partial sums. Columns with fewer than
     two values or no spread get no curve. Output: (column_name, grid, x, density,
     count_density) where count_density = density * n * bin width is the curve
-    on the count axis of a ``bins``-bin histogram."""
-    cols = list(columns) if columns is not None else numeric_columns(df.schema)
-    long = finite_long(df, cols)
+    on the count axis of a ``bins``-bin histogram. ``long`` holds finite
+    (column_name, x) rows; column_name may be any series label."""
     params = (long.groupBy("column_name").agg(F.count("x").alias("n"), F.min("x").alias("lo"),
                                          F.max("x").alias("hi"), F.stddev_samp("x").alias("sd"))
               .filter((F.col("n") >= 2) & (F.col("sd") > 0))
@@ -119,7 +125,11 @@ def boxplot_stats(df: DataFrame, columns: Sequence[str] | None = None,
                   by: Sequence[str] = (), whis: float = 1.5) -> DataFrame:
     """matplotlib's box-plot statistics per column (and group):
     quartiles (linear), IQR, whiskers at the furthest data point within
-    whis x IQR of the box (never inside the box), outlier count."""
+    whis x IQR of the box (never inside the box), outlier count.
+
+    The whisker is the most extreme value inside its fence, so the fliers
+    (beyond the whiskers) are exactly the values beyond the fences: whiskers
+    and outlier counts come from one pass after the quartiles."""
     cols = list(columns) if columns is not None else numeric_columns(df.schema)
     by = list(by)
     keys = by + ["column_name"]
@@ -133,39 +143,37 @@ def boxplot_stats(df: DataFrame, columns: Sequence[str] | None = None,
     quart = quart.withColumn("iqr", F.col("q3") - F.col("q1"))
     lo_fence = F.col("q1") - F.lit(whis) * F.col("iqr")
     hi_fence = F.col("q3") + F.lit(whis) * F.col("iqr")
+    # one row per column (and group): len(columns) rows when ungrouped
     small = quart if by else F.broadcast(quart)
     ext = (long.join(small, keys)
            .groupBy(*keys).agg(
                F.count("x").alias("n"),
                F.min(F.when(F.col("x") >= lo_fence, F.col("x"))).alias("_wlo"),
-               F.max(F.when(F.col("x") <= hi_fence, F.col("x"))).alias("_whi")))
-    stats = ext.join(quart, keys).select(
+               F.max(F.when(F.col("x") <= hi_fence, F.col("x"))).alias("_whi"),
+               F.count(F.when((F.col("x") < lo_fence) | (F.col("x") > hi_fence), 1)).alias("n_outliers")))
+    return ext.join(quart, keys).select(
         *keys, "n", "q1", "median", "q3", "iqr",
         F.when(F.col("_wlo").isNull() | (F.col("_wlo") > F.col("q1")), F.col("q1"))
          .otherwise(F.col("_wlo")).alias("whislo"),
         F.when(F.col("_whi").isNull() | (F.col("_whi") < F.col("q3")), F.col("q3"))
-         .otherwise(F.col("_whi")).alias("whishi"))
-    flagged = long.join(stats.select(*keys, "whislo", "whishi") if by
-                        else F.broadcast(stats.select(*keys, "whislo", "whishi")), keys)
-    n_out = (flagged.groupBy(*keys).agg(F.count(F.when((F.col("x") < F.col("whislo"))
-                                                      | (F.col("x") > F.col("whishi")), 1))
-                                        .alias("n_outliers")))
-    return stats.join(n_out, keys)
+         .otherwise(F.col("_whi")).alias("whishi"),
+        "n_outliers")
 
 
 def outliers(df: DataFrame, columns: Sequence[str] | None = None,
              id_columns: Sequence[str] = ("VendorNumber", "Brand"), whis: float = 1.5) -> DataFrame:
-    """The outlier points themselves (beyond the whiskers), with row ids."""
+    """The outlier points themselves (beyond the whiskers, i.e. beyond
+    the fences), with row ids."""
     cols = list(columns) if columns is not None else numeric_columns(df.schema)
-    stats = boxplot_stats(df, cols, whis=whis).select("column_name", "whislo", "whishi")
-    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("x"))
-                      for c in cols])
-    long = (df.select(*id_columns, F.explode(pairs).alias("_kv"))
-              .select(*id_columns, "_kv.column_name", F.col("_kv.x").alias("value"))
-              .filter(is_finite(F.col("value"))))
+    stats = boxplot_stats(df, cols, whis=whis).select(
+        "column_name", (F.col("q1") - F.lit(whis) * F.col("iqr")).alias("lo_fence"),
+        (F.col("q3") + F.lit(whis) * F.col("iqr")).alias("hi_fence"))
+    ids = [F.col(c).alias(f"_id_{c}") for c in id_columns]
+    long = finite_long(df.select(*ids, *cols), cols, [f"_id_{c}" for c in id_columns])
     return (long.join(F.broadcast(stats), "column_name")
-                .filter((F.col("value") < F.col("whislo")) | (F.col("value") > F.col("whishi")))
-                .select("column_name", *id_columns, "value"))
+                .filter((F.col("x") < F.col("lo_fence")) | (F.col("x") > F.col("hi_fence")))
+                .select("column_name", *[F.col(f"_id_{c}").alias(c) for c in id_columns],
+                        F.col("x").alias("value")))
 
 
 def category_counts(df: DataFrame, columns: Sequence[str] = ("VendorName", "Description"),

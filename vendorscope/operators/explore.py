@@ -29,6 +29,14 @@ def table_profile(tables: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
+def catalog_profile(spark, database: str | None = None) -> DataFrame:
+    """S5 + S6: list the catalog's tables (``spark.catalog.listTables``, the
+    metadata query) and profile each one."""
+    tables = spark.catalog.listTables(database) if database else spark.catalog.listTables()
+    names = [t.name if not database else f"{database}.{t.name}" for t in tables if not t.isTemporary]
+    return table_profile({n: spark.table(n) for n in names})
+
+
 def preview(df: DataFrame, n: int = 5) -> DataFrame:
     """O3: the first ``n`` rows (``LIMIT n``; no order implied)."""
     return df.limit(n)
@@ -115,6 +123,6 @@ def vendor_purchase_summary(purchases: DataFrame) -> DataFrame:
     return purchases_by_brand_price(one, by_vendor=False)
 
 
-__all__ = ["table_profile", "preview", "most_active_vendor", "vendor_rows",
+__all__ = ["table_profile", "catalog_profile", "preview", "most_active_vendor", "vendor_rows",
            "purchases_by_brand_price", "sales_by_brand", "distinct_po", "null_profile",
            "distinct_values", "column_min", "vendor_purchase_summary", "group_sum"]

@@ -24,11 +24,13 @@ DESCRIBE_PROBS = (0.25, 0.5, 0.75)
 
 def _values_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(position, column_name, x) per row and column, NaN dropped: one
-    explode, so any number of columns costs one small plan."""
-    vals = F.array(*[F.struct(F.lit(i).cast("long").alias("position"), F.lit(c).alias("column_name"),
-                              F.col(c).cast("double").alias("x")) for i, c in enumerate(cols)])
-    return (df.select(F.inline(vals))
-              .filter(F.col("x").isNotNull() & ~F.isnan("x")))
+    ``unpivot`` (Expand), so any number of columns costs one small plan."""
+    wide = df.select(*[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(cols)])
+    names = F.array(*[F.lit(c) for c in cols])
+    pos = F.substring(F.col("_col"), 3, 6).cast("long")
+    return (wide.unpivot([], [f"_v{i}" for i in range(len(cols))], "_col", "x")
+                .filter(F.col("x").isNotNull() & ~F.isnan("x"))
+                .select(pos.alias("position"), names[pos.cast("int")].alias("column_name"), "x"))
 
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from vendorscope.operators.inventory import final_frame
+from vendorscope.operators.rankings import brand_performance_stored
 from vendorscope.operators.summary import consistent_rows, vendor_sales_summary
 from vendorscope.session import materialize
 from vendorscope.sources.fixtures import VendorSources, vendor_sources
@@ -24,6 +25,7 @@ class VendorContext:
     sources: VendorSources
     _summary: DataFrame | None = field(default=None, repr=False)
     _analysis: DataFrame | None = field(default=None, repr=False)
+    _brands: DataFrame | None = field(default=None, repr=False)
 
     @property
     def summary(self) -> DataFrame:
@@ -50,6 +52,14 @@ class VendorContext:
         return self._analysis
 
 
+    @property
+    def brands(self) -> DataFrame:
+        """Brand performance (A14), stored once for the threshold questions."""
+        if self._brands is None:
+            self._brands = brand_performance_stored(self.clean)
+        return self._brands
+
+
 _CONTEXTS: dict[tuple[int, str], VendorContext] = {}
 
 

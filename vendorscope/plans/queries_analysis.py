@@ -34,7 +34,7 @@ def brand_performance(ctx: VendorContext):
 @register("brand_thresholds", with_views("SELECT * FROM th", THRESH),
           doubles=("LowSalesThreshold", "HighMarginThreshold"))
 def brand_thresholds(ctx: VendorContext):
-    return R.brand_thresholds(R.brand_performance_stored(ctx.clean))
+    return R.brand_thresholds(ctx.brands)
 
 
 @register("target_brands", with_views("""
@@ -43,7 +43,7 @@ WHERE bp.TotalSalesDollars <= th.LowSalesThreshold AND bp.ProfitMargin >= th.Hig
 ORDER BY bp.TotalSalesDollars, bp.Description""", THRESH),
           doubles=("TotalSalesDollars", "ProfitMargin"))
 def target_brands(ctx: VendorContext):
-    return R.target_brands(ctx.clean)
+    return R.target_brands(ctx.clean, brands=ctx.brands)
 
 
 @register("brand_scatter", with_views("""
@@ -55,7 +55,7 @@ WHERE bp.TotalSalesDollars <= th.LowSalesThreshold AND bp.ProfitMargin >= th.Hig
                                       THRESH),
           doubles=("TotalSalesDollars", "ProfitMargin"))
 def brand_scatter(ctx: VendorContext):
-    return R.brand_scatter(ctx.clean)
+    return R.brand_scatter(ctx.clean, brands=ctx.brands)
 
 
 # ------------------------------------------------------------------ B3 -----

@@ -236,6 +236,13 @@ def margin_histogram_by_group(ctx: VendorContext):
                                            F.col("value").alias("x")))
 
 
+@register("histogram_unfiltered", with_views(HIST_BODY, *_hist_sql(long_sql("h_long", "vss", True, ids=True),
+                                                                    "h_long")),
+          doubles=("bin_lo", "bin_hi"))
+def histogram_unfiltered(ctx: VendorContext):
+    return D.histogram(ctx.summary)
+
+
 KDE = f"""
 k_par AS (
   SELECT column_name, count(x) AS n, min(x) AS lo, max(x) AS hi,
@@ -249,6 +256,29 @@ k_grid AS (
 )"""
 
 
+KDE_BODY = """
+SELECT g.column_name, g.g AS grid, g.gx AS x,
+       sum(exp(-0.5 * ((g.gx - l.x) / g.bw) * ((g.gx - l.x) / g.bw))) / (g.n * g.bw * sqrt(2 * pi())) AS density,
+       sum(exp(-0.5 * ((g.gx - l.x) / g.bw) * ((g.gx - l.x) / g.bw))) / (g.n * g.bw * sqrt(2 * pi()))
+         * g.n * (g.hi - g.lo) / 30.0 AS count_density
+FROM k_grid g JOIN k_long l ON l.column_name = g.column_name
+GROUP BY g.column_name, g.g, g.gx, g.n, g.bw, g.lo, g.hi"""
+KDE_DOUBLES = ("x", "density", "count_density")
+
+
+@register("kde_unfiltered", with_views(KDE_BODY, long_sql("k_long", "vss", True), KDE), doubles=KDE_DOUBLES)
+def kde_unfiltered(ctx: VendorContext):
+    return D.kde(ctx.summary)
+
+
+@register("margin_kde_by_group", with_views(KDE_BODY, MARGIN, """
+k_long AS (SELECT segment AS column_name, v AS x FROM samples WHERE isfinite(v))""", KDE),
+          doubles=KDE_DOUBLES)
+def margin_kde_by_group(ctx: VendorContext):
+    samples = ST.margin_samples(ctx.clean)
+    return D.kde_long(samples.select(F.col("segment").alias("column_name"), F.col("value").alias("x")))
+
+
 @register("kde", with_views("""
 SELECT g.column_name, g.g AS grid, g.gx AS x,
        sum(exp(-0.5 * ((g.gx - l.x) / g.bw) * ((g.gx - l.x) / g.bw))) / (g.n * g.bw * sqrt(2 * pi())) AS density,
