@@ -142,3 +142,20 @@ def test_nan_never_emitted(spark):
     df = spark.createDataFrame([(0.0, 0.0)], "a double, b double")
     r = df.select(ieee_div("a", "b").alias("q"), F.isnan(ieee_div("a", "b")).alias("n")).first()
     assert r.q is None
+
+
+def test_histogram_matches_numpy_on_edges(spark):
+    from vendorscope.operators.distributions import histogram
+    random.seed(9)
+    vals = [random.uniform(-50, 250) for _ in range(3000)]
+    lo, hi = min(vals), max(vals)
+    edges = np.histogram_bin_edges(vals, bins=30)
+    vals += [float(e) for e in edges] * 3          # values sitting exactly on edges
+    vals += [float(np.nextafter(e, -np.inf)) for e in edges[1:-1]]
+    df = spark.createDataFrame([(v, 7.0) for v in vals], "v double, const double")
+    got = {(r.column_name, r.bin): r["count"] for r in histogram(df, ["v", "const"]).collect()}
+    counts, e = np.histogram(vals, bins=np.histogram_bin_edges(vals, bins=30))
+    assert [got[("v", i)] for i in range(30)] == counts.tolist()
+    c2, _ = np.histogram([7.0] * len(vals), bins=30)
+    assert [got[("const", i)] for i in range(30)] == c2.tolist()
+    assert lo < hi

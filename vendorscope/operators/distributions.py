@@ -54,10 +54,18 @@ def histogram_long(long: DataFrame, bins: int = 30) -> DataFrame:
         F.sequence(F.lit(0), F.lit(bins)),
         lambda k: F.when(k == bins, F.col("hi")).otherwise(k.cast("double") * step + F.col("lo"))
     ).alias("edges"))
-    # bin = number of inner edges <= x, as numpy's searchsorted over the edges
-    inner = F.slice(F.col("edges"), 2, bins - 1)
-    counts = (long.join(edges, "column_name")
-              .select("column_name", F.size(F.filter(inner, lambda e: e <= F.col("x"))).alias("bin"))
+    # numpy's uniform-bin assignment: the arithmetic bin, then one correction
+    # step against the actual edges each way, which equals a searchsorted
+    # over the edges (half-open bins, last one closed); plain expressions
+    x = F.col("x")
+    edge = lambda i: F.element_at(F.col("edges"), i + 1)  # noqa: E731  (0-based)
+    raw = ((x - edge(0)) / (edge(bins) - edge(0)) * F.lit(float(bins))).cast("int")
+    i0 = F.when(raw >= bins, F.lit(bins - 1)).otherwise(raw)
+    i1 = F.when(x < edge(i0), i0 - 1).otherwise(i0)
+    i2 = F.when((x >= edge(i1 + 1)) & (i1 != bins - 1), i1 + 1).otherwise(i1)
+    # one row per column (or series): a bound of len(columns) rows
+    counts = (long.join(F.broadcast(edges), "column_name")
+              .select("column_name", i2.alias("bin"))
               .groupBy("column_name", "bin").agg(F.count(F.lit(1)).alias("count")))
     grid = edges.select("column_name", F.posexplode(F.slice(F.col("edges"), 1, bins)).alias("bin", "bin_lo"),
                         "edges")
