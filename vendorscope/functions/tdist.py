@@ -9,11 +9,17 @@ continued fraction (modified Lentz), and bisection for the inverse.
 from __future__ import annotations
 
 import math
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+# Functions of this module run inside Python workers (Arrow UDF): pickle
+# them by value, so executors need only pandas, not this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _FPMIN = 1e-300
 _EPS = 1e-16
 _MAXIT = 200_000

@@ -11,16 +11,23 @@ row per column, joined back; the heavy work is one aggregation per output.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vendorscope.functions.numeric import is_finite, numeric_columns
 from vendorscope.functions.quantile import exact_quantiles
 
+# Functions of this module run inside Python workers (Arrow UDF / mapInPandas):
+# pickle them by value, so executors need only numpy and pandas, not this
+# package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def finite_long(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(by..., column_name, x) for every finite value of the given columns

@@ -68,6 +68,8 @@ def context_for(spark: SparkSession, sf_dir: str) -> VendorContext:
     every registered query of that session reads it."""
     key = (id(spark), sf_dir.rstrip("/"))
     ctx = _CONTEXTS.get(key)
+    if ctx is not None and (ctx.spark is not spark or spark.sparkContext._jsc is None):
+        ctx = None                       # a stopped or replaced session: rebuild
     if ctx is None:
         ctx = VendorContext(spark, vendor_sources(spark, sf_dir))
         _CONTEXTS[key] = ctx
