@@ -100,3 +100,11 @@ def test_category_counts_match_value_counts(frames):
         exp = sorted(vc.items(), key=lambda kv: (-kv[1], kv[0]))[:10]
         g = got[got.column_name == col].sort_values("rank")
         assert list(zip(g["value"], g["count"])) == exp
+
+
+def test_prebinned_kde_close_to_exact(frames):
+    ctx, _, _ = frames
+    exact = D.kde(ctx.clean, ["ProfitMargin"]).toPandas().sort_values("grid")
+    binned = D.kde(ctx.clean, ["ProfitMargin"], prebin=2048).toPandas().sort_values("grid")
+    peak = exact["density"].max()
+    assert np.max(np.abs(exact["density"].to_numpy() - binned["density"].to_numpy())) < 5e-4 * peak

