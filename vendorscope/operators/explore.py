@@ -10,7 +10,6 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vendorscope.operators.rankings import group_sum
 
 # the vendor column of each extract (sales names it differently)
 VENDOR_COLUMN = {"purchases": "VendorNumber", "purchase_prices": "VendorNumber",
@@ -125,4 +124,4 @@ def vendor_purchase_summary(purchases: DataFrame) -> DataFrame:
 
 __all__ = ["table_profile", "catalog_profile", "preview", "most_active_vendor", "vendor_rows",
            "purchases_by_brand_price", "sales_by_brand", "distinct_po", "null_profile",
-           "distinct_values", "column_min", "vendor_purchase_summary", "group_sum"]
+           "distinct_values", "column_min", "vendor_purchase_summary"]
