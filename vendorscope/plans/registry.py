@@ -49,12 +49,13 @@ NUDGE_BELOW = 1e7
 
 def duck_round(c: Column, digits: int = CHECK_DIGITS) -> Column:
     """DuckDB's ``round(double, d)`` (round(x * 10^d) / 10^d, ties away from
-    zero) after the tie nudge."""
+    zero) after the tie nudge; a signed zero comes out as +0.0."""
     scale = float(10 ** digits)
     c = F.when(F.abs(c) < NUDGE_BELOW, c * F.lit(TIE_NUDGE)).otherwise(c)
     v = c * scale
     r = F.rint(v)
-    return F.when(F.abs(v - r) == 0.5, v + F.signum(v) * 0.5).otherwise(r) / scale
+    out = F.when(F.abs(v - r) == 0.5, v + F.signum(v) * 0.5).otherwise(r) / scale
+    return F.when(out == 0, F.lit(0.0)).otherwise(out)          # -0.0 -> 0.0
 
 
 def for_check(df: DataFrame) -> DataFrame:
@@ -65,8 +66,11 @@ def for_check(df: DataFrame) -> DataFrame:
 def _oracle(q: Query) -> str:
     if not q.doubles:
         return q.sql
-    repl = ", ".join(f"round(CASE WHEN abs({c}) < {NUDGE_BELOW!r} THEN {c} * {TIE_NUDGE!r} ELSE {c} END, "
-                     f"{CHECK_DIGITS}) AS {c}" for c in q.doubles)
+    def rounded(c: str) -> str:
+        r = (f"round(CASE WHEN abs({c}) < {NUDGE_BELOW!r} THEN {c} * {TIE_NUDGE!r} ELSE {c} END, "
+             f"{CHECK_DIGITS})")
+        return f"CASE WHEN {r} = 0 THEN CAST(0 AS DOUBLE) ELSE {r} END AS {c}"
+    repl = ", ".join(rounded(c) for c in q.doubles)
     return f"SELECT * REPLACE ({repl}) FROM (\n{q.sql}\n) AS oracle_result"
 
 
