@@ -47,11 +47,16 @@ def _long_form(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> Data
     return long.select(*by, names[F.substring(F.col("_qcol"), 3, 6).cast("int")].alias("column_name"), "_qx")
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                    by: Sequence[str] = (), accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
-    """Long result ``(*by, column_name, prob, value)``: pandas ``Series.quantile``
-    (linear) of every column in ``columns`` per ``by`` group. NULL and NaN are
-    skipped; a group without values yields no row (pandas gives NaN)."""
+def exact_quantiles_wide(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
+                         by: Sequence[str] = (), accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+    """One row per (by..., column_name) with columns ``q0, q1, ...`` (one per
+    prob): pandas ``Series.quantile`` (linear); NULL and NaN skipped; a group
+    without values has no row (pandas gives NaN).
+
+    Shuffles: the sketch aggregate, the bracket-count aggregate, and the
+    window; the per-target ranks travel as columns of the one-row-per-group
+    bracket table, so the final picks are one aggregate over the window's
+    own partitioning."""
     by = list(by)
     probs = [float(p) for p in probs]
     # pandas hands q * 100 to numpy, which divides by 100 again
@@ -68,10 +73,22 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
         F.count("_qx").alias("_qn"),
         F.percentile_approx("_qx", F.array(*[F.lit(b) for b in bprobs]), accuracy).alias("_b"),
     )
+    # numpy: virtual = (n-1)*q, previous = floor, both clamp to the last element
+    # (index -1) at or beyond n-1, gamma = virtual - previous index
+    n = F.col("_qn")
+    target_cols = []
+    for k, q in enumerate(eff):
+        virt = (n - 1).cast("double") * F.lit(q)
+        prev = F.floor(virt)
+        above = virt >= (n - 1).cast("double")
+        target_cols += [F.when(above, n).otherwise(prev + 1).alias(f"_r1_{k}"),
+                        F.when(above, n).otherwise(prev + 2).alias(f"_r2_{k}"),
+                        F.when(above, virt + 1).otherwise(virt - prev).alias(f"_g_{k}")]
     brackets = sketch.select(
-        *keys, "_qn",
+        *keys,
         F.array(*[F.col("_b")[2 * k] for k in range(len(eff))]).alias("_los"),
         F.array(*[F.col("_b")[2 * k + 1] for k in range(len(eff))]).alias("_his"),
+        *target_cols,
     )
     # one row per group: len(columns) rows when ungrouped, a proven bound
     small = F.broadcast(brackets) if not by else brackets
@@ -94,20 +111,6 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     ranked = (counted.withColumn("_qhi", F.sum("_qcnt").over(w))
                      .withColumn("_qlo", F.col("_qhi") - F.col("_qcnt") + 1))
 
-    # numpy: virtual = (n-1)*q, previous = floor, both clamp to the last element
-    # (index -1) at or beyond n-1, gamma = virtual - previous index
-    virt = (F.col("_qn") - 1).cast("double") * F.col("_qq")
-    prev = F.floor(virt)
-    above = virt >= (F.col("_qn") - 1).cast("double")
-    targets = (
-        brackets.select(*keys, "_qn", F.posexplode(F.array(*[F.lit(p) for p in eff])).alias("_qk", "_qq"))
-        .select(*keys, "_qn", "_qk", "_qq",
-                F.when(above, F.col("_qn")).otherwise(prev + 1).alias("_qr1"),
-                F.when(above, F.col("_qn")).otherwise(prev + 2).alias("_qr2"),
-                F.when(above, virt + 1).otherwise(virt - prev).alias("_qgamma"))
-    )
-    hit1 = (F.col("_qlo") <= F.col("_qr1")) & (F.col("_qhi") >= F.col("_qr1"))
-    hit2 = (F.col("_qlo") <= F.col("_qr2")) & (F.col("_qhi") >= F.col("_qr2"))
     def value_at(r):
         # a kept group holds one value; a gap group only knows its first and
         # last element, which is all a rank just outside a bracket needs
@@ -115,29 +118,43 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
                  .when(F.col("_qlo") == r, F.col("_qmin"))
                  .when(F.col("_qhi") == r, F.col("_qmax")))
 
-    v1, v2 = value_at(F.col("_qr1")), value_at(F.col("_qr2"))
-    picked = (
-        targets.join(ranked, keys)
-        .filter(hit1 | hit2)
-        .groupBy(*keys, "_qk", "_qgamma")
-        .agg(F.max(F.when(hit1, v1)).alias("_qa"),
-             F.max(F.when(hit2, v2)).alias("_qb"),
-             F.max((hit1 & v1.isNull()) | (hit2 & v2.isNull())).alias("_qmissed"))
-    )
-    prob_of_k = F.array(*[F.lit(p) for p in probs])[F.col("_qk")]
-    value = F.when(
-        F.col("_qmissed"),
-        F.raise_error(F.lit("exact_quantiles: rank outside sketch bracket; raise accuracy")).cast("double"),
-    ).otherwise(nan_to_null(numpy_lerp(F.col("_qa"), F.col("_qb"), F.col("_qgamma"))))
-    return picked.select(*by, "column_name", prob_of_k.alias("prob"), value.alias("value"))
+    def hit(r):
+        return (F.col("_qlo") <= r) & (F.col("_qhi") >= r)
+
+    aggs = []
+    for k in range(len(eff)):
+        r1, r2 = F.col(f"_r1_{k}"), F.col(f"_r2_{k}")
+        v1, v2 = value_at(r1), value_at(r2)
+        aggs += [F.max(F.when(hit(r1), v1)).alias(f"_a{k}"), F.max(F.when(hit(r2), v2)).alias(f"_b{k}"),
+                 F.max((hit(r1) & v1.isNull()) | (hit(r2) & v2.isNull())).alias(f"_m{k}"),
+                 F.max(f"_g_{k}").alias(f"_gm{k}")]
+    picked = ranked.join(small.drop("_los", "_his"), keys).groupBy(*keys).agg(*aggs)
+
+    def value(k):
+        return F.when(
+            F.col(f"_m{k}"),
+            F.raise_error(F.lit("exact_quantiles: rank outside sketch bracket; raise accuracy")).cast("double"),
+        ).otherwise(nan_to_null(numpy_lerp(F.col(f"_a{k}"), F.col(f"_b{k}"), F.col(f"_gm{k}"))))
+
+    return picked.select(*keys, *[value(k).alias(f"q{k}") for k in range(len(eff))])
+
+
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
+                    by: Sequence[str] = (), accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+    """Long result ``(*by, column_name, prob, value)`` of ``exact_quantiles_wide``."""
+    probs = [float(p) for p in probs]
+    wide = exact_quantiles_wide(df, columns, probs, by, accuracy)
+    cells = F.array(*[F.struct(F.lit(p).alias("prob"), F.col(f"q{k}").alias("value"))
+                      for k, p in enumerate(probs)])
+    return wide.select(*by, "column_name", F.inline(cells))
 
 
 def quantile_values(df: DataFrame, column: str, probs: Sequence[float],
                     accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
-    """One-row DataFrame with one column ``q0, q1, ...`` per requested prob."""
-    long = exact_quantiles(df, [column], probs, accuracy=accuracy)
-    return long.agg(*[F.max(F.when(F.col("prob") == float(p), F.col("value"))).alias(f"q{i}")
-                      for i, p in enumerate(probs)])
+    """One row with one column ``q0, q1, ...`` per requested prob (no row
+    when the column has no values; as a scalar subquery that reads NULL)."""
+    wide = exact_quantiles_wide(df, [column], probs, accuracy=accuracy)
+    return wide.select(*[f"q{k}" for k in range(len(probs))])
 
 
 def quantile_scalar(df: DataFrame, column: str, prob: float,

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vendorscope.functions.numeric import is_finite, numeric_columns
-from vendorscope.functions.quantile import exact_quantiles
+from vendorscope.functions.quantile import exact_quantiles_wide
 
 # Functions of this module run inside Python workers (Arrow UDF / mapInPandas):
 # pickle them by value, so executors need only numpy and pandas, not this
@@ -166,12 +166,10 @@ def boxplot_stats(df: DataFrame, columns: Sequence[str] | None = None,
     by = list(by)
     keys = by + ["column_name"]
     long = finite_long(df, cols, by)
-    q = exact_quantiles(long.withColumnRenamed("column_name", "_col"), ["x"], (0.25, 0.5, 0.75),
-                        by=by + ["_col"]).drop("column_name").withColumnRenamed("_col", "column_name")
-    quart = q.groupBy(*keys).agg(
-        F.max(F.when(F.col("prob") == 0.25, F.col("value"))).alias("q1"),
-        F.max(F.when(F.col("prob") == 0.5, F.col("value"))).alias("median"),
-        F.max(F.when(F.col("prob") == 0.75, F.col("value"))).alias("q3"))
+    quart = (exact_quantiles_wide(long.withColumnRenamed("column_name", "_col"), ["x"], (0.25, 0.5, 0.75),
+                                  by=by + ["_col"])
+             .select(*by, F.col("_col").alias("column_name"), F.col("q0").alias("q1"),
+                     F.col("q1").alias("median"), F.col("q2").alias("q3")))
     quart = quart.withColumn("iqr", F.col("q3") - F.col("q1"))
     lo_fence = F.col("q1") - F.lit(whis) * F.col("iqr")
     hi_fence = F.col("q3") + F.lit(whis) * F.col("iqr")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vendorscope.functions.numeric import ieee_div, nan_to_null, numeric_columns
-from vendorscope.functions.quantile import exact_quantiles, quantile_values
+from vendorscope.functions.quantile import exact_quantiles_wide, quantile_values
 from vendorscope.functions.tdist import t_ppf_udf, t_two_sided_p_udf
 from vendorscope.functions.text import fixed_decimals
 
@@ -45,10 +45,8 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
         nan_to_null(F.stddev_samp("x")).alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
     names = df.sparkSession.range(len(cols)).select(
         F.col("id").alias("position"), F.array(*[F.lit(c) for c in cols])[F.col("id")].alias("column_name"))
-    q = exact_quantiles(df, cols, DESCRIBE_PROBS)
-    qwide = q.groupBy("column_name").agg(*[
-        F.max(F.when(F.col("prob") == p, F.col("value"))).alias(name)
-        for p, name in zip(DESCRIBE_PROBS, ("q25", "q50", "q75"))])
+    qwide = exact_quantiles_wide(df, cols, DESCRIBE_PROBS).select(
+        "column_name", F.col("q0").alias("q25"), F.col("q1").alias("q50"), F.col("q2").alias("q75"))
     return (names.join(moments, ["position", "column_name"], "left")
             .join(qwide, "column_name", "left")
             .select("position", "column_name", F.coalesce(F.col("count"), F.lit(0)).alias("count"),
