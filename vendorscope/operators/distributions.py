@@ -166,10 +166,12 @@ def boxplot_stats(df: DataFrame, columns: Sequence[str] | None = None,
     by = list(by)
     keys = by + ["column_name"]
     long = finite_long(df, cols, by)
-    quart = (exact_quantiles_wide(long.withColumnRenamed("column_name", "_col"), ["x"], (0.25, 0.5, 0.75),
-                                  by=by + ["_col"])
-             .select(*by, F.col("_col").alias("column_name"), F.col("q0").alias("q1"),
-                     F.col("q1").alias("median"), F.col("q2").alias("q3")))
+    # quartiles of the finite values: +-inf masked to NULL, which the
+    # quantile job skips; the per-column bracket table stays broadcastable
+    finite = df.select(*by, *[F.when(is_finite(F.col(c).cast("double")), F.col(c).cast("double")).alias(c)
+                              for c in cols])
+    quart = (exact_quantiles_wide(finite, cols, (0.25, 0.5, 0.75), by=by)
+             .select(*keys, F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3")))
     quart = quart.withColumn("iqr", F.col("q3") - F.col("q1"))
     lo_fence = F.col("q1") - F.lit(whis) * F.col("iqr")
     hi_fence = F.col("q3") + F.lit(whis) * F.col("iqr")
