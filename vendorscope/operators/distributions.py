@@ -70,16 +70,19 @@ def histogram_long(long: DataFrame, bins: int = 30) -> DataFrame:
     i0 = F.when(raw >= bins, F.lit(bins - 1)).otherwise(raw)
     i1 = F.when(x < edge(i0), i0 - 1).otherwise(i0)
     i2 = F.when((x >= edge(i1 + 1)) & (i1 != bins - 1), i1 + 1).otherwise(i1)
-    # one row per column (or series): a bound of len(columns) rows
-    counts = (long.join(F.broadcast(edges), "column_name")
-              .select("column_name", i2.alias("bin"))
-              .groupBy("column_name", "bin").agg(F.count(F.lit(1)).alias("count")))
-    grid = edges.select("column_name", F.posexplode(F.slice(F.col("edges"), 1, bins)).alias("bin", "bin_lo"),
-                        "edges")
-    grid = grid.select("column_name", "bin", "bin_lo", F.element_at("edges", F.col("bin") + 2).alias("bin_hi"))
-    return (grid.join(counts, ["column_name", "bin"], "left")
-                .select("column_name", F.col("bin").cast("long").alias("bin"), "bin_lo", "bin_hi",
-                        F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count")))
+    # one row per column (or series): a bound of len(columns) rows. The
+    # ``bins`` counts are conditional counts of one grouped aggregate, and the
+    # bin rows are generated from that single row (no join back to a grid).
+    binned = long.join(F.broadcast(edges), "column_name").select("column_name", "edges", i2.alias("_bin"))
+    per_col = binned.groupBy("column_name").agg(
+        F.first("edges").alias("edges"),
+        *[F.count_if(F.col("_bin") == k).alias(f"_c{k}") for k in range(bins)])
+    cells = F.array(*[F.struct(F.lit(k).cast("long").alias("bin"),
+                               F.element_at("edges", k + 1).alias("bin_lo"),
+                               F.element_at("edges", k + 2).alias("bin_hi"),
+                               F.col(f"_c{k}").alias("count"))
+                      for k in range(bins)])
+    return per_col.select("column_name", F.inline(cells))
 
 
 KDE_SCHEMA = "column_name string, grid long, psum double"
