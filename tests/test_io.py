@@ -94,7 +94,7 @@ def test_export_csv_round_trip_with_bom(spark, tmp_dir):
         raw = open(p, "rb").read()
         if not raw:
             continue
-        assert raw.startswith("﻿".encode("utf-8") + b"id,")
+        assert raw.startswith("\ufeff".encode("utf-8") + b"id,")
         frames.append(pd.read_csv(p, encoding="utf-8-sig", keep_default_na=False, dtype=str))
     got = pd.concat(frames).sort_values("id")
     exp = pd.DataFrame({"id": [1, 2, 3], "name": ["A, Inc", 'say "hi"', ""],
@@ -121,3 +121,16 @@ def test_incremental_stream_ingest(spark, tmp_dir):
     df = spark.read.parquet(out)
     assert df.count() == 3                           # each file exactly once
     assert df.filter(F.col("Dollars").isNull()).count() == 1
+
+
+def test_catalog_profile_lists_tables(spark, tmp_dir):
+    from vendorscope.operators.explore import catalog_profile, preview
+    loc = os.path.join(tmp_dir, "decl2")
+    t = EX.create_summary_table(spark, "vendor_sales_summary_cat", loc)
+    spark.range(3).createOrReplaceTempView("not_a_table")       # temporary views are skipped
+    prof = {r.table_name: r for r in catalog_profile(spark).collect()}
+    assert "vendor_sales_summary_cat" in prof and "not_a_table" not in prof
+    assert prof["vendor_sales_summary_cat"].row_count == 0
+    assert prof["vendor_sales_summary_cat"].column_count == len(schemas.VENDOR_SALES_SUMMARY.fields)
+    assert preview(spark.range(10)).count() == 5 and t is not None
+    spark.sql("DROP TABLE IF EXISTS vendor_sales_summary_cat")

@@ -1,0 +1,3 @@
+"""Business questions composed from operators: the ``VendorAnalytics``
+facade, the analysis context (stored mart), and the query registry with its
+DuckDB oracles."""

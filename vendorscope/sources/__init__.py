@@ -1,0 +1,2 @@
+"""Schemas, CSV directory ingest, exports and declared tables, and the
+test-data views derived from the star-schema tables."""
