@@ -13,20 +13,20 @@ SUMMARY_DOUBLES = ("PurchasePrice", "ActualPrice", "Volume", "TotalPurchaseDolla
                    "SalesToPurchaseRatio")
 
 
-@register("freight_by_vendor", with_views("SELECT * FROM FreightSummary", clean=False),
+@register("freight_by_vendor", with_views("SELECT * FROM freight_per_vendor", clean=False),
           doubles=("FreightCost",))
 def freight_by_vendor(ctx: VendorContext):
     return S.freight_summary(ctx.sources.vendor_invoice)
 
 
-@register("purchase_summary", with_views("SELECT * FROM PurchaseSummary", clean=False),
+@register("purchase_summary", with_views("SELECT * FROM bought", clean=False),
           doubles=("PurchasePrice", "ActualPrice", "TotalPurchaseDollars"))
 def purchase_summary(ctx: VendorContext):
     return S.purchase_summary(ctx.sources.purchases, ctx.sources.purchase_prices)
 
 
 @register("sales_summary",
-          with_views("SELECT * FROM SalesSummary ORDER BY TotalSalesDollars", clean=False),
+          with_views("SELECT * FROM sold ORDER BY TotalSalesDollars", clean=False),
           doubles=("TotalSalesDollars", "TotalSalesPrice", "TotalExciseTax"))
 def sales_summary(ctx: VendorContext):
     return S.sales_summary_sorted(ctx.sources.sales)
