@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vendorscope.functions.numeric import ieee_div, round_half_even
-from vendorscope.functions.quantile import quantile_values
+from vendorscope.functions.quantile import exact_quantiles_wide
 from vendorscope.functions.text import dollar_label
 from vendorscope.session import materialize
 
@@ -43,11 +43,14 @@ def brand_performance(clean: DataFrame) -> DataFrame:
 
 def brand_thresholds(brands: DataFrame, low_sales_q: float = 0.15,
                      high_margin_q: float = 0.85) -> DataFrame:
-    """One row, the low-sales and high-margin thresholds (exact, linear)."""
-    low = quantile_values(brands, "TotalSalesDollars", [low_sales_q]).select("q0").scalar()
-    high = quantile_values(brands, "ProfitMargin", [high_margin_q]).select("q0").scalar()
-    return brands.sparkSession.range(1).select(low.alias("LowSalesThreshold"),
-                                               high.alias("HighMarginThreshold"))
+    """One row, the low-sales and high-margin thresholds (exact, linear),
+    both from one quantile job over the two columns."""
+    q = exact_quantiles_wide(brands, ["TotalSalesDollars", "ProfitMargin"], [low_sales_q, high_margin_q])
+    both = q.agg(F.max(F.when(F.col("column_name") == "TotalSalesDollars", F.col("q0"))).alias("low"),
+                 F.max(F.when(F.col("column_name") == "ProfitMargin", F.col("q1"))).alias("high"))
+    t = both.select(F.struct("low", "high")).scalar()
+    return brands.sparkSession.range(1).select(t["low"].alias("LowSalesThreshold"),
+                                               t["high"].alias("HighMarginThreshold"))
 
 
 def _target_flag(brands: DataFrame, thresholds: DataFrame) -> Column:

@@ -52,6 +52,7 @@ class VendorAnalytics:
         s = self.ctx.sources
         write_table(S.vendor_sales_summary(s.purchases, s.purchase_prices, s.vendor_invoice, s.sales), path)
         self.ctx._summary = self.spark.read.parquet(path)
+        self.ctx._brands = self.ctx._analysis = None       # derived from the old mart
         return self.ctx._summary
 
     @property
@@ -63,6 +64,9 @@ class VendorAnalytics:
         return self.ctx.clean
 
     # ----------------------------------------------------------- B2 - B8 --
+    def brand_thresholds(self, low_sales_q: float = 0.15, high_margin_q: float = 0.85) -> DataFrame:
+        return R.brand_thresholds(self.ctx.brands, low_sales_q, high_margin_q)
+
     def brand_targets(self, low_sales_q: float = 0.15, high_margin_q: float = 0.85) -> DataFrame:
         return R.target_brands(self.clean, low_sales_q, high_margin_q, brands=self.ctx.brands)
 

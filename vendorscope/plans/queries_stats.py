@@ -279,14 +279,7 @@ def margin_kde_by_group(ctx: VendorContext):
     return D.kde_long(samples.select(F.col("segment").alias("column_name"), F.col("value").alias("x")))
 
 
-@register("kde", with_views("""
-SELECT g.column_name, g.g AS grid, g.gx AS x,
-       sum(exp(-0.5 * ((g.gx - l.x) / g.bw) * ((g.gx - l.x) / g.bw))) / (g.n * g.bw * sqrt(2 * pi())) AS density,
-       sum(exp(-0.5 * ((g.gx - l.x) / g.bw) * ((g.gx - l.x) / g.bw))) / (g.n * g.bw * sqrt(2 * pi()))
-         * g.n * (g.hi - g.lo) / 30.0 AS count_density
-FROM k_grid g JOIN k_long l ON l.column_name = g.column_name
-GROUP BY g.column_name, g.g, g.gx, g.n, g.bw, g.lo, g.hi""", long_sql("k_long", "clean", True), KDE),
-          doubles=("x", "density", "count_density"))
+@register("kde", with_views(KDE_BODY, long_sql("k_long", "clean", True), KDE), doubles=KDE_DOUBLES)
 def kde(ctx: VendorContext):
     return D.kde(ctx.clean)
 
