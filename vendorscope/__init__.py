@@ -12,6 +12,7 @@ plans/      business questions composed from operators, and the query
 streaming/  incremental (file-stream) variant of the directory ingest
 """
 
+from vendorscope.plans.analytics import VendorAnalytics
 from vendorscope.session import checkpoint_root, get_session, materialize
 
-__all__ = ["checkpoint_root", "get_session", "materialize"]
+__all__ = ["VendorAnalytics", "checkpoint_root", "get_session", "materialize"]
