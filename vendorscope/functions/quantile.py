@@ -53,10 +53,10 @@ def exact_quantiles_wide(df: DataFrame, columns: Sequence[str], probs: Sequence[
     prob): pandas ``Series.quantile`` (linear); NULL and NaN skipped; a group
     without values has no row (pandas gives NaN).
 
-    Shuffles: the sketch aggregate, the bracket-count aggregate, and the
-    window; the per-target ranks travel as columns of the one-row-per-group
-    bracket table, so the final picks are one aggregate over the window's
-    own partitioning."""
+    Passes over the data: the sketch aggregate and the bracket-count
+    aggregate (joined to the broadcast one-row-per-group bracket table).
+    Shuffles: those two aggregates and the window; the final picks are one
+    aggregate over the window's own partitioning."""
     by = list(by)
     probs = [float(p) for p in probs]
     # pandas hands q * 100 to numpy, which divides by 100 again
@@ -73,22 +73,10 @@ def exact_quantiles_wide(df: DataFrame, columns: Sequence[str], probs: Sequence[
         F.count("_qx").alias("_qn"),
         F.percentile_approx("_qx", F.array(*[F.lit(b) for b in bprobs]), accuracy).alias("_b"),
     )
-    # numpy: virtual = (n-1)*q, previous = floor, both clamp to the last element
-    # (index -1) at or beyond n-1, gamma = virtual - previous index
-    n = F.col("_qn")
-    target_cols = []
-    for k, q in enumerate(eff):
-        virt = (n - 1).cast("double") * F.lit(q)
-        prev = F.floor(virt)
-        above = virt >= (n - 1).cast("double")
-        target_cols += [F.when(above, n).otherwise(prev + 1).alias(f"_r1_{k}"),
-                        F.when(above, n).otherwise(prev + 2).alias(f"_r2_{k}"),
-                        F.when(above, virt + 1).otherwise(virt - prev).alias(f"_g_{k}")]
     brackets = sketch.select(
-        *keys,
+        *keys, "_qn",
         F.array(*[F.col("_b")[2 * k] for k in range(len(eff))]).alias("_los"),
         F.array(*[F.col("_b")[2 * k + 1] for k in range(len(eff))]).alias("_his"),
-        *target_cols,
     )
     # one row per group: len(columns) rows when ungrouped, a proven bound
     small = F.broadcast(brackets) if not by else brackets
@@ -101,9 +89,11 @@ def exact_quantiles_wide(df: DataFrame, columns: Sequence[str], probs: Sequence[
         lo_k, hi_k = F.col("_los")[k], F.col("_his")[k]
         kept = kept | ((x >= lo_k) & (x <= hi_k))
         gap = gap + F.when(hi_k < x, 1).otherwise(0)
+    # the group size rides along as a (constant per group) grouping column, so
+    # the target ranks can be computed after the window without a second join
     counted = (
-        long.join(small.select(*keys, "_los", "_his"), keys)
-        .groupBy(*keys, gap.alias("_qg"), kept.alias("_qkept"), F.when(kept, x).alias("_qxk"))
+        long.join(small, keys)
+        .groupBy(*keys, "_qn", gap.alias("_qg"), kept.alias("_qkept"), F.when(kept, x).alias("_qxk"))
         .agg(F.count(F.lit(1)).alias("_qcnt"), F.min(x).alias("_qmin"), F.max(x).alias("_qmax"))
     )
     w = Window.partitionBy(*keys).orderBy("_qg", "_qkept", "_qxk").rowsBetween(
@@ -121,14 +111,23 @@ def exact_quantiles_wide(df: DataFrame, columns: Sequence[str], probs: Sequence[
     def hit(r):
         return (F.col("_qlo") <= r) & (F.col("_qhi") >= r)
 
+    # numpy: virtual = (n-1)*q, previous = floor, both clamp to the last element
+    # (index -1) at or beyond n-1, gamma = virtual - previous index
+    n = F.col("_qn")
     aggs = []
-    for k in range(len(eff)):
-        r1, r2 = F.col(f"_r1_{k}"), F.col(f"_r2_{k}")
+    for k, q in enumerate(eff):
+        virt = (n - 1).cast("double") * F.lit(q)
+        prev = F.floor(virt)
+        above = virt >= (n - 1).cast("double")
+        r1 = F.when(above, n).otherwise(prev + 1)
+        r2 = F.when(above, n).otherwise(prev + 2)
+        gamma = F.when(above, virt + 1).otherwise(virt - prev)
         v1, v2 = value_at(r1), value_at(r2)
         aggs += [F.max(F.when(hit(r1), v1)).alias(f"_a{k}"), F.max(F.when(hit(r2), v2)).alias(f"_b{k}"),
                  F.max((hit(r1) & v1.isNull()) | (hit(r2) & v2.isNull())).alias(f"_m{k}"),
-                 F.max(f"_g_{k}").alias(f"_gm{k}")]
-    picked = ranked.join(small.drop("_los", "_his"), keys).groupBy(*keys).agg(*aggs)
+                 F.max(gamma).alias(f"_gm{k}")]
+    # grouped by the window's partition keys: no further exchange
+    picked = ranked.groupBy(*keys).agg(*aggs)
 
     def value(k):
         return F.when(
