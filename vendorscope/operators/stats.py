@@ -47,8 +47,10 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
         F.col("id").alias("position"), F.array(*[F.lit(c) for c in cols])[F.col("id")].alias("column_name"))
     qwide = exact_quantiles_wide(df, cols, DESCRIBE_PROBS).select(
         "column_name", F.col("q0").alias("q25"), F.col("q1").alias("q50"), F.col("q2").alias("q75"))
-    return (names.join(moments, ["position", "column_name"], "left")
-            .join(qwide, "column_name", "left")
+    # moments and quartiles have one row per column: a bound fixed by the
+    # caller's column list, so both sides are broadcast
+    return (names.join(F.broadcast(moments), ["position", "column_name"], "left")
+            .join(F.broadcast(qwide), "column_name", "left")
             .select("position", "column_name", F.coalesce(F.col("count"), F.lit(0)).alias("count"),
                     "mean", "std", "min", "q25", "q50", "q75", "max"))
 
