@@ -150,7 +150,7 @@ def kde_long(long: DataFrame, gridsize: int = 200, bins: int = 30,
     step = (F.col("hi") - F.col("lo")) / F.lit(float(gridsize - 1))
     x = F.when(F.col("grid") == gridsize - 1, F.col("hi")).otherwise(F.col("grid").cast("double") * step + F.col("lo"))
     density = F.col("s") / (F.col("n") * F.col("bw") * F.lit(math.sqrt(2.0 * math.pi)))
-    return (sums.join(params, "column_name")
+    return (sums.join(F.broadcast(params), "column_name")
             .select("column_name", "grid", x.alias("x"), density.alias("density"),
                     (density * F.col("n") * (F.col("hi") - F.col("lo")) / F.lit(float(bins)))
                     .alias("count_density")))
@@ -186,7 +186,7 @@ def boxplot_stats(df: DataFrame, columns: Sequence[str] | None = None,
                F.min(F.when(F.col("x") >= lo_fence, F.col("x"))).alias("_wlo"),
                F.max(F.when(F.col("x") <= hi_fence, F.col("x"))).alias("_whi"),
                F.count(F.when((F.col("x") < lo_fence) | (F.col("x") > hi_fence), 1)).alias("n_outliers")))
-    return ext.join(quart, keys).select(
+    return ext.join(small, keys).select(
         *keys, "n", "q1", "median", "q3", "iqr",
         F.when(F.col("_wlo").isNull() | (F.col("_wlo") > F.col("q1")), F.col("q1"))
          .otherwise(F.col("_wlo")).alias("whislo"),
