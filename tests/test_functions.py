@@ -160,3 +160,10 @@ def test_histogram_matches_numpy_on_edges(spark):
     c2, _ = np.histogram([7.0] * len(vals), bins=30)
     assert [got[("const", i)] for i in range(30)] == c2.tolist()
     assert lo < hi
+
+
+def test_exact_quantiles_drop_null_group_keys(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 5.0), ("b", 2.0)], "g string, v double")
+    got = {(r.g, r.prob): r.value for r in exact_quantiles(df, ["v"], [0.5], by=["g"]).collect()}
+    exp = pd.DataFrame({"g": ["a", "a", None, "b"], "v": [1.0, 3.0, 5.0, 2.0]}).groupby("g")["v"].quantile(0.5)
+    assert got == {(g, 0.5): v for g, v in exp.items()}

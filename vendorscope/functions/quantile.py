@@ -51,7 +51,8 @@ def exact_quantiles_wide(df: DataFrame, columns: Sequence[str], probs: Sequence[
                          by: Sequence[str] = (), accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
     """One row per (by..., column_name) with columns ``q0, q1, ...`` (one per
     prob): pandas ``Series.quantile`` (linear); NULL and NaN skipped; a group
-    without values has no row (pandas gives NaN).
+    without values has no row (pandas gives NaN); NULL ``by`` keys are
+    dropped, as pandas' groupby does.
 
     Passes over the data: the sketch aggregate and the bracket-count
     aggregate (joined to the broadcast one-row-per-group bracket table).
@@ -68,6 +69,8 @@ def exact_quantiles_wide(df: DataFrame, columns: Sequence[str], probs: Sequence[
 
     keys = by + ["column_name"]
     long = _long_form(df, columns, by).filter(F.col("_qx").isNotNull() & ~F.isnan("_qx"))
+    for b in by:                       # pandas groupby drops NULL group keys
+        long = long.filter(F.col(b).isNotNull())
 
     sketch = long.groupBy(*keys).agg(
         F.count("_qx").alias("_qn"),
