@@ -48,11 +48,14 @@ def _long_form(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> Data
 
 
 def exact_quantiles_wide(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                         by: Sequence[str] = (), accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+                         by: Sequence[str] = (), accuracy: int = DEFAULT_ACCURACY,
+                         extra_aggs: dict | None = None) -> DataFrame:
     """One row per (by..., column_name) with columns ``q0, q1, ...`` (one per
     prob): pandas ``Series.quantile`` (linear); NULL and NaN skipped; a group
     without values has no row (pandas gives NaN); NULL ``by`` keys are
-    dropped, as pandas' groupby does.
+    dropped, as pandas' groupby does. ``extra_aggs`` ({name: fn(x) -> aggregate
+    Column}) are computed in the sketch pass and returned as extra columns
+    (e.g. count / mean / std for a describe table, without another pass).
 
     Passes over the data: the sketch aggregate and the bracket-count
     aggregate (joined to the broadcast one-row-per-group bracket table).
@@ -72,12 +75,14 @@ def exact_quantiles_wide(df: DataFrame, columns: Sequence[str], probs: Sequence[
     for b in by:                       # pandas groupby drops NULL group keys
         long = long.filter(F.col(b).isNotNull())
 
+    extra = dict(extra_aggs or {})
     sketch = long.groupBy(*keys).agg(
         F.count("_qx").alias("_qn"),
         F.percentile_approx("_qx", F.array(*[F.lit(b) for b in bprobs]), accuracy).alias("_b"),
+        *[fn(F.col("_qx")).alias(name) for name, fn in extra.items()],
     )
     brackets = sketch.select(
-        *keys, "_qn",
+        *keys, "_qn", *extra.keys(),
         F.array(*[F.col("_b")[2 * k] for k in range(len(eff))]).alias("_los"),
         F.array(*[F.col("_b")[2 * k + 1] for k in range(len(eff))]).alias("_his"),
     )
@@ -96,7 +101,8 @@ def exact_quantiles_wide(df: DataFrame, columns: Sequence[str], probs: Sequence[
     # the target ranks can be computed after the window without a second join
     counted = (
         long.join(small, keys)
-        .groupBy(*keys, "_qn", gap.alias("_qg"), kept.alias("_qkept"), F.when(kept, x).alias("_qxk"))
+        .groupBy(*keys, "_qn", *extra.keys(), gap.alias("_qg"), kept.alias("_qkept"),
+                 F.when(kept, x).alias("_qxk"))
         .agg(F.count(F.lit(1)).alias("_qcnt"), F.min(x).alias("_qmin"), F.max(x).alias("_qmax"))
     )
     w = Window.partitionBy(*keys).orderBy("_qg", "_qkept", "_qxk").rowsBetween(
@@ -130,7 +136,7 @@ def exact_quantiles_wide(df: DataFrame, columns: Sequence[str], probs: Sequence[
                  F.max((hit(r1) & v1.isNull()) | (hit(r2) & v2.isNull())).alias(f"_m{k}"),
                  F.max(gamma).alias(f"_gm{k}")]
     # grouped by the window's partition keys: no further exchange
-    picked = ranked.groupBy(*keys).agg(*aggs)
+    picked = ranked.groupBy(*keys).agg(*aggs, *[F.max(name).alias(name) for name in extra])
 
     def value(k):
         return F.when(
@@ -138,7 +144,7 @@ def exact_quantiles_wide(df: DataFrame, columns: Sequence[str], probs: Sequence[
             F.raise_error(F.lit("exact_quantiles: rank outside sketch bracket; raise accuracy")).cast("double"),
         ).otherwise(nan_to_null(numpy_lerp(F.col(f"_a{k}"), F.col(f"_b{k}"), F.col(f"_gm{k}"))))
 
-    return picked.select(*keys, *[value(k).alias(f"q{k}") for k in range(len(eff))])
+    return picked.select(*keys, *[value(k).alias(f"q{k}") for k in range(len(eff))], *extra.keys())
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],

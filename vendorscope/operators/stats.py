@@ -22,37 +22,21 @@ from vendorscope.functions.text import fixed_decimals
 DESCRIBE_PROBS = (0.25, 0.5, 0.75)
 
 
-def _values_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(position, column_name, x) per row and column, NaN dropped: one
-    ``unpivot`` (Expand), so any number of columns costs one small plan."""
-    wide = df.select(*[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(cols)])
-    names = F.array(*[F.lit(c) for c in cols])
-    pos = F.substring(F.col("_col"), 3, 6).cast("long")
-    return (wide.unpivot([], [f"_v{i}" for i in range(len(cols))], "_col", "x")
-                .filter(F.col("x").isNotNull() & ~F.isnan("x"))
-                .select(pos.alias("position"), names[pos.cast("int")].alias("column_name"), "x"))
-
-
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``df.describe().T``: per numeric column count, mean, std (ddof 1), min,
-    25/50/75% (exact, linear) and max. Moments: one grouped aggregate over the
-    long form (partial aggregation leaves one row per column per partition);
-    percentiles: the bounded exact-quantile job."""
+    25/50/75% (exact, linear) and max. The moments ride in the exact-quantile
+    job's sketch pass, so the whole table costs two passes over the data."""
     cols = list(columns) if columns is not None else numeric_columns(df.schema)
-    long = _values_long(df, cols)
-    moments = long.groupBy("position", "column_name").agg(
-        F.count("x").alias("count"), nan_to_null(F.avg("x")).alias("mean"),
-        nan_to_null(F.stddev_samp("x")).alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    moments = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    q = exact_quantiles_wide(df, cols, DESCRIBE_PROBS, extra_aggs=moments)
     names = df.sparkSession.range(len(cols)).select(
         F.col("id").alias("position"), F.array(*[F.lit(c) for c in cols])[F.col("id")].alias("column_name"))
-    qwide = exact_quantiles_wide(df, cols, DESCRIBE_PROBS).select(
-        "column_name", F.col("q0").alias("q25"), F.col("q1").alias("q50"), F.col("q2").alias("q75"))
-    # moments and quartiles have one row per column: a bound fixed by the
-    # caller's column list, so both sides are broadcast
-    return (names.join(F.broadcast(moments), ["position", "column_name"], "left")
-            .join(F.broadcast(qwide), "column_name", "left")
+    # one row per column: a bound fixed by the caller's column list
+    return (names.join(F.broadcast(q), "column_name", "left")
             .select("position", "column_name", F.coalesce(F.col("count"), F.lit(0)).alias("count"),
-                    "mean", "std", "min", "q25", "q50", "q75", "max"))
+                    nan_to_null(F.col("mean")).alias("mean"), nan_to_null(F.col("std")).alias("std"),
+                    "min", F.col("q0").alias("q25"), F.col("q1").alias("q50"), F.col("q2").alias("q75"),
+                    "max"))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
