@@ -27,6 +27,9 @@ def test_csv_to_answers_round_trip(spark, tmp_dir):
     assert mart.count() == 925
     assert va.clean.count() == 404
     assert va.brand_targets().count() == 6
+    th = va.brand_thresholds().first()
+    assert abs(th.LowSalesThreshold - 311643.385) < 1e-3 and abs(th.HighMarginThreshold - 59.630863) < 1e-5
+    assert {r.OrderSize for r in va.bulk_purchase_boxplot().collect()} == {"Small", "Medium", "Large"}
     assert va.top_vendors(1).first().VendorName == "Supplier#000000005"
     ci = {r.segment: r for r in va.margin_confidence_intervals().collect()}
     assert abs(ci["top"].lower - 45.382562) < 1e-5
