@@ -5,10 +5,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from vendorscope.llm.bpe import bpe_digests
 from vendorscope.llm.common import read_table
 from vendorscope.llm.exact_dedup import exact_dedup
+from vendorscope.llm.langid import identify
+from vendorscope.llm.packing import pack
 from vendorscope.llm.url_rules import RULES, judge_urls
 from vendorscope.llm.warc import warc_round_trip
 
@@ -33,6 +37,23 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+@query("op2_language_id")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(read_table(spark, sf_dir, "documents"))
+
+
+@query("op3_byte_bpe")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(read_table(spark, sf_dir, "documents"),
+                       public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op7_best_fit_packing")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"),
+                public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 @query("op8_warc", """
     WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
     d AS (SELECT page_id, body, sha1(body) AS hex, min(page_id) OVER (PARTITION BY body) AS first_id FROM p)
