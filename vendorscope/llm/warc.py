@@ -161,8 +161,10 @@ def write_warc(pages: DataFrame, root: str, id_col: str = "page_id", url_col: st
     rows = rows.withColumn("content", F.unhex(F.sha2("payload", 256)))
     # smallest id of each payload (nulls are smallest); of repeated ids the url decides
     entry = F.struct(F.col("id"), F.col("url"))
-    keepers = rows.filter(F.length("payload") >= min_revisit_bytes).groupBy("content").agg(
-        F.min(entry).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # stored, so the planner knows its size: few repeated payloads need no
+    # shuffle of the pages, many get an equi-join
+    keepers = stored(rows.filter(F.length("payload") >= min_revisit_bytes).groupBy("content").agg(
+        F.min(entry).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "payload-keepers")
     joined = rows.join(keepers, "content", "left")
     block = F.coalesce(F.floor(F.col("id") / F.lit(block_ids)).cast("long"), F.lit(NULL_BLOCK))
     ranged = (joined.select(
