@@ -13,6 +13,7 @@ from vendorscope.llm.common import read_table
 from vendorscope.llm.exact_dedup import exact_dedup
 from vendorscope.llm.langid import identify
 from vendorscope.llm.packing import pack
+from vendorscope.llm.toxicity import toxicity
 from vendorscope.llm.url_rules import RULES, judge_urls
 from vendorscope.llm.warc import warc_round_trip
 
@@ -48,6 +49,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
                        public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@query("op6_toxicity")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 @query("op7_best_fit_packing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"),
