@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from vendorscope.llm.bpe import bpe_digests
 from vendorscope.llm.common import read_table
 from vendorscope.llm.exact_dedup import exact_dedup
+from vendorscope.llm.jaccard_join import jaccard_components
 from vendorscope.llm.langid import identify
 from vendorscope.llm.packing import pack
 from vendorscope.llm.toxicity import toxicity
@@ -49,6 +50,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
                        public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@query("op4_ngram_jaccard_join")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
 @query("op6_toxicity")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
