@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vendorscope.llm.bpe import bpe_digests
 from vendorscope.llm.common import read_table
+from vendorscope.llm.embedding_graph import near_duplicates
 from vendorscope.llm.exact_dedup import exact_dedup
 from vendorscope.llm.jaccard_join import jaccard_components
 from vendorscope.llm.langid import identify
@@ -80,6 +81,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(read_table(spark, sf_dir, "pages"))
 
 
+@query("op9_embedding_near_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 @query("op10_url_rules", f"""
     WITH rules(verdict, host, path) AS (VALUES {', '.join(map(str, RULES))}),
     u AS (SELECT page_id, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'),
