@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vendorscope.llm.common import by_value, text_or_empty
-from vendorscope.llm.pretokens import WordTable, slices
+from vendorscope.llm.pretokens import WordTable, by_pattern, slices
 
 by_value(__name__)
 
@@ -207,7 +207,7 @@ def encode_batches(data, pattern: str):
             names = vocabulary.names
             return [" ".join([names[i] for i in ids])
                     for ids in vocabulary.encode([w.encode("utf-8") for w in words])]
-        table = WordTable(pattern, encode)
+        table = WordTable(by_pattern(pattern), encode)
         for b in batches:
             texts = b.column(1).to_pylist()
             counts, coded, decoded = [], [], []

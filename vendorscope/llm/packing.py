@@ -22,7 +22,9 @@ their place in the packing.
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vendorscope.llm.common import by_value, stored, task_number, text_or_empty
-from vendorscope.llm.pretokens import WordTable, slices
+from vendorscope.llm.pretokens import WordTable, by_spaces, slices, stretch
 
 by_value(__name__)
 
@@ -40,7 +42,15 @@ CAPACITY = 1024
 END_ID = 2
 
 
-def piece_batches(tokenizer, pattern: str, capacity: int, end_id: int, with_ids: bool):
+def little(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit numbers."""
+    out = array("I", ids)
+    if sys.byteorder != "little":
+        out.byteswap()
+    return out.tobytes()
+
+
+def piece_batches(tokenizer, capacity: int, end_id: int, with_ids: bool):
     """mapInArrow body: (id, text) -> one row per piece."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -49,14 +59,27 @@ def piece_batches(tokenizer, pattern: str, capacity: int, end_id: int, with_ids:
         coder = Tokenizer.from_str(tokenizer.value)
         coder.encode_special_tokens = True          # their strings in a text are ordinary text
 
-        def encode(words: list[str]) -> list[bytes]:
+        vocabulary = coder.get_vocab()
+        sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            sizes[i] = len(token)                   # one character of a byte-level token per byte
+
+        def encode(keys: list) -> list[bytes]:
+            # many stretches in one call; where each ends follows from the bytes its tokens stand for
+            words = [stretch(k) for k in keys]
+            lists = [words[a:a + 1000] for a in range(0, len(words), 1000)]
             out: list[bytes] = []
-            for a in range(0, len(words), 20_000):
-                out.extend(np.array(x.ids, "<u4").tobytes()
-                           for x in coder.encode_batch_fast(words[a:a + 20_000], add_special_tokens=False))
+            for a in range(0, len(lists), 20):
+                coded = coder.encode_batch_fast(lists[a:a + 20], is_pretokenized=True, add_special_tokens=False)
+                for part, x in zip(lists[a:a + 20], coded):
+                    ids = x.ids
+                    ends = np.cumsum([len(w.encode("utf-8", "surrogatepass")) for w in part])
+                    cuts = 4 * np.searchsorted(np.cumsum(sizes[ids]), ends, side="right")
+                    raw, cuts = little(ids), cuts.tolist()
+                    out.extend([raw[i:j] for i, j in zip([0, *cuts], cuts)])
             return out
-        table, part, seen = WordTable(pattern, encode), task_number(), [0] * (capacity + 1)
-        end = np.array([end_id], "<u4").tobytes()
+        table, part, seen = WordTable(by_spaces, encode), task_number(), [0] * (capacity + 1)
+        end = little([end_id])
         for b in batches:
             ids, texts = b.column(0), b.column(1).to_pylist()
             rows: list[list] = [[] for _ in range(7)]
@@ -193,7 +216,7 @@ def slot_rows(counts: dict[int, int], capacity: int) -> tuple[list[tuple], int]:
     return slots, bins
 
 
-def pack(docs: DataFrame, tokenizer_path: str, pattern: str, capacity: int = CAPACITY, end_id: int = END_ID,
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID,
          id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id,
     offset (and the ids as little-endian 32-bit numbers, if asked for)."""
@@ -204,7 +227,7 @@ def pack(docs: DataFrame, tokenizer_path: str, pattern: str, capacity: int = CAP
     schema = (f"id {kind}, piece int, start long, length long, ids_crc32 long, part long, nth long"
               + ", ids binary" * with_ids)
     pieces = stored(docs.select(F.col(id_col).alias("id"), text_or_empty(text_col))
-                    .mapInArrow(piece_batches(tokenizer, pattern, capacity, end_id, with_ids), schema), "pieces")
+                    .mapInArrow(piece_batches(tokenizer, capacity, end_id, with_ids), schema), "pieces")
     by_part = stored(pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     counts = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     slots, _ = slot_rows(counts, capacity)
