@@ -15,6 +15,7 @@ from vendorscope.llm.exact_dedup import exact_dedup
 from vendorscope.llm.jaccard_join import jaccard_components
 from vendorscope.llm.langid import identify
 from vendorscope.llm.packing import pack
+from vendorscope.llm.pitman_yor import score_texts
 from vendorscope.llm.toxicity import toxicity
 from vendorscope.llm.url_rules import RULES, judge_urls
 from vendorscope.llm.warc import warc_round_trip
@@ -56,6 +57,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
+@query("op5_pitman_yor")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(read_table(spark, sf_dir, "documents"))
+
+
 @query("op6_toxicity")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
