@@ -64,9 +64,10 @@ def piece_batches(tokenizer, capacity: int, end_id: int, with_ids: bool):
         for token, i in vocabulary.items():
             sizes[i] = len(token)                   # one character of a byte-level token per byte
 
-        def encode(keys: list) -> list[bytes]:
-            # many stretches in one call; where each ends follows from the bytes its tokens stand for
-            words = [stretch(k) for k in keys]
+        marks = {c: little(coder.encode(c, add_special_tokens=False).ids) for c in ",.;:!?"}
+
+        def encode_words(words: list[str]) -> list[bytes]:
+            # many words in one call; where each ends follows from the bytes its tokens stand for
             lists = [words[a:a + 1000] for a in range(0, len(words), 1000)]
             out: list[bytes] = []
             for a in range(0, len(lists), 20):
@@ -78,6 +79,20 @@ def piece_batches(tokenizer, capacity: int, end_id: int, with_ids: bool):
                     raw, cuts = little(ids), cuts.tolist()
                     out.extend([raw[i:j] for i, j in zip([0, *cuts], cuts)])
             return out
+
+        def encode(keys: list) -> list[bytes]:
+            # a mark after Latin letters is a pre-token of its own: the word is encoded once with and without it
+            cores, at, tails = {}, [], []
+            for k in keys:
+                w, tail = stretch(k), b""
+                if w[-1:] in marks:
+                    core = w[:-1]
+                    if core.lstrip(" ").isalpha() and (core.isascii() or max(core) < "\u0250"):
+                        w, tail = core, marks[w[-1]]
+                at.append(cores.setdefault(w, len(cores)))
+                tails.append(tail)
+            coded = encode_words(list(cores))
+            return [coded[i] + tail for i, tail in zip(at, tails)]
         table, part, seen = WordTable(by_spaces, encode), task_number(), [0] * (capacity + 1)
         end = little([end_id])
         for b in batches:
