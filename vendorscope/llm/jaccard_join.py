@@ -3,18 +3,18 @@
 Each text becomes its set of distinct word shingles; equal sets are one node
 (their smallest id). Two sets link when ``den * intersection >= num * union``.
 
-1. One pass stores, per row, the set's size, a 128-bit digest and its least
-   hash, and counts all shingles in a fixed-size table of buckets.
-2. Similar sets are partitioned into groups: sets with the same least hash.
-   The token-group matrix holds (token, group) for every token that could
+1. One pass stores, per row, the set's size, a 128-bit digest and its
+   group, and counts all shingles in a fixed-size table of buckets.
+2. Similar sets are partitioned into groups: sets of one size band with the
+   same least hash. The token-group matrix holds (token, group) for every token that could
    decide a link: a set that links with Q shares one of Q's ``n - ceil(t n) +
    1`` rarest tokens (rarity: the bucket counts, ties by hash; any fixed order
    is right). A group's tokens are the union over its members, each once.
 3. Two groups can hold a linked pair only if they share such a token (the
    bound on the overlap is otherwise below what a link needs) and their size
    ranges are compatible. Only these pairs of groups are opened, and every
-   group with itself. Groups over ``BLOCK`` sets open as pairs of blocks, so
-   one task never holds more than two blocks.
+   group with itself. Groups over ``BLOCK`` sets open block by block, small
+   ones together, so a unit of work holds about two blocks.
 4. An opened pair has its members' texts, computes whole sets again and
    counts all intersections at once (incidence matrices over the shared
    tokens), and returns a spanning forest of the links it found; every link
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from vendorscope.llm.common import by_value, shuffle_partitions, stored
 from vendorscope.llm.components import components
-from vendorscope.llm.shingles import Shingler
+from vendorscope.llm.shingles import Shingler, mix
 
 by_value(__name__)
 
@@ -57,7 +57,7 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
-def first_pass(words: int, bits: int):
+def first_pass(words: int, bits: int, num: int, den: int):
     """mapInArrow body: (id, text) -> set rows, then the task's bucket counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, counts = Shingler(words), np.zeros(1 << bits, np.int64)
@@ -70,7 +70,7 @@ def first_pass(words: int, bits: int):
             for tokens in shingler.sets(texts):
                 sizes.append(len(tokens))
                 digests.append(digest_of(tokens) if len(tokens) else None)
-                least.append(int(tokens[:1].view(np.int64)[0]) if len(tokens) else None)
+                least.append(int(group_of(tokens, num, den)[0]) if len(tokens) else None)
                 held.append(tokens >> np.uint64(64 - bits))
                 if len(held) == 4096:
                     counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=1 << bits)
@@ -85,8 +85,8 @@ def first_pass(words: int, bits: int):
             parts = counts.astype(np.uint32).reshape(-1, 1 << min(bits, CHUNK_BITS))
             none = pa.nulls(len(parts))
             yield pa.RecordBatch.from_arrays(
-                [none.cast(kind), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.int64()),
-                 pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names)
+                [none.cast(kind), none.cast(pa.int64()), none.cast(pa.binary()),
+                 none.cast(pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names)
     return run
 
 
@@ -115,6 +115,12 @@ def bucket_counts(rows: DataFrame, bits: int) -> np.ndarray:
     return out.ravel()
 
 
+def group_of(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Group of a set (sorted tokens): its least hash and its size band."""
+    band = int(np.log(len(tokens)) / np.log(den / num)) if num < den else len(tokens)
+    return mix(tokens[:1] + np.uint64(band)).view(np.int64)
+
+
 def prefix_size(n: int, num: int, den: int) -> int:
     return n + (-num * n) // den + 1
 
@@ -132,7 +138,7 @@ def token_groups(words: int, bits: int, counts, num: int, den: int):
                 order = np.lexsort((tokens, table[tokens >> np.uint64(64 - bits)]))
                 rare = tokens[order[:prefix_size(n, num, den)]]
                 pair = np.empty((len(rare), 2), np.uint64)
-                pair[:, 0], pair[:, 1] = rare, tokens[0]
+                pair[:, 0], pair[:, 1] = rare, group_of(tokens, num, den).view(np.uint64)[0]
                 out.append(pair)
             if out:
                 pairs = np.concatenate(out)
@@ -259,23 +265,38 @@ def verify_units(words: int, num: int, den: int):
     return run
 
 
-def units_of(groups: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """(unit, side, least, block): blocks of groups to open together."""
-    own = groups.filter("n > 1").select(F.col("least").alias("a"), F.col("least").alias("b"))
-    a, b = (groups.select(F.col("least").alias(x), F.col("blocks").alias(f"k{x}"), F.col("low").alias(f"low{x}"),
-                          F.col("high").alias(f"high{x}")) for x in ("a", "b"))
-    opened = (pairs.distinct().unionByName(own).join(a, "a").join(b, "b")
-              .filter((F.col("lowa") * num <= F.col("highb") * den) & (F.col("lowb") * num <= F.col("higha") * den)))
-    blocks = (opened.select("a", "b", "kb", F.explode(F.sequence(F.lit(0), F.col("ka") - 1)).alias("i"))
-              .select("a", "b", "i", F.explode(F.sequence(F.lit(0), F.col("kb") - 1)).alias("j"))
-              .filter("a <> b or i <= j"))
-    sides = F.array(
-        F.struct(F.lit(0).alias("side"), F.col("a").alias("least"), F.col("i").alias("block")),
-        F.struct(F.lit(1).alias("side"), F.col("b").alias("least"), F.col("j").alias("block")))
-    one = F.slice(sides, 1, 1)
-    return (blocks.select(F.struct("a", "i", "b", "j").alias("unit"), F.explode(
-        F.when((F.col("a") == F.col("b")) & (F.col("i") == F.col("j")), one).otherwise(sides)).alias("s"))
-        .select("unit", "s.*"))
+def units_of(groups: DataFrame, pairs: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """(unit, side, least, block): blocks of groups to open together. Of two
+    groups the larger is host; a host's blocks each meet its guests in bundles
+    of about ``block`` sets, so a large group is not sent out once per guest."""
+    a, b = (groups.select(F.col("least").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "blocks", "low", "high")])
+            for x in ("a", "b"))
+    opened = (pairs.distinct().join(a, "a").join(b, "b")
+              .filter((F.col("low_a") * num <= F.col("high_b") * den) & (F.col("low_b") * num <= F.col("high_a") * den)))
+    first = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
+    side = lambda c, one, two: F.when(first, F.col(f"{c}{one}")).otherwise(F.col(f"{c}{two}"))
+    met = opened.select(side("", "a", "b").alias("host"), side("blocks_", "a", "b").alias("host_blocks"),
+                        side("", "b", "a").alias("guest"), side("blocks_", "b", "a").alias("guest_blocks"),
+                        side("n_", "b", "a").alias("guests"))
+    bundles = met.groupBy("host").agg(F.ceil(F.sum("guests") / block).cast("int").alias("bundles"))
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    met = met.join(bundles, "host").select("host", "host_blocks", "bundles", "guest", upto("guest_blocks").alias("j"))
+    met = met.withColumn("bundle", F.pmod(F.xxhash64("guest", "j"), F.col("bundles")).cast("int"))
+    unit = F.struct("host", "i", "bundle", F.lit(-1).alias("other")).alias("unit")
+    guests = met.withColumn("i", upto("host_blocks")).select(
+        unit, F.lit(1).alias("side"), F.col("guest").alias("least"), F.col("j").alias("block"))
+    hosts = met.select("host", "host_blocks", "bundle").distinct().withColumn("i", upto("host_blocks")).select(
+        unit, F.lit(0).alias("side"), F.col("host").alias("least"), F.col("i").alias("block"))
+    own = (groups.filter("n > 1").select(F.col("least").alias("host"), "blocks", upto("blocks").alias("i"))
+           .withColumn("other", upto("blocks")).filter("i <= other"))
+    own_unit = F.struct("host", "i", F.lit(-1).alias("bundle"), "other").alias("unit")
+    one = F.array(F.struct(F.lit(0).alias("side"), F.col("i").alias("block")))
+    two = F.array(F.struct(F.lit(0).alias("side"), F.col("i").alias("block")),
+                  F.struct(F.lit(1).alias("side"), F.col("other").alias("block")))
+    selves = (own.select(own_unit, F.col("host").alias("least"),
+                         F.explode(F.when(F.col("i") == F.col("other"), one).otherwise(two)).alias("s"))
+              .select("unit", "s.side", "least", "s.block"))
+    return guests.unionByName(hosts).unionByName(selves)
 
 
 def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id",
@@ -284,7 +305,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = "id long, n long, digest binary, least long, chunk int, counts binary"
-    rows = stored(texts.mapInArrow(first_pass(words, bits), schema), "shingle-sets")
+    rows = stored(texts.mapInArrow(first_pass(words, bits, num, den), schema), "shingle-sets")
     counts = spark.sparkContext.broadcast(bucket_counts(rows, bits).tobytes())
     sets = rows.filter("chunk is null").select("id", "n", "digest", "least")
     nodes = (sets.filter("digest is not null and id is not null").groupBy("digest")
@@ -294,7 +315,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     matrix = texts.select("text").mapInArrow(token_groups(words, bits, counts, num, den), "token long, least long")
     pairs = (matrix.repartition(shuffle_partitions(spark), "token").sortWithinPartitions("token", "least")
              .mapInArrow(group_pairs, "a long, b long"))
-    units = stored(units_of(groups, pairs, num, den), "join-units")
+    units = stored(units_of(groups, pairs, num, den, block), "join-units")
     # members of the groups that are opened, each with its block
     placed = nodes.join(groups.select("least", "blocks"), "least").withColumn(
         "block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
