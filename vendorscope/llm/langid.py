@@ -270,7 +270,7 @@ def predicted(rows: DataFrame, model: dict | None, kind: str) -> DataFrame:
     return rows.mapInArrow(predict_batches(held), f"id {kind}, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, least_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text",
+def keep_identified(docs: DataFrame, least_score: float = 0.4, id_col: str = "doc_id", text_col: str = "text",
                     lang_col: str = "lang", **options) -> DataFrame:
     """The rows of ``docs`` whose language is identified: not ``und``, and
     with a calibrated probability of at least ``least_score``."""

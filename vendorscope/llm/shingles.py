@@ -32,6 +32,11 @@ def byte_slices(texts: Sequence[bytes], most: int = SLICE_BYTES) -> Iterator[tup
         yield start, len(texts)
 
 
+def factor(place: int) -> int:
+    """Multiplier of the word at this place of a shingle."""
+    return FACTORS[place % 3] + 2 * (place // 3)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -79,14 +84,14 @@ class Shingler:
         n = max(0, len(w) - k + 1)
         h = np.zeros(n, np.uint64)
         for j in range(k):
-            h += w[j:j + n] * np.uint64(FACTORS[j % 3] + 2 * (j // 3))
+            h += w[j:j + n] * np.uint64(factor(j))
         h = mix(h)
         cuts = first.tolist()
         for a, b in zip(cuts, cuts[1:]):
             if b - a >= k:
                 yield h[a:b - k + 1]
             elif b > a:
-                few = sum(int(x) * FACTORS[j] for j, x in enumerate(w[a:b])) + (b - a)
+                few = sum(int(x) * factor(j) for j, x in enumerate(w[a:b])) + (b - a)
                 yield mix(np.array([few & ((1 << 64) - 1)], np.uint64))
             else:
                 yield h[:0]
