@@ -15,9 +15,12 @@ Each text becomes its set of distinct word shingles; equal sets are one node
    ranges are compatible. Only these pairs of groups are opened, and every
    group with itself. Groups over ``BLOCK`` sets open block by block, small
    ones together, so a unit of work holds about two blocks.
-4. An opened pair has its members' texts, computes whole sets again and
-   counts all intersections at once (incidence matrices over the shared
-   tokens), and returns a spanning forest of the links it found; every link
+4. An opened unit first sees its members' sizes and parity bitmaps (one bit a
+   bucket, flipped by every token): two bitmaps differ in no more bits than the
+   sets differ in tokens, so pairs that differ in too many cannot link. Texts
+   travel for members that still have a partner; the unit computes whole sets
+   again, counts all intersections at once (incidence matrices over the shared
+   tokens) and returns a spanning forest of the links it found; every link
    between different sets is checked and none is lost. Components follow.
 
 Defined cases: null and empty texts, and those without words, have size 0 and
@@ -43,10 +46,12 @@ from vendorscope.llm.shingles import Shingler, mix
 
 by_value(__name__)
 
+UNIT = pa.struct([("host", pa.int64()), ("i", pa.int32()), ("bundle", pa.int32()), ("other", pa.int32())])
 BUCKET_BITS = 20
 CHUNK_BITS = 14
 BLOCK = 64
 COLUMNS = 8192
+MARK_BITS = 1024
 
 
 def digest_of(tokens: np.ndarray) -> bytes:
@@ -61,16 +66,17 @@ def first_pass(words: int, bits: int, num: int, den: int):
     """mapInArrow body: (id, text) -> set rows, then the task's bucket counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, counts = Shingler(words), np.zeros(1 << bits, np.int64)
-        names = ["id", "n", "digest", "least", "chunk", "counts"]
+        names = ["id", "n", "digest", "least", "marks", "chunk", "counts"]
         kind = None
         for b in batches:
             texts, kind = utf8(b.column(1)), b.column(0).type
-            sizes, digests, least = [], [], []
+            sizes, digests, least, marks = [], [], [], []
             held: list[np.ndarray] = []
             for tokens in shingler.sets(texts):
                 sizes.append(len(tokens))
                 digests.append(digest_of(tokens) if len(tokens) else None)
                 least.append(int(group_of(tokens, num, den)[0]) if len(tokens) else None)
+                marks.append(parity(tokens) if len(tokens) else None)
                 held.append(tokens >> np.uint64(64 - bits))
                 if len(held) == 4096:
                     counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=1 << bits)
@@ -80,13 +86,14 @@ def first_pass(words: int, bits: int, num: int, den: int):
             none = pa.nulls(len(texts))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                 pa.array(least, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names)
+                 pa.array(least, pa.int64()), pa.array(marks, pa.binary()), none.cast(pa.int32()),
+                 none.cast(pa.binary())], names)
         if kind is not None:
             parts = counts.astype(np.uint32).reshape(-1, 1 << min(bits, CHUNK_BITS))
             none = pa.nulls(len(parts))
             yield pa.RecordBatch.from_arrays(
                 [none.cast(kind), none.cast(pa.int64()), none.cast(pa.binary()),
-                 none.cast(pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names)
+                 none.cast(pa.int64()), none.cast(pa.binary()), pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names)
     return run
 
 
@@ -115,10 +122,21 @@ def bucket_counts(rows: DataFrame, bits: int) -> np.ndarray:
     return out.ravel()
 
 
+def parity(tokens: np.ndarray) -> bytes:
+    """One bit a bucket: whether an odd number of tokens fall into it."""
+    at = ((tokens >> np.uint64(17)) % np.uint64(MARK_BITS)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=MARK_BITS) & 1).astype(np.uint8)).tobytes()
+
+
+def band_of(n: int, num: int, den: int) -> int:
+    """Size band; the sizes of linked sets lie in one band or in neighbours."""
+    # a little wider than the largest ratio, so rounding cannot part two bands
+    return int(0.999 * np.log(n) / np.log(den / num)) if num < den else n
+
+
 def group_of(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
     """Group of a set (sorted tokens): its least hash and its size band."""
-    band = int(np.log(len(tokens)) / np.log(den / num)) if num < den else len(tokens)
-    return mix(tokens[:1] + np.uint64(band)).view(np.int64)
+    return mix(tokens[:1] + np.uint64(band_of(len(tokens), num, den))).view(np.int64)
 
 
 def prefix_size(n: int, num: int, den: int) -> int:
@@ -126,7 +144,7 @@ def prefix_size(n: int, num: int, den: int) -> int:
 
 
 def token_groups(words: int, bits: int, counts, num: int, den: int):
-    """mapInArrow body: (text) -> distinct (token, group) of each slice."""
+    """mapInArrow body: (text) -> distinct (token, group, band) of each batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, table = Shingler(words), np.frombuffer(counts.value, np.uint32)
         for b in batches:
@@ -137,8 +155,9 @@ def token_groups(words: int, bits: int, counts, num: int, den: int):
                     continue
                 order = np.lexsort((tokens, table[tokens >> np.uint64(64 - bits)]))
                 rare = tokens[order[:prefix_size(n, num, den)]]
-                pair = np.empty((len(rare), 2), np.uint64)
+                pair = np.empty((len(rare), 3), np.uint64)
                 pair[:, 0], pair[:, 1] = rare, group_of(tokens, num, den).view(np.uint64)[0]
+                pair[:, 2] = band_of(n, num, den)
                 out.append(pair)
             if out:
                 pairs = np.concatenate(out)
@@ -146,28 +165,34 @@ def token_groups(words: int, bits: int, counts, num: int, den: int):
                 pairs = pairs[order]
                 pairs = pairs[np.concatenate(([True], (pairs[1:] != pairs[:-1]).any(axis=1)))].view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))],
-                    ["token", "least"])
+                    [pa.array(np.ascontiguousarray(pairs[:, k])) for k in range(3)], ["token", "least", "band"])
     return run
 
 
 def group_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow body over (token, group) sorted by both: pairs of groups
-    that share a token, distinct within a batch."""
-    rest = np.empty((0, 2), np.int64)
+    """mapInArrow body over (token, group, band) sorted by token and group:
+    pairs of groups in neighbouring bands that share a token, distinct within
+    a batch."""
+    rest = np.empty((0, 3), np.int64)
 
     def pairs_of(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         rows = rows[np.concatenate(([True], (rows[1:] != rows[:-1]).any(axis=1)))]
         begin = np.flatnonzero(np.concatenate(([True], rows[1:, 0] != rows[:-1, 0])))
         size = np.diff(np.append(begin, len(rows)))
         two = begin[size == 2]
+        two = two[np.abs(rows[two, 2] - rows[two + 1, 2]) <= 1]
         out = [np.stack([rows[two, 1], rows[two + 1, 1]], 1)]
         held = len(two)
         for a, n in zip(begin[size > 2].tolist(), size[size > 2].tolist()):
-            own = rows[a:a + n, 1]
-            for i in range(n - 1):                       # one row of the triangle at a time
-                out.append(np.stack([np.full(n - 1 - i, own[i]), own[i + 1:]], 1))
-                held += n - 1 - i
+            own = rows[a:a + n]
+            own = own[np.argsort(own[:, 2], kind="stable")]      # by band: partners are a short run
+            last = np.searchsorted(own[:, 2], own[:, 2] + 1, side="right")
+            for i in range(n - 1):
+                more = own[i + 1:last[i], 1]
+                if len(more):
+                    first = np.full(len(more), own[i, 1])
+                    out.append(np.stack([np.minimum(first, more), np.maximum(first, more)], 1))
+                    held += len(more)
                 if held > 500_000:
                     yield batch(out)
                     out, held = [], 0
@@ -179,7 +204,7 @@ def group_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in (0, 1)], ["a", "b"])
 
     for b in batches:
-        rows = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)], 1)
+        rows = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(3)], 1)
         rows = np.concatenate([rest, rows])
         if not len(rows):
             continue
@@ -191,6 +216,38 @@ def group_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pairs_of(rest)
 
 
+def qualify(num: int, den: int):
+    """mapInArrow body over (unit, side, node, digest, n, marks) sorted by
+    unit: the members that can link with one of the other side."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def records():
+            for b in batches:
+                yield from zip(*(b.column(k).to_pylist() for k in range(6)))
+
+        for _, members in groupby(records(), key=lambda r: r[0]):
+            rows = list({r[1:4]: r for r in members}.values())
+            side = np.array([r[1] for r in rows])
+            n = np.array([r[4] for r in rows])
+            marks = np.frombuffer(b"".join(r[5] for r in rows), np.uint64).reshape(len(rows), -1)
+            left = np.flatnonzero(side == 0)
+            right = np.flatnonzero(side == 1) if (side == 1).any() else left
+            if not len(left) or (right is left and len(left) < 2):
+                continue
+            apart = np.stack([np.bitwise_count(marks[i] ^ marks[right]).sum(axis=1) for i in left])
+            total = n[left][:, None] + n[right][None, :]
+            ok = apart * (den + num) <= total * (den - num)
+            if right is left:
+                np.fill_diagonal(ok, False)
+            kept = np.union1d(left[ok.any(axis=1)], right[ok.any(axis=0)])
+            if len(kept):
+                own = [rows[i] for i in kept.tolist()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[0] for r in own], UNIT), pa.array([r[1] for r in own], pa.int32()),
+                     pa.array([r[2] for r in own], pa.int64()), pa.array([r[3] for r in own], pa.binary())],
+                    ["unit", "side", "node", "digest"])
+    return run
+
+
 class UnionFind:
     def __init__(self):
         self.parent: dict[int, int] = {}
@@ -304,24 +361,30 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     """One row per row: id, n_shingles, component_id."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    schema = "id long, n long, digest binary, least long, chunk int, counts binary"
+    schema = "id long, n long, digest binary, least long, marks binary, chunk int, counts binary"
     rows = stored(texts.mapInArrow(first_pass(words, bits, num, den), schema), "shingle-sets")
     counts = spark.sparkContext.broadcast(bucket_counts(rows, bits).tobytes())
-    sets = rows.filter("chunk is null").select("id", "n", "digest", "least")
+    sets = rows.filter("chunk is null").select("id", "n", "digest", "least", "marks")
     nodes = (sets.filter("digest is not null and id is not null").groupBy("digest")
-             .agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("least").alias("least")))
+             .agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("least").alias("least"),
+                  F.first("marks").alias("marks")))
     groups = nodes.groupBy("least").agg(F.count(F.lit(1)).alias("n"), F.min("n").alias("low"), F.max("n").alias("high"))
     groups = groups.withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    matrix = texts.select("text").mapInArrow(token_groups(words, bits, counts, num, den), "token long, least long")
+    matrix = texts.select("text").mapInArrow(token_groups(words, bits, counts, num, den),
+                                              "token long, least long, band long")
     pairs = (matrix.repartition(shuffle_partitions(spark), "token").sortWithinPartitions("token", "least")
              .mapInArrow(group_pairs, "a long, b long"))
     units = stored(units_of(groups, pairs, num, den, block), "join-units")
     # members of the groups that are opened, each with its block
     placed = nodes.join(groups.select("least", "blocks"), "least").withColumn(
         "block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
-    wanted = stored(placed.join(units, ["least", "block"]).select("node", "digest", "unit", "side"), "join-members")
+    members = placed.join(units, ["least", "block"]).select("unit", "side", "node", "digest", "n", "marks")
+    parts = shuffle_partitions(spark)
+    wanted = stored(members.repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(
+        qualify(num, den), "unit struct<host: bigint, i: int, bundle: int, other: int>, side int, node long, digest binary"),
+        "join-members")
     opened = texts.join(wanted, texts["id"] == wanted["node"]).select("unit", "side", "node", "digest", "text")
-    edges = (opened.repartition(shuffle_partitions(spark), "unit").sortWithinPartitions("unit")
+    edges = (opened.repartition(parts, "unit").sortWithinPartitions("unit")
              .mapInArrow(verify_units(words, num, den), "u long, v long"))
     found = components(edges, "join-edges")
     # copies follow their set's node; a row without links is its own component
