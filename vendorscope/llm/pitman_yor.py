@@ -71,6 +71,22 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def pack_tokens(at: np.ndarray, n_words: int) -> bytes:
+    """Token numbers, as ranks by frequency in byte planes (short when packed)."""
+    counts = np.bincount(at, minlength=n_words)
+    rank = np.empty(n_words, np.uint32)
+    rank[np.argsort(-counts, kind="stable")] = np.arange(n_words, dtype=np.uint32)
+    planes = rank[at].astype("<u4").view(np.uint8).reshape(-1, 4)
+    return pack(counts.astype(np.uint32), *(np.ascontiguousarray(planes[:, k]) for k in range(4)))
+
+
+def unpack_tokens(blob: bytes) -> np.ndarray:
+    counts, *planes = unpack(blob)
+    order = np.argsort(-counts.astype(np.int64), kind="stable")
+    rank = np.ascontiguousarray(np.stack(planes, axis=1)).view("<u4").ravel()
+    return order[rank]
+
+
 def deltas(x: np.ndarray) -> np.ndarray:
     """Differences modulo 2**16 (short for sorted runs)."""
     return np.diff(x.astype(np.uint16), prepend=np.uint16(0))
@@ -109,7 +125,7 @@ def make_batches(kind: pa.DataType):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([number], pa.int64()), pa.array([b.column(0).slice(first, last - first).to_pylist()], pa.list_(kind)),
                      pa.array([own.tolist()], pa.list_(pa.bool_())), pa.array([pack(sizes.astype(np.int64))], pa.binary()),
-                     pa.array([pack(words)], pa.binary()), pa.array([pack(at.astype(np.uint32))], pa.binary()),
+                     pa.array([pack(words)], pa.binary()), pa.array([pack_tokens(at, len(words))], pa.binary()),
                      pa.array([len(token)], pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64())], names)
                 number += 1
         if any_row:
@@ -136,8 +152,8 @@ class Batch:
     """A stored batch: words, token numbers and its distinct (word, class) pairs."""
 
     def __init__(self, sizes: bytes, words: bytes, tokens: bytes):
-        (self.sizes,), (self.words,), (at,) = unpack(sizes), unpack(words), unpack(tokens)
-        self.at = at.astype(np.int64)
+        (self.sizes,), (self.words,) = unpack(sizes), unpack(words)
+        self.at = unpack_tokens(tokens)
         code = (self.at << CLASS_BITS) | context_classes(self.words, self.at, self.sizes)
         self.pairs, self.pair_at = np.unique(code, return_inverse=True)
         self.pair_word = self.pairs >> CLASS_BITS
