@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 
 from tests.llm.helpers import crc_mod, docs_of, prose, words
-from vendorscope.llm.pitman_yor import Batch, pack, score_texts, seat, unpack
+from vendorscope.llm.pitman_yor import Batch, pack, pack_tokens, score_texts, seat, unpack, unpack_tokens
 
 
 def corpus():
@@ -28,21 +28,20 @@ def test_base_scores_counts_and_improvement(spark):
     assert sum(r.score for r in seen) > sum(r.base_score for r in seen)
 
 
-def test_probabilities_sum_to_one(spark):
-    """Texts of one known word each, and an unknown one: P(w | start) over the
-    vocabulary and the unknown type is 1."""
+def test_disjoint_texts_stay_below_one(spark):
+    """Held-out texts of no, one and two words are disjoint events."""
     learn = [(i, prose(i, 15)) for i in range(60)]
     vocabulary = sorted({w for i, t in learn if crc_mod(i, 10) for w in words(t)})
     ids = iter(i for i in range(10_000, 10**6) if crc_mod(i, 10) == 0)
-    probe = [(next(ids), w + " end") for w in vocabulary + ["unknown"]] + [(next(ids), "")]
-    got = {r.doc_id: r.score for r in score_texts(docs_of(spark, learn + probe + [(next(ids), w) for w in ()])).collect()}
-    # score("w end") - score(w -> end chain) is not separable; probe single steps through pairs of texts
-    one = [(next(ids), w) for w in vocabulary + ["unknown"]]
-    whole = {r.doc_id: r.score for r in score_texts(docs_of(spark, learn + one + [(probe[-1][0], "")])).collect()}
-    empty = 10 ** whole[probe[-1][0]]                                      # P(end | start)
-    # P(w, end) summed over w is P(one-word text); with P(end | start) it stays below 1
-    assert 0 < empty < 1 and sum(10 ** whole[i] for i, _ in one) + empty < 1
-    assert got[probe[-1][0]] == whole[probe[-1][0]]
+    probe = {next(ids): f"{vocabulary[0]} {w}" for w in vocabulary + ["unknown-type"]}
+    alone = next(ids)
+    chain = {next(ids): w for w in vocabulary + ["unknown-type"]}
+    empty = next(ids)
+    rows = learn + list(probe.items()) + list(chain.items()) + [(alone, vocabulary[0]), (empty, "")]
+    p = {r.doc_id: 10 ** r.score for r in score_texts(docs_of(spark, rows)).collect()}
+    assert 0 < p[empty] < 1
+    assert p[empty] + sum(p[i] for i in chain) < 1
+    assert sum(p[i] for i in probe) + p[alone] < 1
 
 
 def test_predictive_of_one_restaurant_is_normalised():
@@ -75,7 +74,9 @@ def test_blobs_and_batches():
     x, y = unpack(pack(a, b))
     assert (x == a).all() and x.dtype == a.dtype and len(y) == 0 and y.dtype == b.dtype
     words_ = np.sort(np.array([1 << 63, 5, 1 << 40], np.uint64))
-    batch = Batch(pack(np.array([2, 3])), pack(words_), pack(np.array([0, 2, 1, 1, 0], np.uint32)))
+    at = np.array([0, 2, 1, 1, 0])
+    assert unpack_tokens(pack_tokens(at, 3)).tolist() == at.tolist()
+    batch = Batch(pack(np.array([2, 3])), pack(words_), pack_tokens(at, 3))
     assert len(batch.pairs) <= 5 and (batch.pair_word[batch.pair_at] == batch.at).all()
     cover = batch.buckets(7)
     assert cover[0][1] == 0 and cover[-1][2] == 3 and all(x[2] == y[1] for x, y in zip(cover, cover[1:]))
