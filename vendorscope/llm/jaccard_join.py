@@ -36,6 +36,7 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +53,7 @@ CHUNK_BITS = 14
 BLOCK = 64
 COLUMNS = 8192
 MARK_BITS = 1024
+MOST_ID_BITS = 1 << 27
 
 
 def digest_of(tokens: np.ndarray) -> bytes:
@@ -248,6 +250,42 @@ def qualify(num: int, den: int):
     return run
 
 
+def id_bits(ids: DataFrame, most: int = MOST_ID_BITS) -> tuple[bytes, int]:
+    """A bitmap over hashed ids, of about 8 bits an id and at most ``most``
+    bits: with more ids it lets more through, never less."""
+    n = ids.count()
+    bits = 1 << 19
+    while bits < min(most, 8 * n):
+        bits *= 2
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            chunk, at = (b.column(k).to_numpy() for k in (0, 1))
+            for c in np.unique(chunk).tolist():
+                held.setdefault(c, np.zeros(1 << 19, bool))[at[chunk == c]] = True
+        if held:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(held), pa.int64()), pa.array([np.packbits(x).tobytes() for x in held.values()], pa.binary())],
+                ["chunk", "bits"])
+    place = F.pmod(F.xxhash64("node", F.lit(41)), F.lit(bits))
+    rows = ids.select(F.floor(place / (1 << 19)).alias("chunk"), (place % (1 << 19)).alias("at"))
+    out = np.zeros((bits >> 19, 1 << 16), np.uint8)
+    for r in rows.repartition(max(1, bits >> 19), "chunk").mapInArrow(build, "chunk long, bits binary").collect():
+        out[r["chunk"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.tobytes(), bits
+
+
+def maybe_in(bits):
+    """Column function over hashed places: whether the bit is set."""
+    @F.pandas_udf("boolean")
+    def check(place: pd.Series) -> pd.Series:
+        table = np.frombuffer(bits.value, np.uint8)
+        at = place.to_numpy()
+        return pd.Series((table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
+    return check
+
+
 class UnionFind:
     def __init__(self):
         self.parent: dict[int, int] = {}
@@ -383,7 +421,11 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     wanted = stored(members.repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(
         qualify(num, den), "unit struct<host: bigint, i: int, bundle: int, other: int>, side int, node long, digest binary"),
         "join-members")
-    opened = texts.join(wanted, texts["id"] == wanted["node"]).select("unit", "side", "node", "digest", "text")
+    # most texts have no partner: a bitmap of bounded size keeps them out of the shuffle
+    table, size = id_bits(wanted.select("node").distinct())
+    known = texts.filter("id is not null").withColumn("place", F.pmod(F.xxhash64("id", F.lit(41)), F.lit(size)))
+    known = known.filter(maybe_in(spark.sparkContext.broadcast(table))("place"))
+    opened = known.join(wanted, known["id"] == wanted["node"]).select("unit", "side", "node", "digest", "text")
     edges = (opened.repartition(parts, "unit").sortWithinPartitions("unit")
              .mapInArrow(verify_units(words, num, den), "u long, v long"))
     found = components(edges, "join-edges")
