@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vendorscope.llm.common import by_value, text_or_empty
+from vendorscope.llm.common import by_value, text_or_empty, worker_kept
 from vendorscope.llm.pretokens import WordTable, by_pattern, slices
 
 by_value(__name__)
@@ -201,13 +201,14 @@ class Vocabulary:
 def encode_batches(data, pattern: str):
     """mapInArrow body: (doc_id, text) -> digests."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(data.value)
+        ranks = data.value
 
-        def encode(words: list[str]) -> list[str]:
+        def make() -> tuple[Vocabulary, WordTable]:
+            vocabulary = Vocabulary(ranks)
             names = vocabulary.names
-            return [" ".join([names[i] for i in ids])
-                    for ids in vocabulary.encode([w.encode("utf-8") for w in words])]
-        table = WordTable(by_pattern(pattern), encode)
+            return vocabulary, WordTable(by_pattern(pattern), lambda words: [
+                " ".join([names[i] for i in ids]) for ids in vocabulary.encode([w.encode("utf-8") for w in words])])
+        vocabulary, table = worker_kept(("bpe", hashlib.sha256(ranks).digest(), pattern), make)
         for b in batches:
             texts = b.column(1).to_pylist()
             counts, coded, decoded = [], [], []

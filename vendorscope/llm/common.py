@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable, Hashable
+from types import ModuleType
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,3 +50,14 @@ def task_number() -> int:
     return ctx.partitionId() if ctx is not None else 0
 
 
+def worker_kept(key: Hashable, make: Callable[[], object]) -> object:
+    """What ``make`` gave the first time in this Python worker: Spark reuses
+    workers, so a table that is costly to build serves all of a worker's tasks.
+    One table is kept, that of the last key. Only for caches: a fresh worker
+    builds its own and gets the same results."""
+    module = sys.modules.setdefault("_vendorscope_worker", ModuleType("_vendorscope_worker"))
+    if getattr(module, "key", None) != key:
+        module.key = module.value = None
+        module.value = make()
+        module.key = key
+    return module.value

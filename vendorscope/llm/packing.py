@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vendorscope.llm.common import by_value, stored, task_number, text_or_empty
+from vendorscope.llm.common import by_value, stored, task_number, text_or_empty, worker_kept
 from vendorscope.llm.pretokens import WordTable, by_spaces, slices, stretch
 
 by_value(__name__)
@@ -50,51 +50,60 @@ def little(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
-def piece_batches(tokenizer, capacity: int, end_id: int, with_ids: bool):
-    """mapInArrow body: (id, text) -> one row per piece."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Latin letters end here: a closing mark after one is a pre-token of its own.
+LATIN_END = "\u0250"
+
+
+class StretchEncoder:
+    """Token ids, as bytes, of stretches of text (see ``by_spaces``)."""
+
+    def __init__(self, tokenizer: str):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        coder = Tokenizer.from_str(tokenizer.value)
-        coder.encode_special_tokens = True          # their strings in a text are ordinary text
-
-        vocabulary = coder.get_vocab()
-        sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.coder = Tokenizer.from_str(tokenizer)
+        self.coder.encode_special_tokens = True     # their strings in a text are ordinary text
+        vocabulary = self.coder.get_vocab()
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
-            sizes[i] = len(token)                   # one character of a byte-level token per byte
-
-        marks = {c: little(coder.encode(c, add_special_tokens=False).ids) for c in ",.;:!?"}
-
-        def encode_words(words: list[str]) -> list[bytes]:
-            # many words in one call; where each ends follows from the bytes its tokens stand for
-            lists = [words[a:a + 1000] for a in range(0, len(words), 1000)]
-            out: list[bytes] = []
-            for a in range(0, len(lists), 20):
-                coded = coder.encode_batch_fast(lists[a:a + 20], is_pretokenized=True, add_special_tokens=False)
-                for part, x in zip(lists[a:a + 20], coded):
-                    ids = x.ids
-                    ends = np.cumsum([len(w.encode("utf-8", "surrogatepass")) for w in part])
-                    cuts = 4 * np.searchsorted(np.cumsum(sizes[ids]), ends, side="right")
-                    raw, cuts = little(ids), cuts.tolist()
-                    out.extend([raw[i:j] for i, j in zip([0, *cuts], cuts)])
-            return out
-
-        def encode(keys: list) -> list[bytes]:
-            # a mark after Latin letters is a pre-token of its own: the word is encoded once with and without it
-            cores, at, tails = {}, [], []
-            for k in keys:
-                w, tail = stretch(k), b""
-                if w[-1:] in marks:
-                    core = w[:-1]
-                    if core.lstrip(" ").isalpha() and (core.isascii() or max(core) < "\u0250"):
-                        w, tail = core, marks[w[-1]]
-                at.append(cores.setdefault(w, len(cores)))
-                tails.append(tail)
-            coded = encode_words(list(cores))
-            return [coded[i] + tail for i, tail in zip(at, tails)]
-        table, part, seen = WordTable(by_spaces, encode), task_number(), [0] * (capacity + 1)
-        end = little([end_id])
+            self.sizes[i] = len(token)              # one character of a byte-level token per byte
+        self.marks = {c: little(self.coder.encode(c, add_special_tokens=False).ids) for c in ",.;:!?"}
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Many words in a call; where each ends follows from the bytes its tokens stand for."""
+        lists = [words[a:a + 1000] for a in range(0, len(words), 1000)]
+        out: list[bytes] = []
+        for a in range(0, len(lists), 20):
+            coded = self.coder.encode_batch_fast(lists[a:a + 20], is_pretokenized=True, add_special_tokens=False)
+            for part, x in zip(lists[a:a + 20], coded):
+                ids = x.ids
+                ends = np.cumsum([len(w.encode("utf-8", "surrogatepass")) for w in part])
+                cuts = 4 * np.searchsorted(np.cumsum(self.sizes[ids]), ends, side="right")
+                raw, cuts = little(ids), cuts.tolist()
+                out.extend([raw[i:j] for i, j in zip([0, *cuts], cuts)])
+        return out
+
+    def __call__(self, keys: list) -> list[bytes]:
+        """A word is encoded once with and without a closing mark."""
+        cores, at, tails = {}, [], []
+        for k in keys:
+            w, tail = stretch(k), b""
+            if w[-1:] in self.marks:
+                core = w[:-1]
+                if core.lstrip(" ").isalpha() and (core.isascii() or max(core) < LATIN_END):
+                    w, tail = core, self.marks[w[-1]]
+            at.append(cores.setdefault(w, len(cores)))
+            tails.append(tail)
+        coded = self.words(list(cores))
+        return [coded[i] + tail for i, tail in zip(at, tails)]
+
+
+def piece_batches(tokenizer, capacity: int, end_id: int, with_ids: bool):
+    """mapInArrow body: (id, text) -> one row per piece."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        definition = tokenizer.value
+        table = worker_kept(("stretches", definition), lambda: WordTable(by_spaces, StretchEncoder(definition)))
+        part, seen, end = task_number(), [0] * (capacity + 1), little([end_id])
         for b in batches:
             ids, texts = b.column(0), b.column(1).to_pylist()
             rows: list[list] = [[] for _ in range(7)]

@@ -20,7 +20,7 @@ from vendorscope.llm.common import by_value
 by_value(__name__)
 
 SLICE_CHARS = 12_000_000
-MAX_WORDS = 600_000
+MAX_WORDS = 1_000_000
 
 
 def slices(texts: Sequence[str | None], most: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
