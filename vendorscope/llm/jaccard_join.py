@@ -38,6 +38,7 @@ from itertools import groupby
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +48,7 @@ from vendorscope.llm.shingles import Shingler, mix
 
 by_value(__name__)
 
+UNIT_SQL = "struct<host: bigint, i: int, bundle: int, other: int>"
 UNIT = pa.struct([("host", pa.int64()), ("i", pa.int32()), ("bundle", pa.int32()), ("other", pa.int32())])
 BUCKET_BITS = 20
 CHUNK_BITS = 14
@@ -54,6 +56,7 @@ BLOCK = 64
 COLUMNS = 8192
 MARK_BITS = 1024
 MOST_ID_BITS = 1 << 27
+MOST_BROADCAST = 100_000
 
 
 def digest_of(tokens: np.ndarray) -> bytes:
@@ -218,9 +221,38 @@ def group_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pairs_of(rest)
 
 
+@F.pandas_udf("binary")
+def packed(texts: pd.Series) -> pd.Series:
+    """Compressed UTF-8, for texts on their way to a unit."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    return pd.Series([pack((t or "").encode("utf-8", "surrogatepass")) for t in texts], dtype=object)
+
+
+class UnionFind:
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        root = x
+        while (p := self.parent.get(root, root)) != root:
+            root = p
+        while x != root:
+            self.parent[x], x = root, self.parent.get(x, x)
+        return root
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.find(a), self.find(b)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+
+    def edges(self) -> list[tuple[int, int]]:
+        return [(x, r) for x in list(self.parent) if (r := self.find(x)) != x]
+
+
 def qualify(num: int, den: int):
     """mapInArrow body over (unit, side, node, digest, n, marks) sorted by
-    unit: the members that can link with one of the other side."""
+    unit: the members that can link with one of the other side, each with the
+    least member it is joined to by such pairs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records():
             for b in batches:
@@ -242,11 +274,15 @@ def qualify(num: int, den: int):
                 np.fill_diagonal(ok, False)
             kept = np.union1d(left[ok.any(axis=1)], right[ok.any(axis=0)])
             if len(kept):
+                forest = UnionFind()
+                for i, j in zip(*np.nonzero(ok)):
+                    forest.join(rows[left[i]][2], rows[right[j]][2])
                 own = [rows[i] for i in kept.tolist()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in own], UNIT), pa.array([r[1] for r in own], pa.int32()),
-                     pa.array([r[2] for r in own], pa.int64()), pa.array([r[3] for r in own], pa.binary())],
-                    ["unit", "side", "node", "digest"])
+                     pa.array([r[2] for r in own], pa.int64()), pa.array([r[3] for r in own], pa.binary()),
+                     pa.array([forest.find(r[2]) for r in own], pa.int64())],
+                    ["unit", "side", "node", "digest", "root"])
     return run
 
 
@@ -286,27 +322,6 @@ def maybe_in(bits):
     return check
 
 
-class UnionFind:
-    def __init__(self):
-        self.parent: dict[int, int] = {}
-
-    def find(self, x: int) -> int:
-        root = x
-        while (p := self.parent.get(root, root)) != root:
-            root = p
-        while x != root:
-            self.parent[x], x = root, self.parent.get(x, x)
-        return root
-
-    def join(self, a: int, b: int) -> None:
-        a, b = self.find(a), self.find(b)
-        if a != b:
-            self.parent[max(a, b)] = min(a, b)
-
-    def edges(self) -> list[tuple[int, int]]:
-        return [(x, r) for x in list(self.parent) if (r := self.find(x)) != x]
-
-
 def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections, from incidence matrices over shared tokens."""
     out = np.zeros((len(left), len(right)), np.float32)
@@ -326,19 +341,19 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
 
 
 def verify_units(words: int, num: int, den: int):
-    """mapInArrow body over (unit, side, id, digest, text) sorted by unit:
-    spanning edges of the links between (or within) the unit's sides."""
+    """mapInArrow body over (unit, side, id, digest, packed text) sorted by
+    unit: spanning edges of the links between (or within) the unit's sides."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
+        shingler, unpack = Shingler(words), zstandard.ZstdDecompressor().decompress
 
         def records():
             for b in batches:
-                yield from zip(*(b.column(k).to_pylist() for k in range(4)), utf8(b.column(4)))
+                yield from zip(*(b.column(k).to_pylist() for k in range(5)))
 
         for _, members in groupby(records(), key=lambda r: r[0]):
             sides: dict[int, dict[int, np.ndarray]] = {0: {}, 1: {}}
             rows = {(r[1], r[2], r[3]): r[4] for r in members}
-            keys, texts = list(rows), list(rows.values())
+            keys, texts = list(rows), [unpack(x) for x in rows.values()]
             for (side, node, digest), tokens in zip(keys, shingler.sets(texts)):
                 if digest_of(tokens) == digest:          # another row of this id may have other text
                     sides[side][node] = tokens
@@ -394,6 +409,21 @@ def units_of(groups: DataFrame, pairs: DataFrame, num: int, den: int, block: int
     return guests.unionByName(hosts).unionByName(selves)
 
 
+def gathered(met: DataFrame, block: int) -> DataFrame:
+    """(unit, side, node, digest): where members meet for the exact check. Those
+    that possible pairs join into a set of up to two blocks meet once, in a
+    unit of their own; larger sets stay in the units they came from."""
+    found = components(met.select(F.col("node").alias("u"), F.col("root").alias("v")), "join-possible")
+    placed = (met.join(found.withColumnRenamed("node", "u"), met["node"] == F.col("u"), "left")
+              .withColumn("own", F.coalesce("component", "node")).drop("u", "component"))
+    sizes = placed.groupBy("own").agg(F.count_distinct("node").alias("members"))
+    placed = placed.join(sizes, "own")
+    small = F.col("members") <= 2 * block
+    alone = F.struct(F.col("own").alias("host"), F.lit(0).alias("i"), F.lit(-2).alias("bundle"), F.lit(-2).alias("other"))
+    return placed.select(F.when(small, alone).otherwise(F.col("unit")).alias("unit"),
+                         F.when(small, F.lit(0)).otherwise(F.col("side")).alias("side"), "node", "digest").distinct()
+
+
 def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id",
                        text_col: str = "text", bits: int = BUCKET_BITS, block: int = BLOCK) -> DataFrame:
     """One row per row: id, n_shingles, component_id."""
@@ -418,14 +448,16 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
         "block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
     members = placed.join(units, ["least", "block"]).select("unit", "side", "node", "digest", "n", "marks")
     parts = shuffle_partitions(spark)
-    wanted = stored(members.repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(
-        qualify(num, den), "unit struct<host: bigint, i: int, bundle: int, other: int>, side int, node long, digest binary"),
-        "join-members")
+    met = stored(members.repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(
+        qualify(num, den), f"unit {UNIT_SQL}, side int, node long, digest binary, root long"), "join-met")
+    wanted = stored(gathered(met, block), "join-members")
     # most texts have no partner: a bitmap of bounded size keeps them out of the shuffle
     table, size = id_bits(wanted.select("node").distinct())
     known = texts.filter("id is not null").withColumn("place", F.pmod(F.xxhash64("id", F.lit(41)), F.lit(size)))
     known = known.filter(maybe_in(spark.sparkContext.broadcast(table))("place"))
-    opened = known.join(wanted, known["id"] == wanted["node"]).select("unit", "side", "node", "digest", "text")
+    # stored, so its size is known: broadcast while it is small, an equi-join beyond
+    some = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted
+    opened = known.join(some, known["id"] == some["node"]).select("unit", "side", "node", "digest", packed("text").alias("text"))
     edges = (opened.repartition(parts, "unit").sortWithinPartitions("unit")
              .mapInArrow(verify_units(words, num, den), "u long, v long"))
     found = components(edges, "join-edges")
