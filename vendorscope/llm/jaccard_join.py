@@ -41,6 +41,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from vendorscope.llm.common import by_value, shuffle_partitions, stored
 from vendorscope.llm.components import components
@@ -221,7 +222,7 @@ def group_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pairs_of(rest)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def packed(texts: pd.Series) -> pd.Series:
     """Compressed UTF-8, for texts on their way to a unit."""
     pack = zstandard.ZstdCompressor(level=3).compress
