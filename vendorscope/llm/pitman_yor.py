@@ -36,17 +36,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vendorscope.llm.common import by_value, crc_mod, shuffle_partitions, stored, task_number
-from vendorscope.llm.shingles import Shingler, byte_slices
+from vendorscope.llm.common import by_value, crc_mod, free_worker, shuffle_partitions, stored, task_number
+from vendorscope.llm.shingles import Shingler, length_slices
 
 by_value(__name__)
 
 CLASS_BITS = 12
 SLICE_BYTES = 12_000_000
+SMALL_BYTES = 2_000_000
 BUCKET_TOKENS = 2_000_000
 BURN_IN, SAMPLES = 3, 4
 STRENGTH = 1.0
@@ -102,15 +104,19 @@ def make_batches(kind: pa.DataType):
     names = ["batch", "ids", "held", "sizes", "words", "tokens", "total", "class", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         shingler, number = Shingler(1), task_number() << 24
         classes, any_row = np.zeros(1 << CLASS_BITS, np.int64), False
         for b in batches:
-            texts = [t or b"" for t in b.column(2).cast(pa.binary()).to_pylist()]
+            column = b.column(2).cast(pa.binary())
+            lengths = pc.fill_null(pc.binary_length(column), 0).to_pylist()
             held = np.array(b.column(1).to_pylist(), bool)
-            for first, last in byte_slices(texts, SLICE_BYTES):
+            for first, last in length_slices(lengths, SLICE_BYTES):
                 any_row, parts, sizes = True, [], []
-                for s, e in byte_slices(texts[first:last]):
-                    hashes, starts = shingler.word_hashes(texts[first + s:first + e])
+                for s, e in length_slices(lengths[first:last], SMALL_BYTES):
+                    # only this part's texts are Python objects at a time
+                    texts = [t or b"" for t in column.slice(first + s, e - s).to_pylist()]
+                    hashes, starts = shingler.word_hashes(texts)
                     parts.append(hashes)
                     sizes.append(np.diff(starts))
                 sizes = np.concatenate(sizes) + 1

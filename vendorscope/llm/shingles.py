@@ -21,15 +21,20 @@ FACTORS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 SLICE_BYTES = 2_000_000
 
 
-def byte_slices(texts: Sequence[bytes], most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+def length_slices(lengths: Sequence[int], most: int) -> Iterator[tuple[int, int]]:
+    """[start, end) ranges of about ``most`` bytes (one text at least)."""
     start = held = 0
-    for i, t in enumerate(texts):
-        if i > start and held + len(t) > most:
+    for i, n in enumerate(lengths):
+        if i > start and held + n > most:
             yield start, i
             start, held = i, 0
-        held += len(t) + 1
-    if start < len(texts):
-        yield start, len(texts)
+        held += n + 1
+    if start < len(lengths):
+        yield start, len(lengths)
+
+
+def byte_slices(texts: Sequence[bytes], most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    return length_slices([len(t) for t in texts], most)
 
 
 def factor(place: int) -> int:
