@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from vendorscope.llm.common import by_value, shuffle_partitions, stored
+from vendorscope.llm.common import by_value, free_worker, shuffle_partitions, stored
 from vendorscope.llm.components import components
 from vendorscope.llm.shingles import Shingler, mix
 
@@ -71,6 +71,7 @@ def utf8(column: pa.Array) -> list[bytes]:
 def first_pass(words: int, bits: int, num: int, den: int):
     """mapInArrow body: (id, text) -> set rows, then the task's bucket counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         shingler, counts = Shingler(words), np.zeros(1 << bits, np.int64)
         names = ["id", "n", "digest", "least", "marks", "chunk", "counts"]
         kind = None
@@ -426,7 +427,8 @@ def gathered(met: DataFrame, block: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id",
-                       text_col: str = "text", bits: int = BUCKET_BITS, block: int = BLOCK) -> DataFrame:
+                       text_col: str = "text", bits: int = BUCKET_BITS, block: int = BLOCK,
+                       most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """One row per row: id, n_shingles, component_id."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -452,13 +454,16 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     met = stored(members.repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(
         qualify(num, den), f"unit {UNIT_SQL}, side int, node long, digest binary, root long"), "join-met")
     wanted = stored(gathered(met, block), "join-members")
-    # most texts have no partner: a bitmap of bounded size keeps them out of the shuffle
-    table, size = id_bits(wanted.select("node").distinct())
-    known = texts.filter("id is not null").withColumn("place", F.pmod(F.xxhash64("id", F.lit(41)), F.lit(size)))
-    known = known.filter(maybe_in(spark.sparkContext.broadcast(table))("place"))
-    # stored, so its size is known: broadcast while it is small, an equi-join beyond
-    some = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted
-    opened = known.join(some, known["id"] == some["node"]).select("unit", "side", "node", "digest", packed("text").alias("text"))
+    known, some = texts.filter("id is not null"), wanted
+    if wanted.count() <= most_broadcast:                 # stored and counted: small enough to send to every task
+        some = F.broadcast(wanted)
+    else:
+        # most texts have no partner: a bitmap of bounded size keeps them out of the shuffle
+        table, size = id_bits(wanted.select("node").distinct())
+        known = known.withColumn("place", F.pmod(F.xxhash64("id", F.lit(41)), F.lit(size)))
+        known = known.filter(maybe_in(spark.sparkContext.broadcast(table))("place"))
+    opened = known.join(some, known["id"] == some["node"]).select(
+        "unit", "side", "node", "digest", packed("text").alias("text"))
     edges = (opened.repartition(parts, "unit").sortWithinPartitions("unit")
              .mapInArrow(verify_units(words, num, den), "u long, v long"))
     found = components(edges, "join-edges")
