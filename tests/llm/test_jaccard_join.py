@@ -48,10 +48,11 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("k,num,den,block", [(3, 90, 100, 64), (3, 90, 100, 3), (5, 80, 100, 8), (1, 50, 100, 4), (2, 100, 100, 8)])
-def test_against_all_pairs(spark, k, num, den, block):
+@pytest.mark.parametrize("k,num,den,block,most", [(3, 90, 100, 64, 1000), (3, 90, 100, 3, 0), (5, 80, 100, 8, 1000),
+                                                  (1, 50, 100, 4, 0), (2, 100, 100, 8, 1000)])
+def test_against_all_pairs(spark, k, num, den, block, most):
     rows = corpus()
-    got = jaccard_components(docs_of(spark, rows).repartition(5), k, num, den, block=block).collect()
+    got = jaccard_components(docs_of(spark, rows).repartition(5), k, num, den, block=block, most_broadcast=most).collect()
     assert len(got) == len(rows)
     want = brute(rows, k, num, den)
     assert {r.doc_id: r.component_id for r in got} == want

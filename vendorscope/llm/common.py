@@ -61,3 +61,9 @@ def worker_kept(key: Hashable, make: Callable[[], object]) -> object:
         module.value = make()
         module.key = key
     return module.value
+
+
+def free_worker() -> None:
+    """Give up what ``worker_kept`` holds; other operators' first passes call
+    it, so a table does not outlive its operator in a reused worker."""
+    sys.modules.pop("_vendorscope_worker", None)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vendorscope.llm.common import by_value, shuffle_partitions, stored, task_number
+from vendorscope.llm.common import by_value, free_worker, shuffle_partitions, stored, task_number
 
 by_value(__name__)
 
@@ -87,6 +87,7 @@ def content_hash(digest: bytes) -> int:
 def tag_rows(text_at: int, memory_bytes: int):
     """mapInArrow body: (row) -> (row_key, rep_key, digest, row)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         key, table = task_number() << 40, ContentTable()
         for b in batches:
             rows = b.column(0)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vendorscope.llm.common import by_value, crc_mod
+from vendorscope.llm.common import by_value, crc_mod, free_worker
 from vendorscope.llm.pretokens import slices
 
 by_value(__name__)
@@ -85,6 +85,7 @@ def spans(starts: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
 def doc_frequencies(bits: int, orders):
     """mapInArrow body: (text) -> (bucket, n)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         table, total = letter_table(), np.zeros(1 << bits, np.int64)
         flags = np.zeros(1 << bits, np.uint8)
         for b in batches:

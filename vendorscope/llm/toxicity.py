@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vendorscope.llm.common import by_value, crc_mod, stored, text_or_empty
+from vendorscope.llm.common import by_value, crc_mod, free_worker, stored, text_or_empty
 from vendorscope.llm.langid import FTRL, letter_table, letters
 from vendorscope.llm.pretokens import slices
 
@@ -68,6 +68,7 @@ def classes_of(codes: np.ndarray) -> np.ndarray:
 
 def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """mapInArrow body: (text) -> (trigram, n) over the text's letter classes."""
+    free_worker()
     table, total = letter_table(), np.zeros(CLASSES ** 3, np.int64)
     for b in batches:
         texts = [" " + (t or "") + " " for t in b.column(0).to_pylist()]
