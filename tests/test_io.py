@@ -7,8 +7,10 @@ import io
 import os
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
+from vendorscope.operators.explore import catalog_profile
 from vendorscope.sources import csv_ingest as CI
 from vendorscope.sources import export as EX
 from vendorscope.sources import schemas
@@ -134,3 +136,57 @@ def test_catalog_profile_lists_tables(spark, tmp_dir):
     assert prof["vendor_sales_summary_cat"].column_count == len(schemas.VENDOR_SALES_SUMMARY.fields)
     assert preview(spark.range(10)).count() == 5 and t is not None
     spark.sql("DROP TABLE IF EXISTS vendor_sales_summary_cat")
+
+
+CSV_VECTORS = [
+    ('a,b,c\n1,"say ""hi""",5\n2,"a ""b"", c",6\n', False),            # doubled quotes, a comma inside
+    ('a,b,c\n1,"end\\",5\n2,"c:\\dir\\",6\n', False),              # a backslash before the closing quote
+    ('a,b,c\n1,"two\nlines",5\n2,x,6\n', True),                      # a line break inside quotes
+    ('id,x,y\n1,2\n2,3,4\n', False),                                 # a short row
+    ('a,b\n1,1D\n2,2F\n', False),                                    # codes that Java reads as numbers
+    ('a,b\n1,0x1p3\n2,1_000\n', False),
+    ('a,b\n1, 2.5 \n2,-3e2\n3,inf\n', False),
+    ('a,b\n"1",""\n2,"NA"\n', False),
+]
+
+
+@pytest.mark.parametrize("text, multiline", CSV_VECTORS)
+def test_csv_dialect_as_pandas(spark, tmp_dir, text, multiline):
+    path = os.path.join(tmp_dir, "t.csv")
+    write(path, text)
+    got = CI.read_extract(spark, path, multiline=multiline)
+    want = pd.read_csv(io.StringIO(text))
+    kinds = {"i": "bigint", "f": "double", "O": "string", "b": "boolean"}
+    assert dict(got.dtypes) == {c: kinds.get(want[c].dtype.kind, "string") for c in want.columns}
+    rows = [tuple(None if pd.isna(v) else v for v in r) for r in want.itertuples(index=False)]
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(rows, key=str)
+
+
+@pytest.mark.parametrize("text, message", [
+    ('a,b\n1,"two\nlines"\n', "multiline=True"),
+    ('a,b\n1,2,3\n', "more than 2 fields"),
+])
+def test_csv_faults_have_a_message(spark, tmp_dir, text, message):
+    path = os.path.join(tmp_dir, "t.csv")
+    write(path, text)
+    with pytest.raises(Exception, match=message):
+        CI.read_extract(spark, path, lenient=True).collect()
+
+
+def test_export_is_read_back(spark, tmp_dir):
+    rows = [(1, 'say "hi", she said', 1.5), (2, "end\\", None), (3, "plain", -2.0), (4, ' pad ', 0.0), (5, 'a""b', 7.25)]
+    df = spark.createDataFrame(rows, "id long, name string, x double")
+    EX.export_csv(df, os.path.join(tmp_dir, "out"))
+    back = CI.read_extract(spark, os.path.join(tmp_dir, "out"), df.schema)
+    assert sorted(tuple(r) for r in back.collect()) == rows
+
+
+def test_ingest_registers_catalog_tables(spark, tmp_dir):
+    data = os.path.join(tmp_dir, "data")
+    os.makedirs(data)
+    write(os.path.join(data, "ingest_probe.csv"), "a,b\n1,x\n2,y\n")
+    for _ in range(2):                                                  # replace semantics
+        CI.ingest_directory(spark, data, os.path.join(tmp_dir, "tables"), register=True)
+    assert sorted(tuple(r) for r in spark.table("ingest_probe").collect()) == [(1, "x"), (2, "y")]
+    assert "ingest_probe" in {r.table_name for r in catalog_profile(spark).collect()}
+    spark.sql("DROP TABLE ingest_probe")

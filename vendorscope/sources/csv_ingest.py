@@ -16,7 +16,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from vendorscope.sources.schemas import SOURCE_SCHEMAS
 
@@ -45,12 +45,47 @@ def na_to_null(c: Column, tokens=NA_TOKENS) -> Column:
     return F.when(~c.isin(*tokens), c)
 
 
-def read_csv_strings(spark: SparkSession, path: str) -> DataFrame:
-    """Header row, every column as text, pandas' NA tokens as NULL."""
-    raw = (spark.read.option("header", True).option("inferSchema", False)
-           .option("mode", "FAILFAST").option("ignoreLeadingWhiteSpace", False)
-           .option("ignoreTrailingWhiteSpace", False).csv(path))
-    return raw.select(*[na_to_null(F.col(f"`{c}`")).alias(c) for c in raw.columns])
+# Text that pandas reads as a number (a decimal number with an
+# optional exponent, or an infinity; surrounding blanks are allowed).
+NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$|^\s*[+-]?(?i:inf|infinity)\s*$"
+INTEGER_PATTERN = r"^\s*[+-]?\d+\s*$"
+
+
+def read_csv_strings(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """Header row, every column as text, pandas' NA tokens as NULL.
+
+    Quoting follows RFC 4180, as pandas and ``export_csv`` write it: a quote
+    inside a quoted field is doubled, a backslash is an ordinary character.
+    Short rows are filled with NULL; a row with more fields than the header
+    fails the job. Line breaks inside quotes need ``multiline=True``: such a
+    file cannot be split, so it is not the default, and without it a field
+    that is still open at the end of a line fails the job with a message.
+    """
+    def reader():
+        return (spark.read.option("header", True).option("inferSchema", False)
+                .option("quote", '"').option("escape", '"').option("multiLine", multiline)
+                .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+                .option("nullValue", "").option("emptyValue", ""))
+    columns = reader().csv(path).columns
+    bad = "_corrupt_line"
+    while bad in columns:
+        bad = "_" + bad
+    schema = StructType([*[StructField(c, StringType()) for c in columns], StructField(bad, StringType())])
+    raw = (reader().option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad)
+           .option("enforceSchema", True).schema(schema).csv(path))
+    line = F.col(f"`{bad}`")
+    # a short row is corrupt to the reader too; what it may not be is too long, or open-ended
+    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+    unquoted = F.regexp_replace(line, r'"(?:[^"]|"")*"', "")
+    fields = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(","), F.lit(""))) + 1
+    fault = (F.when(quotes % 2 == 1, F.concat(F.lit("a quoted field is open at the end of a line "
+                                                    "(line breaks inside quotes need multiline=True): "), line))
+             .when(fields > len(columns), F.concat(F.lit(f"more than {len(columns)} fields: "), line)))
+    checked = raw.withColumn(bad, F.when(fault.isNotNull(), F.raise_error(fault).cast("string")))
+    # the check rides on the first column, so column pruning cannot drop it
+    first, rest = columns[0], columns[1:]
+    kept = F.when(F.col(f"`{bad}`").isNull(), F.col(f"`{first}`"))
+    return checked.select(na_to_null(kept).alias(first), *[na_to_null(F.col(f"`{c}`")).alias(c) for c in rest])
 
 
 def cast_to_schema(df: DataFrame, schema: StructType, lenient: bool = False) -> DataFrame:
@@ -76,8 +111,8 @@ def infer_pandas_types(df: DataFrame) -> DataFrame:
     for i, c in enumerate(df.columns):
         v = F.col(f"`{c}`")
         checks += [
-            F.count_if(v.isNotNull() & v.try_cast("bigint").isNull()).alias(f"notint_{i}"),
-            F.count_if(v.isNotNull() & v.try_cast("double").isNull()).alias(f"notnum_{i}"),
+            F.count_if(v.isNotNull() & (~v.rlike(INTEGER_PATTERN) | v.try_cast("bigint").isNull())).alias(f"notint_{i}"),
+            F.count_if(v.isNotNull() & ~v.rlike(NUMBER_PATTERN)).alias(f"notnum_{i}"),
             F.count_if(v.isNotNull() & ~v.isin(*TRUE_TOKENS, *FALSE_TOKENS)).alias(f"notbool_{i}"),
             F.count_if(v.isNull()).alias(f"nulls_{i}"),
             F.count(v).alias(f"vals_{i}"),
@@ -100,9 +135,9 @@ def infer_pandas_types(df: DataFrame) -> DataFrame:
 
 
 def read_extract(spark: SparkSession, path: str, schema: StructType | None = None,
-                 lenient: bool = False) -> DataFrame:
+                 lenient: bool = False, multiline: bool = False) -> DataFrame:
     """One CSV extract as a typed DataFrame."""
-    text = read_csv_strings(spark, path)
+    text = read_csv_strings(spark, path, multiline)
     return cast_to_schema(text, schema, lenient) if schema is not None else infer_pandas_types(text)
 
 
@@ -113,27 +148,52 @@ def _norm_path(p: str) -> str:
     return p.rstrip("/")
 
 
-def write_table(df: DataFrame, path: str) -> None:
-    """Replace the table at ``path`` (Parquet). Refuses to overwrite
-    a table the DataFrame is still reading from."""
+def _scan_roots(df: DataFrame) -> list[str]:
+    """Root paths of the file scans under ``df`` (one entry a scan, however
+    many files it reads)."""
+    if not hasattr(df, "_jdf"):
+        return df.inputFiles()                      # a remote session has no plan to look into
+    roots = []
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation":
+            relation = leaf.relation()
+            if relation.getClass().getSimpleName() == "HadoopFsRelation":
+                paths = relation.location().rootPaths()
+                roots += [paths.apply(k).toString() for k in range(paths.size())]
+    return roots
+
+
+def write_table(df: DataFrame, path: str, table: str | None = None) -> None:
+    """Replace the table at ``path`` (Parquet); with ``table``, also
+    register it in the catalog under that name. Refuses to overwrite a table
+    the DataFrame is still reading from."""
     target = _norm_path(path)
-    if any(_norm_path(f) == target or _norm_path(f).startswith(target + "/") for f in df.inputFiles()):
+    if any(_norm_path(f) == target or _norm_path(f).startswith(target + "/") or target.startswith(_norm_path(f) + "/")
+           for f in _scan_roots(df)):
         raise ValueError(f"refusing to overwrite {path}: the DataFrame reads from it")
     df.write.mode("overwrite").parquet(path)
+    if table is not None:
+        spark = df.sparkSession
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        spark.catalog.createTable(table, path=path, source="parquet")
 
 
 def ingest_directory(spark: SparkSession, data_dir: str, out_dir: str,
                      schemas: Mapping[str, StructType] = SOURCE_SCHEMAS,
-                     lenient: bool = False) -> DataFrame:
+                     lenient: bool = False, multiline: bool = False, register: bool = False) -> DataFrame:
     """S1 + S10: ingest every extract in ``data_dir`` into ``out_dir/<table>``
-    and return the run report (table, file, rows, seconds, total minutes)."""
+    and return the run report (table, file, rows, seconds, total minutes).
+    ``register`` also makes every table a catalog table of its name (S3, S5)."""
     report = []
     t_all = time.time()
     for table, path in list_csv_files(spark, data_dir):
         t0 = time.time()
         obs = Observation(f"ingest_{table}")
-        df = read_extract(spark, path, schemas.get(table), lenient).observe(obs, F.count(F.lit(1)).alias("rows"))
-        write_table(df, f"{out_dir.rstrip('/')}/{table}")
+        df = read_extract(spark, path, schemas.get(table), lenient, multiline).observe(
+            obs, F.count(F.lit(1)).alias("rows"))
+        write_table(df, f"{out_dir.rstrip('/')}/{table}", f"`{table}`" if register else None)
         report.append((table, path, int(obs.get["rows"]), round(time.time() - t0, 3)))
     total_min = (time.time() - t_all) / 60.0
     return spark.createDataFrame(
