@@ -16,14 +16,14 @@ from vendorscope.functions.text import dollar_label, fixed_decimals, py_float_re
 from vendorscope.operators.inventory import qcut
 
 
-def py_dollar_label(value):
-    """Expected label, stated in Python: millions with six decimals (the
-    original's width-only format spec keeps the default precision), thousands
-    with two, anything else (negatives included) as ``str``."""
-    for bound, suffix, spec in ((1e6, "M", "f"), (1e3, "K", ".2f")):
-        if value >= bound:
-            return format(value / bound, spec) + suffix
-    return repr(value)
+# (value, label) as the original prints them
+DOLLAR_LABELS = [
+    (1234567.0, "1.234567M"), (1000000.0, "1.000000M"), (999999.995, "1000.00K"), (85012345.678, "85.012346M"),
+    (1e12, "1000000.000000M"), (1000.0, "1.00K"), (1125.0, "1.12K"), (1005.0, "1.00K"), (2675.0, "2.67K"),
+    (45678.9, "45.68K"), (999.999, "999.999"), (500.0, "500.0"), (0.0, "0.0"), (0.5, "0.5"), (1e-05, "1e-05"),
+    (-52002.78, "-52002.78"), (-12345678.5, "-12345678.5"), (-1e20, "-1e+20"), (float("inf"), "infM"),
+    (float("-inf"), "-inf"), (float("nan"), "nan"),
+]
 
 
 def test_ieee_div(spark):
@@ -49,18 +49,19 @@ def test_strip_matches_python(spark):
     assert got == [None if v is None else v.strip() for v in vals]
 
 
-def test_dollar_label_and_repr_match_python(spark):
+def test_dollar_labels(spark):
+    df = spark.createDataFrame([(v, t) for v, t in DOLLAR_LABELS], "x double, t string")
+    for r in df.select("x", "t", dollar_label("x").alias("d")).collect():
+        assert r.d == r.t, r.x
+
+
+def test_float_repr_matches_python(spark):
     random.seed(5)
-    vals = [1234567.0, 1125.0, 500.0, -52002.78, 1e-05, -12345678.5, 0.0, 999.999, 999999.995,
-            1.005e3, float("inf"), float("-inf"), float("nan")]
-    vals += [random.uniform(-1e9, 1e9) for _ in range(1500)]
+    vals = [v for v, _ in DOLLAR_LABELS] + [random.uniform(-1e9, 1e9) for _ in range(1500)]
     vals += [10 ** random.uniform(-8, 15) * random.choice([1, -1]) for _ in range(1500)]
     df = spark.createDataFrame([(v,) for v in vals], "x double")
-    rows = df.select("x", dollar_label("x").alias("d"), py_float_repr("x").alias("r")).collect()
-    for r in rows:
-        assert r.d == py_dollar_label(r.x), r.x
+    for r in df.select("x", py_float_repr("x").alias("r")).collect():
         assert r.r == repr(r.x), r.x
-    assert rows[0].d == "1.234567M" and rows[1].d == "1.12K" and rows[2].d == "500.0"
 
 
 def test_fixed_decimals_half_even(spark):
@@ -167,3 +168,15 @@ def test_exact_quantiles_drop_null_group_keys(spark):
     got = {(r.g, r.prob): r.value for r in exact_quantiles(df, ["v"], [0.5], by=["g"]).collect()}
     exp = pd.DataFrame({"g": ["a", "a", None, "b"], "v": [1.0, 3.0, 5.0, 2.0]}).groupby("g")["v"].quantile(0.5)
     assert got == {(g, 0.5): v for g, v in exp.items()}
+
+
+@pytest.mark.parametrize("df", [1e6, 1e9, 1e12, 1e15])
+def test_t_tail_at_large_dof(df):
+    """Against the normal tail with its first correction in 1/dof."""
+    z = 1.959963984540054
+    normal = math.erfc(z / math.sqrt(2))
+    pdf = math.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    want = normal + 2 * pdf * (z ** 3 + z) / (4 * df)
+    assert math.isclose(t_two_sided_p(z, df), want, rel_tol=1e-9)
+    assert math.isclose(t_ppf(0.975, df), z + (z ** 3 + z) / (4 * df), rel_tol=1e-9)
+    assert math.isclose(t_cdf(-z, df) * 2, want, rel_tol=1e-9)
