@@ -73,19 +73,14 @@ def test_null_key_dropped_by_pandas_style_groupby(summary):
     assert None not in names and sorted(names) == ["ACME", "Bolt"]
 
 
-def test_purchase_pre_aggregation_equals_join_then_sum(spark, sources):
-    """The plan sums purchases before the fan-out join; check against the
-    reference's join-then-sum SQL on the same rows."""
-    purchases, prices, invoice, sales = sources
-    purchases.createOrReplaceTempView("fb_purchases")
-    prices.createOrReplaceTempView("fb_prices")
-    sql = spark.sql("""
-        SELECT p.VendorNumber, p.VendorName, p.Brand, p.Description, p.PurchasePrice,
-               pl.Price AS ActualPrice, pl.Volume,
-               sum(p.Quantity) AS TotalPurchaseQuantity, sum(p.Dollars) AS TotalPurchaseDollars
-        FROM fb_purchases AS p, fb_prices AS pl
-        WHERE pl.Brand = p.Brand AND p.PurchasePrice > 0
-        GROUP BY ALL""")
-    ours = S.purchase_summary(purchases, prices)
-    key = lambda r: tuple("" if v is None else str(v) for v in r)
-    assert sorted(map(tuple, sql.collect()), key=key) == sorted(map(tuple, ours.select(*sql.columns).collect()), key=key)
+def test_purchase_summary_rows(spark, sources):
+    """Literal rows: the price list names brand 30 twice, so its one purchase
+    counts twice; a price of 0 and a brand without a list row drop out."""
+    got = sorted((tuple(r) for r in S.purchase_summary(sources[0], sources[1]).collect()), key=str)
+    assert got == sorted([
+        (1, " ACME ", 10, "Gin", 5.0, 9.0, "750", 15, 75.0),
+        (1, "ACME", 10, "Gin", 5.0, 9.0, "750", 1, 5.0),
+        (2, "Bolt\t", 20, "Rye", 8.0, 12.0, None, 4, 32.0),
+        (2, "Bolt\t", 21, "Ale", 2.0, 3.0, " 50 ", 0, 0.0),
+        (3, None, 30, "Mead", 1.0, 2.0, "750", 10, 10.0),
+    ], key=str)

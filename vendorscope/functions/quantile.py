@@ -1,55 +1,200 @@
-"""Exact quantiles with pandas/numpy ``linear`` semantics and bounded task memory.
+"""Exact quantiles with pandas/numpy ``linear`` semantics and bounded memory.
 
 Spark's exact ``percentile`` keeps a value->count map of the whole column and
 merges it in one task for a global aggregate: unbounded at scale. Here the
-order statistics are found in three distributed steps:
-
-1. a mergeable ``percentile_approx`` sketch per group brackets every target
-   rank (rank error <= n/accuracy, so a bracket of +-4/accuracy holds it);
-2. one aggregation maps each row either to its own value (inside a bracket)
-   or to the gap between brackets, so ties and out-of-bracket rows collapse
-   to counts; per group this leaves O(#targets * n/accuracy) rows, however
-   skewed the values are;
-3. a running count over that small set gives exact ranks, and the two order
+order statistics are found by narrowing brackets, each step one aggregate over
+the wide rows (no row is multiplied, nothing is shuffled but one row per
+partition):
+
+1. a mergeable ``percentile_approx`` sketch brackets every target rank;
+2. exact counts below and inside every bracket, with the values next to it;
+3. while a bracket holds more than ``MAX_INSIDE`` rows of different values, a
+   sketch of its inside narrows it (each round by a factor of about a
+   thousand), and step 2 is repeated;
+4. the values inside the final brackets are counted by value and the two order
    statistics around numpy's virtual index are interpolated as numpy does.
-   A gap group keeps its min and max, so a target one rank outside a bracket
-   (numpy's neighbour index vs. the sketch's rank convention) is still exact.
 
-A rank that falls outside every bracket (it cannot, by the sketch's
-guarantee) raises instead of returning a wrong value.
+The driver holds a few numbers per (column, prob, group) and at most
+``MAX_INSIDE`` values of each bracket, whatever the number of rows; ties
+collapse to one counted value. Groups (``by``) become masked columns where
+there are at most ``MAX_GROUPS`` of them, so a key of a few values never
+shuffles rows; with more groups the rows are shuffled by group.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from vendorscope.functions.numeric import nan_to_null
+from pyspark.sql import types as T
 
 DEFAULT_ACCURACY = 10_000
+MAX_INSIDE = 10_000
+MAX_GROUPS = 64
+MAX_ROUNDS = 12
+
+
+@dataclass
+class Series:
+    """One (group, column): its masked expression and what is known of it."""
+    key: tuple
+    column: str
+    x: Column
+    n: int = 0
+    extra: dict | None = None
+
+
+@dataclass
+class Target:
+    """Two neighbouring ranks (1-based) of a series and their bracket."""
+    series: Series
+    prob: int
+    r1: int
+    r2: int
+    gamma: float
+    lo: float
+    hi: float
+    below: int = 0
+    inside: int = 0
+    before: float | None = None
+    after: float | None = None
+
+    def within(self) -> Column:
+        return (self.series.x >= F.lit(self.lo)) & (self.series.x <= F.lit(self.hi))
+
+    def settled(self, limit: int) -> bool:
+        return self.inside <= limit or self.lo == self.hi
+
+
+def _lerp(a: float, b: float, t: float) -> float | None:
+    """numpy's ``_lerp``: a + (b-a)*t, or b - (b-a)*(1-t) once t >= 0.5; NaN is NULL."""
+    d = b - a
+    v = b - d * (1.0 - t) if t >= 0.5 else a + d * t
+    return None if math.isnan(v) else v
+
+
+def _aggregate(df: DataFrame, aggs: list[Column], width: int = 192) -> list:
+    """The values of many aggregates, some at a time."""
+    out: list = []
+    for a in range(0, len(aggs), width):
+        out += list(df.agg(*[c.alias(f"a{i}") for i, c in enumerate(aggs[a:a + width])]).first())
+    return out
+
+
+def _sketch(mask: Column, x: Column, probs: list[float], accuracy: int) -> Column:
+    return F.percentile_approx(F.when(mask, x), F.array(*[F.lit(p) for p in probs]), F.lit(accuracy))
+
+
+def _count(df: DataFrame, targets: list[Target]) -> None:
+    aggs = []
+    for t in targets:
+        x, lo, hi = t.series.x, F.lit(t.lo), F.lit(t.hi)
+        aggs += [F.count_if(x < lo), F.count_if(t.within()), F.max(F.when(x < lo, x)), F.min(F.when(x > hi, x))]
+    got = _aggregate(df, aggs)
+    for k, t in enumerate(targets):
+        t.below, t.inside, t.before, t.after = got[4 * k:4 * k + 4]
+
+
+def _narrow(df: DataFrame, targets: list[Target], accuracy: int) -> None:
+    """Smaller brackets from a sketch of each bracket's inside."""
+    m = 4.0 / accuracy
+    probs = []
+    for t in targets:
+        p1, p2 = (min(1.0, max(0.0, (r - t.below) / t.inside)) for r in (t.r1, t.r2))
+        probs.append([max(0.0, p1 - m), min(1.0, p2 + m)])
+    got = _aggregate(df, [_sketch(t.within(), t.series.x, p, accuracy) for t, p in zip(targets, probs)])
+    for t, b in zip(targets, got):
+        t.lo, t.hi = b[0], b[1]
+
+
+def _values(df: DataFrame, targets: list[Target]) -> dict[int, list[tuple[float, int]]]:
+    """Per target the (value, count) inside its bracket, ascending."""
+    cells = F.array_compact(F.array(*[
+        F.when(t.within(), F.struct(F.lit(k).alias("k"), t.series.x.alias("x"))) for k, t in enumerate(targets)]))
+    rows = (df.select(F.explode(cells).alias("c")).groupBy("c.k", "c.x").agg(F.count(F.lit(1)).alias("n")).collect())
+    out: dict[int, list[tuple[float, int]]] = {}
+    for r in sorted(rows, key=lambda r: (r["k"], r["x"])):
+        out.setdefault(r["k"], []).append((r["x"], r["n"]))
+    return out
+
+
+def _pick(t: Target, values: list[tuple[float, int]], rank: int) -> float:
+    if rank == t.below and t.before is not None:
+        return t.before
+    if rank == t.below + t.inside + 1 and t.after is not None:
+        return t.after
+    seen = t.below
+    for x, n in values:
+        seen += n
+        if seen >= rank > seen - n:
+            return x
+    raise ArithmeticError("exact quantile: rank outside its bracket; raise accuracy")
+
+
+def _solve(df: DataFrame, series: list[Series], probs: Sequence[float], accuracy: int, extra: dict,
+           limit: int) -> list[list[float | None]]:
+    # pandas hands q * 100 to numpy, which divides by 100 again
+    eff = [(p * 100.0) / 100.0 for p in probs]
+    m = 4.0 / accuracy
+    bounds = [b for p in eff for b in (max(0.0, p - m), min(1.0, p + m))]
+    width = 2 + len(extra)
+    first = _aggregate(df, [c for s in series for c in
+                            (F.count(s.x), _sketch(s.x.isNotNull(), s.x, bounds, accuracy),
+                             *[fn(s.x) for fn in extra.values()])])
+    targets: list[Target] = []
+    for k, s in enumerate(series):
+        n, b, *rest = first[width * k:width * (k + 1)]
+        s.n, s.extra = n, dict(zip(extra, rest))
+        for i, q in enumerate(eff if n else ()):
+            # numpy: virtual = (n-1)*q, both neighbours clamp to the last element
+            virtual = (n - 1) * q
+            if virtual >= n - 1:
+                r1, r2, gamma = n, n, virtual + 1
+            else:
+                r1 = math.floor(virtual) + 1
+                r2, gamma = r1 + 1, virtual - math.floor(virtual)
+            targets.append(Target(s, i, r1, r2, gamma, b[2 * i], b[2 * i + 1]))
+    if targets:
+        _count(df, targets)
+    for _ in range(MAX_ROUNDS):
+        wide = [t for t in targets if not t.settled(limit)]
+        if not wide:
+            break
+        _narrow(df, wide, accuracy)
+        _count(df, wide)
+    inner = [t for t in targets if t.lo != t.hi]
+    values = {id(t): v for k, v in (_values(df, inner).items() if inner else ()) for t in [inner[k]]}
+    out: dict[int, list[float | None]] = {id(s): [None] * len(eff) for s in series}
+    for t in targets:
+        held = values.get(id(t), []) if t.lo != t.hi else [(t.lo, t.inside)]
+        out[id(t.series)][t.prob] = _lerp(_pick(t, held, t.r1), _pick(t, held, t.r2), t.gamma)
+    return [out[id(s)] for s in series]
 
 
-def numpy_lerp(a: Column, b: Column, t: Column) -> Column:
-    """numpy's ``_lerp``: a + (b-a)*t, or b - (b-a)*(1-t) once t >= 0.5."""
-    diff = b - a
-    return F.when(t >= 0.5, b - diff * (F.lit(1.0) - t)).otherwise(a + diff * t)
+def _clean(c: str) -> Column:
+    x = F.col(c).cast("double")
+    return F.when(~F.isnan(x), x)
 
 
-def _long_form(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """(by..., column_name, _qx): ``unpivot`` (an Expand, inside codegen).
-    The column name comes out of the Expand, never a literal, so it is not
-    constant-folded and the equi-joins below stay equi-joins."""
-    wide = df.select(*by, *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(columns)])
-    long = wide.unpivot(list(by), [f"_v{i}" for i in range(len(columns))], "_qcol", "_qx")
-    names = F.array(*[F.lit(c) for c in columns])
-    return long.select(*by, names[F.substring(F.col("_qcol"), 3, 6).cast("int")].alias("column_name"), "_qx")
+def group_keys(df: DataFrame, by: Sequence[str], most: int = MAX_GROUPS) -> list[tuple] | None:
+    """The distinct non-NULL keys, or None where there are more than ``most``."""
+    keys = df.select(*by).dropna().distinct().limit(most + 1).collect()
+    return None if len(keys) > most else sorted(tuple(r) for r in keys)
+
+
+def group_mask(by: Sequence[str], key: tuple) -> Column:
+    mask = F.lit(True)
+    for c, v in zip(by, key):
+        mask = mask & (F.col(c) == F.lit(v))
+    return mask
 
 
 def exact_quantiles_wide(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
                          by: Sequence[str] = (), accuracy: int = DEFAULT_ACCURACY,
-                         extra_aggs: dict | None = None) -> DataFrame:
+                         extra_aggs: dict | None = None, max_inside: int = MAX_INSIDE) -> DataFrame:
     """One row per (by..., column_name) with columns ``q0, q1, ...`` (one per
     prob): pandas ``Series.quantile`` (linear); NULL and NaN skipped; a group
     without values has no row (pandas gives NaN); NULL ``by`` keys are
@@ -57,94 +202,33 @@ def exact_quantiles_wide(df: DataFrame, columns: Sequence[str], probs: Sequence[
     Column}) are computed in the sketch pass and returned as extra columns
     (e.g. count / mean / std for a describe table, without another pass).
 
-    Passes over the data: the sketch aggregate and the bracket-count
-    aggregate (joined to the broadcast one-row-per-group bracket table).
-    Shuffles: those two aggregates and the window; the final picks are one
-    aggregate over the window's own partitioning."""
-    by = list(by)
-    probs = [float(p) for p in probs]
-    # pandas hands q * 100 to numpy, which divides by 100 again
-    eff = [(p * 100.0) / 100.0 for p in probs]
-    m = 4.0 / accuracy
-    bprobs: list[float] = []
-    for p in eff:
-        bprobs += [max(0.0, p - m), min(1.0, p + m)]
-
-    keys = by + ["column_name"]
-    long = _long_form(df, columns, by).filter(F.col("_qx").isNotNull() & ~F.isnan("_qx"))
-    for b in by:                       # pandas groupby drops NULL group keys
-        long = long.filter(F.col(b).isNotNull())
-
-    extra = dict(extra_aggs or {})
-    sketch = long.groupBy(*keys).agg(
-        F.count("_qx").alias("_qn"),
-        F.percentile_approx("_qx", F.array(*[F.lit(b) for b in bprobs]), accuracy).alias("_b"),
-        *[fn(F.col("_qx")).alias(name) for name, fn in extra.items()],
-    )
-    brackets = sketch.select(
-        *keys, "_qn", *extra.keys(),
-        F.array(*[F.col("_b")[2 * k] for k in range(len(eff))]).alias("_los"),
-        F.array(*[F.col("_b")[2 * k + 1] for k in range(len(eff))]).alias("_his"),
-    )
-    # one row per group: len(columns) rows when ungrouped, a proven bound
-    small = F.broadcast(brackets) if not by else brackets
-
-    x = F.col("_qx")
-    # unrolled over the (few) targets: plain comparisons, codegen-friendly
-    kept = F.lit(False)
-    gap = F.lit(0)
-    for k in range(len(eff)):
-        lo_k, hi_k = F.col("_los")[k], F.col("_his")[k]
-        kept = kept | ((x >= lo_k) & (x <= hi_k))
-        gap = gap + F.when(hi_k < x, 1).otherwise(0)
-    # the group size rides along as a (constant per group) grouping column, so
-    # the target ranks can be computed after the window without a second join
-    counted = (
-        long.join(small, keys)
-        .groupBy(*keys, "_qn", *extra.keys(), gap.alias("_qg"), kept.alias("_qkept"),
-                 F.when(kept, x).alias("_qxk"))
-        .agg(F.count(F.lit(1)).alias("_qcnt"), F.min(x).alias("_qmin"), F.max(x).alias("_qmax"))
-    )
-    w = Window.partitionBy(*keys).orderBy("_qg", "_qkept", "_qxk").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    ranked = (counted.withColumn("_qhi", F.sum("_qcnt").over(w))
-                     .withColumn("_qlo", F.col("_qhi") - F.col("_qcnt") + 1))
-
-    def value_at(r):
-        # a kept group holds one value; a gap group only knows its first and
-        # last element, which is all a rank just outside a bracket needs
-        return (F.when(F.col("_qkept"), F.col("_qxk"))
-                 .when(F.col("_qlo") == r, F.col("_qmin"))
-                 .when(F.col("_qhi") == r, F.col("_qmax")))
-
-    def hit(r):
-        return (F.col("_qlo") <= r) & (F.col("_qhi") >= r)
-
-    # numpy: virtual = (n-1)*q, previous = floor, both clamp to the last element
-    # (index -1) at or beyond n-1, gamma = virtual - previous index
-    n = F.col("_qn")
-    aggs = []
-    for k, q in enumerate(eff):
-        virt = (n - 1).cast("double") * F.lit(q)
-        prev = F.floor(virt)
-        above = virt >= (n - 1).cast("double")
-        r1 = F.when(above, n).otherwise(prev + 1)
-        r2 = F.when(above, n).otherwise(prev + 2)
-        gamma = F.when(above, virt + 1).otherwise(virt - prev)
-        v1, v2 = value_at(r1), value_at(r2)
-        aggs += [F.max(F.when(hit(r1), v1)).alias(f"_a{k}"), F.max(F.when(hit(r2), v2)).alias(f"_b{k}"),
-                 F.max((hit(r1) & v1.isNull()) | (hit(r2) & v2.isNull())).alias(f"_m{k}"),
-                 F.max(gamma).alias(f"_gm{k}")]
-    # grouped by the window's partition keys: no further exchange
-    picked = ranked.groupBy(*keys).agg(*aggs, *[F.max(name).alias(name) for name in extra])
-
-    def value(k):
-        return F.when(
-            F.col(f"_m{k}"),
-            F.raise_error(F.lit("exact_quantiles: rank outside sketch bracket; raise accuracy")).cast("double"),
-        ).otherwise(nan_to_null(numpy_lerp(F.col(f"_a{k}"), F.col(f"_b{k}"), F.col(f"_gm{k}"))))
-
-    return picked.select(*keys, *[value(k).alias(f"q{k}") for k in range(len(eff))], *extra.keys())
+    Runs its aggregates at once and returns a small local table, except for
+    more than ``MAX_GROUPS`` groups (see ``_by_group``)."""
+    by, probs, extra = list(by), [float(p) for p in probs], dict(extra_aggs or {})
+    keys = group_keys(df, by) if by else [()]
+    if keys is None:
+        return _by_group(df, columns, probs, by, extra)
+    series = [Series(k, c, F.when(group_mask(by, k), _clean(c)) if by else _clean(c)) for k in keys for c in columns]
+    found = _solve(df, series, probs, accuracy, extra, max_inside)
+    rows = [(*s.key, s.column, *[None if v is None else float(v) for v in q], *s.extra.values())
+            for s, q in zip(series, found) if s.n]
+    shape = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *[fn(F.lit(1.0)).alias(c) for c, fn in extra.items()])
+    types = {f.name: f.dataType for f in shape.schema}       # analysed only, never run
+    schema = T.StructType(
+        [T.StructField(b, types[b]) for b in by] + [T.StructField("column_name", T.StringType())]
+        + [T.StructField(f"q{k}", T.DoubleType()) for k in range(len(probs))]
+        + [T.StructField(name, types[name]) for name in extra])
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
+def _by_group(df: DataFrame, columns: Sequence[str], probs: list[float], by: list[str], extra: dict) -> DataFrame:
+    """Many groups: one grouped aggregate with Spark's exact ``percentile``
+    (partial value->count maps per group, merged by group)."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), _clean(c).alias("x")) for c in columns])
+    long = df.dropna(subset=by).select(*by, F.inline(cells)).filter(F.col("x").isNotNull())
+    return long.groupBy(*by, "column_name").agg(
+        *[F.percentile("x", F.lit((p * 100.0) / 100.0)).alias(f"q{k}") for k, p in enumerate(probs)],
+        *[fn(F.col("x")).alias(name) for name, fn in extra.items()])
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],

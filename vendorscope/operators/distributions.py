@@ -17,11 +17,11 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vendorscope.functions.numeric import is_finite, numeric_columns
-from vendorscope.functions.quantile import exact_quantiles_wide
+from vendorscope.functions.quantile import MAX_GROUPS, exact_quantiles_wide, group_keys, group_mask
 
 # Functions of this module run inside Python workers (Arrow UDF / mapInPandas):
 # pickle them by value, so executors need only numpy and pandas, not this
@@ -39,18 +39,25 @@ def finite_long(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -
                 .select(*by, names[F.substring(F.col("_col"), 3, 6).cast("int")].alias("column_name"), "x"))
 
 
+def _series(df: DataFrame, known: bool) -> DataFrame:
+    """A table with one row per series: broadcast where the series are the
+    caller's columns; any other label is left to the planner."""
+    return F.broadcast(df) if known else df
+
+
 def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 30) -> DataFrame:
     """``numpy.histogram(x, bins)`` per column: equal-width edges from
     ``linspace(min, max, bins + 1)`` (min == max widens by 0.5 each side),
     half-open bins with the last one closed. All bins are returned, empty
     ones with count 0: (column_name, bin, bin_lo, bin_hi, count)."""
     cols = list(columns) if columns is not None else numeric_columns(df.schema)
-    return histogram_long(finite_long(df, cols), bins)
+    return histogram_long(finite_long(df, cols), bins, known=True)
 
 
-def histogram_long(long: DataFrame, bins: int = 30) -> DataFrame:
+def histogram_long(long: DataFrame, bins: int = 30, known: bool = False) -> DataFrame:
     """``histogram`` over long-form (column_name, x) rows of finite values;
-    ``column_name`` may be any series label (a column, a sample group)."""
+    ``column_name`` may be any series label (a column, a sample group).
+    ``known``: the labels are few by construction (see ``_series``)."""
     rng = (long.groupBy("column_name").agg(F.min("x").alias("lo0"), F.max("x").alias("hi0"))
            .select("column_name",
                    F.when(F.col("lo0") == F.col("hi0"), F.col("lo0") - 0.5).otherwise(F.col("lo0")).alias("lo"),
@@ -70,19 +77,13 @@ def histogram_long(long: DataFrame, bins: int = 30) -> DataFrame:
     i0 = F.when(raw >= bins, F.lit(bins - 1)).otherwise(raw)
     i1 = F.when(x < edge(i0), i0 - 1).otherwise(i0)
     i2 = F.when((x >= edge(i1 + 1)) & (i1 != bins - 1), i1 + 1).otherwise(i1)
-    # one row per column (or series): a bound of len(columns) rows. The
-    # ``bins`` counts are conditional counts of one grouped aggregate, and the
-    # bin rows are generated from that single row (no join back to a grid).
-    binned = long.join(F.broadcast(edges), "column_name").select("column_name", "edges", i2.alias("_bin"))
-    per_col = binned.groupBy("column_name").agg(
-        F.first("edges").alias("edges"),
-        *[F.count_if(F.col("_bin") == k).alias(f"_c{k}") for k in range(bins)])
-    cells = F.array(*[F.struct(F.lit(k).cast("long").alias("bin"),
-                               F.element_at("edges", k + 1).alias("bin_lo"),
-                               F.element_at("edges", k + 2).alias("bin_hi"),
-                               F.col(f"_c{k}").alias("count"))
-                      for k in range(bins)])
-    return per_col.select("column_name", F.inline(cells))
+    counts = (long.join(_series(edges, known), "column_name")
+              .groupBy("column_name", i2.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("count")))
+    grid = edges.select("column_name", F.posexplode(F.arrays_zip(
+        F.slice("edges", 1, bins).alias("bin_lo"), F.slice("edges", 2, bins).alias("bin_hi"))).alias("bin", "e"))
+    return (grid.select("column_name", F.col("bin").cast("long").alias("bin"), "e.bin_lo", "e.bin_hi")
+            .join(counts, ["column_name", "bin"], "left")
+            .select("column_name", "bin", "bin_lo", "bin_hi", F.coalesce("count", F.lit(0)).alias("count")))
 
 
 KDE_SCHEMA = "column_name string, grid long, psum double"
@@ -107,108 +108,131 @@ def _kde_partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"column_name": col, "grid": np.arange(len(total), dtype="int64"), "psum": total})
 
 
+KDE_BINS = 2048
+
+
 def kde(df: DataFrame, columns: Sequence[str] | None = None, gridsize: int = 200,
-        bins: int = 30, prebin: int | None = None) -> DataFrame:
+        bins: int = 30, prebin: int | None = KDE_BINS) -> DataFrame:
     """X5 over columns of ``df``; see ``kde_long``."""
     cols = list(columns) if columns is not None else numeric_columns(df.schema)
-    return kde_long(finite_long(df, cols), gridsize, bins, prebin)
+    return kde_long(finite_long(df, cols), gridsize, bins, prebin, known=True)
 
 
 def kde_long(long: DataFrame, gridsize: int = 200, bins: int = 30,
-             prebin: int | None = None) -> DataFrame:
+             prebin: int | None = KDE_BINS, known: bool = False) -> DataFrame:
     """Gaussian KDE as the histogram's overlay draws it: Scott's bandwidth
-    (sd * n^(-1/5)), evaluated exactly on ``gridsize`` points spanning
-    [min, max]. Exact O(n x gridsize) work, spread over partitions by
-    ``mapInPandas`` with per-partition partial sums. Columns with fewer than
-    two values or no spread get no curve. Output: (column_name, grid, x, density,
-    count_density) where count_density = density * n * bin width is the curve
-    on the count axis of a ``bins``-bin histogram. ``long`` holds finite
-    (column_name, x) rows; column_name may be any series label.
-
-    ``prebin=B`` (for raw-scale inputs) first counts the values in B equal
-    bins per column (a map-side combined aggregate) and sums the kernel over
-    the weighted bin centres: O(B x gridsize) per column whatever n is. The
-    curve moves by less than 5e-4 of its peak at B = 2048 (tested)."""
+    (sd * n^(-1/5)), on ``gridsize`` points spanning [min, max]. Columns with
+    fewer than two values or no spread get no curve. Output: (column_name,
+    grid, x, density, count_density) where count_density = density * n * bin
+    width is the curve on the count axis of a ``bins``-bin histogram. ``long``
+    holds finite (column_name, x) rows; column_name may be any series label
+    (``known``: the labels are few by construction).
+
+    By default the values are first counted in ``prebin`` equal bins per series
+    (a map-side combined aggregate) and the kernel is summed over the weighted
+    bin centres, all in SQL: O(prebin x gridsize) per series whatever n is.
+    The curve moves by less than 5e-4 of its peak (tested). ``prebin=None`` is
+    exact: O(n x gridsize) work over partitions by ``mapInPandas`` with
+    per-partition partial sums."""
     params = (long.groupBy("column_name").agg(F.count("x").alias("n"), F.min("x").alias("lo"),
                                          F.max("x").alias("hi"), F.stddev_samp("x").alias("sd"))
               .filter((F.col("n") >= 2) & (F.col("sd") > 0))
-              .withColumn("bw", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
-              .withColumn("gridsize", F.lit(gridsize)))
-    # one row per series: a bound of the number of columns / groups
-    joined = long.join(F.broadcast(params.select("column_name", "lo", "hi", "bw", "gridsize")), "column_name")
+              .withColumn("bw", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))))
+    step = (F.col("hi") - F.col("lo")) / F.lit(float(gridsize - 1))
+    x = F.when(F.col("grid") == gridsize - 1, F.col("hi")).otherwise(F.col("grid").cast("double") * step + F.col("lo"))
+    shape = params.select("column_name", "lo", "hi", "bw")
+    joined = long.join(_series(shape, known), "column_name")
     if prebin:
         width = (F.col("hi") - F.col("lo")) / F.lit(float(prebin))
         b = F.least(((F.col("x") - F.col("lo")) / width).cast("long"), F.lit(prebin - 1))
-        joined = (joined.groupBy("column_name", "lo", "hi", "bw", "gridsize", b.alias("_b"))
-                  .agg(F.count(F.lit(1)).cast("double").alias("w"))
-                  .select("column_name", "lo", "hi", "bw", "gridsize", "w",
-                          (F.col("lo") + (F.col("_b") + 0.5) * width).alias("x")))
+        counted = joined.groupBy("column_name", b.alias("_b")).agg(F.count(F.lit(1)).cast("double").alias("w"))
+        # at most ``prebin`` cells a series, in a fixed order for a fixed sum
+        cells = counted.groupBy("column_name").agg(F.array_sort(F.collect_list(F.struct("_b", "w"))).alias("cells"))
+        points = (params.join(cells, "column_name")
+                  .select("*", F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("grid"))
+                  .withColumn("grid", F.col("grid").cast("long")).withColumn("gx", x))
+        # spread over tasks by grid point: the sums are the work now
+        z = lambda c: (F.col("gx") - (F.col("lo") + (c["_b"] + 0.5) * width)) / F.col("bw")
+        total = F.aggregate("cells", F.lit(0.0), lambda a, c: a + c["w"] * F.exp(F.lit(-0.5) * z(c) * z(c)))
+        sums = points.select("column_name", "grid", total.alias("s"))
     else:
-        joined = joined.withColumn("w", F.lit(1.0))
-    partial = joined.mapInPandas(_kde_partial, KDE_SCHEMA)
-    sums = partial.groupBy("column_name", "grid").agg(F.sum("psum").alias("s"))
-    step = (F.col("hi") - F.col("lo")) / F.lit(float(gridsize - 1))
-    x = F.when(F.col("grid") == gridsize - 1, F.col("hi")).otherwise(F.col("grid").cast("double") * step + F.col("lo"))
+        partial = (joined.withColumn("gridsize", F.lit(gridsize)).withColumn("w", F.lit(1.0))
+                   .mapInPandas(_kde_partial, KDE_SCHEMA))
+        sums = partial.groupBy("column_name", "grid").agg(F.sum("psum").alias("s"))
     density = F.col("s") / (F.col("n") * F.col("bw") * F.lit(math.sqrt(2.0 * math.pi)))
-    return (sums.join(F.broadcast(params), "column_name")
+    return (sums.join(_series(params, known), "column_name")
             .select("column_name", "grid", x.alias("x"), density.alias("density"),
                     (density * F.col("n") * (F.col("hi") - F.col("lo")) / F.lit(float(bins)))
                     .alias("count_density")))
 
 
+def _finite_col(c: str) -> Column:
+    x = F.col(c).cast("double")
+    return F.when(is_finite(x), x)
+
+
+def _quartiles(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> list:
+    """(by..., column_name, q1, median, q3) of the finite values, as rows:
+    one per column, and per group where there are few groups."""
+    finite = df.select(*by, *[_finite_col(c).alias(c) for c in cols])
+    return exact_quantiles_wide(finite, cols, (0.25, 0.5, 0.75), by=by).collect()
+
+
 def boxplot_stats(df: DataFrame, columns: Sequence[str] | None = None,
                   by: Sequence[str] = (), whis: float = 1.5) -> DataFrame:
-    """matplotlib's box-plot statistics per column (and group):
-    quartiles (linear), IQR, whiskers at the furthest data point within
-    whis x IQR of the box (never inside the box), outlier count.
+    """matplotlib's box-plot statistics per column (and group, for up
+    to ``quantile.MAX_GROUPS`` groups): quartiles (linear), IQR, whiskers at
+    the furthest data point within whis x IQR of the box (never inside the
+    box), outlier count.
 
     The whisker is the most extreme value inside its fence, so the fliers
     (beyond the whiskers) are exactly the values beyond the fences: whiskers
-    and outlier counts come from one pass after the quartiles."""
+    and outlier counts are one aggregate over the wide rows, with the fences
+    as literals."""
     cols = list(columns) if columns is not None else numeric_columns(df.schema)
     by = list(by)
-    keys = by + ["column_name"]
-    long = finite_long(df, cols, by)
-    # quartiles of the finite values: +-inf masked to NULL, which the
-    # quantile job skips; the per-column bracket table stays broadcastable
-    finite = df.select(*by, *[F.when(is_finite(F.col(c).cast("double")), F.col(c).cast("double")).alias(c)
-                              for c in cols])
-    quart = (exact_quantiles_wide(finite, cols, (0.25, 0.5, 0.75), by=by)
-             .select(*keys, F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3")))
-    quart = quart.withColumn("iqr", F.col("q3") - F.col("q1"))
-    lo_fence = F.col("q1") - F.lit(whis) * F.col("iqr")
-    hi_fence = F.col("q3") + F.lit(whis) * F.col("iqr")
-    # one row per column (and group): len(columns) rows when ungrouped
-    small = quart if by else F.broadcast(quart)
-    ext = (long.join(small, keys)
-           .groupBy(*keys).agg(
-               F.count("x").alias("n"),
-               F.min(F.when(F.col("x") >= lo_fence, F.col("x"))).alias("_wlo"),
-               F.max(F.when(F.col("x") <= hi_fence, F.col("x"))).alias("_whi"),
-               F.count(F.when((F.col("x") < lo_fence) | (F.col("x") > hi_fence), 1)).alias("n_outliers")))
-    return ext.join(small, keys).select(
-        *keys, "n", "q1", "median", "q3", "iqr",
-        F.when(F.col("_wlo").isNull() | (F.col("_wlo") > F.col("q1")), F.col("q1"))
-         .otherwise(F.col("_wlo")).alias("whislo"),
-        F.when(F.col("_whi").isNull() | (F.col("_whi") < F.col("q3")), F.col("q3"))
-         .otherwise(F.col("_whi")).alias("whishi"),
-        "n_outliers")
+    if by and group_keys(df, by) is None:
+        raise ValueError(f"boxplot_stats: more than {MAX_GROUPS} groups of {by}")
+    boxes = _quartiles(df, cols, by)
+    aggs, cells = [], []
+    fields = {f.name: f.dataType for f in df.schema}
+    for k, r in enumerate(boxes):
+        key = [r[b] for b in by]
+        x = F.when(group_mask(by, key), _finite_col(r["column_name"])) if by else _finite_col(r["column_name"])
+        q1, q3 = r["q0"], r["q2"]
+        lo, hi = F.lit(q1 - whis * (q3 - q1)), F.lit(q3 + whis * (q3 - q1))
+        aggs += [F.count(x).alias(f"n{k}"), F.min(F.when(x >= lo, x)).alias(f"lo{k}"),
+                 F.max(F.when(x <= hi, x)).alias(f"hi{k}"), F.count_if((x < lo) | (x > hi)).alias(f"out{k}")]
+        wlo, whi = F.col(f"lo{k}"), F.col(f"hi{k}")
+        cells.append(F.struct(
+            *[F.lit(v).cast(fields[b]).alias(b) for b, v in zip(by, key)],
+            F.lit(r["column_name"]).alias("column_name"), F.col(f"n{k}").alias("n"),
+            F.lit(q1).alias("q1"), F.lit(r["q1"]).alias("median"), F.lit(q3).alias("q3"), F.lit(q3 - q1).alias("iqr"),
+            F.when(wlo.isNull() | (wlo > q1), F.lit(q1)).otherwise(wlo).alias("whislo"),
+            F.when(whi.isNull() | (whi < q3), F.lit(q3)).otherwise(whi).alias("whishi"),
+            F.col(f"out{k}").alias("n_outliers")))
+    if not boxes:
+        keys = ", ".join([f"{b} {fields[b].simpleString()}" for b in by] + ["column_name string"])
+        return df.sparkSession.createDataFrame(
+            [], f"{keys}, n long, q1 double, median double, q3 double, iqr double, whislo double, whishi double, "
+                "n_outliers long")
+    return df.agg(*aggs).select(F.inline(F.array(*cells)))
 
 
 def outliers(df: DataFrame, columns: Sequence[str] | None = None,
              id_columns: Sequence[str] = ("VendorNumber", "Brand"), whis: float = 1.5) -> DataFrame:
     """The outlier points themselves (beyond the whiskers, i.e. beyond
-    the fences), with row ids."""
+    the fences), with row ids; only these points leave their row."""
     cols = list(columns) if columns is not None else numeric_columns(df.schema)
-    stats = boxplot_stats(df, cols, whis=whis).select(
-        "column_name", (F.col("q1") - F.lit(whis) * F.col("iqr")).alias("lo_fence"),
-        (F.col("q3") + F.lit(whis) * F.col("iqr")).alias("hi_fence"))
-    ids = [F.col(c).alias(f"_id_{c}") for c in id_columns]
-    long = finite_long(df.select(*ids, *cols), cols, [f"_id_{c}" for c in id_columns])
-    return (long.join(F.broadcast(stats), "column_name")
-                .filter((F.col("x") < F.col("lo_fence")) | (F.col("x") > F.col("hi_fence")))
-                .select("column_name", *[F.col(f"_id_{c}").alias(c) for c in id_columns],
-                        F.col("x").alias("value")))
+    points = []
+    for r in _quartiles(df, cols, ()):
+        x, spread = _finite_col(r["column_name"]), whis * (r["q2"] - r["q0"])
+        points.append(F.when((x < F.lit(r["q0"] - spread)) | (x > F.lit(r["q2"] + spread)),
+                             F.struct(F.lit(r["column_name"]).alias("column_name"), x.alias("value"))))
+    empty = F.lit(None).cast("struct<column_name:string,value:double>")
+    found = F.explode(F.array_compact(F.array(*points or [empty])))
+    return (df.select(*[F.col(c) for c in id_columns], found.alias("_p"))
+            .select(F.col("_p.column_name").alias("column_name"), *id_columns, F.col("_p.value").alias("value")))
 
 
 def category_counts(df: DataFrame, columns: Sequence[str] = ("VendorName", "Description"),

@@ -39,30 +39,40 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
                     "max"))
 
 
+# columns of one aggregate's pair blocks: 8 x 8 pairs keep the generated code small
+PAIR_BLOCK = 8
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """The square matrix in long form (col_x, col_y, corr, label).
 
-    Each row is exploded into its k(k+1)/2 column pairs (codes into one value
-    array) and a grouped aggregate computes the pairwise-complete Pearson r;
-    partial aggregation keeps one row per pair per partition before the
-    shuffle. A constant or one-row column gives NULL, not an ANSI error."""
+    Pairwise-complete Pearson r as aggregates over the wide row: one aggregate
+    per block of column pairs, each one row per partition before its shuffle;
+    no row is multiplied. A constant or one-row column gives NULL, not an ANSI
+    error."""
     cols = list(columns) if columns is not None else numeric_columns(df.schema)
     k = len(cols)
-    codes = [i * k + j for i in range(k) for j in range(i, k)]
-    vals = F.array(*[F.col(c).cast("double") for c in cols])
-    pairs = (df.select(vals.alias("v"), F.explode(F.array(*[F.lit(c) for c in codes])).alias("code"))
-               .select((F.col("code") / k).cast("int").alias("i"), (F.col("code") % k).alias("j"), "v"))
-    x, y = F.col("v")[F.col("i")], F.col("v")[F.col("j")]
-    both = x.isNotNull() & y.isNotNull() & ~F.isnan(x) & ~F.isnan(y)
-    xy = pairs.select("i", "j", F.when(both, x).alias("x"), F.when(both, y).alias("y"))
-    r = xy.groupBy("i", "j").agg(nan_to_null(F.try_divide(
-        F.covar_samp("x", "y"), F.stddev_samp("x") * F.stddev_samp("y"))).alias("corr"))
-    names = F.array(*[F.lit(c) for c in cols])
-    mirrored = r.select(F.explode(F.array_distinct(F.array(
-        F.struct(F.col("i").alias("a"), F.col("j").alias("b")),
-        F.struct(F.col("j").alias("a"), F.col("i").alias("b"))))).alias("ab"), "corr")
-    return mirrored.select(names[F.col("ab.a")].alias("col_x"), names[F.col("ab.b")].alias("col_y"),
-                           "corr", fixed_decimals(F.col("corr"), 2).alias("corr_label"))
+
+    def clean(i: int):
+        x = F.col(cols[i]).cast("double")
+        return F.when(~F.isnan(x), x)
+
+    def pair(i: int, j: int):
+        x, y = clean(i), clean(j)
+        both = x.isNotNull() & y.isNotNull()
+        r = F.try_divide(F.covar_samp(x, y), F.stddev_samp(F.when(both, x)) * F.stddev_samp(F.when(both, y)))
+        return nan_to_null(r).alias(f"r_{i}_{j}")
+
+    out = None
+    for a in range(0, k, PAIR_BLOCK):
+        for b in range(a, k, PAIR_BLOCK):
+            codes = [(i, j) for i in range(a, min(a + PAIR_BLOCK, k)) for j in range(max(i, b), min(b + PAIR_BLOCK, k))]
+            one = df.agg(*[pair(i, j) for i, j in codes])
+            cells = F.array(*[F.struct(F.lit(x).alias("col_x"), F.lit(y).alias("col_y"), F.col(f"r_{i}_{j}").alias("corr"))
+                              for i, j in codes for x, y in dict.fromkeys([(cols[i], cols[j]), (cols[j], cols[i])])])
+            rows = one.select(F.inline(cells))
+            out = rows if out is None else out.unionByName(rows)
+    return out.select("col_x", "col_y", "corr", fixed_decimals(F.col("corr"), 2).alias("corr_label"))
 
 
 # ------------------------------------------------------------- B9 / B10 ----
