@@ -44,7 +44,7 @@ def main() -> None:
            "on large inputs AQE plans the same joins as sort-merge joins with skew splitting "
            "(exercised in `tests/test_scale_paths.py`).", ""]
     out += ["## vendor_summary (B1, the mart before it is stored)", "", "```",
-            tree(S.vendor_sales_summary(s.purchases, s.purchase_prices, s.vendor_invoice, s.sales)),
+            tree(S.vendor_sales_summary(s.purchases, s.purchase_prices, s.vendor_invoice, s.sales, totals=s.purchase_totals)),
             "```", ""]
     for name in JOBS:
         out += [f"## {name}", "", "```", tree(REGISTRY[name].build(ctx)), "```", ""]

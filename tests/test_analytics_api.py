@@ -35,7 +35,12 @@ def test_csv_to_answers_round_trip(spark, tmp_dir):
     assert abs(ci["top"].lower - 45.382562) < 1e-5
     assert va.margin_welch_test().first().reject_h0 is False
     assert va.bulk_purchase_effect().agg(F.sum("Rows")).first()[0] == 404
-    assert set(va.profile()) == {"describe", "histogram", "kde", "boxplot", "categories", "correlation"}
+    parts = {"describe", "histogram", "kde", "boxplot", "categories"}
+    assert set(va.profile()) == parts and set(va.profile_consistent()) == parts | {"correlation"}
+    count = {r.column_name: r["count"] for r in va.profile_consistent()["describe"].collect()}
+    assert count["ProfitMargin"] == 404
+    assert {r.table_name for r in va.tables().collect()} == {"purchases", "purchase_prices", "vendor_invoice", "sales"}
+    assert va.preview("sales").count() == 5 and va.preview("purchase_prices", 2).count() == 2
     v = va.explore_vendor()
     assert v["purchases"].select("VendorNumber").distinct().count() == 1
     va.export(os.path.join(tmp_dir, "final_csv"))

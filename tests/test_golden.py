@@ -105,3 +105,16 @@ def test_welch_antisymmetric(ctx):
     t_rev = (m["low"].mean - m["top"].mean) / (vn2 + vn1) ** 0.5
     assert t == -t_rev
     assert t_two_sided_p(t, 198.0) == t_two_sided_p(t_rev, 198.0)
+
+
+@pytest.mark.parametrize("build, column, descending", [
+    ("vendor_summary_raw", "TotalPurchaseDollars", True),
+    ("purchase_summary_loose", "TotalPurchaseDollars", False),
+    ("sales_summary", "TotalSalesDollars", False),
+    ("target_brands", "TotalSalesDollars", False),
+])
+def test_row_order(spark, build, column, descending):
+    """Rows come in the order the original asks for."""
+    from vendorscope.plans.registry import spark_queries
+    values = [r[column] for r in spark_queries()[build](spark, SF001).collect()]
+    assert len(values) > 3 and values == sorted(values, reverse=descending)

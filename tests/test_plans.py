@@ -58,17 +58,34 @@ def test_source_scan_pushdown(ctx):
     assert "EqualTo(l_linestatus,O)" in plan
 
 
+def nodes(plan):
+    """(depth, name and arguments) of every operator of a printed plan."""
+    out = []
+    for line in plan.splitlines():
+        m = re.match(r"^([ :+\-]*)(?:\*\(\d+\) )?(\w.*)$", line)
+        if m:
+            out.append((len(m.group(1)), m.group(2)))
+    return out
+
+
 def test_unpartitioned_windows_only_after_limits(ctx):
-    """Window without PARTITION BY would pull all rows into one task; the
-    Pareto and rankings only window over the k rows a limit left."""
-    for df in (R.vendor_pareto(ctx.clean), R.vendor_dependency(ctx.clean),
+    """A window without PARTITION BY pulls all rows into one task; here the
+    first operator below such a window that is no sort, projection or other
+    window must be the top k itself."""
+    for df in (R.vendor_pareto(ctx.clean), R.vendor_dependency(ctx.clean), R.top_vendor_share(ctx.clean),
                I.slow_vendors(ctx.clean)):
+        plan = nodes(physical(df))
+        for k, (depth, text) in enumerate(plan):
+            if text.startswith("Window ") and not re.search(r"\], \[\w+#\d+\]|partition by", text):
+                below = next(t for d, t in plan[k + 1:] if d > depth
+                             and not re.match(r"(Sort|Project|Window|Exchange SinglePartition|InputAdapter|WholeStage)", t))
+                assert below.startswith("TakeOrderedAndProject"), below
+
+
+def test_pareto_ranks_once_and_never_sorts_all_vendors(ctx):
+    for df in (R.vendor_pareto(ctx.clean), R.vendor_dependency(ctx.clean), R.top_vendor_share(ctx.clean)):
         plan = physical(df)
-        for m in re.finditer(r"Window \[[^\n]*\]", plan):
-            line = m.group(0)
-            if "partitionBy" not in line and "specifiedwindowframe" in line.lower():
-                # the child of such a window must be a limit / top-k
-                assert "TakeOrderedAndProject" in plan or "GlobalLimit" in plan
+        assert plan.count("TakeOrderedAndProject") == 1 and "rangepartitioning" not in plan
 
 
 def test_top_k_plans_as_take_ordered(ctx):

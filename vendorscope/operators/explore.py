@@ -5,7 +5,7 @@ values, a global minimum.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,9 +36,10 @@ def catalog_profile(spark, database: str | None = None) -> DataFrame:
     return table_profile({n: spark.table(n) for n in names})
 
 
-def preview(df: DataFrame, n: int = 5) -> DataFrame:
-    """O3: the first ``n`` rows (``LIMIT n``; no order implied)."""
-    return df.limit(n)
+def preview(df: DataFrame, n: int = 5, order_by: Sequence[str] = ()) -> DataFrame:
+    """O3: ``n`` rows: any (``LIMIT n``), or the first in the given order (a
+    per-partition top n, then a merge)."""
+    return df.orderBy(*order_by).limit(n) if order_by else df.limit(n)
 
 
 def most_active_vendor(purchases: DataFrame, price_list: DataFrame | None = None) -> Column:

@@ -89,26 +89,27 @@ def unsold_inventory_value() -> Column:
             * F.col("PurchasePrice"))
 
 
-def cents_label(c: str) -> Column:
+def cents_label(c: str, exact: bool = False) -> Column:
     """Dollar label of the value rounded to cents. A negative total is printed
     with every digit (``str``), and the last digits of a floating-point sum
     depend on the summation order, which no parallel engine fixes; the label
-    therefore uses the cent-rounded value (the number column stays exact)."""
-    return dollar_label(round_half_even(F.col(c), 2))
+    therefore uses the cent-rounded value (the number column stays exact).
+    ``exact`` labels the sum as it is, as the original does."""
+    return dollar_label(F.col(c) if exact else round_half_even(F.col(c), 2))
 
 
-def unsold_total(clean: DataFrame) -> DataFrame:
+def unsold_total(clean: DataFrame, exact_label: bool = False) -> DataFrame:
     """B8 headline: total unsold capital, with its dollar label."""
     total = clean.agg(F.coalesce(F.sum(unsold_inventory_value()), F.lit(0.0)).alias("TotalUnsoldValue"))
-    return total.withColumn("TotalUnsoldLabel", cents_label("TotalUnsoldValue"))
+    return total.withColumn("TotalUnsoldLabel", cents_label("TotalUnsoldValue", exact_label))
 
 
-def unsold_by_vendor(clean: DataFrame, k: int = 10) -> DataFrame:
+def unsold_by_vendor(clean: DataFrame, k: int = 10, exact_label: bool = False) -> DataFrame:
     """Vendors with the most capital locked in unsold stock."""
     per = group_sum(clean.withColumn("UnsoldInventoryValue", unsold_inventory_value()),
                     "VendorName", "UnsoldInventoryValue")
     return (top_k(per, "UnsoldInventoryValue", "VendorName", k)
-            .withColumn("UnsoldLabel", cents_label("UnsoldInventoryValue")))
+            .withColumn("UnsoldLabel", cents_label("UnsoldInventoryValue", exact_label)))
 
 
 def final_frame(clean: DataFrame) -> DataFrame:

@@ -121,35 +121,41 @@ def vendor_pareto(clean: DataFrame, k: int = 10) -> DataFrame:
     number is rounded half-even to 2 decimals *before* the cumulative share is
     summed (sorting uses the unrounded share)."""
     vp = vendor_performance(clean)
-    top = vp.orderBy(F.col("PurchaseContributionPct").desc_nulls_last(), F.col("VendorName")).limit(k)
     money = ["TotalPurchaseDollars", "GrossProfit", "TotalSalesDollars", "PurchaseContributionPct"]
-    rounded = top.select(
-        "VendorName", *[round_half_even(F.col(c), 2).alias(c) for c in money],
-        F.col("PurchaseContributionPct").alias("_share"))
-    # a window over the k limited rows only
-    w = Window.orderBy(F.col("_share").desc_nulls_last(), F.col("VendorName"))
+    # plain columns only up to the limit: a per-partition top k, then a merge of k rows
+    top = top_k(vp.select("VendorName", *money), "PurchaseContributionPct", "VendorName", k)
+    # windows over the k limited rows only; everything derived comes after them
+    w = Window.orderBy(F.col("PurchaseContributionPct").desc_nulls_last(), F.col("VendorName"))
+    ranked = top.withColumn("Rank", F.row_number().over(w).cast("long")).withColumn(
+        "CumulativeContributionPct", F.sum(round_half_even(F.col("PurchaseContributionPct"), 2)).over(
+            w.rowsBetween(Window.unboundedPreceding, 0)))
+    rounded = ranked.select("Rank", "VendorName", *[round_half_even(F.col(c), 2).alias(c) for c in money],
+                            "CumulativeContributionPct")
     return rounded.select(
-        F.row_number().over(w).cast("long").alias("Rank"),
-        "VendorName", *money,
-        F.sum("PurchaseContributionPct").over(w.rowsBetween(Window.unboundedPreceding, 0))
-         .alias("CumulativeContributionPct"),
-        dollar_label("TotalPurchaseDollars").alias("PurchaseDollarsLabel"),
+        "*", dollar_label("TotalPurchaseDollars").alias("PurchaseDollarsLabel"),
         dollar_label("GrossProfit").alias("GrossProfitLabel"),
-        dollar_label("TotalSalesDollars").alias("SalesDollarsLabel"),
-    )
+        dollar_label("TotalSalesDollars").alias("SalesDollarsLabel"))
+
+
+def _top_shares(clean: DataFrame, k: int) -> DataFrame:
+    """One row: the top ``k`` (rank, vendor, rounded share) as an array."""
+    top = vendor_pareto(clean, k)
+    return top.agg(F.array_sort(F.collect_list(F.struct("Rank", "VendorName", "PurchaseContributionPct"))).alias("top"))
+
+
+def _share_sum(top: Column) -> Column:
+    return F.aggregate(top, F.lit(0.0), lambda a, x: a + F.coalesce(x["PurchaseContributionPct"], F.lit(0.0)))
 
 
 def vendor_dependency(clean: DataFrame, k: int = 10, other_label: str = "Other Vendors") -> DataFrame:
     """The top ``k`` rounded shares plus one residual row,
-    100 minus the sum of the rounded top shares."""
-    top = vendor_pareto(clean, k).select("Rank", "VendorName", "PurchaseContributionPct")
-    rest = top.agg(F.lit(k + 1).cast("long").alias("Rank"), F.lit(other_label).alias("VendorName"),
-                   (F.lit(100.0) - F.coalesce(F.sum("PurchaseContributionPct"), F.lit(0.0)))
-                   .alias("PurchaseContributionPct"))
-    return top.unionByName(rest)
+    100 minus the sum of the rounded top shares (both from one run of the
+    ranking: its k rows travel as one array)."""
+    rest = F.struct(F.lit(k + 1).cast("long").alias("Rank"), F.lit(other_label).alias("VendorName"),
+                    (F.lit(100.0) - _share_sum(F.col("top"))).alias("PurchaseContributionPct"))
+    return _top_shares(clean, k).select(F.inline(F.concat("top", F.array(rest))))
 
 
 def top_vendor_share(clean: DataFrame, k: int = 10) -> DataFrame:
     """B5 headline: the summed rounded share of the top ``k`` vendors."""
-    top = vendor_pareto(clean, k)
-    return top.agg(F.coalesce(F.sum("PurchaseContributionPct"), F.lit(0.0)).alias("TopVendorsPct"))
+    return _top_shares(clean, k).select(_share_sum(F.col("top")).alias("TopVendorsPct"))

@@ -26,17 +26,22 @@ def freight_summary(vendor_invoice: DataFrame) -> DataFrame:
     return vendor_invoice.groupBy("VendorNumber").agg(F.sum("Freight").alias("FreightCost"))
 
 
-def purchase_summary(purchases: DataFrame, purchase_prices: DataFrame) -> DataFrame:
+def purchase_totals(purchases: DataFrame) -> DataFrame:
+    """Purchases with a positive price, summed per purchase key."""
+    return (purchases.filter(F.col("PurchasePrice") > 0).groupBy(*PURCHASE_KEYS)
+            .agg(F.sum("Quantity").alias("Quantity"), F.sum("Dollars").alias("Dollars")))
+
+
+def purchase_summary(purchases: DataFrame, purchase_prices: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """A2: purchases with a positive price, joined to the price list on Brand
-    alone (fan-out kept), summed per 7 keys."""
-    pre = (purchases.filter(F.col("PurchasePrice") > 0)
-           .groupBy(*PURCHASE_KEYS)
-           .agg(F.sum("Quantity").alias("_q"), F.sum("Dollars").alias("_d")))
+    alone (fan-out kept), summed per 7 keys. ``totals``: the purchases already
+    summed per purchase key (see ``purchase_totals``)."""
+    pre = totals if totals is not None else purchase_totals(purchases)
     prices = purchase_prices.select("Brand", F.col("Price").alias("ActualPrice"), "Volume")
     return (pre.join(prices, "Brand")
             .groupBy(*SUMMARY_KEYS)
-            .agg(F.sum("_q").alias("TotalPurchaseQuantity"),
-                 F.sum("_d").alias("TotalPurchaseDollars")))
+            .agg(F.sum("Quantity").alias("TotalPurchaseQuantity"),
+                 F.sum("Dollars").alias("TotalPurchaseDollars")))
 
 
 def sales_summary(sales: DataFrame) -> DataFrame:
@@ -50,12 +55,12 @@ def sales_summary(sales: DataFrame) -> DataFrame:
 
 
 def vendor_summary_raw(purchases: DataFrame, purchase_prices: DataFrame, vendor_invoice: DataFrame,
-                       sales: DataFrame, sort: bool = False) -> DataFrame:
+                       sales: DataFrame, sort: bool = False, totals: DataFrame | None = None) -> DataFrame:
     """A4: purchase summary LEFT JOIN sales summary on (vendor, brand) LEFT
     JOIN freight on vendor: the 14 raw columns. ``sort`` adds the reference's
     ORDER BY TotalPurchaseDollars DESC (a full range-partitioned sort; stored
     tables do not need it)."""
-    ps = purchase_summary(purchases, purchase_prices)
+    ps = purchase_summary(purchases, purchase_prices, totals)
     ss = sales_summary(sales).withColumnRenamed("Brand", "_ss_brand")
     fs = freight_summary(vendor_invoice).withColumnRenamed("VendorNumber", "_fs_vendor")
     out = (ps.join(ss, (ps.VendorNumber == ss.VendorNo) & (ps.Brand == ss._ss_brand), "left")
@@ -100,19 +105,21 @@ def clean_summary_columns(raw: DataFrame, lenient_volume: bool = False) -> DataF
 
 def vendor_sales_summary(purchases: DataFrame, purchase_prices: DataFrame,
                          vendor_invoice: DataFrame, sales: DataFrame,
-                         lenient_volume: bool = False) -> DataFrame:
+                         lenient_volume: bool = False, totals: DataFrame | None = None) -> DataFrame:
     """B1 without the write: the 18-column cleaned mart."""
-    raw = vendor_summary_raw(purchases, purchase_prices, vendor_invoice, sales)
+    raw = vendor_summary_raw(purchases, purchase_prices, vendor_invoice, sales, totals=totals)
     return clean_summary_columns(raw, lenient_volume)
 
 
-def purchase_summary_loose(purchases: DataFrame, purchase_prices: DataFrame) -> DataFrame:
+def purchase_summary_loose(purchases: DataFrame, purchase_prices: DataFrame,
+                           totals: DataFrame | None = None) -> DataFrame:
     """The exploratory 3-key purchase summary. Its three ungrouped columns
     (PurchasePrice, Volume, ActualPrice) come from an arbitrary row in the
-    original engine; here deterministically the minimum. Sorted ascending."""
-    p = purchases.filter(F.col("PurchasePrice") > 0)
+    original engine; here deterministically the minimum. Sorted ascending.
+    Sums and minima are taken before and after the price join alike."""
+    pre = totals if totals is not None else purchase_totals(purchases)
     prices = purchase_prices.select("Brand", F.col("Price").alias("ActualPrice"), "Volume")
-    return (p.join(prices, "Brand")
+    return (pre.join(prices, "Brand")
             .groupBy("VendorNumber", "VendorName", "Brand")
             .agg(F.min("PurchasePrice").alias("PurchasePrice"),
                  F.min("Volume").alias("Volume"),

@@ -5,7 +5,10 @@
     va.build_mart("/data/tables/vendor_sales_summary")          # B1, stored
     va.top_vendors().show(); va.margin_confidence_intervals().show()
 
-Every method returns a lazy DataFrame; nothing is collected to the driver.
+Every method returns a DataFrame. ``summary``, ``clean`` and what builds on
+the stored mart, brand table or analysed frame write those tables on first
+use; questions that need exact quantiles run their aggregates when called (a
+few numbers per column reach the driver). ``export`` writes files.
 """
 
 from __future__ import annotations
@@ -49,8 +52,7 @@ class VendorAnalytics:
         under the session's checkpoint folder); later questions read it."""
         if path is None:
             return self.ctx.summary
-        s = self.ctx.sources
-        write_table(S.vendor_sales_summary(s.purchases, s.purchase_prices, s.vendor_invoice, s.sales), path)
+        write_table(S.clean_summary_columns(self.ctx.summary_raw), path)
         self.ctx._summary = self.spark.read.parquet(path)
         self.ctx._brands = self.ctx._analysis = None       # derived from the old mart
         return self.ctx._summary
@@ -108,13 +110,28 @@ class VendorAnalytics:
         return ST.welch_test(self.clean, alpha)
 
     # --------------------------------------------------------------- B11 --
-    def profile(self, filtered: bool = True) -> dict[str, DataFrame]:
-        df = self.clean if filtered else self.summary
-        return {"describe": ST.describe(self.summary), "histogram": D.histogram(df), "kde": D.kde(df),
-                "boxplot": D.boxplot_stats(self.summary), "categories": D.category_counts(df),
-                "correlation": ST.correlation_matrix(df)}
+    def profile(self) -> dict[str, DataFrame]:
+        """The first profile, over the whole mart."""
+        return self._profile(self.summary)
+
+    def profile_consistent(self) -> dict[str, DataFrame]:
+        """The second profile, over the consistent rows, with the correlations."""
+        return self._profile(self.clean) | {"correlation": ST.correlation_matrix(self.clean)}
+
+    @staticmethod
+    def _profile(df: DataFrame) -> dict[str, DataFrame]:
+        return {"describe": ST.describe(df), "histogram": D.histogram(df), "kde": D.kde(df),
+                "boxplot": D.boxplot_stats(df), "categories": D.category_counts(df)}
 
     # --------------------------------------------------------------- B12 --
+    def tables(self) -> DataFrame:
+        """The source tables with their row and column counts."""
+        return X.table_profile(self.ctx.sources.as_dict())
+
+    def preview(self, table: str, n: int = 5) -> DataFrame:
+        """``n`` rows of a source table."""
+        return X.preview(self.ctx.sources.as_dict()[table], n)
+
     def explore_vendor(self, vendor=None) -> dict[str, DataFrame]:
         """One vendor across the four extracts (default: the busiest vendor
         present in the price list), with its per-brand rollups."""
@@ -133,7 +150,7 @@ class VendorAnalytics:
                     "purchase_prices": (s.purchase_prices, ["VendorNumber", "Brand"]),
                     "vendor_invoice": (s.vendor_invoice, ["VendorNumber", "PONumber"]),
                     "vendor_sales_summary": (self.summary, ["VendorNumber", "Brand"])}),
-                "tables": X.table_profile(s.as_dict())}
+                "tables": self.tables()}
 
     # --------------------------------------------------------------- B13 --
     def export(self, path: str) -> None:

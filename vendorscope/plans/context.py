@@ -14,26 +14,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vendorscope.operators.inventory import final_frame
 from vendorscope.operators.rankings import brand_performance_stored
-from vendorscope.operators.summary import consistent_rows, vendor_sales_summary
+from vendorscope.operators.summary import clean_summary_columns, consistent_rows, vendor_summary_raw
 from vendorscope.session import materialize
-from vendorscope.sources.fixtures import VendorSources, vendor_sources
+from vendorscope.sources.fixtures import VendorSources, edge_sources, vendor_sources
 
 
 @dataclass
 class VendorContext:
     spark: SparkSession
     sources: VendorSources
+    _raw: DataFrame | None = field(default=None, repr=False)
     _summary: DataFrame | None = field(default=None, repr=False)
     _analysis: DataFrame | None = field(default=None, repr=False)
     _brands: DataFrame | None = field(default=None, repr=False)
+    _edge: "VendorContext | None" = field(default=None, repr=False)
+
+    @property
+    def summary_raw(self) -> DataFrame:
+        """The 14 raw columns before cleaning (materialised on first use)."""
+        if self._raw is None:
+            s = self.sources
+            self._raw = materialize(vendor_summary_raw(
+                s.purchases, s.purchase_prices, s.vendor_invoice, s.sales, totals=s.purchase_totals),
+                "vendor_summary_raw")
+        return self._raw
 
     @property
     def summary(self) -> DataFrame:
         """The 18-column cleaned mart, all rows (materialised on first use)."""
         if self._summary is None:
-            s = self.sources
-            mart = vendor_sales_summary(s.purchases, s.purchase_prices, s.vendor_invoice, s.sales)
-            self._summary = materialize(mart, "vendor_sales_summary")
+            self._summary = materialize(clean_summary_columns(self.summary_raw), "vendor_sales_summary")
         return self._summary
 
     @property
@@ -51,6 +61,12 @@ class VendorContext:
             self._analysis = materialize(final_frame(self.clean), "vendor_analysis")
         return self._analysis
 
+    @property
+    def edge(self) -> "VendorContext":
+        """The analysis over the extracts with edge cases."""
+        if self._edge is None:
+            self._edge = VendorContext(self.spark, edge_sources(self.sources))
+        return self._edge
 
     @property
     def brands(self) -> DataFrame:
@@ -65,7 +81,8 @@ _CONTEXTS: dict[tuple[int, str], VendorContext] = {}
 
 def context_for(spark: SparkSession, sf_dir: str) -> VendorContext:
     """One context per (session, data folder): the mart is built once and
-    every registered query of that session reads it."""
+    every registered query of that session reads it. A folder whose tables
+    change needs ``forget`` before the next query."""
     key = (id(spark), sf_dir.rstrip("/"))
     ctx = _CONTEXTS.get(key)
     if ctx is not None and (ctx.spark is not spark or spark.sparkContext._jsc is None):
@@ -74,3 +91,10 @@ def context_for(spark: SparkSession, sf_dir: str) -> VendorContext:
         ctx = VendorContext(spark, vendor_sources(spark, sf_dir))
         _CONTEXTS[key] = ctx
     return ctx
+
+
+def forget(sf_dir: str | None = None) -> None:
+    """Drop the contexts of a folder (or all): the next query reads its
+    tables as they are then. Stored tables stay where they are."""
+    for key in [k for k in _CONTEXTS if sf_dir is None or k[1] == sf_dir.rstrip("/")]:
+        del _CONTEXTS[key]

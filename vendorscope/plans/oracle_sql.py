@@ -51,31 +51,42 @@ sales AS (
   WHERE l.l_linestatus = 'O'
 )"""
 
+# One pass over the order lines gives both sides of every (vendor, brand):
+# conditional sums over the line status. What a purchase costs and how often
+# the price list names its brand come from the list, once per brand.
 SUMMARY = """
-freight_per_vendor AS (
-  SELECT VendorNumber, sum(Freight) AS FreightCost FROM vendor_invoice GROUP BY ALL
+line AS (
+  SELECT l_suppkey AS supp, Brand AS brand, concat(Description, ' ') AS label, l_linestatus = 'F' AS is_buy,
+         l_discount <> 0 AS has_price, CAST(l_quantity AS BIGINT) AS units, l_extendedprice AS amount,
+         l_extendedprice * (1 - l_discount) AS revenue, l_extendedprice / l_quantity AS unit_price,
+         l_extendedprice * l_tax AS tax
+  FROM lineitem JOIN brand_dim ON p_partkey = l_partkey
 ),
-bought AS (
-  SELECT p.VendorNumber, p.VendorName, p.Brand, p.Description, p.PurchasePrice,
-         pl.Price AS ActualPrice, pl.Volume,
-         CAST(sum(p.Quantity) AS BIGINT) AS TotalPurchaseQuantity,
-         sum(p.Dollars) AS TotalPurchaseDollars
-  FROM purchases AS p, purchase_prices AS pl
-  WHERE pl.Brand = p.Brand AND p.PurchasePrice > 0
-  GROUP BY ALL
+pair AS (
+  SELECT supp, brand, min(label) AS label,
+         count(*) FILTER (WHERE is_buy AND has_price) AS buys,
+         CAST(sum(units) FILTER (WHERE is_buy AND has_price) AS BIGINT) AS bought_units,
+         sum(amount) FILTER (WHERE is_buy AND has_price) AS bought_amount,
+         count(*) FILTER (WHERE NOT is_buy) AS sales,
+         CAST(sum(units) FILTER (WHERE NOT is_buy) AS BIGINT) AS sold_units,
+         sum(revenue) FILTER (WHERE NOT is_buy) AS sold_amount,
+         sum(unit_price) FILTER (WHERE NOT is_buy) AS sold_prices,
+         sum(tax) FILTER (WHERE NOT is_buy) AS sold_tax
+  FROM line GROUP BY supp, brand
 ),
-sold AS (
-  SELECT VendorNo, Brand, CAST(sum(SalesQuantity) AS BIGINT) AS TotalSalesQuantity,
-         sum(SalesDollars) AS TotalSalesDollars, sum(SalesPrice) AS TotalSalesPrice,
-         sum(ExciseTax) AS TotalExciseTax
-  FROM sales GROUP BY ALL
+freight_per_vendor AS (
+  SELECT l_suppkey AS VendorNumber, sum(l_extendedprice * l_tax) AS FreightCost
+  FROM lineitem WHERE l_linestatus = 'F' GROUP BY l_suppkey
 ),
 summary_raw AS (
-  SELECT b.*, CAST(s.TotalSalesQuantity AS DOUBLE) AS TotalSalesQuantity, s.TotalSalesDollars,
-         s.TotalSalesPrice, s.TotalExciseTax, f.FreightCost
-  FROM bought AS b
-  LEFT JOIN sold AS s ON s.VendorNo = b.VendorNumber AND s.Brand = b.Brand
-  LEFT JOIN freight_per_vendor AS f ON f.VendorNumber = b.VendorNumber
+  SELECT supp AS VendorNumber, concat('  ', s_name, chr(9)) AS VendorName, pair.brand AS Brand, label AS Description,
+         list.PurchasePrice, list.Price AS ActualPrice, list.Volume,
+         bought_units AS TotalPurchaseQuantity, bought_amount AS TotalPurchaseDollars,
+         CAST(sold_units AS DOUBLE) AS TotalSalesQuantity, sold_amount AS TotalSalesDollars,
+         sold_prices AS TotalSalesPrice, sold_tax AS TotalExciseTax,
+         (SELECT FreightCost FROM freight_per_vendor f WHERE f.VendorNumber = pair.supp) AS FreightCost
+  FROM pair JOIN purchase_prices list ON list.Brand = pair.brand JOIN supplier ON s_suppkey = supp
+  WHERE buys > 0 AND list.PurchasePrice > 0
 )"""
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vendorscope.operators import explore as X
 from vendorscope.operators import quality as QL
-from vendorscope.operators import summary as S
 from vendorscope.plans.context import VendorContext
 from vendorscope.plans.oracle_sql import with_views
 from vendorscope.plans.registry import register
@@ -22,6 +22,37 @@ def table_profile(ctx: VendorContext):
     return X.table_profile(ctx.sources.as_dict())
 
 
+PREVIEW_ORDER = {
+    "purchases": "VendorNumber, Brand, PONumber, Quantity, Dollars, PODate", "purchase_prices": "Brand",
+    "vendor_invoice": "VendorNumber, PONumber", "sales": "VendorNo, Brand, SalesQuantity, SalesDollars, ExciseTax"}
+PREVIEW_TEXT = {
+    "purchases": ("VendorNumber", "Brand", "PONumber", "Quantity"), "purchase_prices": ("Brand", "VendorNumber", "Volume"),
+    "vendor_invoice": ("VendorNumber", "PONumber", "Quantity"), "sales": ("VendorNo", "Brand", "SalesQuantity")}
+
+
+def _preview_sql() -> str:
+    parts = []
+    for t, order in PREVIEW_ORDER.items():
+        shown = " || '|' || ".join(f"CAST({c} AS VARCHAR)" for c in PREVIEW_TEXT[t])
+        parts.append(f"SELECT '{t}' AS table_name, row_number() OVER (ORDER BY {order}) AS position, {shown} AS shown "
+                     f"FROM (SELECT * FROM {t} ORDER BY {order} LIMIT 5)")
+    return with_views("\nUNION ALL ".join(parts), summary=False, clean=False)
+
+
+@register("table_preview", _preview_sql())
+def table_preview(ctx: VendorContext):
+    out = None
+    for t, order in PREVIEW_ORDER.items():
+        keys = order.split(", ")
+        rows = X.preview(ctx.sources.as_dict()[t], 5, order_by=keys)
+        w = Window.orderBy(*keys)                     # over the five rows of the preview
+        shown = F.concat_ws("|", *[F.col(c).cast("string") for c in PREVIEW_TEXT[t]])
+        part = rows.select(F.lit(t).alias("table_name"), F.row_number().over(w).cast("long").alias("position"),
+                           shown.alias("shown"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 BUSIEST = """
 busiest AS (SELECT VendorNumber FROM purchases
             WHERE VendorNumber IS NOT NULL AND VendorNumber IN (SELECT VendorNumber FROM purchase_prices)
@@ -108,22 +139,17 @@ def _null_profile_sql() -> str:
 
 @register("null_profile", _null_profile_sql())
 def null_profile(ctx: VendorContext):
-    s = ctx.sources
-    return X.null_profile(S.vendor_summary_raw(s.purchases, s.purchase_prices, s.vendor_invoice, s.sales))
+    return X.null_profile(ctx.summary_raw)
 
 
 @register("distinct_vendors", with_views("SELECT DISTINCT VendorName FROM summary_raw", clean=False))
 def distinct_vendors(ctx: VendorContext):
-    s = ctx.sources
-    raw = S.vendor_summary_raw(s.purchases, s.purchase_prices, s.vendor_invoice, s.sales)
-    return X.distinct_values(raw, "VendorName")
+    return X.distinct_values(ctx.summary_raw, "VendorName")
 
 
 @register("distinct_descriptions", with_views("SELECT DISTINCT Description FROM summary_raw", clean=False))
 def distinct_descriptions(ctx: VendorContext):
-    s = ctx.sources
-    raw = S.vendor_summary_raw(s.purchases, s.purchase_prices, s.vendor_invoice, s.sales)
-    return X.distinct_values(raw, "Description")
+    return X.distinct_values(ctx.summary_raw, "Description")
 
 
 @register("min_gross_profit", with_views("SELECT min(GrossProfit) AS min_GrossProfit FROM vss"),

@@ -171,11 +171,13 @@ w3 AS (
   FROM w2
 ),
 simpson AS (
-  SELECT sum(CASE WHEN i = 0 OR i = {SIMPSON_N} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+  -- the tail beyond |t|, mapped to s in [0, 1) by x = |t| + s / (1 - s)
+  SELECT sum(CASE WHEN i = 0 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
              * exp(lgamma((dof + 1) / 2) - lgamma(dof / 2)) / sqrt(dof * pi())
-             * pow(1 + u * u / dof, -(dof + 1) / 2) * (abs(t_statistic) / {SIMPSON_N})) / 3 AS area
-  FROM (SELECT t_statistic, dof, i, CAST(i AS DOUBLE) * abs(t_statistic) / {SIMPSON_N} AS u
-        FROM w3, range(0, {SIMPSON_N + 1}) r(i)) AS g
+             * pow(1 + x * x / dof, -(dof + 1) / 2) / ((1 - s) * (1 - s)) / {SIMPSON_N}) / 3 AS tail
+  FROM (SELECT dof, i, s, abs(t_statistic) + s / (1 - s) AS x
+        FROM (SELECT t_statistic, dof, i, CAST(i AS DOUBLE) / {SIMPSON_N} AS s
+              FROM w3, range(0, {SIMPSON_N}) r(i)) AS q) AS g
 )"""
 
 
@@ -184,7 +186,7 @@ SELECT t_statistic, dof, p_value, CAST(0.05 AS DOUBLE) AS alpha, coalesce(p_valu
        CASE WHEN coalesce(p_value < 0.05, false)
             THEN 'Reject H0: significant difference in profit margins'
             ELSE 'Fail to reject H0: no significant difference' END AS conclusion
-FROM (SELECT t_statistic, dof, greatest(2 * (0.5 - area), 0.0) AS p_value FROM w3, simpson) AS r""",
+FROM (SELECT t_statistic, dof, 2 * tail AS p_value FROM w3, simpson) AS r""",
                                    MARGIN, WELCH),
           doubles=("t_statistic", "dof", "p_value", "alpha"))
 def welch_test(ctx: VendorContext):
@@ -268,7 +270,7 @@ KDE_DOUBLES = ("x", "density", "count_density")
 
 @register("kde_unfiltered", with_views(KDE_BODY, long_sql("k_long", "vss", True), KDE), doubles=KDE_DOUBLES)
 def kde_unfiltered(ctx: VendorContext):
-    return D.kde(ctx.summary)
+    return D.kde(ctx.summary, prebin=None)
 
 
 @register("margin_kde_by_group", with_views(KDE_BODY, MARGIN, """
@@ -276,11 +278,30 @@ k_long AS (SELECT segment AS column_name, v AS x FROM samples WHERE isfinite(v))
           doubles=KDE_DOUBLES)
 def margin_kde_by_group(ctx: VendorContext):
     samples = ST.margin_samples(ctx.clean)
-    return D.kde_long(samples.select(F.col("segment").alias("column_name"), F.col("value").alias("x")))
+    return D.kde_long(samples.select(F.col("segment").alias("column_name"), F.col("value").alias("x")),
+                      prebin=None)
 
 
 @register("kde", with_views(KDE_BODY, long_sql("k_long", "clean", True), KDE), doubles=KDE_DOUBLES)
 def kde(ctx: VendorContext):
+    return D.kde(ctx.clean, prebin=None)
+
+
+KDE_BINNED = """
+SELECT g.column_name, g.g AS grid, g.gx AS x, sum(c.w * exp(-0.5 * pow((g.gx - c.centre) / g.bw, 2)))
+       / (g.n * g.bw * sqrt(2 * pi())) AS density,
+       sum(c.w * exp(-0.5 * pow((g.gx - c.centre) / g.bw, 2))) / (g.bw * sqrt(2 * pi())) * (g.hi - g.lo) / 30.0
+         AS count_density
+FROM k_grid g JOIN (
+  SELECT column_name, any_value(lo) + (cell + 0.5) * (any_value(hi - lo) / 2048) AS centre, count(*) AS w
+  FROM (SELECT l.column_name, lo, hi, least(CAST(floor((l.x - lo) / ((hi - lo) / 2048)) AS BIGINT), 2047) AS cell
+        FROM k_long l JOIN k_par p ON p.column_name = l.column_name) GROUP BY column_name, cell) AS c
+  ON c.column_name = g.column_name
+GROUP BY g.column_name, g.g, g.gx, g.n, g.bw, g.lo, g.hi"""
+
+
+@register("kde_binned", with_views(KDE_BINNED, long_sql("k_long", "clean", True), KDE), doubles=KDE_DOUBLES)
+def kde_binned(ctx: VendorContext):
     return D.kde(ctx.clean)
 
 

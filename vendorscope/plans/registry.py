@@ -1,10 +1,10 @@
 """Registered queries: one Spark job and one DuckDB oracle per key.
 
 ``spark_queries()`` / ``oracle_sql()`` feed ``__spark_entry__``. Both sides
-round their floating-point columns to 4 decimals with the same arithmetic
-(DuckDB's ``round``: half away from zero of x * 1e4), because the two engines
-sum doubles in different orders; every other column is compared exactly.
-The library functions themselves return unrounded values.
+round every floating-point value to about seven significant digits by the
+same rule, because the two engines sum doubles in different orders; every
+other column is compared exactly. The library functions themselves return
+unrounded values.
 """
 
 from __future__ import annotations
@@ -18,7 +18,13 @@ from pyspark.sql.types import DoubleType, FloatType
 
 from vendorscope.plans.context import VendorContext, context_for
 
-CHECK_DIGITS = 4
+CHECK_DIGITS = 7
+# Values round to multiples of GRID * 10^(magnitude - CHECK_DIGITS). The step
+# is no decimal fraction, so a sum of decimals never sits on a tie that the
+# last bits of either engine would decide; for the same reason the magnitude
+# steps at 10^(k - SHIFT), not at round numbers.
+GRID = 1.0471975511965976
+SHIFT = 0.123
 
 
 @dataclass(frozen=True)
@@ -39,37 +45,31 @@ def register(name: str, sql: str | None = None, doubles: tuple[str, ...] | list[
     return deco
 
 
-# Values that are exact decimal ties (k/30 of a 4-decimal range, a mean of
-# 4-decimal values over an even count) come out of the two engines a few ulps
-# either side of the tie and would round apart. Both sides first scale
-# |x| < 1e7 by (1 + 2^-42): far above summation error, far below 1e-4.
-TIE_NUDGE = 1.0 + 2.0 ** -42
-NUDGE_BELOW = 1e7
-
-
-def duck_round(c: Column, digits: int = CHECK_DIGITS) -> Column:
-    """DuckDB's ``round(double, d)`` (round(x * 10^d) / 10^d, ties away from
-    zero) after the tie nudge; a signed zero comes out as +0.0."""
-    scale = float(10 ** digits)
-    c = F.when(F.abs(c) < NUDGE_BELOW, c * F.lit(TIE_NUDGE)).otherwise(c)
-    v = c * scale
-    r = F.rint(v)
-    out = F.when(F.abs(v - r) == 0.5, v + F.signum(v) * 0.5).otherwise(r) / scale
-    return F.when(out == 0, F.lit(0.0)).otherwise(out)          # -0.0 -> 0.0
+def check_round(c: Column) -> Column:
+    """``c`` on the check grid; zeros (either sign) as 0.0, what is not finite
+    as it is."""
+    magnitude = F.floor(F.log10(F.abs(c)) + SHIFT) - CHECK_DIGITS
+    step = F.concat(F.lit("1e"), magnitude.cast("string")).cast("double") * GRID
+    return (F.when(c == 0, F.lit(0.0))
+            .when(F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), c)
+            .otherwise(F.rint(c / step) * step))
 
 
 def for_check(df: DataFrame) -> DataFrame:
     floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (DoubleType, FloatType))}
-    return df.select(*[duck_round(F.col(c)).alias(c) if c in floats else F.col(c) for c in df.columns])
+    return df.select(*[check_round(F.col(c)).alias(c) if c in floats else F.col(c) for c in df.columns])
 
 
 def _oracle(q: Query) -> str:
     if not q.doubles:
         return q.sql
+
     def rounded(c: str) -> str:
-        r = (f"round(CASE WHEN abs({c}) < {NUDGE_BELOW!r} THEN {c} * {TIE_NUDGE!r} ELSE {c} END, "
-             f"{CHECK_DIGITS})")
-        return f"CASE WHEN {r} = 0 THEN CAST(0 AS DOUBLE) ELSE {r} END AS {c}"
+        x = f"CAST({c} AS DOUBLE)"
+        step = (f"(CAST('1e' || CAST(CAST(floor(log10(abs({x})) + {SHIFT!r}) AS BIGINT) - {CHECK_DIGITS} AS VARCHAR) AS DOUBLE)"
+                f" * CAST({GRID!r} AS DOUBLE))")
+        return (f"CASE WHEN {c} = 0 THEN CAST(0 AS DOUBLE) WHEN isnan({x}) OR isinf({x}) THEN {x} "
+                f"ELSE round({x} / {step}) * {step} END AS {c}")
     repl = ", ".join(rounded(c) for c in q.doubles)
     return f"SELECT * REPLACE ({repl}) FROM (\n{q.sql}\n) AS oracle_result"
 
@@ -89,5 +89,5 @@ def oracle_queries() -> dict[str, str]:
 
 def _load() -> None:
     # importing the query modules fills REGISTRY
-    from vendorscope.plans import (queries_analysis, queries_explore, queries_mart,  # noqa: F401
-                                   queries_stats)
+    from vendorscope.plans import (queries_analysis, queries_edge, queries_explore,  # noqa: F401
+                                   queries_mart, queries_stats)

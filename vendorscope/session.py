@@ -2,8 +2,9 @@
 and materialisation of intermediate tables.
 
 On a cluster the checkpoint folder is the shared path the cluster names in
-``spark.checkpoint.dir``; it is only invented here (under /tmp) when the
-session runs in local mode and nobody has set it.
+``spark.checkpoint.dir`` (a ``file:`` path there must be a mount that all
+machines share); it is only invented here (under /tmp) when the session runs in
+local mode and nobody has set it.
 """
 
 from __future__ import annotations
@@ -37,21 +38,22 @@ def get_session(cores: int | str = "*", shuffle_partitions: int | None = None,
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder for checkpoints and materialised tables.
+    """The shared folder for materialised tables.
 
-    Read from the session (``spark.checkpoint.dir`` or the context's checkpoint
-    dir). Only a local-mode session without one gets a fresh folder under /tmp;
-    a cluster session without one is an error, because executor-local
-    temporary folders do not survive executor loss.
+    Read from the session's ``spark.checkpoint.dir`` (which a remote session
+    has too) or, without it, the context's checkpoint folder. Only a local-mode
+    session without either gets a fresh folder under /tmp; a cluster session
+    without one is an error, because executor-local temporary folders do not
+    survive executor loss.
     """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root
     sc = spark.sparkContext
-    root = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder on the cluster")
-        root = tempfile.mkdtemp(prefix="vendorscope-ckpt-", dir="/tmp")
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(root)
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="vendorscope-ckpt-", dir="/tmp"))
     return sc.getCheckpointDir()
 
 

@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vendorscope.session import materialize
+
 STAR_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
 # Brand code offset per p_type (any other type is 5).
@@ -49,16 +51,16 @@ def purchase_prices(brands: DataFrame) -> DataFrame:
     ).select("VendorNumber", "Brand", "Description", "Price", "Volume", "PurchasePrice")
 
 
-def purchases(lineitem: DataFrame, supplier: DataFrame, brands: DataFrame,
-              prices: DataFrame) -> DataFrame:
+def priced_brands(brands: DataFrame, prices: DataFrame) -> DataFrame:
+    """The part dimension with its brand's purchase price: joined here once,
+    so order lines need one join (on the part key) for both."""
+    return brands.join(prices.select("Brand", F.col("PurchasePrice").alias("pp_price")), "Brand")
+
+
+def _bought_lines(lineitem: DataFrame, priced: DataFrame) -> DataFrame:
     li = lineitem.filter(F.col("l_linestatus") == "F")
-    joined = (li.join(supplier, supplier.s_suppkey == li.l_suppkey)
-                .join(brands, brands.p_partkey == li.l_partkey)
-                .join(prices.select("Brand", F.col("PurchasePrice").alias("pp_price")), "Brand"))
-    return joined.select(
-        F.col("l_suppkey").alias("VendorNumber"),
-        F.concat(F.lit("  "), F.col("s_name"), F.lit("\t")).alias("VendorName"),
-        "Brand",
+    return li.join(priced, priced.p_partkey == li.l_partkey).select(
+        F.col("l_suppkey").alias("VendorNumber"), "Brand",
         F.concat(F.col("Description"), F.lit(" ")).alias("Description"),
         F.when(F.col("l_discount") == 0, F.lit(0.0)).otherwise(F.col("pp_price")).alias("PurchasePrice"),
         F.col("l_quantity").cast("bigint").alias("Quantity"),
@@ -68,6 +70,27 @@ def purchases(lineitem: DataFrame, supplier: DataFrame, brands: DataFrame,
     )
 
 
+def _named(df: DataFrame, supplier: DataFrame) -> DataFrame:
+    names = supplier.select("s_suppkey", F.concat(F.lit("  "), F.col("s_name"), F.lit("\t")).alias("VendorName"))
+    return df.join(names, names.s_suppkey == df.VendorNumber).drop("s_suppkey")
+
+
+def purchases(lineitem: DataFrame, supplier: DataFrame, priced: DataFrame) -> DataFrame:
+    return _named(_bought_lines(lineitem, priced), supplier).select(
+        "VendorNumber", "VendorName", "Brand", "Description", "PurchasePrice", "Quantity", "Dollars",
+        "PONumber", "PODate")
+
+
+def purchase_totals(lineitem: DataFrame, supplier: DataFrame, priced: DataFrame) -> DataFrame:
+    """``purchases`` with a positive price, summed per purchase key: the lines
+    are aggregated before they meet the suppliers (a vendor number has one
+    name), so only sums are shuffled after the part join."""
+    lines = _bought_lines(lineitem, priced).filter(F.col("PurchasePrice") > 0)
+    sums = lines.groupBy("VendorNumber", "Brand", "Description", "PurchasePrice").agg(
+        F.sum("Quantity").alias("Quantity"), F.sum("Dollars").alias("Dollars"))
+    return _named(sums, supplier)
+
+
 def vendor_invoice(lineitem: DataFrame) -> DataFrame:
     return (lineitem.filter(F.col("l_linestatus") == "F")
             .groupBy(F.col("l_suppkey").alias("VendorNumber"), F.col("l_orderkey").alias("PONumber"))
@@ -95,6 +118,8 @@ class VendorSources:
     purchase_prices: DataFrame
     vendor_invoice: DataFrame
     sales: DataFrame
+    # the purchases with a positive price already summed per purchase key, where the source has them
+    purchase_totals: DataFrame | None = None
 
     def as_dict(self) -> dict[str, DataFrame]:
         return {"purchases": self.purchases, "purchase_prices": self.purchase_prices,
@@ -106,10 +131,35 @@ def vendor_sources(spark: SparkSession, sf_dir: str) -> VendorSources:
     supplier = read_table(spark, sf_dir, "supplier")
     lineitem = read_table(spark, sf_dir, "lineitem")
     brands = brand_dim(part)
-    prices = purchase_prices(brands)
+    # one row per brand: stored, so every join with it is planned by its size and computes it once
+    prices = materialize(purchase_prices(brands), "purchase_prices")
+    priced = priced_brands(brands, prices)
     return VendorSources(
-        purchases=purchases(lineitem, supplier, brands, prices),
+        purchases=purchases(lineitem, supplier, priced),
         purchase_prices=prices,
         vendor_invoice=vendor_invoice(lineitem),
         sales=sales(lineitem, brands),
+        purchase_totals=purchase_totals(lineitem, supplier, priced),
+    )
+
+
+def edge_sources(base: VendorSources) -> VendorSources:
+    """The same extracts with the cases the plain ones lack: extra price rows
+    (a different one for every 7th brand, an equal one for every 3rd), no
+    invoices for every 5th vendor, half the price on every other order of every
+    13th brand, and small amounts for two brands in eleven."""
+    scale = (F.when(F.col("Brand") % 11 == 0, F.lit(0.00001)).when(F.col("Brand") % 11 == 1, F.lit(0.001))
+             .otherwise(F.lit(1.0)))
+    p = base.purchase_prices
+    prices = (p.unionByName(p.filter("Brand % 7 = 0").withColumn("VendorNumber", F.col("VendorNumber") + 1)
+                            .withColumn("Price", F.col("Price") + 1))
+              .unionByName(p.filter("Brand % 3 = 0").withColumn("VendorNumber", F.col("VendorNumber") + 2)))
+    half = (F.col("Brand") % 13 == 0) & (F.col("PONumber") % 2 == 0)
+    return VendorSources(
+        purchases=base.purchases
+        .withColumn("PurchasePrice", F.when(half, F.col("PurchasePrice") / 2).otherwise(F.col("PurchasePrice")))
+        .withColumn("Dollars", F.col("Dollars") * scale),
+        purchase_prices=prices,
+        vendor_invoice=base.vendor_invoice.filter("VendorNumber % 5 <> 0"),
+        sales=base.sales.withColumn("SalesDollars", F.col("SalesDollars") * scale),
     )
