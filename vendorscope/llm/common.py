@@ -26,9 +26,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: Rows of an Arrow batch while a table is stored: whole texts, so fewer than
+#: the default, which bounds what a Python worker holds.
+BATCH_ROWS = 2000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stored(df: DataFrame, name: str, batch_rows: int | None = BATCH_ROWS) -> DataFrame:
     """Write once under the shared checkpoint folder, read back (lineage cut)."""
-    return materialize(df, f"llm-{name}")
+    spark = df.sparkSession
+    before = spark.conf.get(_BATCH_CONF)
+    if batch_rows:
+        spark.conf.set(_BATCH_CONF, str(min(int(before), batch_rows) if int(before) > 0 else batch_rows))
+    try:
+        return materialize(df, f"llm-{name}")
+    finally:
+        spark.conf.set(_BATCH_CONF, before)
 
 
 def text_or_empty(c: str = "text") -> Column:

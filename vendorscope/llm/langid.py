@@ -34,7 +34,7 @@ by_value(__name__)
 BITS = 16
 ORDERS = (1, 2, 3)
 PER_CLASS = 800
-SLICE = 2_000_000
+SLICE = 1_000_000
 SCALE = 50.0
 UNKNOWN = "und"
 

@@ -209,7 +209,7 @@ def runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple]:
         yield from zip(*(b.column(k).to_pylist() for k in range(width)))
 
 
-def class_rows(first: list, vector: np.ndarray, names: list[str], types: list) -> pa.RecordBatch:
+def class_rows(vector: np.ndarray, names: list[str], types: list) -> pa.RecordBatch:
     """Rows that carry (class, value) only; the other columns are null."""
     at = np.flatnonzero(vector)
     return pa.RecordBatch.from_arrays(
@@ -260,7 +260,7 @@ def merge_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if held:
         yield row(last, held)
     if any_row:
-        yield class_rows([], types, COUNT_COLUMNS, COUNT_TYPES)
+        yield class_rows(types, COUNT_COLUMNS, COUNT_TYPES)
 
 
 def seat(customers: np.ndarray, weight: np.ndarray, discount: float, rng) -> np.ndarray:
@@ -329,7 +329,7 @@ def sweep(model, burn_in: int, samples: int, answer: bool):
                 [*(pa.array([v], t) for v, t in zip(values, SWEEP_TYPES)), pa.nulls(1, pa.int32()),
                  pa.nulls(1, pa.float64())], [*SWEEP_COLUMNS, "class", "value"])
         if any_row:
-            yield class_rows([], tables, SWEEP_COLUMNS, SWEEP_TYPES)
+            yield class_rows(tables, SWEEP_COLUMNS, SWEEP_TYPES)
     return run
 
 
@@ -422,7 +422,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        F.col(text_col).alias("text"))
     table = stored(rows.mapInArrow(
         make_batches(arrow), f"batch long, ids array<{name}>, held array<boolean>, sizes binary, words binary, "
-                             "tokens binary, total long, class int, n long"), "lm-batches")
+                             "tokens binary, total long, class int, n long"), "lm-batches", None)
     batches = table.filter("batch is not null")
     total = batches.agg(F.sum("total").alias("n")).first()["n"] or 0
     n_buckets = max(shuffle_partitions(spark), -(-total // BUCKET_TOKENS))
@@ -431,7 +431,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     requests = "bucket int, batch long, blob binary"
     counted = (parts.mapInArrow(send(n_buckets, True), requests).select("bucket", "blob")
                .repartition(n_buckets, "bucket").sortWithinPartitions("bucket"))
-    counts = stored(counted.mapInArrow(merge_counts, COUNT_SCHEMA), "lm-counts")
+    counts = stored(counted.mapInArrow(merge_counts, COUNT_SCHEMA), "lm-counts", None)
     dishes = counts.filter("bucket is not null").select("bucket", "blob")
     s = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNT_COLUMNS[2:]]).first()
     model = {"d": discount(s["one"], s["two"]), "d0": discount(s["root_one"], s["root_two"]), "v": s["words"],
@@ -440,7 +440,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def swept(burn_in: int, samples: int, give: bool) -> DataFrame:
         held = spark.sparkContext.broadcast(model)
-        out = stored(dishes.mapInArrow(sweep(held, burn_in, samples, give), SWEEP_SCHEMA), "lm-sweep")
+        out = stored(dishes.mapInArrow(sweep(held, burn_in, samples, give), SWEEP_SCHEMA), "lm-sweep", None)
         r = out.agg(F.coalesce(F.sum("root"), F.lit(0.0)).alias("a"),
                     F.coalesce(F.sum("root_tables"), F.lit(0.0)).alias("b")).first()
         model.update(tables=class_vector(out, "value"), root=r["a"], root_tables=r["b"])

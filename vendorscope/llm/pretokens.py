@@ -2,8 +2,8 @@
 
 Pre-tokens repeat (Zipf), so each slice of texts is split once and its
 distinct pre-tokens (or stretches of whole pre-tokens) are handed to an
-encoder together; a text is then the concatenation of their encodings. The table of distinct pre-tokens
-is a cache only: it starts anew when it holds ``MAX_WORDS``.
+encoder together; a text is then the concatenation of their encodings. What was encoded lately is kept in two
+generations of ``MAX_WORDS`` / 2 each: a cache only, of bounded size.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Callable, Iterator, Sequence
-from itertools import islice
 
 import regex
 
@@ -19,8 +18,8 @@ from vendorscope.llm.common import by_value
 
 by_value(__name__)
 
-SLICE_CHARS = 12_000_000
-MAX_WORDS = 1_000_000
+SLICE_CHARS = 6_000_000
+MAX_WORDS = 600_000
 
 
 def slices(texts: Sequence[str | None], most: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
@@ -45,24 +44,40 @@ class Numbers(dict):
 
 
 class WordTable:
-    """encode(new keys) -> one value each; ``split`` gives a text's keys."""
+    """encode(new keys) -> one value each (never None); ``split`` gives a
+    text's keys."""
 
     def __init__(self, split: Callable[[str], list], encode: Callable[[list], list]):
         self.split = split
         self.encode = encode
-        self.numbers = Numbers()
-        self.values: list = []
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def values_of(self, keys: list) -> list:
+        """Values of distinct keys; those used now outlive the older ones."""
+        if len(self.young) >= MAX_WORDS // 2:
+            self.old, self.young = self.young, {}
+        out = list(map(self.young.get, keys))
+        missing = [i for i, v in enumerate(out) if v is None]
+        new = []
+        for i in missing:
+            v = self.old.get(keys[i])
+            if v is None:
+                new.append(i)
+            else:
+                out[i] = self.young[keys[i]] = v
+        if new:
+            words = [keys[i] for i in new]
+            for i, k, v in zip(new, words, self.encode(words)):
+                out[i] = self.young[k] = v
+        return out
 
     def encode_texts(self, texts: Sequence[str | None]) -> Iterator[list]:
         """Per text the list of its keys' values."""
-        if len(self.numbers) > MAX_WORDS:
-            self.numbers, self.values = Numbers(), []
-        number, known = self.numbers.__getitem__, len(self.values)
+        numbers = Numbers()
+        number = numbers.__getitem__
         coded = [array("I", map(number, self.split(t))) if t else array("I") for t in texts]
-        new = list(islice(self.numbers, known, None))
-        if new:
-            self.values.extend(self.encode(new))
-        value = self.values.__getitem__
+        value = self.values_of(list(numbers)).__getitem__
         for row in coded:
             yield list(map(value, row))
 

@@ -39,7 +39,7 @@ from vendorscope.llm.pretokens import slices
 by_value(__name__)
 
 CLASSES = 64
-SLICE = 2_000_000
+SLICE = 1_000_000
 PER_CLASS = 4000
 FEATURES = 20_000
 PREFIXES = (4, 5, 6)
