@@ -85,7 +85,8 @@ def test_unpartitioned_windows_only_after_limits(ctx):
 def test_pareto_ranks_once_and_never_sorts_all_vendors(ctx):
     for df in (R.vendor_pareto(ctx.clean), R.vendor_dependency(ctx.clean), R.top_vendor_share(ctx.clean)):
         plan = physical(df)
-        assert plan.count("TakeOrderedAndProject") == 1 and "rangepartitioning" not in plan
+        tree = plan.split("\n\n")[0]                        # the details repeat every operator
+        assert tree.count("TakeOrderedAndProject") == 1 and "rangepartitioning" not in plan
 
 
 def test_top_k_plans_as_take_ordered(ctx):
