@@ -180,6 +180,7 @@ SUSPECT[[ord(c) for c in STANDS_FOR]] = True
 
 def suspects(texts: list[str], table: np.ndarray) -> list[bool]:
     """Which texts have a mark at all (a superset, found without a regex)."""
+    texts = [f" {t} " for t in texts]                      # no text sees its neighbours
     low, starts = letters(texts, table)
     raw = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = low != 32
