@@ -67,6 +67,7 @@ class StretchEncoder:
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.sizes[i] = len(token)              # one character of a byte-level token per byte
+        self.table: WordTable | None = None
         self.marks = {c: little(self.coder.encode(c, add_special_tokens=False).ids) for c in ",.;:!?"}
 
     def words(self, words: list[str]) -> list[bytes]:
@@ -85,24 +86,39 @@ class StretchEncoder:
 
     def __call__(self, keys: list) -> list[bytes]:
         """A word is encoded once with and without a closing mark."""
-        cores, at, tails = {}, [], []
-        for k in keys:
+        cores: dict[str, int] = {}
+        out: list = []
+        later: list[tuple[int, int, bytes]] = []
+        known, values = self.table.numbers.get, self.table.values
+        for i, k in enumerate(keys):
             w, tail = stretch(k), b""
             if w[-1:] in self.marks:
                 core = w[:-1]
                 if core.lstrip(" ").isalpha() and (core.isascii() or max(core) < LATIN_END):
                     w, tail = core, self.marks[w[-1]]
-            at.append(cores.setdefault(w, len(cores)))
-            tails.append(tail)
+                    n = known(core[1:]) if core[0] == " " else None      # the word alone, met before
+                    if n is not None and n < len(values):
+                        out.append(values[n] + tail)
+                        continue
+            later.append((i, cores.setdefault(w, len(cores)), tail))
+            out.append(None)
         coded = self.words(list(cores))
-        return [coded[i] + tail for i, tail in zip(at, tails)]
+        for i, n, tail in later:
+            out[i] = coded[n] + tail
+        return out
+
+
+def stretch_table(tokenizer: str) -> WordTable:
+    encoder = StretchEncoder(tokenizer)
+    encoder.table = WordTable(by_spaces, encoder)
+    return encoder.table
 
 
 def piece_batches(tokenizer, capacity: int, end_id: int, with_ids: bool):
     """mapInArrow body: (id, text) -> one row per piece."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         definition = tokenizer.value
-        table = worker_kept(("stretches", definition), lambda: WordTable(by_spaces, StretchEncoder(definition)))
+        table = worker_kept(("stretches", definition), lambda: stretch_table(definition))
         part, seen, end = task_number(), [0] * (capacity + 1), little([end_id])
         for b in batches:
             ids, texts = b.column(0), b.column(1).to_pylist()
