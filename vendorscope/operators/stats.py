@@ -9,6 +9,7 @@ through an Arrow-batched pandas UDF.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -39,8 +40,8 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
                     "max"))
 
 
-# columns of one aggregate's pair blocks: 8 x 8 pairs keep the generated code small
-PAIR_BLOCK = 8
+# 5 x 5 pairs of one covariance each stay inside generated code (about 100 buffer fields)
+PAIR_BLOCK = 5
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -48,8 +49,9 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
 
     Pairwise-complete Pearson r as aggregates over the wide row: one aggregate
     per block of column pairs, each one row per partition before its shuffle;
-    no row is multiplied. A constant or one-row column gives NULL, not an ANSI
-    error."""
+    no row is multiplied. A first aggregate finds the columns without missing
+    values and their deviations, whose pairs need the covariance alone. A
+    constant or one-row column gives NULL, not an ANSI error."""
     cols = list(columns) if columns is not None else numeric_columns(df.schema)
     k = len(cols)
 
@@ -57,7 +59,15 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
         x = F.col(cols[i]).cast("double")
         return F.when(~F.isnan(x), x)
 
+    first = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(clean(i)).alias(f"n{i}") for i in range(k)],
+                   *[F.stddev_samp(clean(i)).alias(f"s{i}") for i in range(k)]).first()
+    spread = [first[f"s{i}"] if first[f"n{i}"] == first["n"] and first[f"s{i}"] and math.isfinite(first[f"s{i}"]) else None
+              for i in range(k)]
+
     def pair(i: int, j: int):
+        if spread[i] and spread[j]:
+            x, y = F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double")
+            return nan_to_null(F.covar_samp(x, y) / F.lit(spread[i]) / F.lit(spread[j])).alias(f"r_{i}_{j}")
         x, y = clean(i), clean(j)
         both = x.isNotNull() & y.isNotNull()
         r = F.try_divide(F.covar_samp(x, y), F.stddev_samp(F.when(both, x)) * F.stddev_samp(F.when(both, y)))
