@@ -193,15 +193,19 @@ def fit(train: DataFrame, id_col: str, text_col: str, lang_col: str, bits: int =
     idf[held["bucket"].to_numpy()] = np.log((1 + n_docs) / (1 + held["n"].to_numpy(float))) + 1
     sample = (sampled(train, F.col("lang"), "id", per_class).select("h", "lang", "text")
               .mapInArrow(sparse_rows(bits, orders), "h long, lang string, buckets array<int>, shares array<float>"))
-    rows = sample.toArrow().sort_by([("h", "ascending"), ("lang", "ascending")]).to_pylist()
-    classes = sorted({r["lang"] for r in rows})
+    rows = sample.toArrow().sort_by([("h", "ascending"), ("lang", "ascending")])
+    told = rows.column("lang").to_pylist()
+    classes = sorted(set(told))
     if not classes:
         return None
     number = {c: i for i, c in enumerate(classes)}
+    # arrays all the way: as Python numbers the sample would take many times its size
+    lists, shares = (pa.concat_arrays(rows.column(c).chunks) for c in ("buckets", "shares"))
+    cuts, flat, weight = lists.offsets.to_numpy(), lists.values.to_numpy(), shares.values.to_numpy()
     data = []
-    for r in rows:
-        at = np.array(r["buckets"], np.int64)
-        data.append((at, np.array(r["shares"]) * idf[at] * SCALE, number[r["lang"]]))
+    for i, lang in enumerate(told):
+        at = flat[cuts[i]:cuts[i + 1]].astype(np.int64)
+        data.append((at, weight[cuts[i]:cuts[i + 1]] * idf[at] * SCALE, number[lang]))
     order = np.random.default_rng(5).permutation(len(data))
     held_back = [data[i] for i in order[: len(data) // 5]]
     learn = [data[i] for i in order[len(data) // 5:]]
