@@ -5,6 +5,7 @@ import numpy as np
 
 from tests.llm.helpers import crc_mod, docs_of, prose, words
 from vendorscope.llm.pitman_yor import Batch, pack, pack_tokens, score_texts, seat, unpack, unpack_tokens
+from vendorscope.llm.shingles import Shingler
 
 
 def corpus():
@@ -87,3 +88,23 @@ def test_nothing_to_learn_from(spark):
     held = [i for i in range(100) if crc_mod(i, 10) == 0][:3]
     got = score_texts(docs_of(spark, [(i, "a b") for i in held])).collect()
     assert len(got) == 3 and all(r.n_known == 0 and r.train_tokens == 0 and abs(r.score) < 1e-9 for r in got)
+
+
+def test_every_previous_word_has_its_own_restaurant(spark):
+    """Two words whose hashes share their first 12 bits are not one context."""
+    names = [f"w{i}" for i in range(2000)]
+    hashes, _ = Shingler(1).word_hashes([" ".join(names).encode()])
+    first = {}
+    for name, h in zip(names, (hashes >> np.uint64(52)).tolist()):
+        if h in first:
+            one, two = first[h], name
+            break
+        first[h] = name
+    learn = [i for i in range(200) if crc_mod(i, 10)][:80]
+    held = [i for i in range(1000) if crc_mod(i, 10) == 0][:4]
+    rows = [(i, f"{one} alpha" if k % 2 else f"{two} beta") for k, i in enumerate(learn)]
+    rows += list(zip(held, (f"{one} alpha", f"{one} beta", f"{two} alpha", f"{two} beta")))
+    got = {r.doc_id: r.score for r in score_texts(docs_of(spark, rows)).collect()}
+    a, b, c, d = (got[i] for i in held)
+    assert a - b > 1 and d - c > 1
+    assert abs(10 ** a - 0.5) < 0.1                # START has two words, each has one successor and the end

@@ -1,9 +1,8 @@
 """Language-model scoring with a hierarchical Pitman-Yor process.
 
 Model: a root restaurant over all token types (base: uniform over the V known
-types and one unknown) and one context restaurant per class of the previous
-token, all with the root as parent; classes are ``CLASS_BITS`` bits of the
-previous token's hash, so all contexts together are two vectors of fixed size.
+types and one unknown) and one context restaurant per distinct previous token
+(its 64-bit hash; START before a text), all with the root as parent.
 P(w | u) = (c_uw - d t_uw) / (s + c_u) + (s + d t_u) / (s + c_u) P(w).
 
 Seating: how many tables t serve each dish is sampled by Gibbs, one (context,
@@ -19,11 +18,16 @@ predictive probabilities are averaged; its own totals normalise the result.
 
 Data flow (tokens are 64-bit hashes): texts become stored batches of token
 numbers with the batch's distinct words. Batches send their training counts by
-(word, class), already summed, to buckets of words; buckets merge them, run the
-sweeps, and answer the batches' distinct pairs; batches add up their texts.
-No word list or model passes through the driver: it holds two vectors of
-``2**CLASS_BITS`` numbers and a few totals. What one word can send is bounded
-by the number of classes for each batch, however frequent it is.
+(word, previous word), already summed, to buckets of words; buckets merge them,
+run the sweeps, and answer the batches' distinct pairs; batches add up their
+texts. The tables of a context lie in many buckets: each bucket sends its sums by
+context to the context's bucket, which adds them up and answers the buckets that
+seat there (a pair seen once has one table, so only contexts of pairs seen more
+often are sent again after a job). A context's customers are its own count as a
+word. No word list or model passes through the driver: it holds a few totals.
+What one word can send is bounded by the distinct words of each batch, and what
+its bucket holds by the distinct words of the corpus, however frequent it is; a
+frequent context is one number a bucket.
 
 Defined cases: a null or empty text is its end token alone; without training
 texts every token is unknown with probability 1; repeated rows are scored (and
@@ -46,7 +50,6 @@ from vendorscope.llm.shingles import Shingler, length_slices
 
 by_value(__name__)
 
-CLASS_BITS = 12
 SLICE_BYTES = 12_000_000
 SMALL_BYTES = 2_000_000
 BUCKET_TOKENS = 2_000_000
@@ -89,30 +92,32 @@ def unpack_tokens(blob: bytes) -> np.ndarray:
     return order[rank]
 
 
-def deltas(x: np.ndarray) -> np.ndarray:
-    """Differences modulo 2**16 (short for sorted runs)."""
-    return np.diff(x.astype(np.uint16), prepend=np.uint16(0))
+def pack_contexts(hashes: np.ndarray) -> list[np.ndarray]:
+    """The distinct hashes, sorted, and each one's place in them, as differences
+    in byte planes (short for sorted runs)."""
+    own, at = np.unique(hashes, return_inverse=True)
+    planes = (np.diff(at, prepend=0) % max(1, len(own))).astype("<u4").view(np.uint8).reshape(-1, 4)
+    return [own, *(np.ascontiguousarray(planes[:, k]) for k in range(4))]
 
 
-def undo_deltas(x: np.ndarray) -> np.ndarray:
-    return np.cumsum(x, dtype=np.uint16).astype(np.int64)
+def unpack_contexts(own: np.ndarray, *planes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    steps = np.ascontiguousarray(np.stack(planes, axis=1)).view("<u4").ravel()
+    return own, np.cumsum(steps, dtype=np.int64) % max(1, len(own))
 
 
 def make_batches(kind: pa.DataType):
-    """mapInArrow body: (id, held_out, text) -> one row per slice of texts,
-    then the task's training tokens by context class."""
-    names = ["batch", "ids", "held", "sizes", "words", "tokens", "total", "class", "n"]
+    """mapInArrow body: (id, held_out, text) -> one row per slice of texts."""
+    names = ["batch", "ids", "held", "sizes", "words", "tokens", "total", "texts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_worker()
         shingler, number = Shingler(1), task_number() << 24
-        classes, any_row = np.zeros(1 << CLASS_BITS, np.int64), False
         for b in batches:
             column = b.column(2).cast(pa.binary())
             lengths = pc.fill_null(pc.binary_length(column), 0).to_pylist()
             held = np.array(b.column(1).to_pylist(), bool)
             for first, last in length_slices(lengths, SLICE_BYTES):
-                any_row, parts, sizes = True, [], []
+                parts, sizes = [], []
                 for s, e in length_slices(lengths[first:last], SMALL_BYTES):
                     # only this part's texts are Python objects at a time
                     texts = [t or b"" for t in column.slice(first + s, e - s).to_pylist()]
@@ -126,50 +131,49 @@ def make_batches(kind: pa.DataType):
                 token[is_end], token[~is_end] = END, np.concatenate(parts)
                 words, at = np.unique(token, return_inverse=True)
                 own = held[first:last]
-                context = context_classes(words, at, sizes)
-                classes += np.bincount(context[np.repeat(~own, sizes)], minlength=len(classes))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([number], pa.int64()), pa.array([b.column(0).slice(first, last - first).to_pylist()], pa.list_(kind)),
                      pa.array([own.tolist()], pa.list_(pa.bool_())), pa.array([pack(sizes.astype(np.int64))], pa.binary()),
                      pa.array([pack(words)], pa.binary()), pa.array([pack_tokens(at, len(words))], pa.binary()),
-                     pa.array([len(token)], pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64())], names)
+                     pa.array([len(token)], pa.int64()), pa.array([int((~own).sum())], pa.int64())], names)
                 number += 1
-        if any_row:
-            at = np.flatnonzero(classes)
-            none = pa.nulls(len(at))
-            yield pa.RecordBatch.from_arrays(
-                [none.cast(pa.int64()), none.cast(pa.list_(kind)), none.cast(pa.list_(pa.bool_())),
-                 *(none.cast(pa.binary()) for _ in range(3)), none.cast(pa.int64()),
-                 pa.array(at, pa.int32()), pa.array(classes[at], pa.int64())], names)
     return run
 
 
-def context_classes(words: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Class of the token before each token (of START at a text's first)."""
-    shift = np.uint64(64 - CLASS_BITS)
-    of_word = (words >> shift).astype(np.int64)
+def contexts_of(at: np.ndarray, sizes: np.ndarray, n_words: int) -> np.ndarray:
+    """Number of the token before each token (``n_words`` at a text's first)."""
     out = np.empty(len(at), np.int64)
-    out[1:] = of_word[at[:-1]]
-    out[np.cumsum(sizes) - sizes] = int(START >> shift)
+    out[1:] = at[:-1]
+    out[np.cumsum(sizes) - sizes] = n_words
     return out
 
 
+def bucket_of(hashes: np.ndarray, n: int) -> np.ndarray:
+    return ((hashes >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+
+
+def ranges(hashes: np.ndarray, n: int) -> list[tuple[int, int, int]]:
+    """(bucket, first, last) of sorted hashes."""
+    own = bucket_of(hashes, n)
+    begin = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else []
+    return [(int(own[a]), int(a), int(z)) for a, z in zip(begin, np.append(begin[1:], len(own)))]
+
+
 class Batch:
-    """A stored batch: words, token numbers and its distinct (word, class) pairs."""
+    """A stored batch: words, token numbers and its distinct (word, previous
+    word) pairs; START is the context after the last word."""
 
     def __init__(self, sizes: bytes, words: bytes, tokens: bytes):
         (self.sizes,), (self.words,) = unpack(sizes), unpack(words)
         self.at = unpack_tokens(tokens)
-        code = (self.at << CLASS_BITS) | context_classes(self.words, self.at, self.sizes)
+        code = (self.at << 32) | contexts_of(self.at, self.sizes, len(self.words))
         self.pairs, self.pair_at = np.unique(code, return_inverse=True)
-        self.pair_word = self.pairs >> CLASS_BITS
-        self.pair_class = self.pairs & ((1 << CLASS_BITS) - 1)
+        self.pair_word = self.pairs >> 32
+        self.pair_context = self.pairs & 0xFFFFFFFF
 
     def buckets(self, n: int) -> list[tuple[int, int, int]]:
         """(bucket, first word, last word): ranges of the words' hashes."""
-        own = ((self.words >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
-        begin = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-        return [(int(own[a]), int(a), int(z)) for a, z in zip(begin, np.append(begin[1:], len(own)))]
+        return ranges(self.words, n)
 
 
 def send(n_buckets: int, counting: bool):
@@ -179,23 +183,23 @@ def send(n_buckets: int, counting: bool):
         for b in batches:
             for number, held, *blobs in zip(*(b.column(k).to_pylist() for k in range(5))):
                 batch = Batch(*blobs)
-                word, cls = batch.pair_word, batch.pair_class
+                word, context = batch.pair_word, np.append(batch.words, START)[batch.pair_context]
                 if counting:
                     train = np.repeat(~np.array(held, bool), batch.sizes)
                     counts = np.bincount(batch.pair_at[train], minlength=len(batch.pairs))
                     some = np.flatnonzero(counts)
-                    word, cls, counts = word[some], cls[some], counts[some]
+                    word, context, counts = word[some], context[some], counts[some]
                 rows = []
                 for bucket, a, z in batch.buckets(n_buckets):
                     i, j = np.searchsorted(word, (a, z))
                     per_word = np.bincount(word[i:j] - a, minlength=z - a).astype(np.uint32)
-                    parts = [batch.words[a:z], per_word, deltas(cls[i:j])]
+                    parts = [batch.words[a:z], per_word]
                     if counting:
                         used = per_word > 0
                         if not used.any():
                             continue
-                        parts = [parts[0][used], per_word[used], parts[2], counts[i:j].astype(np.uint32)]
-                    rows.append((bucket, number, pack(*parts)))
+                        parts = [parts[0][used], per_word[used], counts[i:j].astype(np.uint32)]
+                    rows.append((bucket, number, pack(*parts, *pack_contexts(context[i:j]))))
                 if rows:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary()))],
@@ -209,58 +213,106 @@ def runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple]:
         yield from zip(*(b.column(k).to_pylist() for k in range(width)))
 
 
-def class_rows(vector: np.ndarray, names: list[str], types: list) -> pa.RecordBatch:
-    """Rows that carry (class, value) only; the other columns are null."""
-    at = np.flatnonzero(vector)
-    return pa.RecordBatch.from_arrays(
-        [*(pa.nulls(len(at), t) for t in types), pa.array(at, pa.int32()), pa.array(vector[at], pa.float64())],
-        [*names, "class", "value"])
+def table_rows(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
 
-COUNT_COLUMNS = ["bucket", "blob", "words", "tokens", "pairs", "one", "two", "root_one", "root_two"]
-COUNT_TYPES = [pa.int32(), pa.binary()] + [pa.int64()] * 7
-COUNT_SCHEMA = ("bucket int, blob binary, words long, tokens long, pairs long, one long, two long, root_one long, "
-                "root_two long, class int, value double")
+COUNT_COLUMNS = ["bucket", "blob", "many", "words", "tokens", "pairs", "one", "two", "root_one", "root_two", "to", "message"]
+COUNT_TYPES = [pa.int32(), pa.binary(), pa.binary()] + [pa.int64()] * 7 + [pa.int32(), pa.binary()]
+COUNT_SCHEMA = ("bucket int, blob binary, many binary, words long, tokens long, pairs long, one long, two long, "
+                "root_one long, root_two long, to int, message binary")
 
 
-def merge_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def merge_counts(n_buckets: int):
     """mapInArrow body over (bucket, blob) sorted by bucket: one merged row per
-    bucket, then the task's types by context class."""
-    types = np.zeros(1 << CLASS_BITS)
-
-    def merged(bucket: int, held: list[list[np.ndarray]]) -> list[np.ndarray]:
+    bucket, with what the sweeps need of it, and its messages to the buckets of
+    its contexts: (hashes, types, whether the tables are asked for)."""
+    def merged(held: list[list[np.ndarray]]) -> list[np.ndarray]:
         words, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
         word = np.repeat(at, np.concatenate([h[1] for h in held]))
-        code = (word.astype(np.int64) << CLASS_BITS) | np.concatenate([undo_deltas(h[2]) for h in held])
+        contexts, place = np.unique(np.concatenate([h[3] for h in held]), return_inverse=True)
+        first = np.cumsum([0] + [len(h[3]) for h in held])
+        code = (word.astype(np.int64) << 32) | np.concatenate([place[f + h[4]] for f, h in zip(first, held)])
         pairs, inverse = np.unique(code, return_inverse=True)
-        n = np.bincount(inverse, weights=np.concatenate([h[3] for h in held]))
-        per_word = np.bincount(pairs >> CLASS_BITS, minlength=len(words))
-        return [words, per_word.astype(np.uint32), deltas(pairs & ((1 << CLASS_BITS) - 1)), n.astype(np.uint64)]
+        n = np.bincount(inverse, weights=np.concatenate([h[2] for h in held]))
+        per_word = np.bincount(pairs >> 32, minlength=len(words))
+        return [words, per_word.astype(np.uint32), n.astype(np.uint64), contexts, pairs & 0xFFFFFFFF]
 
     def row(bucket: int, held: list[list[np.ndarray]]) -> pa.RecordBatch:
-        words, per_word, cls, n = merged(bucket, held)
-        types[:] += np.bincount(undo_deltas(cls), minlength=len(types))
-        values = [bucket, pack(words, per_word, cls, n), len(words), int(n.sum()), len(n), int((n == 1).sum()),
-                  int((n == 2).sum()), int((per_word == 1).sum()), int((per_word == 2).sum())]
-        return pa.RecordBatch.from_arrays(
-            [*(pa.array([v], t) for v, t in zip(values, COUNT_TYPES)), pa.nulls(1, pa.int32()), pa.nulls(1, pa.float64())],
-            [*COUNT_COLUMNS, "class", "value"])
-
-    last, held, any_row, size = None, [], False, 0
-    for bucket, blob in runs(batches, 2):
-        if bucket != last and held:
+        words, per_word, n, contexts, at = merged(held)
+        word = np.repeat(np.arange(len(words), dtype=np.uint32), per_word)
+        many = np.flatnonzero(n > 1)
+        asked, place = np.unique(at[many], return_inverse=True)
+        single = np.bincount(word[n == 1], minlength=len(words)).astype(np.uint32)
+        small = pack(per_word, single, word[many], n[many], contexts[asked], place.astype(np.uint32))
+        rows = [(bucket, pack(words, per_word, n, *pack_contexts(contexts[at])), small, len(words), int(n.sum()), len(n),
+                 int((n == 1).sum()), int((n == 2).sum()), int((per_word == 1).sum()), int((per_word == 2).sum()), None, None)]
+        types = np.bincount(at, minlength=len(contexts)).astype(np.uint32)
+        ask = np.zeros(len(contexts), np.uint8)
+        ask[asked] = 1
+        rows += [(bucket, *[None] * 9, to, pack(contexts[a:z], types[a:z], ask[a:z]))
+                 for to, a, z in ranges(contexts, n_buckets)]
+        return table_rows(rows, COUNT_COLUMNS, COUNT_TYPES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, size = None, [], 0
+        for bucket, blob in runs(batches, 2):
+            if bucket != last and held:
+                yield row(last, held)
+                held, size = [], 0
+            last = bucket
+            words, per_word, n, *contexts = unpack(blob)
+            held.append([words, per_word, n, *unpack_contexts(*contexts)])
+            size += len(n)
+            if size > 4_000_000:                   # what is held stays near the bucket's distinct pairs
+                held = [merged(held)]
+                size = len(held[0][2]) // 2
+        if held:
             yield row(last, held)
-            held, size = [], 0
-        last, any_row = bucket, True
-        held.append(unpack(blob))
-        size += len(held[-1][3])
-        if size > 8_000_000:                       # what is held stays near the bucket's distinct pairs
-            held = [merged(bucket, held)]
-            size = len(held[0][3]) // 2
-    if held:
-        yield row(last, held)
-    if any_row:
-        yield class_rows(types, COUNT_COLUMNS, COUNT_TYPES)
+    return run
+
+
+TOTAL_COLUMNS = ["to", "bucket", "blob", "start"]
+TOTAL_TYPES = [pa.int32(), pa.int32(), pa.binary(), pa.float64()]
+TOTAL_SCHEMA = "to int, bucket int, blob binary, start double"
+
+
+def context_totals(reply: bool):
+    """mapInArrow body over (to, bucket, blob) sorted by both (null first: the
+    contexts' types, if known): the tables of each context of a bucket, and
+    (if asked for) its replies to the messages."""
+    def rows_of(to: int, known: list | None, messages: list) -> list[tuple]:
+        if known is None:
+            hashes, at = np.unique(np.concatenate([m[0] for _, m in messages]), return_inverse=True)
+            total = np.zeros(len(hashes))
+            asks = [m[0][m[2] > 0] for _, m in messages]
+        else:
+            hashes, total = known[0], known[1].astype(float)
+            asks = [m[0] for _, m in messages]
+            at = np.searchsorted(hashes, np.concatenate([np.zeros(0, np.uint64), *asks]))
+        if messages:
+            total += np.bincount(at, weights=np.concatenate([m[1] for _, m in messages]), minlength=len(hashes))
+        out = [(to, None, pack(hashes, total.astype(np.float32)), float(total[hashes == START].sum()))]
+        if reply:
+            out += [(to, b, pack(total[np.searchsorted(hashes, ask)].astype(np.float32)), None)
+                    for (b, _), ask in zip(messages, asks) if len(ask)]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, known, messages = None, None, []
+        for to, bucket, blob in runs(batches, 3):
+            if to != last:
+                if last is not None:
+                    yield table_rows(rows_of(last, known, messages), TOTAL_COLUMNS, TOTAL_TYPES)
+                last, known, messages = to, None, []
+            if bucket is None:
+                known = unpack(blob)
+            else:
+                messages.append((bucket, unpack(blob)))
+        if last is not None:
+            yield table_rows(rows_of(last, known, messages), TOTAL_COLUMNS, TOTAL_TYPES)
+    return run
 
 
 def seat(customers: np.ndarray, weight: np.ndarray, discount: float, rng) -> np.ndarray:
@@ -283,80 +335,106 @@ def seat(customers: np.ndarray, weight: np.ndarray, discount: float, rng) -> np.
     return out
 
 
-SWEEP_COLUMNS = ["bucket", "blob", "root", "root_tables"]
-SWEEP_TYPES = [pa.int32(), pa.binary(), pa.float64(), pa.float64()]
-SWEEP_SCHEMA = "bucket int, blob binary, root double, root_tables double, class int, value double"
+SWEEP_COLUMNS = ["bucket", "blob", "root", "root_tables", "to", "message"]
+SWEEP_TYPES = [pa.int32(), pa.binary(), pa.float64(), pa.float64(), pa.int32(), pa.binary()]
+SWEEP_SCHEMA = "bucket int, blob binary, root double, root_tables double, to int, message binary"
 
 
-def sweep(model, burn_in: int, samples: int, answer: bool):
-    """mapInArrow body over (bucket, blob) of counts: Gibbs sweeps; per bucket
-    the averaged discounted counts (if asked for) and the root's totals, then
-    the task's averaged tables by context class."""
+def sweep(model, burn_in: int, samples: int, answer: bool, n_buckets: int):
+    """mapInArrow body over (bucket, part, blob) sorted by both (null first:
+    what the sweeps need of the counts, then the tables of the contexts asked
+    for): Gibbs sweeps; per bucket the averaged tables and the root's discounted
+    counts (if asked for) and the root's totals, then its messages to the
+    buckets of its contexts: (hashes, tables beyond one a type)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        tables, any_row = np.zeros(1 << CLASS_BITS), False
-        for bucket, blob in runs(batches, 2):
-            any_row = True
-            words, per_word, delta, n = unpack(blob)
-            cls, n, per_word = undo_deltas(delta), n.astype(np.int64), per_word.astype(np.int64)
-            word = np.repeat(np.arange(len(words)), per_word)
+
+        def swept(bucket: int, counts: list[np.ndarray], tables: list[np.ndarray]) -> pa.RecordBatch:
+            per_word, single, word, n, asked, place = counts
+            tables = np.concatenate([np.zeros(0), *tables])
+            n, per_word = n.astype(np.int64), per_word.astype(np.int64)
             rng = np.random.default_rng([29, bucket, burn_in])
-            many = np.flatnonzero(n > 1)
-            single = np.bincount(word[n == 1], minlength=len(words))
             base = (STRENGTH + m["d0"] * m["root_tables"]) / (m["v"] + 1)
             p = (per_word - m["d0"] + base) / (STRENGTH + m["root"])
-            t_mean = np.ones(len(n))
-            t_mean[many] = 0
-            root_mean, seat_mean = np.zeros(len(words)), np.zeros(len(words))
-            opening = STRENGTH + m["d"] * m["tables"][cls[many]]
+            t_mean, root_mean, seat_mean = np.zeros(len(n)), np.zeros(len(per_word)), np.zeros(len(per_word))
+            opening = STRENGTH + m["d"] * tables[place]
             for k in range(burn_in + samples):
-                t = seat(n[many], opening * p[word[many]], m["d"], rng)
-                root = single + np.bincount(word[many], weights=t, minlength=len(words))
-                seats = seat(root, np.full(len(words), base), m["d0"], rng)
+                t = seat(n, opening * p[word], m["d"], rng)
+                root = single + np.bincount(word, weights=t, minlength=len(per_word))
+                seats = seat(root, np.full(len(per_word), base), m["d0"], rng)
                 p = (root - m["d0"] * seats + base) / (STRENGTH + m["root"])
                 if k >= burn_in:
-                    t_mean[many] += t / samples
+                    t_mean += t / samples
                     root_mean += root / samples
                     seat_mean += seats / samples
-            tables += np.bincount(cls, weights=t_mean, minlength=len(tables))
-            out = None
-            if answer:
-                total = np.bincount(word, weights=n, minlength=len(words)).astype(np.uint64)
-                out = pack(words, per_word.astype(np.uint32), delta, (n - m["d"] * t_mean).astype(np.float32),
-                           (root_mean - m["d0"] * seat_mean).astype(np.float32), total)
-            values = [bucket, out, float(root_mean.sum()), float(seat_mean.sum())]
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array([v], t) for v, t in zip(values, SWEEP_TYPES)), pa.nulls(1, pa.int32()),
-                 pa.nulls(1, pa.float64())], [*SWEEP_COLUMNS, "class", "value"])
-        if any_row:
-            yield class_rows(tables, SWEEP_COLUMNS, SWEEP_TYPES)
+            out = pack(t_mean.astype(np.float32), (root_mean - m["d0"] * seat_mean).astype(np.float32)) if answer else None
+            more = np.bincount(place, weights=t_mean - 1, minlength=len(asked)).astype(np.float32)
+            rows = [(bucket, out, float(root_mean.sum()), float(seat_mean.sum()), None, None)]
+            rows += [(bucket, None, None, None, to, pack(asked[a:z], more[a:z])) for to, a, z in ranges(asked, n_buckets)]
+            return table_rows(rows, SWEEP_COLUMNS, SWEEP_TYPES)
+
+        own, counts, tables = None, None, []
+        for bucket, part, blob in runs(batches, 3):
+            if part is None:
+                if own is not None:
+                    yield swept(own, counts, tables)
+                own, counts, tables = bucket, unpack(blob), []
+            else:
+                tables.append(unpack(blob)[0])
+        if own is not None:
+            yield swept(own, counts, tables)
     return run
 
 
-def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def answer(model):
     """mapInArrow body over (bucket, kind, batch, blob) sorted by bucket and
-    kind (0 the bucket's dishes, 1 requests): (batch, bucket, blob) answers."""
-    own, dishes = None, None
-    for bucket, kind, batch, blob in runs(batches, 4):
-        if kind == 0:
-            words, per_word, delta, x, r, total = unpack(blob)
-            pair = (np.repeat(np.arange(len(words)), per_word) << CLASS_BITS) | undo_deltas(delta)
-            own, dishes = bucket, (words, pair, x, r, total)
-            continue
-        asked, per_word, delta = unpack(blob)
-        if own != bucket:
-            c, r_out, x_out = np.zeros(len(asked), np.uint64), np.zeros(len(asked), "f4"), np.zeros(len(delta), "f4")
-        else:
-            words, pair, x, r, total = dishes
-            at = np.minimum(np.searchsorted(words, asked), len(words) - 1)
-            known = words[at] == asked
-            c, r_out = np.where(known, total[at], 0).astype(np.uint64), np.where(known, r[at], 0).astype("f4")
-            code = (np.repeat(at, per_word) << CLASS_BITS) | undo_deltas(delta)
-            where = np.minimum(np.searchsorted(pair, code), len(pair) - 1)
-            x_out = np.where((pair[where] == code) & np.repeat(known, per_word), x[where], 0).astype("f4")
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([batch], pa.int64()), pa.array([bucket], pa.int32()), pa.array([pack(c, r_out, x_out)], pa.binary())],
-            ["batch", "bucket", "blob"])
+    kind (0 the bucket's dishes, 1 their sweeps, 2 the tables of the bucket's
+    words as contexts, 3 requests): (batch, bucket, blob) answers."""
+    def found(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(keys):
+            return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        return at, keys[at] == asked
+
+    def looked_up(values: np.ndarray, at: np.ndarray, ok: np.ndarray, kind: str) -> np.ndarray:
+        out = np.zeros(len(at), kind)
+        out[ok] = values[at[ok]]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d, own = model.value["d"], None
+        none, no_hash = np.zeros(0), np.zeros(0, np.uint64)
+        for bucket, kind, batch, blob in runs(batches, 4):
+            if bucket != own:
+                own, words, contexts, hashes = bucket, no_hash, no_hash, no_hash
+                pair, x, r, total, tables = np.zeros(0, np.int64), none, none, none, none
+            if kind == 0:
+                words, per_word, n, *rest = unpack(blob)
+                contexts, place = unpack_contexts(*rest)
+                word = np.repeat(np.arange(len(words)), per_word)
+                pair, n = (word << 32) | place, n.astype(np.int64)
+                total = np.bincount(word, weights=n, minlength=len(words)).astype(np.uint64)
+            elif kind == 1:
+                t_mean, r = unpack(blob)
+                t = np.ones(len(n))
+                t[n > 1] = t_mean
+                x = n - d * t
+            elif kind == 2:
+                hashes, tables = unpack(blob)
+            else:
+                asked, per_word, *rest = unpack(blob)
+                after, place = unpack_contexts(*rest)
+                at, known = found(words, asked)
+                c, r_out = looked_up(total, at, known, "u8"), looked_up(r, at, known, "f4")
+                t_out = looked_up(tables, *found(hashes, asked), "f4")
+                there, seen = found(contexts, after)
+                code = (np.repeat(at, per_word) << 32) | there[place]
+                where, ok = found(pair, code)
+                x_out = looked_up(x, where, ok & np.repeat(known, per_word) & seen[place], "f4")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([batch], pa.int64()), pa.array([bucket], pa.int32()),
+                     pa.array([pack(c, r_out, t_out, x_out)], pa.binary())], ["batch", "bucket", "blob"])
+    return run
 
 
 def score_batches(model, kind: pa.DataType):
@@ -367,11 +445,12 @@ def score_batches(model, kind: pa.DataType):
 
         def scored(ids, held, sizes, words, tokens, answers) -> pa.RecordBatch:
             batch = Batch(sizes, words, tokens)
-            c, r, x = (np.concatenate([a[k] for a in answers]) for k in range(3))
+            c, r, t, x = (np.concatenate([a[k] for a in answers]) for k in range(4))
             base = (STRENGTH + m["d0"] * m["root_tables"]) / (m["v"] + 1)
             p = (r.astype(float) + base) / (STRENGTH + m["root"])
-            cls = batch.pair_class
-            pair = (x + (STRENGTH + m["d"] * m["tables"][cls]) * p[batch.pair_word]) / (STRENGTH + m["classes"][cls])
+            customers = np.append(c.astype(float), m["texts"])[batch.pair_context]
+            tables = np.append(t.astype(float), m["start"])[batch.pair_context]
+            pair = (x + (STRENGTH + m["d"] * tables) * p[batch.pair_word]) / (STRENGTH + customers)
             begin = np.cumsum(batch.sizes) - batch.sizes
             score = np.add.reduceat(np.log10(pair)[batch.pair_at], begin)
             plain = np.log10((c + 0.1) / (m["n"] + 0.1 * (m["v"] + 1)))
@@ -397,14 +476,6 @@ def score_batches(model, kind: pa.DataType):
     return run
 
 
-def class_vector(rows: DataFrame, column: str) -> np.ndarray:
-    """Sums by class: 2**CLASS_BITS numbers, whatever the input."""
-    out = np.zeros(1 << CLASS_BITS)
-    for r in rows.filter("class is not null").groupBy("class").agg(F.sum(column).alias("v")).collect():
-        out[r["class"]] = r["v"]
-    return out
-
-
 def discount(one: int, two: int) -> float:
     """The usual estimate from types seen once and twice, kept off 0 and 1."""
     return min(0.95, max(0.05, one / (one + 2 * two))) if one else 0.5
@@ -420,39 +491,58 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     name = kind.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), (crc_mod(id_col, held_mod) == 0).alias("held"),
                        F.col(text_col).alias("text"))
-    table = stored(rows.mapInArrow(
+    batches = stored(rows.mapInArrow(
         make_batches(arrow), f"batch long, ids array<{name}>, held array<boolean>, sizes binary, words binary, "
-                             "tokens binary, total long, class int, n long"), "lm-batches", None)
-    batches = table.filter("batch is not null")
-    total = batches.agg(F.sum("total").alias("n")).first()["n"] or 0
+                             "tokens binary, total long, texts long"), "lm-batches", None)
+    sums = batches.agg(F.sum("total").alias("n"), F.sum("texts").alias("texts")).first()
+    total = sums["n"] or 0
     n_buckets = max(shuffle_partitions(spark), -(-total // BUCKET_TOKENS))
-    classes = class_vector(table, "n")
     parts = batches.select("batch", "held", "sizes", "words", "tokens")
     requests = "bucket int, batch long, blob binary"
     counted = (parts.mapInArrow(send(n_buckets, True), requests).select("bucket", "blob")
                .repartition(n_buckets, "bucket").sortWithinPartitions("bucket"))
-    counts = stored(counted.mapInArrow(merge_counts, COUNT_SCHEMA), "lm-counts", None)
-    dishes = counts.filter("bucket is not null").select("bucket", "blob")
-    s = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNT_COLUMNS[2:]]).first()
+    counts = stored(counted.mapInArrow(merge_counts(n_buckets), COUNT_SCHEMA), "lm-counts", None)
+    dishes = counts.filter("blob is not null")
+    s = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNT_COLUMNS[3:10]]).first()
     model = {"d": discount(s["one"], s["two"]), "d0": discount(s["root_one"], s["root_two"]), "v": s["words"],
-             "n": s["tokens"], "classes": classes, "tables": class_vector(counts, "value"),
-             "root": float(s["pairs"]), "root_tables": float(s["words"])}
+             "n": s["tokens"], "texts": sums["texts"] or 0, "root": float(s["pairs"]), "root_tables": float(s["words"])}
+
+    def messages(rows: DataFrame) -> DataFrame:
+        return rows.filter("to is not null").select("to", "bucket", F.col("message").alias("blob"))
+
+    def totals(rows: DataFrame, reply: bool) -> DataFrame:
+        """The contexts' tables (bucket null) and the replies."""
+        return stored(rows.repartition(n_buckets, "to").sortWithinPartitions("to", F.col("bucket").asc_nulls_first())
+                      .mapInArrow(context_totals(reply), TOTAL_SCHEMA), "lm-contexts", None)
+
+    types = totals(messages(counts), True)
+    known = types.filter("bucket is null").select("to", "bucket", "blob")
 
-    def swept(burn_in: int, samples: int, give: bool) -> DataFrame:
+    def swept(replies: DataFrame, burn_in: int, samples: int, give: bool) -> tuple[DataFrame, DataFrame]:
         held = spark.sparkContext.broadcast(model)
-        out = stored(dishes.mapInArrow(sweep(held, burn_in, samples, give), SWEEP_SCHEMA), "lm-sweep", None)
+        rows = (dishes.select("bucket", F.lit(None).cast("int").alias("part"), F.col("many").alias("blob"))
+                .unionByName(replies.filter("bucket is not null").select("bucket", F.col("to").alias("part"), "blob"))
+                .repartition(n_buckets, "bucket").sortWithinPartitions("bucket", F.col("part").asc_nulls_first()))
+        out = stored(rows.mapInArrow(sweep(held, burn_in, samples, give, n_buckets), SWEEP_SCHEMA), "lm-sweep", None)
         r = out.agg(F.coalesce(F.sum("root"), F.lit(0.0)).alias("a"),
                     F.coalesce(F.sum("root_tables"), F.lit(0.0)).alias("b")).first()
-        model.update(tables=class_vector(out, "value"), root=r["a"], root_tables=r["b"])
-        return out
+        model.update(root=r["a"], root_tables=r["b"])
+        return out, totals(known.unionByName(messages(out)), not give)
+
+    _, burnt = swept(types, BURN_IN, 1, False)
+    final, tables = swept(burnt, 1, SAMPLES, True)
+    model["start"] = tables.agg(F.coalesce(F.sum("start"), F.lit(0.0)).alias("t")).first()["t"]
+    held = spark.sparkContext.broadcast(model)
 
-    swept(BURN_IN, 1, False)
-    final = swept(1, SAMPLES, True)
-    served = (final.filter("bucket is not null").select("bucket", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("batch"), "blob")
+    def kept(rows: DataFrame, key: str, kind: int) -> DataFrame:
+        return rows.select(F.col(key).alias("bucket"), F.lit(kind).alias("kind"), F.lit(0).cast("long").alias("batch"), "blob")
+
+    served = (kept(dishes, "bucket", 0).unionByName(kept(final.filter("blob is not null"), "bucket", 1))
+              .unionByName(kept(tables, "to", 2))
               .unionByName(parts.mapInArrow(send(n_buckets, False), requests)
-                           .select("bucket", F.lit(1).alias("kind"), "batch", "blob")))
+                           .select("bucket", F.lit(3).alias("kind"), "batch", "blob")))
     answers = (served.repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "kind")
-               .mapInArrow(answer, "batch long, bucket int, blob binary"))
+               .mapInArrow(answer(held), "batch long, bucket int, blob binary"))
     none = F.lit(None)
     whole = batches.select("batch", none.cast("int").alias("bucket"), "ids", "held", "sizes", "words", "tokens",
                            none.cast("binary").alias("blob"))
@@ -462,7 +552,6 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_batches = batches.count()
     joined = (whole.unionByName(parts_back).repartition(max(1, min(n_batches, 4 * shuffle_partitions(spark))), "batch")
               .sortWithinPartitions("batch", F.col("bucket").asc_nulls_first()))
-    held = spark.sparkContext.broadcast(model)
     return joined.mapInArrow(score_batches(held, arrow), f"id {name}, held_out boolean, n_tokens long, n_known long, "
                              "train_tokens long, base_score double, score double, perplexity double"
                              ).withColumnRenamed("id", id_col)
