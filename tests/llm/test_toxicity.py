@@ -120,3 +120,43 @@ def test_without_labels_empty_and_filter(spark):
     out = keep_clean(extra, labels_of(spark, marks))
     assert out.dtypes == extra.dtypes
     assert {r.doc_id for r in out.collect()} == {i for i, _, t in marks if not t}
+
+
+COMBINED = {"m 0 r 0 n": "moron", "1 d 1 0 t": "idiot", "i d 1 o t": "idiot", "m.0.r.o.n": "moron", "i  d  i  o  t": "idiot",
+            "i/d/i/o/t": "idiot", "i,d,i,o,t": "idiot", "ii dd ii oo tt": "idiot", "id-iot": "idiot", "idi.ot": "idiot",
+            "m 00 r 0 n": "moron", "an i - d - 1 - 0 - t": "an idiot", "s_c_u_m": "scum", "mo/r0n": "moron"}
+
+
+def test_combined_disguises():
+    r = Restorer(model_of([prose(1, 3000) + " " + " ".join(BAD * 40) + " the idiot is a moron"]))
+    assert {k: r.restore(k) for k in COMBINED} == COMBINED
+    assert all(suspects(list(COMBINED), letter_table()))
+    plain = ["0 1 1 0 | | + +", "12, 13; 14", "alpha, beta. gamma (alpha)"]
+    assert [r.restore(t) for t in plain] == plain and not any(suspects(plain, letter_table()))
+
+
+def test_suspects_miss_no_stretch():
+    rng = random.Random(5)
+    r = Restorer(model_of(["plain text"]))
+    texts = ["".join(rng.choice("ab0!1 -./,2_") for _ in range(rng.randrange(1, 9))) for _ in range(20_000)]
+    marked = suspects(texts, letter_table())
+    assert not [t for t, odd in zip(texts, marked) if not odd and r.restore(t) != t]
+    assert not any(any(suspects([t], letter_table())) for t in ("a b", "ab cd", ""))
+
+
+def test_combined_disguises_are_toxic(spark):
+    rows, marks = labelled(spark)
+    odd = [(2000 + k, f"alpha beta {a} gamma {b} delta") for k, (a, b) in enumerate(zip(
+        ("m 0 r 0 n", "1 d 1 0 t", "i/d/i/o/t", "ii dd ii oo tt"), ("idi.ot", "mo-ron", "m.0.r.o.n", "i  d  i  o  t")))]
+    got = {r.doc_id: r.predicted for r in toxicity(docs_of(spark, rows + odd), labels_of(spark, marks)).collect()}
+    assert [got[i] for i, _ in odd] == [1] * len(odd)
+
+
+def test_marks_take_linear_time():
+    import time
+    r, table = Restorer(model_of(["plain text"])), letter_table()
+    for t in ("+" * 200_000, "! " * 100_000, "0 1 " * 50_000, "a" + "-" * 200_000, "a,," * 2 + "," * 200_000, "+-" * 100_000):
+        begin = time.process_time()
+        suspects([t], table)
+        r.restore(t)
+        assert time.process_time() - begin < 5

@@ -3,7 +3,8 @@
 A character language model (trigrams over 64 letter classes, interpolated)
 is counted over all texts. Stretches that may be disguised - a digit or sign
 that can stand for a letter beside letters, a letter three times in a row,
-letters set apart one by one - become character lattices: a sign may be any of
+letters or signs (also repeated ones) set apart one by one by any separators,
+separators inside a word - become character lattices: a sign may be any of
 the letters it can stand for or noise, a repeated letter may be dropped, a
 separator may be dropped or end a word, each at a channel cost. Viterbi
 decoding under the language model picks the restored letters; a stretch
@@ -50,11 +51,19 @@ STANDS_FOR = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7":
 SIGN_COST, INNER_NOISE, EDGE_NOISE, DROP_COST, DOUBLE_COST, JOIN_COST = -1.0, -9.0, -5.0, -0.5, -4.0, -0.3
 LEAST_CHI2 = 12.0
 _SIGNS = re.escape("".join(STANDS_FOR))
-#: Stretches to decode: single letters set apart; or tokens with a sign
-#: before a letter, a sign between or after letters, or a letter thrice.
-SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ ._\-*][^\W\d_]){2,}(?![^\W_])")
-TOKEN = re.compile(rf"(?:[^\W_]|[{_SIGNS}._\-*])+")
-MARKED = re.compile(rf"[{_SIGNS}][^\W\d_]|[^\W\d_][0-9@€£|+$]|([^\W\d_])\1\1")
+_SEPARATORS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in STANDS_FOR) + "’·•"
+_SEP = re.escape(_SEPARATORS)
+_OTHER = re.escape("".join(c for c in _SEPARATORS if c not in "._-*"))
+#: Stretches to decode: three or more letters or signs (each maybe repeated)
+#: set apart by any separators, with a letter among them; or tokens with a sign
+#: before a letter, a sign between or after letters, a letter thrice, or
+#: separators between letters or signs. All are linear in the text.
+SPACED = re.compile(rf"(?<![^\W_])([^\W\d_]|(?<![{_SIGNS}])[{_SIGNS}])\1*+"
+                    rf"(?:(?:(?![{_SIGNS}])[\W_])++([^\W\d_]|[{_SIGNS}])\2*+(?![^\W_])){{2,}}")
+TOKEN = re.compile(rf"(?:[^\W_]|[{_SIGNS}._\-*])+(?:[{_OTHER}]+(?:[^\W_]|[{_SIGNS}._\-*])+)*")
+MARKED = re.compile(rf"[{_SIGNS}][^\W\d_]|[^\W\d_][0-9@€£|+$]|([^\W\d_])\1\1|"
+                    rf"[^\W\d_][{_SEP}]+(?:[^\W\d_]|[{_SIGNS}])|[{_SIGNS}][{_SEP}]+[^\W\d_]")
+LETTER = re.compile(r"[^\W\d_]")
 EDGE = re.compile(r"^[._\-*!|+]+|[._\-*!|+]+$|([$@])\1{2,}$")
 MULTIPLIER, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
@@ -98,10 +107,14 @@ def lattice(stretch: str, spaced: bool) -> list[list[tuple[str, float]]]:
         if c.isalpha():
             options = [(c, 0.0)]
             if i and stretch[i - 1] == c:
-                options.append(("", DROP_COST if runs[i] >= 3 else DOUBLE_COST))
+                options.append(("", DROP_COST if spaced or runs[i] >= 3 else DOUBLE_COST))
         elif c in STANDS_FOR:
             noise = INNER_NOISE if 0 < i < len(stretch) - 1 else EDGE_NOISE
             options = [(x, SIGN_COST) for x in STANDS_FOR[c]] + [("", noise), (" ", noise)]
+            if spaced and i and stretch[i - 1] == c:
+                options.append(("", DROP_COST))
+        elif i and not stretch[i - 1].isalpha() and stretch[i - 1] not in STANDS_FOR and not stretch[i - 1].isdigit():
+            options = [("", 0.0)]                              # separators in a row are one
         elif spaced:
             options = [("", JOIN_COST), (" ", 0.0)]
         else:
@@ -170,26 +183,35 @@ class Restorer:
 
     def restore(self, text: str) -> str:
         low = text.lower()
-        low = SPACED.sub(lambda m: self.decode(m[0], True), low)
+        low = SPACED.sub(lambda m: self.decode(m[0], True) if LETTER.search(m[0]) else m[0], low)
         return TOKEN.sub(self.token, low)
 
 
-SUSPECT = np.zeros(1 << 16, bool)
+SUSPECT, SEPARATOR = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
 SUSPECT[[ord(c) for c in STANDS_FOR]] = True
+SEPARATOR[[ord(c) for c in _SEPARATORS]] = True
 
 
 def suspects(texts: list[str], table: np.ndarray) -> list[bool]:
     """Which texts have a mark at all (a superset, found without a regex)."""
     texts = [f" {t} " for t in texts]                      # no text sees its neighbours
     low, starts = letters(texts, table)
-    raw = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = low != 32
-    sign = SUSPECT[np.minimum(raw, 65535)]
-    before, after = np.roll(letter, 1), np.roll(letter, -1)
-    mark = sign & (before | after)
+    raw = np.minimum(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), 65535)
+    letter, sign = low != 32, SUSPECT[raw]
+    mark = (sign | (raw == ord("2"))) & (np.roll(letter, 1) | np.roll(letter, -1))
     mark |= letter & (low == np.roll(low, 1)) & (low == np.roll(low, 2))
-    alone = letter & ~before & ~after
-    mark |= alone & np.roll(alone, 2) & np.roll(alone, 4)
+    # runs of letters and signs: first and last place
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], letter | sign, [False])).astype(np.int8)))
+    first, last = edge[::2], edge[1::2] - 1
+    separator = SEPARATOR[raw]
+    inner = separator[last[:-1] + 1] & separator[first[1:] - 1] & (letter[last[:-1]] | letter[first[1:]])
+    mark[first[1:][inner]] = True
+    some = np.concatenate(([0], np.cumsum((low != np.roll(low, 1)) & letter)))
+    signs, all_letters = np.concatenate(([0], np.cumsum(sign))), np.concatenate(([0], np.cumsum(letter)))
+    alone = (some[last + 1] == some[first + 1]) | (signs[last + 1] > signs[first])
+    spoken = all_letters[last + 1] > all_letters[first]
+    three = alone[2:] & alone[1:-1] & alone[:-2] & (spoken[2:] | spoken[1:-1] | spoken[:-2])
+    mark[first[2:][three]] = True
     total = np.concatenate(([0], np.cumsum(mark)))
     return (total[starts[1:]] > total[starts[:-1]]).tolist()
 
