@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from vendorscope.llm.embedding_graph import near_duplicates, robust_prune, search, unit
+from vendorscope.llm.embedding_graph import audit_recall, near_duplicates, recall_of, robust_prune, search, unit
 
 VECTORS = "vec_id long, embedding array<float>, label int"
 
@@ -98,3 +98,29 @@ def test_pruned_lists_and_search():
     true = x @ x.T >= 0.9
     assert (seen >= 0.9 - 1e-4)[true].mean() > 0.97
     assert robust_prune(x[:1]).tolist() == [[-1] * lists.shape[1]]
+
+
+def nodes_of(spark, vectors):
+    rows = [(k, 1, len(v), [float(x) for x in v]) for k, v in enumerate(vectors)]
+    return spark.createDataFrame(rows, "key long, weight long, dim int, embedding array<float>")
+
+
+def test_audit_sees_lost_small_groups_beside_a_hot_one(spark):
+    """All links of a hot group are found and those of 150 pairs lost; then
+    links so rare that 256 nodes have none."""
+    rng = np.random.default_rng(8)
+    hot = rng.normal(size=32) + rng.normal(size=(300, 32)) * 0.02
+    pairs = np.repeat(rng.normal(size=(150, 32)), 2, axis=0) + rng.normal(size=(300, 32)) * 0.02
+    nodes = nodes_of(spark, np.concatenate([hot, pairs]))
+    counts = spark.createDataFrame([(k, 299, 299) for k in range(300)], "key long, n long, pairs long")
+    assert audit_recall(nodes, 600, counts, 0.9) < 0.1
+    rare = np.concatenate([rng.normal(size=(3000, 32)), pairs[:2]])
+    assert audit_recall(nodes_of(spark, rare), 3002, counts.filter("false"), 0.9) == 0
+    assert audit_recall(nodes_of(spark, rare[:3000]), 3000, counts.filter("false"), 0.9) == 1
+    assert recall_of(np.array([1] * 40 + [500] * 4000), np.array([0] * 40 + [500] * 4000)) == 0
+
+
+def test_all_pairs_where_the_audit_never_holds(spark):
+    rows = [(i, v) for i, v in enumerate(cloud(1, 900))] + [(2000, [1.0, 0.0]), (2001, [1.0, 0.01])]
+    got = near_duplicates(table(spark, rows), overlap=1, beam=1, tries=1, least_recall=2.0).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=str) == brute(rows)

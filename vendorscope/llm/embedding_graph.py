@@ -15,9 +15,13 @@
    shards counts in the least of them, so no pair list is needed: a task sums
    weights per query and returns a spanning forest of its links. Components
    follow.
-5. Audit: for a bounded sample of nodes the true number of links is counted
-   against all nodes. Below ``least_recall`` the search runs again with more
-   overlap and a wider beam.
+5. Audit: for sampled nodes the true number of linked nodes is counted against
+   all nodes. The sample goes on until ``AUDIT`` nodes with a link were seen, and
+   ``STRATUM`` of each size of neighbourhood (powers of two) met by then; where
+   links are rare that may be the whole table. Recall is the mean over nodes with
+   a link, copies aside, or that of the worst such size. Below ``least_recall``
+   the search runs again with more overlap and a wider beam; after ``tries``, and
+   once that costs as much, all pairs of nodes are compared, block by block.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 parts link with nothing; vectors of different length are never compared; rows
@@ -48,7 +52,8 @@ DEGREE, CANDIDATES, ALPHA = 16, 48, 1.2
 CAP = 512
 SHARD_NODES = 256
 SAMPLE_PER_SHARD, MAX_SHARDS = 16, 4096
-AUDIT = 256
+AUDIT, STRATUM, AUDIT_ROUND = 256, 32, 8192
+EXACT_CAP = 1024
 MEDOIDS = 8
 
 
@@ -220,10 +225,11 @@ class Links:
             self.parent[max(a, b)] = min(a, b)
 
 
-def search_cells(threshold: float, beam: int):
+def search_cells(threshold: float, beam: int | None):
     """mapInArrow body over (shard, i, j, role, key, weight, shards, embedding,
-    near) sorted by cell; role 1: data, 2: query, 3: both. Returns (key, n,
-    other): summed weights per query, and edges of a spanning forest."""
+    near) sorted by cell; role 1: data, 2: query, 3: both; without a beam every
+    pair is compared. Returns (key, n, pairs, other): summed weights and linked
+    nodes per query, and edges of a spanning forest."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (shard, *_), t in grouped(batches, 3):
             role, key = t.column(3).to_numpy(), t.column(4).to_numpy()
@@ -233,13 +239,16 @@ def search_cells(threshold: float, beam: int):
             data, query = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
             if not len(data) or not len(query):
                 continue
-            number = {k: i for i, k in enumerate(key[data].tolist())}
-            lists = [[number[y] for y in near[i] or () if y in number] for i in data.tolist()]
-            adjacency = np.full((len(data), max(1, max(map(len, lists)))), -1, np.int64)
-            for i, own in enumerate(lists):
-                adjacency[i, :len(own)] = own
             x32 = x.astype(np.float32)
-            sims = search(x32[query], x32[data], adjacency, beam)
+            if beam is None:
+                sims = x32[query] @ x32[data].T
+            else:
+                number = {k: i for i, k in enumerate(key[data].tolist())}
+                lists = [[number[y] for y in near[i] or () if y in number] for i in data.tolist()]
+                adjacency = np.full((len(data), max(1, max(map(len, lists)))), -1, np.int64)
+                for i, own in enumerate(lists):
+                    adjacency[i, :len(own)] = own
+                sims = search(x32[query], x32[data], adjacency, beam)
             a, z = np.nonzero(sims >= threshold - 1e-4)
             a, z = query[a], data[z]
             ok = key[a] != key[z]
@@ -251,33 +260,39 @@ def search_cells(threshold: float, beam: int):
             ok = np.concatenate([np.einsum("ij,ij->i", x[a[s:s + 65536]], x[z[s:s + 65536]]) >= threshold
                                  for s in range(0, len(a), 65536)] or [np.zeros(0, bool)])
             a, z = a[ok], z[ok]
-            links, total = Links(), {}
+            links, total, nodes = Links(), {}, {}
             for i, j in zip(a.tolist(), z.tolist()):
                 if min(set(homes[i]) & set(homes[j])) == shard:
                     total[i] = total.get(i, 0) + int(weight[j])
+                    nodes[i] = nodes.get(i, 0) + 1
                 links.join(int(key[i]), int(key[j]))
             edges = [(k, r) for k in list(links.parent) if (r := links.find(k)) != k]
-            rows = [(int(key[i]), n, None) for i, n in total.items()] + [(k, None, r) for k, r in edges]
+            rows = [(int(key[i]), n, nodes[i], None) for i, n in total.items()] + [(k, None, None, r) for k, r in edges]
             if rows:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.int64()) for c in zip(*rows)], ["key", "n", "other"])
+                    [pa.array(c, pa.int64()) for c in zip(*rows)], ["key", "n", "pairs", "other"])
     return run
 
 
 def count_true(sample, threshold: float):
-    """mapInArrow body: (key, weight, dim, embedding) -> (key, n): links of the
-    sampled nodes to the nodes of each batch."""
+    """mapInArrow body: (key, dim, embedding) -> (key, pairs): the nodes of each
+    batch that the sampled nodes are linked with."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, weight, dims = (b.column(k).to_numpy() for k in range(3))
+            keys, dims = (b.column(k).to_numpy() for k in range(2))
             for dim, (own, table) in sample.value.items():
                 at = np.flatnonzero(dims == dim)
-                if len(at):
-                    hit = table @ unit(vectors_of(b.column(3).take(pa.array(at)))).T >= threshold
-                    hit &= own[:, None] != keys[at][None, :]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(own), pa.array((hit * weight[at][None, :]).sum(axis=1).astype(np.int64))],
-                        ["key", "n"])
+                total = np.zeros(len(own), np.int64)
+                for s in range(0, len(at), 2048):              # some pairs at a time
+                    part = at[s:s + 2048]
+                    x = unit(vectors_of(b.column(2).take(pa.array(part)))).T
+                    for o in range(0, len(own), 1024):
+                        hit = table[o:o + 1024] @ x >= threshold
+                        hit &= own[o:o + 1024, None] != keys[part][None, :]
+                        total[o:o + 1024] += hit.sum(axis=1)
+                some = np.flatnonzero(total)
+                if len(some):
+                    yield pa.RecordBatch.from_arrays([pa.array(own[some]), pa.array(total[some])], ["key", "pairs"])
     return run
 
 
@@ -296,10 +311,12 @@ def usable(vectors: DataFrame, vec_col: str) -> DataFrame:
     return vectors.filter(v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda e: e != 0))
 
 
-def near_links(nodes: DataFrame, n: int, threshold: float, overlap: int, beam: int, cap: int) -> DataFrame:
-    """(key, n, other) rows of all cells, stored."""
+def near_links(nodes: DataFrame, n: int, threshold: float, overlap: int, beam: int | None,
+               cap: int) -> DataFrame:
+    """(key, n, pairs, other) rows of all cells, stored; without a beam one
+    shard holds all nodes of a length, and every pair is compared."""
     spark = nodes.sparkSession
-    shards = max(1, min(MAX_SHARDS, -(-2 * n // SHARD_NODES)))
+    shards = 1 if beam is None else max(1, min(MAX_SHARDS, -(-2 * n // SHARD_NODES)))
     fraction = min(1.0, shards * SAMPLE_PER_SHARD / max(1, n))
     picked = F.pmod(F.xxhash64("key", F.lit(3)), F.lit(1 << 20)) < F.lit(fraction * (1 << 20))
     # about MAX_SHARDS * SAMPLE_PER_SHARD vectors at most, whatever the input
@@ -319,10 +336,13 @@ def near_links(nodes: DataFrame, n: int, threshold: float, overlap: int, beam: i
     blocks = F.broadcast(each.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / cap).cast("int").alias("blocks")))
     each = each.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("key", F.lit(5)), "blocks").cast("int"))
     parts = shuffle_partitions(spark)
-    edges = (each.select("shard", "block", "key", "embedding").repartition(parts, "shard", "block")
-             .sortWithinPartitions("shard", "block").mapInArrow(build_blocks, "key long, near long"))
-    united = edges.groupBy("key").agg(F.collect_set("near").alias("near"))     # a few dozen a node
-    graph = each.join(united, "key", "left")
+    if beam is None:
+        graph = each.withColumn("near", F.lit(None).cast("array<long>"))
+    else:
+        edges = (each.select("shard", "block", "key", "embedding").repartition(parts, "shard", "block")
+                 .sortWithinPartitions("shard", "block").mapInArrow(build_blocks, "key long, near long"))
+        united = edges.groupBy("key").agg(F.collect_set("near").alias("near"))     # a few dozen a node
+        graph = each.join(united, "key", "left")
     whole = F.sequence(F.lit(0), F.col("blocks") - 1)
     cell = lambda i, j, role: F.struct(i.alias("i"), j.alias("j"), F.lit(role).alias("role"))
     own = F.col("block")
@@ -333,22 +353,42 @@ def near_links(nodes: DataFrame, n: int, threshold: float, overlap: int, beam: i
     rows = graph.withColumn("cell", F.explode(cells)).select(
         "shard", "cell.i", "cell.j", "cell.role", "key", "weight", "shards", "embedding", "near")
     return stored(rows.repartition(parts, "shard", "i", "j").sortWithinPartitions("shard", "i", "j", "key")
-                  .mapInArrow(search_cells(threshold, beam), "key long, n long, other long"), "near-links")
+                  .mapInArrow(search_cells(threshold, beam), "key long, n long, pairs long, other long"), "near-links")
+
+
+def recall_of(true: np.ndarray, found: np.ndarray) -> float:
+    """The mean recall of nodes with links, or the least by size of their
+    neighbourhood where ``STRATUM`` nodes have it."""
+    part = np.minimum(found / true, 1.0)
+    size = np.log2(true).astype(int)
+    return float(min([part.mean(), *(part[size == k].mean() for k in np.unique(size) if (size == k).sum() >= STRATUM)]))
 
 
 def audit_recall(nodes: DataFrame, n: int, counts: DataFrame, threshold: float) -> float:
-    """Found over true links of a bounded sample of nodes (1 where none are)."""
+    """Recall over a sample of nodes with a link (1 where no node has any)."""
     spark = nodes.sparkSession
-    picked = F.pmod(F.xxhash64("key", F.lit(9)), F.lit(1 << 20)) < F.lit(min(1.0, AUDIT / max(1, n)) * (1 << 20))
-    chosen = nodes.filter(picked)
-    sample = by_dim(chosen.select("key", "dim", "embedding").collect())
-    if not sample:
-        return 1.0
-    true = (nodes.select("key", "weight", "dim", "embedding")
-            .mapInArrow(count_true(spark.sparkContext.broadcast(sample), threshold), "key long, n long"))
-    whole = true.agg(F.sum("n").alias("n")).first()["n"] or 0
-    found = chosen.select("key").join(counts, "key").agg(F.sum("n").alias("n")).first()["n"] or 0
-    return found / whole if whole else 1.0
+    place = F.pmod(F.xxhash64("key", F.lit(9)), F.lit(1 << 40))
+    true, found, needed = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+    begin, more = 0, AUDIT
+    while begin < 1 << 40:
+        end = min(1 << 40, begin + max(1, round(more / max(1, n) * (1 << 40))))
+        chosen = nodes.filter((place >= F.lit(begin)) & (place < F.lit(end)))
+        sample = by_dim(chosen.select("key", "dim", "embedding").collect())
+        if sample:
+            seen = (nodes.select("key", "dim", "embedding")
+                    .mapInArrow(count_true(spark.sparkContext.broadcast(sample), threshold), "key long, pairs long")
+                    .groupBy("key").agg(F.sum("pairs").alias("true"))
+                    .join(counts.select("key", "pairs"), "key", "left")
+                    .select("true", F.coalesce("pairs", F.lit(0)).alias("found")).collect())     # one row a sampled node
+            true = np.append(true, np.array([r["true"] for r in seen], np.int64))
+            found = np.append(found, np.array([r["found"] for r in seen], np.int64))
+        if len(true) >= AUDIT:
+            size = np.log2(true).astype(int)
+            needed = set(size.tolist()) if needed is None else needed
+            if all((size == k).sum() >= STRATUM for k in needed):
+                break
+        begin, more = end, min(AUDIT_ROUND, 4 * more)
+    return recall_of(true, found) if len(true) else 1.0
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id",
@@ -360,12 +400,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
                    .agg(F.count(F.lit(1)).alias("weight"), F.min("id").alias("id"))
                    .withColumn("key", F.monotonically_increasing_id()).withColumn("dim", F.size("embedding")), "nodes")
     n = nodes.count()
-    for _ in range(tries):
-        links = near_links(nodes, n, threshold, overlap, beam, cap)
-        counts = links.filter("n is not null").groupBy("key").agg(F.sum("n").alias("n"))
-        if audit_recall(nodes, n, counts, threshold) >= least_recall:
+    attempt = 0
+    while True:
+        exact = attempt >= tries and overlap * overlap * cap > 4 * n       # raised overlap costs as much by then
+        links = near_links(nodes, n, threshold, 1 if exact else overlap, None if exact else beam,
+                           EXACT_CAP if exact else cap)
+        counts = links.filter("n is not null").groupBy("key").agg(F.sum("n").alias("n"), F.sum("pairs").alias("pairs"))
+        if exact or audit_recall(nodes, n, counts, threshold) >= least_recall:
             break
-        overlap, beam = overlap + 2, beam * 2
+        attempt += 1
+        overlap, beam = overlap + 2 if attempt < tries else 2 * overlap, min(2 * beam, 1024)
     found = components(links.filter("other is not null").select(F.col("key").alias("u"), F.col("other").alias("v")),
                        "near-edges")
     homes = nodes.select("key", "id").join(found, nodes["key"] == found["node"], "left").select(
