@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vendorscope.llm.bpe import bpe_digests
 from vendorscope.llm.common import read_table
+from vendorscope.llm.decontam import decontaminate
 from vendorscope.llm.embedding_graph import near_duplicates
 from vendorscope.llm.exact_dedup import exact_dedup
 from vendorscope.llm.jaccard_join import jaccard_components
@@ -106,6 +107,29 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read_table(spark, sf_dir, "pages"))
 
 
+@query("op11_decontamination", r"""
+    WITH words AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                       'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    windows AS (SELECT DISTINCT coalesce(CAST(item_id AS VARCHAR), '') AS item, least(len(w), 10) AS m,
+                    array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS win
+                FROM words, unnest(range(1, greatest(len(w) - 8, 2))) AS r(i) WHERE len(w) > 0),
+    d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+          FROM documents),
+    spots AS (SELECT k, i, m, array_to_string(w[i:i + m - 1], ' ') AS win
+              FROM d, (SELECT DISTINCT m FROM windows) AS sizes, unnest(range(1, len(w) - m + 2)) AS r(i)),
+    hits AS (SELECT k, i, spots.m, item FROM spots JOIN windows USING (win)),
+    hit_words AS (SELECT k, count(DISTINCT p) AS n FROM hits, unnest(range(i, i + m)) AS r(p) GROUP BY k),
+    hit_items AS (SELECT k, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
+                  FROM (SELECT DISTINCT k, item FROM hits) GROUP BY k)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hit_words.n, 0) AS n_hit,
+           coalesce(hit_items.n, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+           hit_words.n IS NOT NULL AS contaminated
+    FROM d LEFT JOIN hit_words USING (k) LEFT JOIN hit_items USING (k)""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("spans")
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
