@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from vendorscope.llm.bpe import bpe_digests
+from vendorscope.llm.collocations import collocations
 from vendorscope.llm.common import read_table
 from vendorscope.llm.decontam import decontaminate
 from vendorscope.llm.embedding_graph import near_duplicates
@@ -130,6 +131,41 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+@query("op12_collocations", r"""
+    WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+                        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+                    FROM documents),
+    numbered AS (SELECT row_number() OVER () AS p, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+    words AS (SELECT p, lang, unnest(w) AS w1, unnest(range(len(w))) AS i FROM numbered),
+    runs AS (SELECT lang, w1, lead(w1) OVER o AS w2, lead(w1, 2) OVER o AS w3 FROM words
+             WINDOW o AS (PARTITION BY p ORDER BY i)),
+    f1 AS (SELECT lang, w1, count(*) AS a FROM runs GROUP BY ALL),
+    f2 AS (SELECT lang, w1, w2, count(*) AS a FROM runs WHERE w2 IS NOT NULL GROUP BY ALL),
+    f3 AS (SELECT lang, w1, w2, w3, count(*) AS a FROM runs WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+    n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f1 GROUP BY lang),
+    longer AS (SELECT lang, w1, w2, max(a) AS best FROM
+                   (SELECT lang, w1, w2, a FROM f3 UNION ALL SELECT lang, w2, w3, a FROM f3) GROUP BY ALL),
+    cuts AS (SELECT f2.lang, f2.w1 || ' ' || f2.w2 AS phrase, f2.a, 1 AS k, l.a AS l, r.a AS r
+             FROM f2 JOIN f1 AS l ON l.lang = f2.lang AND l.w1 = f2.w1 JOIN f1 AS r ON r.lang = f2.lang AND r.w1 = f2.w2
+             LEFT JOIN longer ON longer.lang = f2.lang AND longer.w1 = f2.w1 AND longer.w2 = f2.w2
+             WHERE f2.a >= 10 AND (best IS NULL OR 100 * best < 50 * f2.a)
+             UNION ALL
+             SELECT f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || f3.w3, f3.a, 1, l.a, r.a
+             FROM f3 JOIN f1 AS l ON l.lang = f3.lang AND l.w1 = f3.w1
+             JOIN f2 AS r ON r.lang = f3.lang AND r.w1 = f3.w2 AND r.w2 = f3.w3
+             UNION ALL
+             SELECT f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || f3.w3, f3.a, 2, l.a, r.a
+             FROM f3 JOIN f2 AS l ON l.lang = f3.lang AND l.w1 = f3.w1 AND l.w2 = f3.w2
+             JOIN f1 AS r ON r.lang = f3.lang AND r.w1 = f3.w3),
+    kept AS (SELECT *, CAST((1000000::HUGEINT * a * a) // (l::HUGEINT * r) AS BIGINT) AS score FROM cuts
+             QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+           phrase, a, l, r, n, score
+    FROM kept JOIN n USING (lang) QUALIFY rank <= 2000""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
