@@ -18,6 +18,7 @@ from vendorscope.llm.jaccard_join import jaccard_components
 from vendorscope.llm.langid import identify
 from vendorscope.llm.packing import pack
 from vendorscope.llm.pitman_yor import score_texts
+from vendorscope.llm.token_align import align_tokenizers
 from vendorscope.llm.toxicity import toxicity
 from vendorscope.llm.url_rules import RULES, judge_urls
 from vendorscope.llm.warc import warc_round_trip
@@ -166,6 +167,12 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(read_table(spark, sf_dir, "documents"))
 
 
+@query("op13_tokenizer_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                            public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
