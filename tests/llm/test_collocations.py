@@ -44,6 +44,7 @@ def test_against_plain_counts(spark, min_count, share, top, monkeypatch):
     docs = spark.createDataFrame([(i, t, lang, 1, 2, "p") for i, t, lang in rows],
                                  "doc_id long, text string, lang string, total int, rank int, prefix string")
     if top == 5:
+        monkeypatch.setattr(C, "CHUNK", 50)
         monkeypatch.setattr(C, "HEAVY", 5000)                # nearly every prefix is split into blocks
         monkeypatch.setattr(C, "MAX_BITS", 6)                # and the bit map lets everything pass
         monkeypatch.setattr(C, "MIN_BITS", 6)

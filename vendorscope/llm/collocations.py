@@ -16,7 +16,9 @@ counted in it too) and the largest extension, which is the subsumption maximum.
 Skew: stripes of a prefix that holds more than a quarter of a partition's share
 of all counts are split into blocks by a hash of the next word (as many as the
 share needs); totals and maxima of blocks add up. Stripes arrive sorted by prefix
-and are merged one at a time, so a task holds one block, and Spark's sort spills.
+and are merged in bounded chunks, so a task holds a chunk and one block, and
+Spark's sort spills. A stripe travels as two values (its words joined by spaces,
+its counts as 32-bit numbers), not as nested arrays.
 A language's best ``top`` are ranked in two steps, so no task sorts a language.
 
 Sent to the driver: the heavy prefixes (4 a partition at most) and the bit map
@@ -53,11 +55,12 @@ TOP = 2000
 SLICE_BYTES = 8_000_000
 #: Heavy prefixes hold more than 1 / (HEAVY * partitions) of all counts.
 HEAVY = 4
-MIN_BITS, MAX_BITS, BITS_PER_PAIR = 16, 28, 32
+MIN_BITS, MAX_BITS, BITS_PER_PAIR = 16, 28, 16
 END = b"\xff"                                       # not a byte of UTF-8
 ENDS = b".,;:!?\n\x0b\x0c\r"
 FOLD = bytes.maketrans(bytes(range(65, 91)) + b"\t" + ENDS, bytes(range(97, 123)) + b" " + END * len(ENDS))
-STRIPES = "lang string, prefix string, total long, nexts array<string>, counts array<long>"
+STRIPES = "lang string, prefix string, total long, nexts string, counts binary"
+CHUNK = 1_000_000                                   # entries merged at once
 
 
 class Words:
@@ -94,6 +97,24 @@ def by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes
                 yield lang, own[lo:hi]
 
 
+def packed(words: pa.Array, counts: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """The entries between offsets as two values a row. A stripe's counts are
+    those of one slice or block, so they fit 32 bits; larger ones are an error."""
+    if len(counts) and counts.max() >= 1 << 32:
+        raise OverflowError("a stripe's count exceeds 32 bits")
+    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), words)
+    raw = pa.py_buffer(np.ascontiguousarray(counts, "<u4"))
+    return (pc.binary_join(lists, " "),
+            pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * 4).astype(np.int32)), raw]))
+
+
+def unpacked(nexts: pa.Array, counts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Words and counts of all rows in a row, and each row's number of entries."""
+    sizes = pc.binary_length(counts).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+    words = pc.split_pattern(nexts.filter(pa.array(sizes > 0)), " ").flatten()
+    return words, np.frombuffer(b"".join(counts.to_pylist()), "<u4").astype(np.int64), sizes
+
+
 def stripe_batch(lang: str, prefixes: pa.Array, codes: np.ndarray, counts: np.ndarray, names: pa.Array):
     """Stripes of sorted codes (prefix number << 32 | next word's number)."""
     own = codes >> 32
@@ -103,8 +124,7 @@ def stripe_batch(lang: str, prefixes: pa.Array, codes: np.ndarray, counts: np.nd
     offsets = np.concatenate(([0], np.cumsum(real)))[np.append(first, len(codes))]
     return pa.RecordBatch.from_arrays(
         [pa.array([lang] * len(first), pa.string()), prefixes.take(pa.array(own[first])), pa.array(totals),
-         pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), names.take(pa.array(codes[real] & 0xFFFFFFFF))),
-         pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(counts[real]))],
+         *packed(names.take(pa.array(codes[real] & 0xFFFFFFFF)), counts[real], offsets)],
         ["lang", "prefix", "total", "nexts", "counts"])
 
 
@@ -148,24 +168,33 @@ def in_blocks(heavy):
     prefixes split by their next words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = heavy.value
+        names = pa.array(sorted({prefix for _, prefix in blocks}), pa.string())
         for b in batches:
-            keys = zip(b.column(0).to_pylist(), b.column(1).to_pylist())
-            parts = [blocks.get(key, 1) for key in keys]
-            split = [i for i, n in enumerate(parts) if n > 1]
-            whole = b.filter(pa.array([n == 1 for n in parts]))
+            parts = np.ones(b.num_rows, np.int64)
+            for i in np.flatnonzero(pc.is_in(b.column(1), value_set=names).to_numpy(zero_copy_only=False)):
+                if len(b.column(3)[i].as_py()):
+                    parts[i] = blocks.get((b.column(0)[i].as_py(), b.column(1)[i].as_py()), 1)
+            whole, split = b.filter(pa.array(parts == 1)), b.filter(pa.array(parts > 1))
             yield whole.append_column("block", pa.array(np.zeros(whole.num_rows, np.int32)))
-            for i in split:
-                lang, prefix, total, nexts, counts = (c[i].as_py() for c in b.columns)
-                dealt: dict[int, tuple[list, list]] = {0: ([], [])}
-                for word, n in zip(nexts, counts):
-                    own = dealt.setdefault(zlib.crc32(word.encode()) % parts[i], ([], []))
-                    own[0].append(word)
-                    own[1].append(n)
-                yield pa.RecordBatch.from_pydict(
-                    {"lang": [lang] * len(dealt), "prefix": [prefix] * len(dealt),
-                     "total": [0 if k else total for k in dealt], "nexts": [d[0] for d in dealt.values()],
-                     "counts": [d[1] for d in dealt.values()], "block": list(dealt)},
-                    schema=whole.schema.append(pa.field("block", pa.int32())))
+            if not split.num_rows:
+                continue
+            words, counts, sizes = unpacked(split.column(3), split.column(4))
+            coded, dealt = words.dictionary_encode(), parts[parts > 1]
+            sums = np.array([zlib.crc32(w.encode()) for w in coded.dictionary.to_pylist()], np.int64)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            block = sums[coded.indices.to_numpy()] % dealt[row] if len(row) else row
+            key = row << 32 | block
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            first = np.flatnonzero(np.diff(key, prepend=-1))
+            own = row[order][first]
+            # the total goes with a row's first block
+            totals = np.where(np.diff(own, prepend=-1) != 0, split.column(2).to_numpy()[own], 0)
+            yield pa.RecordBatch.from_arrays(
+                [split.column(0).take(pa.array(own)), split.column(1).take(pa.array(own)), pa.array(totals),
+                 *packed(words.take(pa.array(order)), counts[order], np.append(first, len(key))),
+                 pa.array((key[first] & 0xFFFFFFFF).astype(np.int32))],
+                ["lang", "prefix", "total", "nexts", "counts", "block"])
     return run
 
 
@@ -173,41 +202,72 @@ def merge(min_count: int):
     """mapInArrow body: stripes sorted by (lang, prefix, block) -> one row a
     key: total, largest entry, and the entries of at least ``min_count``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        held, total, stripe = None, 0, {}
-
-        def close():
-            kept = [(w, n) for w, n in stripe.items() if n >= min_count]
-            out.append((held[0], held[1], total, max(stripe.values(), default=0), [w for w, _ in kept], [n for _, n in kept]))
-
-        def flush():
-            columns = list(zip(*out))
-            types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)],
-                                              ["lang", "prefix", "total", "best", "nexts", "counts"])
+        held: list[pa.RecordBatch] = []
+        entries, rest, limit = 0, None, CHUNK
         for b in batches:
-            for lang, prefix, block, n, nexts, counts in zip(*(c.to_pylist() for c in b.columns)):
-                if held != (lang, prefix, block):
-                    if held is not None:
-                        close()
-                    if len(out) >= 20_000:
-                        yield flush()
-                        out.clear()
-                    held, total, stripe = (lang, prefix, block), 0, {}
-                total += n
-                if stripe:
-                    get = stripe.get
-                    for word, k in zip(nexts, counts):
-                        stripe[word] = get(word, 0) + k
-                else:
-                    stripe = dict(zip(nexts, counts))
-        if held is not None:
-            close()
-        if out:
-            yield flush()
+            held.append(b)
+            entries += b.column(4).nbytes // 4
+            if entries >= limit:
+                done, rest = merge_chunk(held, rest, min_count, False)
+                yield done
+                held, entries = [], 0
+                limit = max(CHUNK, 2 * len(rest[2]))        # an open stripe is merged again less and less often
+        if held or rest is not None:
+            yield merge_chunk(held, rest, min_count, True)[0]
     return run
 
 
+def merge_chunk(held: list[pa.RecordBatch], rest, min_count: int, last: bool):
+    """Merged stripes of all keys but the last one, which may go on (with
+    ``last`` of that one too), and the open stripe: (key, total, words, counts)."""
+    table = pa.Table.from_batches(held).combine_chunks() if held else None
+    columns = [c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in table.columns] if held else None
+    keys = [pa.array([], pa.string()), pa.array([], pa.string()), pa.array([], pa.int32())]
+    totals, words = np.zeros(0, np.int64), pa.array([], pa.string())
+    counts, sizes = totals, totals
+    if held:
+        keys = [columns[0], columns[1], columns[5]]
+        totals = columns[2].to_numpy()
+        words, counts, sizes = unpacked(columns[3], columns[4])
+    if rest is not None:
+        keys = [pa.concat_arrays([pa.array([k], x.type), x]) for k, x in zip(rest[0], keys)]
+        totals = np.append(rest[1], totals)
+        words = pa.concat_arrays([rest[2], words])
+        counts, sizes = np.concatenate((rest[3], counts)), np.append(len(rest[2]), sizes)
+    rows = len(totals)
+    new = np.ones(rows, bool)
+    if rows > 1:
+        new[1:] = np.any([pc.not_equal(k.slice(1), k.slice(0, rows - 1)).to_numpy(zero_copy_only=False) for k in keys], axis=0)
+    first = np.flatnonzero(new)
+    key = np.repeat(np.cumsum(new) - 1, sizes)
+    coded = words.dictionary_encode()
+    width = max(1, len(coded.dictionary))
+    code = key * width + coded.indices.to_numpy().astype(np.int64)
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    at = np.flatnonzero(np.diff(code, prepend=-1))
+    code = code[at]
+    counts = np.add.reduceat(counts[order], at) if len(at) else counts
+    key, word = code // width, code % width
+    totals = np.add.reduceat(totals, first) if rows else totals
+    rest = None
+    n = len(first)
+    if not last and n:
+        n -= 1
+        own = key == n
+        rest = ([k[int(first[n])].as_py() for k in keys], totals[n], coded.dictionary.take(pa.array(word[own])), counts[own])
+        key, word, counts = key[~own], word[~own], counts[~own]
+    best = np.zeros(n, np.int64)
+    np.maximum.at(best, key, counts)
+    often = counts >= min_count
+    offsets = pa.array(np.searchsorted(key[often], np.arange(n + 1)), pa.int32())
+    return pa.RecordBatch.from_arrays(
+        [keys[0].take(pa.array(first[:n])), keys[1].take(pa.array(first[:n])), pa.array(totals[:n]), pa.array(best),
+         pa.ListArray.from_arrays(offsets, coded.dictionary.take(pa.array(word[often]))),
+         pa.ListArray.from_arrays(offsets, pa.array(counts[often]))],
+        ["lang", "prefix", "total", "best", "nexts", "counts"]), rest
+
+
 def merged(stripes: DataFrame, min_count: int, name: str) -> DataFrame:
     """Stored merged stripes (lang, prefix, total, best, nexts, counts); a
     heavy prefix has a row a block."""
@@ -217,7 +277,6 @@ def merged(stripes: DataFrame, min_count: int, name: str) -> DataFrame:
              .filter(F.col("total") * HEAVY * parts > whole).collect())          # HEAVY * parts rows at most
     blocks = spark.sparkContext.broadcast({(r.lang, r.prefix): 1 + r.total * HEAVY * parts // whole for r in heavy})
     rows = (stripes.mapInArrow(in_blocks(blocks), STRIPES + ", block int")
-            .select("lang", "prefix", "block", "total", "nexts", "counts")
             .repartition(parts, "lang", "prefix", "block").sortWithinPartitions("lang", "prefix", "block")
             .mapInArrow(merge(min_count), "lang string, prefix string, total long, best long, "
                                           "nexts array<string>, counts array<long>"))
