@@ -92,13 +92,11 @@ def test_exact_quantiles_random_against_pandas(spark):
     }
     df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double")
     probs = [0.15, 0.25, 0.5, 0.75, 0.85, 1 / 3, 2 / 3]
-    for acc in (50, 10_000):   # a coarse sketch exercises the bracket logic
-        got = {(r.g, r.prob): r.value
-               for r in exact_quantiles(df, ["v"], probs, by=["g"], accuracy=acc).collect()}
-        for g, vs in groups.items():
-            exp = pd.Series(vs).quantile(probs)
-            for p in probs:
-                assert got[(g, p)] == exp[p], (acc, g, p)
+    got = {(r.g, r.prob): r.value for r in exact_quantiles(df, ["v"], probs, by=["g"]).collect()}
+    for g, vs in groups.items():
+        exp = pd.Series(vs).quantile(probs)
+        for p in probs:
+            assert got[(g, p)] == exp[p], (g, p)
 
 
 def test_qcut_matches_pandas(spark):
@@ -140,6 +138,51 @@ def test_corr_masked_pairwise(spark):
     assert abs(got[("x", "x")] - 1.0) < 1e-12
 
 
+def test_corr_of_shifted_columns_any_partitioning(spark):
+    """Columns shifted by 1e9 keep their digits; missing values pair by pair;
+    an infinite value voids its own pairs only."""
+    from vendorscope.operators.stats import correlation_matrix
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(4000, 4)) @ rng.normal(size=(4, 4))
+    shifted = x + np.array([1e9, -1e9, 0.0, 1e9])
+    frame = pd.DataFrame(shifted, columns=list("abcd"))
+    exact = pd.DataFrame(shifted - np.array([1e9, -1e9, 0.0, 1e9]), columns=list("abcd"))
+    for f in (frame, exact):
+        f.loc[::7, "a"] = np.nan
+        f.loc[::11, "b"] = np.nan
+    frame["e"] = np.where(np.arange(4000) == 17, np.inf, 1.0 * np.arange(4000))
+    frame.loc[17, "a"] = exact.loc[17, "a"] = np.nan
+    exact["e"] = np.arange(4000) * 1.0
+    want = exact.corr()
+    for parts in (1, 7, 40):
+        df = spark.createDataFrame(frame).repartition(parts)
+        got = {(r.col_x, r.col_y): r.corr for r in correlation_matrix(df).collect()}
+        for i in "abcd":
+            for j in "abcd":
+                assert abs(got[i, j] - want.loc[i, j]) < 1e-12 and got[i, j] == got[j, i]
+        assert got["c", "e"] is None and abs(got["a", "e"] - want.loc["a", "e"]) < 1e-12
+    empty = correlation_matrix(df.filter("false")).collect()
+    assert empty == []
+
+
+def test_describe_against_pandas(spark):
+    from vendorscope.operators.stats import describe
+    rng = np.random.default_rng(5)
+    frame = pd.DataFrame({"a": rng.normal(size=3000) + 1e9, "b": 7.0, "c": rng.integers(0, 9, 3000) * 1.0,
+                          "d": np.nan, "e": np.where(np.arange(3000) == 3, -np.inf, 1.5)})
+    frame.loc[::5, "a"] = np.nan
+    want = frame.describe()
+    for parts in (1, 9):
+        got = {r.column_name: r for r in describe(spark.createDataFrame(frame).repartition(parts)).collect()}
+        for c in "abc":
+            for ours, theirs in (("count", "count"), ("mean", "mean"), ("min", "min"), ("q25", "25%"), ("q50", "50%"),
+                                 ("q75", "75%"), ("max", "max")):
+                assert math.isclose(got[c][ours], want.loc[theirs, c], rel_tol=1e-15), (c, ours)
+            assert math.isclose(got[c]["std"], want.loc["std", c], rel_tol=1e-9)
+        assert got["b"]["std"] == 0.0 and got["d"]["count"] == 0 and got["d"]["mean"] is None
+        assert got["e"]["mean"] == -math.inf and got["e"]["std"] is None and got["e"]["q50"] == 1.5
+
+
 def test_nan_never_emitted(spark):
     df = spark.createDataFrame([(0.0, 0.0)], "a double, b double")
     r = df.select(ieee_div("a", "b").alias("q"), F.isnan(ieee_div("a", "b")).alias("n")).first()

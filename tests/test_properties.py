@@ -75,7 +75,7 @@ def test_kde_density_positive_and_spans_range(ctx):
                 min_size=1, max_size=4, unique=True))
 def test_exact_quantiles_hypothesis(spark, values, probs):
     df = spark.createDataFrame([(v,) for v in values], "x double")
-    got = {r.prob: r.value for r in exact_quantiles(df, ["x"], probs, accuracy=20).collect()}
+    got = {r.prob: r.value for r in exact_quantiles(df, ["x"], probs).collect()}
     exp = pd.Series(values).quantile(probs)
     for p in probs:
         e = exp[p]

@@ -137,36 +137,44 @@ def test_hot_value_quantiles_stay_exact(spark):
                                .otherwise((F.col("id") * 7919 % 10007).cast("double")).alias("x"))
     probs = [0.1, 0.25, 1 / 3, 0.5, 0.75, 0.9]
     with conf(spark, LARGE_CLUSTER_CONF):
-        got = {r.prob: r.value for r in exact_quantiles(df, ["x"], probs, accuracy=100).collect()}
+        got = {r.prob: r.value for r in exact_quantiles(df, ["x"], probs).collect()}
     exp = pd.Series([r.x for r in df.collect()]).quantile(probs)
     assert all(got[p] == exp[p] for p in probs)
 
 
-def test_quantile_values_in_memory_do_not_grow(spark, monkeypatch):
-    """Two million rows with a small limit: several rounds narrow the
-    brackets, no more than the limit's rows of each are ever collected, and
-    the result is the sorted column's."""
+@pytest.mark.parametrize("bits", [16, 4])
+def test_quantiles_from_digits(spark, monkeypatch, bits):
+    """Two million rows whose doubles differ in all 64 bits, in tasks that
+    hold few digits: the passes end, and the result is the sorted column's."""
     import vendorscope.functions.quantile as Q
-    n = 2_000_000
-    df = spark.range(n).select((F.col("id") * 7919 % 1_000_003).cast("double").alias("x"))
-    sizes, rounds = [], []
-    plain_values, plain_narrow = Q._values, Q._narrow
-
-    def values(d, targets):
-        out = plain_values(d, targets)
-        sizes.extend(sum(c for _, c in v) for v in out.values())
-        return out
-    monkeypatch.setattr(Q, "_values", values)
-    monkeypatch.setattr(Q, "_narrow", lambda *a: (rounds.append(1), plain_narrow(*a))[1])
-    probs = [0.1, 0.5, 0.85]
-    got = Q.exact_quantiles_wide(df, ["x"], probs, max_inside=50).first()
-    xs = sorted(i * 7919 % 1_000_003 for i in range(n))
+    n = 2_000_000 if bits == 16 else 20_000
+    passes = []
+    plain = Q.digit_counts
+    monkeypatch.setattr(Q, "DIGIT_BITS", bits)
+    monkeypatch.setattr(Q, "HELD", 500)
+    monkeypatch.setattr(Q, "digit_counts", lambda *a: (passes.append(a[1]), plain(*a))[1])
+    x = (F.col("id") * 7919 % 1_000_003 - 500_000) / 3.0
+    df = spark.range(n).select(F.when(F.col("id") % 3 == 0, F.lit(-0.0)).otherwise(x * F.abs(x) / 7.0).alias("x"))
+    probs = [0.0, 0.1, 0.5, 0.85, 1.0]
+    got = Q.exact_quantiles_wide(df, ["x"], probs).first()
+    xs = sorted(r.x for r in df.collect())
     for k, p in enumerate(probs):
         v = (n - 1) * p
         lo = int(v)
-        a, b, t = float(xs[lo]), float(xs[lo + 1]), v - lo
+        a, b, t = xs[lo], xs[min(lo + 1, n - 1)], v - lo
         assert got[f"q{k}"] == (b - (b - a) * (1 - t) if t >= 0.5 else a + (b - a) * t)
-    assert rounds and max(sizes) <= 50
+    assert len(passes) <= 64 // bits and passes == sorted(passes, reverse=True)
+
+
+def test_box_plot_of_many_groups(spark, monkeypatch):
+    """More groups than are numbered take the grouped way, with equal results."""
+    import vendorscope.functions.quantile as Q
+    from vendorscope.operators.distributions import boxplot_stats
+    df = spark.range(6000).select((F.col("id") % 200).alias("g"), (F.col("id") * F.col("id") % 1009).cast("double").alias("v"))
+    few = sorted(tuple(r) for r in boxplot_stats(df, ["v"], by=["g"]).collect())
+    monkeypatch.setattr(Q, "MAX_GROUPS", 50)
+    many = sorted(tuple(r) for r in boxplot_stats(df, ["v"], by=["g"]).collect())
+    assert few == many and len(few) == 200
 
 
 def test_mart_shuffles_sums_not_lines(spark):

@@ -1,72 +1,44 @@
 """Exact quantiles with pandas/numpy ``linear`` semantics and bounded memory.
 
 Spark's exact ``percentile`` keeps a value->count map of the whole column and
-merges it in one task for a global aggregate: unbounded at scale. Here the
-order statistics are found by narrowing brackets, each step one aggregate over
-the wide rows (no row is multiplied, nothing is shuffled but one row per
-partition):
-
-1. a mergeable ``percentile_approx`` sketch brackets every target rank;
-2. exact counts below and inside every bracket, with the values next to it;
-3. while a bracket holds more than ``MAX_INSIDE`` rows of different values, a
-   sketch of its inside narrows it (each round by a factor of about a
-   thousand), and step 2 is repeated;
-4. the values inside the final brackets are counted by value and the two order
-   statistics around numpy's virtual index are interpolated as numpy does.
-
-The driver holds a few numbers per (column, prob, group) and at most
-``MAX_INSIDE`` values of each bracket, whatever the number of rows; ties
-collapse to one counted value. Groups (``by``) become masked columns where
-there are at most ``MAX_GROUPS`` of them, so a key of a few values never
-shuffles rows; with more groups the rows are shuffled by group.
+merges it in one task for a global aggregate: unbounded at scale. Here order
+statistics are found by radix selection over a 64-bit image of the double that
+keeps its order. Every pass counts the next ``DIGIT_BITS`` bits of all columns, groups
+and ranks at once: a task counts its rows in vectors (count, least and greatest
+image a digit), Spark adds the digits up, and a running sum locates each rank. What
+goes on to the next pass is the digit that holds a rank; a rank is settled when
+its digit holds one value, or when it is the first or last of its digit. After
+64 / ``DIGIT_BITS`` = 4 passes every digit is a value, whatever the number of rows,
+ties or skew.
+
+A pass shuffles at most 2**``DIGIT_BITS`` rows per task and open digit, and the
+driver gets one row per open rank (two ranks a prob, column and group). Groups
+(``by``) up to ``MAX_GROUPS`` are numbered by a join with their (broadcast) keys, so
+their rows are never shuffled; with more groups the rows are shuffled by group.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-from dataclasses import dataclass
+import sys
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DEFAULT_ACCURACY = 10_000
-MAX_INSIDE = 10_000
-MAX_GROUPS = 64
-MAX_ROUNDS = 12
+# the digit counts run in Python workers: pickled by value, as numpy and
+# pyarrow are all that executors need
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-
-@dataclass
-class Series:
-    """One (group, column): its masked expression and what is known of it."""
-    key: tuple
-    column: str
-    x: Column
-    n: int = 0
-    extra: dict | None = None
-
-
-@dataclass
-class Target:
-    """Two neighbouring ranks (1-based) of a series and their bracket."""
-    series: Series
-    prob: int
-    r1: int
-    r2: int
-    gamma: float
-    lo: float
-    hi: float
-    below: int = 0
-    inside: int = 0
-    before: float | None = None
-    after: float | None = None
-
-    def within(self) -> Column:
-        return (self.series.x >= F.lit(self.lo)) & (self.series.x <= F.lit(self.hi))
-
-    def settled(self, limit: int) -> bool:
-        return self.inside <= limit or self.lo == self.hi
+DIGIT_BITS = 16
+MAX_GROUPS = 1024
+#: Digits that a task holds before it adds them up.
+HELD = 1 << 18
+LONGS = "series long, digit long, n long, lo long, hi long"
 
 
 def _lerp(a: float, b: float, t: float) -> float | None:
@@ -76,102 +48,131 @@ def _lerp(a: float, b: float, t: float) -> float | None:
     return None if math.isnan(v) else v
 
 
-def _aggregate(df: DataFrame, aggs: list[Column], width: int = 192) -> list:
-    """The values of many aggregates, some at a time."""
-    out: list = []
-    for a in range(0, len(aggs), width):
-        out += list(df.agg(*[c.alias(f"a{i}") for i, c in enumerate(aggs[a:a + width])]).first())
-    return out
-
-
-def _sketch(mask: Column, x: Column, probs: list[float], accuracy: int) -> Column:
-    return F.percentile_approx(F.when(mask, x), F.array(*[F.lit(p) for p in probs]), F.lit(accuracy))
-
-
-def _count(df: DataFrame, targets: list[Target]) -> None:
-    aggs = []
-    for t in targets:
-        x, lo, hi = t.series.x, F.lit(t.lo), F.lit(t.hi)
-        aggs += [F.count_if(x < lo), F.count_if(t.within()), F.max(F.when(x < lo, x)), F.min(F.when(x > hi, x))]
-    got = _aggregate(df, aggs)
-    for k, t in enumerate(targets):
-        t.below, t.inside, t.before, t.after = got[4 * k:4 * k + 4]
-
-
-def _narrow(df: DataFrame, targets: list[Target], accuracy: int) -> None:
-    """Smaller brackets from a sketch of each bracket's inside."""
-    m = 4.0 / accuracy
-    probs = []
-    for t in targets:
-        p1, p2 = (min(1.0, max(0.0, (r - t.below) / t.inside)) for r in (t.r1, t.r2))
-        probs.append([max(0.0, p1 - m), min(1.0, p2 + m)])
-    got = _aggregate(df, [_sketch(t.within(), t.series.x, p, accuracy) for t, p in zip(targets, probs)])
-    for t, b in zip(targets, got):
-        t.lo, t.hi = b[0], b[1]
-
-
-def _values(df: DataFrame, targets: list[Target]) -> dict[int, list[tuple[float, int]]]:
-    """Per target the (value, count) inside its bracket, ascending."""
-    cells = F.array_compact(F.array(*[
-        F.when(t.within(), F.struct(F.lit(k).alias("k"), t.series.x.alias("x"))) for k, t in enumerate(targets)]))
-    rows = (df.select(F.explode(cells).alias("c")).groupBy("c.k", "c.x").agg(F.count(F.lit(1)).alias("n")).collect())
-    out: dict[int, list[tuple[float, int]]] = {}
-    for r in sorted(rows, key=lambda r: (r["k"], r["x"])):
-        out.setdefault(r["k"], []).append((r["x"], r["n"]))
-    return out
-
-
-def _pick(t: Target, values: list[tuple[float, int]], rank: int) -> float:
-    if rank == t.below and t.before is not None:
-        return t.before
-    if rank == t.below + t.inside + 1 and t.after is not None:
-        return t.after
-    seen = t.below
-    for x, n in values:
-        seen += n
-        if seen >= rank > seen - n:
-            return x
-    raise ArithmeticError("exact quantile: rank outside its bracket; raise accuracy")
-
-
-def _solve(df: DataFrame, series: list[Series], probs: Sequence[float], accuracy: int, extra: dict,
-           limit: int) -> list[list[float | None]]:
+def image(x: np.ndarray) -> np.ndarray:
+    """Signed 64-bit numbers in the order of the doubles (-0.0 as 0.0)."""
+    bits = (x + 0.0).view(np.int64)
+    return bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))
+
+
+def from_image(s: int) -> float:
+    bits = s if s >= 0 else s ^ 0x7FFFFFFFFFFFFFFF
+    return float(np.array([bits], np.int64).view(np.float64)[0])
+
+
+def _added_up(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """(series, digit, n, lo, hi) with one row a (series, digit)."""
+    series, digit, n, lo, hi = (np.concatenate(c) for c in zip(*parts))
+    order = np.lexsort((digit, series))
+    series, digit, n, lo, hi = (c[order] for c in (series, digit, n, lo, hi))
+    at = np.flatnonzero(np.append(True, (np.diff(series) != 0) | (np.diff(digit) != 0)))
+    return (series[at], digit[at], np.add.reduceat(n, at), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at))
+
+
+def digit_counts(width: int, shift: int, open_digits: dict[int, np.ndarray] | None):
+    """mapInArrow body: (group, ``width`` doubles) -> digit counts. A series is
+    group * width + column. With ``open_digits`` (series -> sorted digits of the
+    pass before) only values inside these are counted."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in _added_up(held)],
+                                              ["series", "digit", "n", "lo", "hi"])
+        for b in batches:
+            group = b.column(0).to_numpy()
+            for c in range(width):
+                x = b.column(c + 1).to_numpy(zero_copy_only=False)
+                there = ~np.isnan(x)
+                s, series = image(x[there]), group[there] * width + c
+                if open_digits is not None:
+                    inside = np.zeros(len(s), bool)
+                    for one in np.unique(series).tolist():
+                        wanted = open_digits.get(one)
+                        if wanted is not None:
+                            own = series == one
+                            inside[own] = np.isin(s[own] >> (shift + DIGIT_BITS), wanted)
+                    s, series = s[inside], series[inside]
+                if len(s):
+                    held.append(_added_up([(series, s >> shift, np.ones(len(s), np.int64), s, s)]))
+                    size += len(held[-1][0])
+            if size > HELD:
+                held[:] = [_added_up(held)]
+                size = len(held[0][0])
+                if size > HELD:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+    return run
+
+
+def ranks(n: int, q: float) -> tuple[int, int, float]:
+    """numpy: virtual = (n-1)*q, both neighbours clamp to the last element."""
+    virtual = (n - 1) * q
+    if virtual >= n - 1:
+        return n, n, virtual + 1
+    return math.floor(virtual) + 1, math.floor(virtual) + 2, virtual - math.floor(virtual)
+
+
+def _select(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[int, list[float | None]]:
+    """series -> quantiles; ``df`` has _g (the group's number) and the columns."""
+    spark, width = df.sparkSession, len(columns)
     # pandas hands q * 100 to numpy, which divides by 100 again
     eff = [(p * 100.0) / 100.0 for p in probs]
-    m = 4.0 / accuracy
-    bounds = [b for p in eff for b in (max(0.0, p - m), min(1.0, p + m))]
-    width = 2 + len(extra)
-    first = _aggregate(df, [c for s in series for c in
-                            (F.count(s.x), _sketch(s.x.isNotNull(), s.x, bounds, accuracy),
-                             *[fn(s.x) for fn in extra.values()])])
-    targets: list[Target] = []
-    for k, s in enumerate(series):
-        n, b, *rest = first[width * k:width * (k + 1)]
-        s.n, s.extra = n, dict(zip(extra, rest))
-        for i, q in enumerate(eff if n else ()):
-            # numpy: virtual = (n-1)*q, both neighbours clamp to the last element
-            virtual = (n - 1) * q
-            if virtual >= n - 1:
-                r1, r2, gamma = n, n, virtual + 1
-            else:
-                r1 = math.floor(virtual) + 1
-                r2, gamma = r1 + 1, virtual - math.floor(virtual)
-            targets.append(Target(s, i, r1, r2, gamma, b[2 * i], b[2 * i + 1]))
-    if targets:
-        _count(df, targets)
-    for _ in range(MAX_ROUNDS):
-        wide = [t for t in targets if not t.settled(limit)]
-        if not wide:
-            break
-        _narrow(df, wide, accuracy)
-        _count(df, wide)
-    inner = [t for t in targets if t.lo != t.hi]
-    values = {id(t): v for k, v in (_values(df, inner).items() if inner else ()) for t in [inner[k]]}
-    out: dict[int, list[float | None]] = {id(s): [None] * len(eff) for s in series}
-    for t in targets:
-        held = values.get(id(t), []) if t.lo != t.hi else [(t.lo, t.inside)]
-        out[id(t.series)][t.prob] = _lerp(_pick(t, held, t.r1), _pick(t, held, t.r2), t.gamma)
-    return [out[id(s)] for s in series]
+    rows = df.select(F.col("_g").cast("long"), *[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+
+    def counted(shift: int, digits: dict[int, np.ndarray] | None) -> DataFrame:
+        parts = rows.mapInArrow(digit_counts(width, shift, digits), LONGS)
+        return parts.groupBy("series", "digit").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+    # the first pass also gives every series' size, hence the ranks
+    shift = 64 - DIGIT_BITS
+    own = Window.partitionBy("series")
+    virtual = (F.col("size") - 1).cast("double") * F.col("q")
+    least = F.when(virtual >= F.col("size") - 1, F.col("size")).otherwise(F.floor(virtual) + 1)
+    seen = (counted(shift, None)
+            .withColumn("upto", F.sum("n").over(own.orderBy("digit"))).withColumn("size", F.sum("n").over(own))
+            .select("*", F.posexplode(F.array(*[F.lit(q) for q in eff])).alias("prob", "q"))
+            .withColumn("rank", F.explode(F.array_distinct(F.array(least, F.least(least + 1, F.col("size"))))))
+            .filter("upto >= rank and upto - n < rank")
+            .select("series", "prob", "rank", "size", "digit", "n", "lo", "hi", (F.col("rank") - F.col("upto") + F.col("n")).alias("at"))
+            .collect())
+    sizes = {r.series: r.size for r in seen}
+    value: dict[tuple[int, int], int] = {}                   # (series, rank) -> image
+    todo: dict[tuple[int, int], tuple[int, int]] = {}        # (series, rank) -> (digit, rank inside it)
+
+    def settle(series: int, rank: int, digit: int, n: int, lo: int, hi: int, at: int) -> None:
+        todo.pop((series, rank), None)
+        if lo == hi or at in (1, n):
+            value[series, rank] = hi if at == n else lo
+        else:
+            todo[series, rank] = (digit, at)
+
+    for r in seen:
+        settle(r.series, r["rank"], r.digit, r.n, r.lo, r.hi, r["at"])
+    while todo:
+        shift -= DIGIT_BITS
+        digits: dict[int, set] = {}
+        for (series, _), (digit, _) in todo.items():
+            digits.setdefault(series, set()).add(digit)
+        wanted = spark.createDataFrame(
+            [(s, d, k, at) for (s, k), (d, at) in todo.items()], "series long, above long, rank long, at long")
+        place = Window.partitionBy("series", "above").orderBy("digit")
+        found = (counted(shift, {s: np.array(sorted(d), np.int64) for s, d in digits.items()})
+                 .withColumn("above", F.shiftright("digit", DIGIT_BITS))
+                 .withColumn("upto", F.sum("n").over(place))
+                 # a row per open rank: two a prob, column and group at most
+                 .join(F.broadcast(wanted), ["series", "above"]).filter("upto >= at and upto - n < at")
+                 .select("series", "rank", "digit", "n", "lo", "hi", (F.col("at") - F.col("upto") + F.col("n")).alias("at"))
+                 .collect())
+        for r in found:
+            settle(r.series, r["rank"], r.digit, r.n, r.lo, r.hi, r["at"])
+    out: dict[int, list[float | None]] = {}
+    for series, n in sizes.items():
+        out[series] = [_lerp(from_image(value[series, r1]), from_image(value[series, r2]), gamma)
+                       for r1, r2, gamma in (ranks(n, q) for q in eff)]
+    return out
 
 
 def _clean(c: str) -> Column:
@@ -179,78 +180,68 @@ def _clean(c: str) -> Column:
     return F.when(~F.isnan(x), x)
 
 
-def group_keys(df: DataFrame, by: Sequence[str], most: int = MAX_GROUPS) -> list[tuple] | None:
+def group_keys(df: DataFrame, by: Sequence[str], most: int | None = None) -> list[tuple] | None:
     """The distinct non-NULL keys, or None where there are more than ``most``."""
+    most = MAX_GROUPS if most is None else most
     keys = df.select(*by).dropna().distinct().limit(most + 1).collect()
     return None if len(keys) > most else sorted(tuple(r) for r in keys)
 
 
-def group_mask(by: Sequence[str], key: tuple) -> Column:
-    mask = F.lit(True)
-    for c, v in zip(by, key):
-        mask = mask & (F.col(c) == F.lit(v))
-    return mask
-
-
 def exact_quantiles_wide(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                         by: Sequence[str] = (), accuracy: int = DEFAULT_ACCURACY,
-                         extra_aggs: dict | None = None, max_inside: int = MAX_INSIDE) -> DataFrame:
+                         by: Sequence[str] = ()) -> DataFrame:
     """One row per (by..., column_name) with columns ``q0, q1, ...`` (one per
     prob): pandas ``Series.quantile`` (linear); NULL and NaN skipped; a group
     without values has no row (pandas gives NaN); NULL ``by`` keys are
-    dropped, as pandas' groupby does. ``extra_aggs`` ({name: fn(x) -> aggregate
-    Column}) are computed in the sketch pass and returned as extra columns
-    (e.g. count / mean / std for a describe table, without another pass).
+    dropped, as pandas' groupby does.
 
-    Runs its aggregates at once and returns a small local table, except for
+    Runs its passes at once and returns a small local table, except for
     more than ``MAX_GROUPS`` groups (see ``_by_group``)."""
-    by, probs, extra = list(by), [float(p) for p in probs], dict(extra_aggs or {})
+    spark, by, columns, probs = df.sparkSession, list(by), list(columns), [float(p) for p in probs]
     keys = group_keys(df, by) if by else [()]
     if keys is None:
-        return _by_group(df, columns, probs, by, extra)
-    series = [Series(k, c, F.when(group_mask(by, k), _clean(c)) if by else _clean(c)) for k in keys for c in columns]
-    found = _solve(df, series, probs, accuracy, extra, max_inside)
-    rows = [(*s.key, s.column, *[None if v is None else float(v) for v in q], *s.extra.values())
-            for s, q in zip(series, found) if s.n]
-    shape = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *[fn(F.lit(1.0)).alias(c) for c, fn in extra.items()])
-    types = {f.name: f.dataType for f in shape.schema}       # analysed only, never run
+        return _by_group(df, columns, probs, by)
+    if by:
+        types = [df.schema[b] for b in by]
+        numbers = spark.createDataFrame([(*k, g) for g, k in enumerate(keys)],
+                                        T.StructType([*types, T.StructField("_g", T.LongType())]))
+        df = df.join(F.broadcast(numbers), by)                # MAX_GROUPS rows at most
+    else:
+        df = df.withColumn("_g", F.lit(0))
+    found = _select(df, columns, probs) if columns and probs and keys else {}
+    rows = [(*keys[s // len(columns)], columns[s % len(columns)], *q) for s, q in sorted(found.items())]
     schema = T.StructType(
-        [T.StructField(b, types[b]) for b in by] + [T.StructField("column_name", T.StringType())]
-        + [T.StructField(f"q{k}", T.DoubleType()) for k in range(len(probs))]
-        + [T.StructField(name, types[name]) for name in extra])
-    return df.sparkSession.createDataFrame(rows, schema)
+        [T.StructField(b, df.schema[b].dataType) for b in by] + [T.StructField("column_name", T.StringType())]
+        + [T.StructField(f"q{k}", T.DoubleType()) for k in range(len(probs))])
+    return spark.createDataFrame(rows, schema)
 
 
-def _by_group(df: DataFrame, columns: Sequence[str], probs: list[float], by: list[str], extra: dict) -> DataFrame:
+def _by_group(df: DataFrame, columns: Sequence[str], probs: list[float], by: list[str]) -> DataFrame:
     """Many groups: one grouped aggregate with Spark's exact ``percentile``
     (partial value->count maps per group, merged by group)."""
     cells = F.array(*[F.struct(F.lit(c).alias("column_name"), _clean(c).alias("x")) for c in columns])
     long = df.dropna(subset=by).select(*by, F.inline(cells)).filter(F.col("x").isNotNull())
     return long.groupBy(*by, "column_name").agg(
-        *[F.percentile("x", F.lit((p * 100.0) / 100.0)).alias(f"q{k}") for k, p in enumerate(probs)],
-        *[fn(F.col("x")).alias(name) for name, fn in extra.items()])
+        *[F.percentile("x", F.lit((p * 100.0) / 100.0)).alias(f"q{k}") for k, p in enumerate(probs)])
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                    by: Sequence[str] = (), accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+                    by: Sequence[str] = ()) -> DataFrame:
     """Long result ``(*by, column_name, prob, value)`` of ``exact_quantiles_wide``."""
     probs = [float(p) for p in probs]
-    wide = exact_quantiles_wide(df, columns, probs, by, accuracy)
+    wide = exact_quantiles_wide(df, columns, probs, by)
     cells = F.array(*[F.struct(F.lit(p).alias("prob"), F.col(f"q{k}").alias("value"))
                       for k, p in enumerate(probs)])
     return wide.select(*by, "column_name", F.inline(cells))
 
 
-def quantile_values(df: DataFrame, column: str, probs: Sequence[float],
-                    accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+def quantile_values(df: DataFrame, column: str, probs: Sequence[float]) -> DataFrame:
     """One row with one column ``q0, q1, ...`` per requested prob (no row
     when the column has no values; as a scalar subquery that reads NULL)."""
-    wide = exact_quantiles_wide(df, [column], probs, accuracy=accuracy)
+    wide = exact_quantiles_wide(df, [column], probs)
     return wide.select(*[f"q{k}" for k in range(len(probs))])
 
 
-def quantile_scalar(df: DataFrame, column: str, prob: float,
-                    accuracy: int = DEFAULT_ACCURACY) -> Column:
+def quantile_scalar(df: DataFrame, column: str, prob: float) -> Column:
     """The quantile as a scalar-subquery column: usable in filters and
     projections of any DataFrame without a join."""
-    return quantile_values(df, column, [prob], accuracy).select("q0").scalar()
+    return quantile_values(df, column, [prob]).select("q0").scalar()

@@ -16,12 +16,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vendorscope.functions.numeric import is_finite, numeric_columns
-from vendorscope.functions.quantile import MAX_GROUPS, exact_quantiles_wide, group_keys, group_mask
+from vendorscope.functions.quantile import exact_quantiles_wide
 
 # Functions of this module run inside Python workers (Arrow UDF / mapInPandas):
 # pickle them by value, so executors need only numpy and pandas, not this
@@ -171,52 +172,70 @@ def _finite_col(c: str) -> Column:
     return F.when(is_finite(x), x)
 
 
-def _quartiles(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> list:
-    """(by..., column_name, q1, median, q3) of the finite values, as rows:
-    one per column, and per group where there are few groups."""
+def _quartiles(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by..., column_name, q0, q1, q2): the quartiles of the finite values."""
     finite = df.select(*by, *[_finite_col(c).alias(c) for c in cols])
-    return exact_quantiles_wide(finite, cols, (0.25, 0.5, 0.75), by=by).collect()
+    return exact_quantiles_wide(finite, cols, (0.25, 0.5, 0.75), by=by)
+
+
+def fence_counts(fences: dict[int, tuple[float, float]], width: int):
+    """mapInArrow body: rows of ``width`` doubles -> per column the number of
+    finite values, the extremes inside its fences and the values outside them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, out = np.zeros(width, np.int64), np.zeros(width, np.int64)
+        least, most = np.full(width, np.inf), np.full(width, -np.inf)
+        for b in batches:
+            for k, (lo, hi) in fences.items():
+                x = b.column(k).to_numpy(zero_copy_only=False)
+                x = x[np.isfinite(x)]
+                inside = x[(x >= lo) & (x <= hi)]
+                n[k] += len(x)
+                out[k] += len(x) - len(inside)
+                if len(inside):
+                    least[k], most[k] = min(least[k], inside.min()), max(most[k], inside.max())
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width)), pa.array(n), pa.array(least), pa.array(most),
+                                          pa.array(out)], ["k", "n", "lo", "hi", "out"])
+    return run
 
 
 def boxplot_stats(df: DataFrame, columns: Sequence[str] | None = None,
                   by: Sequence[str] = (), whis: float = 1.5) -> DataFrame:
-    """matplotlib's box-plot statistics per column (and group, for up
-    to ``quantile.MAX_GROUPS`` groups): quartiles (linear), IQR, whiskers at
-    the furthest data point within whis x IQR of the box (never inside the
-    box), outlier count.
+    """matplotlib's box-plot statistics per column (and group, any
+    number of them): quartiles (linear), IQR, whiskers at the furthest data
+    point within whis x IQR of the box (never inside the box), outlier count.
 
     The whisker is the most extreme value inside its fence, so the fliers
-    (beyond the whiskers) are exactly the values beyond the fences: whiskers
-    and outlier counts are one aggregate over the wide rows, with the fences
-    as literals."""
+    (beyond the whiskers) are exactly the values beyond the fences. Without
+    groups, whiskers and outlier counts are one vectorised scan with the fences
+    as parameters (a row per column and task); with groups, the values meet
+    their group's box by a join."""
     cols = list(columns) if columns is not None else numeric_columns(df.schema)
     by = list(by)
-    if by and group_keys(df, by) is None:
-        raise ValueError(f"boxplot_stats: more than {MAX_GROUPS} groups of {by}")
     boxes = _quartiles(df, cols, by)
-    aggs, cells = [], []
-    fields = {f.name: f.dataType for f in df.schema}
-    for k, r in enumerate(boxes):
-        key = [r[b] for b in by]
-        x = F.when(group_mask(by, key), _finite_col(r["column_name"])) if by else _finite_col(r["column_name"])
-        q1, q3 = r["q0"], r["q2"]
-        lo, hi = F.lit(q1 - whis * (q3 - q1)), F.lit(q3 + whis * (q3 - q1))
-        aggs += [F.count(x).alias(f"n{k}"), F.min(F.when(x >= lo, x)).alias(f"lo{k}"),
-                 F.max(F.when(x <= hi, x)).alias(f"hi{k}"), F.count_if((x < lo) | (x > hi)).alias(f"out{k}")]
-        wlo, whi = F.col(f"lo{k}"), F.col(f"hi{k}")
-        cells.append(F.struct(
-            *[F.lit(v).cast(fields[b]).alias(b) for b, v in zip(by, key)],
-            F.lit(r["column_name"]).alias("column_name"), F.col(f"n{k}").alias("n"),
-            F.lit(q1).alias("q1"), F.lit(r["q1"]).alias("median"), F.lit(q3).alias("q3"), F.lit(q3 - q1).alias("iqr"),
-            F.when(wlo.isNull() | (wlo > q1), F.lit(q1)).otherwise(wlo).alias("whislo"),
-            F.when(whi.isNull() | (whi < q3), F.lit(q3)).otherwise(whi).alias("whishi"),
-            F.col(f"out{k}").alias("n_outliers")))
-    if not boxes:
-        keys = ", ".join([f"{b} {fields[b].simpleString()}" for b in by] + ["column_name string"])
-        return df.sparkSession.createDataFrame(
-            [], f"{keys}, n long, q1 double, median double, q3 double, iqr double, whislo double, whishi double, "
-                "n_outliers long")
-    return df.agg(*aggs).select(F.inline(F.array(*cells)))
+    spread = whis * (F.col("q2") - F.col("q0"))
+    if by:
+        boxes = boxes.withColumn("f0", F.col("q0") - spread).withColumn("f1", F.col("q2") + spread)
+        inside = (F.col("x") >= F.col("f0")) & (F.col("x") <= F.col("f1"))
+        counted = (finite_long(df, cols, by).join(boxes, [*by, "column_name"])
+                   .groupBy(*by, "column_name").agg(
+                       F.count(F.lit(1)).alias("n"), F.min(F.when(inside, F.col("x"))).alias("lo"),
+                       F.max(F.when(inside, F.col("x"))).alias("hi"), F.count_if(~inside).alias("out"),
+                       *[F.first(f"q{i}").alias(f"q{i}") for i in range(3)]))
+    else:
+        known = {cols.index(r["column_name"]): r for r in boxes.collect()}
+        fences = {k: (r["q0"] - whis * (r["q2"] - r["q0"]), r["q2"] + whis * (r["q2"] - r["q0"])) for k, r in known.items()}
+        parts = (df.select(*[_finite_col(c).alias(f"c{i}") for i, c in enumerate(cols)])
+                 .mapInArrow(fence_counts(fences, len(cols)), "k long, n long, lo double, hi double, out long"))
+        names = F.array(*[F.lit(c) for c in cols]) if cols else F.array().cast("array<string>")
+        # one row per column: a bound fixed by the caller's column list
+        counted = (parts.groupBy("k").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+                                          F.sum("out").alias("out"))
+                   .withColumn("column_name", names[F.col("k").cast("int")]).join(F.broadcast(boxes), "column_name"))
+    whislo = F.when(F.col("lo").isNull() | (F.col("lo") > F.col("q0")), F.col("q0")).otherwise(F.col("lo"))
+    whishi = F.when(F.col("hi").isNull() | (F.col("hi") < F.col("q2")), F.col("q2")).otherwise(F.col("hi"))
+    return counted.select(*by, "column_name", "n", F.col("q0").alias("q1"), F.col("q1").alias("median"),
+                          F.col("q2").alias("q3"), (F.col("q2") - F.col("q0")).alias("iqr"),
+                          whislo.alias("whislo"), whishi.alias("whishi"), F.col("out").alias("n_outliers"))
 
 
 def outliers(df: DataFrame, columns: Sequence[str] | None = None,
@@ -225,7 +244,7 @@ def outliers(df: DataFrame, columns: Sequence[str] | None = None,
     the fences), with row ids; only these points leave their row."""
     cols = list(columns) if columns is not None else numeric_columns(df.schema)
     points = []
-    for r in _quartiles(df, cols, ()):
+    for r in _quartiles(df, cols).collect():
         x, spread = _finite_col(r["column_name"]), whis * (r["q2"] - r["q0"])
         points.append(F.when((x < F.lit(r["q0"] - spread)) | (x > F.lit(r["q2"] + spread)),
                              F.struct(F.lit(r["column_name"]).alias("column_name"), x.alias("value"))))

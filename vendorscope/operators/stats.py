@@ -9,12 +9,12 @@ through an Arrow-batched pandas UDF.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vendorscope.functions.moments import co_moments, column_moments, correlation_rows
 from vendorscope.functions.numeric import ieee_div, nan_to_null, numeric_columns
 from vendorscope.functions.quantile import exact_quantiles_wide, quantile_values
 from vendorscope.functions.tdist import t_ppf_udf, t_two_sided_p_udf
@@ -25,64 +25,33 @@ DESCRIBE_PROBS = (0.25, 0.5, 0.75)
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``df.describe().T``: per numeric column count, mean, std (ddof 1), min,
-    25/50/75% (exact, linear) and max. The moments ride in the exact-quantile
-    job's sketch pass, so the whole table costs two passes over the data."""
+    25/50/75% (exact, linear) and max: one scan for the moments, and the passes
+    of the exact quantiles for all columns together."""
     cols = list(columns) if columns is not None else numeric_columns(df.schema)
-    moments = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
-    q = exact_quantiles_wide(df, cols, DESCRIBE_PROBS, extra_aggs=moments)
+    q = exact_quantiles_wide(df, cols, DESCRIBE_PROBS)
     names = df.sparkSession.range(len(cols)).select(
         F.col("id").alias("position"), F.array(*[F.lit(c) for c in cols])[F.col("id")].alias("column_name"))
     # one row per column: a bound fixed by the caller's column list
-    return (names.join(F.broadcast(q), "column_name", "left")
+    return (names.join(F.broadcast(column_moments(df, cols).withColumnRenamed("k", "position")), "position", "left")
+            .join(F.broadcast(q), "column_name", "left")
             .select("position", "column_name", F.coalesce(F.col("count"), F.lit(0)).alias("count"),
                     nan_to_null(F.col("mean")).alias("mean"), nan_to_null(F.col("std")).alias("std"),
                     "min", F.col("q0").alias("q25"), F.col("q1").alias("q50"), F.col("q2").alias("q75"),
                     "max"))
 
 
-# 5 x 5 pairs of one covariance each stay inside generated code (about 100 buffer fields)
-PAIR_BLOCK = 5
-
-
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """The square matrix in long form (col_x, col_y, corr, label).
 
-    Pairwise-complete Pearson r as aggregates over the wide row: one aggregate
-    per block of column pairs, each one row per partition before its shuffle;
-    no row is multiplied. A first aggregate finds the columns without missing
-    values and their deviations, whose pairs need the covariance alone. A
-    constant or one-row column gives NULL, not an ANSI error."""
+    Pairwise-complete Pearson r from one scan: every task reduces its rows to
+    one partial of co-moments (``functions/moments.py``), partials merge. A
+    constant or one-row column gives NULL, not an ANSI error; so does a pair
+    with an infinite value."""
     cols = list(columns) if columns is not None else numeric_columns(df.schema)
-    k = len(cols)
-
-    def clean(i: int):
-        x = F.col(cols[i]).cast("double")
-        return F.when(~F.isnan(x), x)
-
-    first = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(clean(i)).alias(f"n{i}") for i in range(k)],
-                   *[F.stddev_samp(clean(i)).alias(f"s{i}") for i in range(k)]).first()
-    spread = [first[f"s{i}"] if first[f"n{i}"] == first["n"] and first[f"s{i}"] and math.isfinite(first[f"s{i}"]) else None
-              for i in range(k)]
-
-    def pair(i: int, j: int):
-        if spread[i] and spread[j]:
-            x, y = F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double")
-            return nan_to_null(F.covar_samp(x, y) / F.lit(spread[i]) / F.lit(spread[j])).alias(f"r_{i}_{j}")
-        x, y = clean(i), clean(j)
-        both = x.isNotNull() & y.isNotNull()
-        r = F.try_divide(F.covar_samp(x, y), F.stddev_samp(F.when(both, x)) * F.stddev_samp(F.when(both, y)))
-        return nan_to_null(r).alias(f"r_{i}_{j}")
-
-    out = None
-    for a in range(0, k, PAIR_BLOCK):
-        for b in range(a, k, PAIR_BLOCK):
-            codes = [(i, j) for i in range(a, min(a + PAIR_BLOCK, k)) for j in range(max(i, b), min(b + PAIR_BLOCK, k))]
-            one = df.agg(*[pair(i, j) for i, j in codes])
-            cells = F.array(*[F.struct(F.lit(x).alias("col_x"), F.lit(y).alias("col_y"), F.col(f"r_{i}_{j}").alias("corr"))
-                              for i, j in codes for x, y in dict.fromkeys([(cols[i], cols[j]), (cols[j], cols[i])])])
-            rows = one.select(F.inline(cells))
-            out = rows if out is None else out.unionByName(rows)
-    return out.select("col_x", "col_y", "corr", fixed_decimals(F.col("corr"), 2).alias("corr_label"))
+    pairs = co_moments(df, cols).mapInArrow(correlation_rows(len(cols)), "i long, j long, corr double")
+    names = F.array(*[F.lit(c) for c in cols])
+    return pairs.select(names[F.col("i").cast("int")].alias("col_x"), names[F.col("j").cast("int")].alias("col_y"),
+                        "corr", fixed_decimals(F.col("corr"), 2).alias("corr_label"))
 
 
 # ------------------------------------------------------------- B9 / B10 ----
