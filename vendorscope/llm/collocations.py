@@ -21,8 +21,8 @@ Spark's sort spills. A stripe travels as two values (its words joined by spaces,
 its counts as 32-bit numbers), not as nested arrays.
 A language's best ``top`` are ranked in two steps, so no task sorts a language.
 
-Sent to the driver: the heavy prefixes (4 a partition at most) and the bit map
-(2**22 numbers at most).
+Sent to the driver: the bit map (2**22 numbers at most); broadcast: it and the
+heavy prefixes (4 a partition at most).
 
 Defined cases: A-Z are lower-cased, pieces end at ``.,;:!?`` and 0x0A-0x0D, words
 are runs of other characters than space and tab; a null text counts as empty,
@@ -85,16 +85,22 @@ def pair_print(lang: str, first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 
 def by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
-    """(lang, texts of a slice) of every batch."""
+    """(lang, texts) in slices of about ``SLICE_BYTES``; the languages together
+    hold twice that at most (and one batch)."""
+    held: dict[str, list[bytes]] = {}
+    sizes: dict[str, int] = {}
     for b in batches:
-        langs, texts = b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()
-        groups: dict[str, list[bytes]] = {}
-        for lang, text in zip(langs, texts):
+        for lang, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
             if text:
-                groups.setdefault(lang, []).append(text)
-        for lang, own in groups.items():
+                held.setdefault(lang, []).append(text)
+                sizes[lang] = sizes.get(lang, 0) + len(text)
+        while sizes and (max(sizes.values()) >= SLICE_BYTES or sum(sizes.values()) >= 2 * SLICE_BYTES):
+            lang = max(sizes, key=sizes.get)
+            del sizes[lang]
+            own = held.pop(lang)
             for lo, hi in byte_slices(own, SLICE_BYTES):
                 yield lang, own[lo:hi]
+    yield from held.items()
 
 
 def packed(words: pa.Array, counts: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, pa.Array]:
@@ -163,23 +169,15 @@ def pair_stripes(bits):
     return run
 
 
-def in_blocks(heavy):
-    """mapInArrow body: stripes -> stripes with a block number, those of heavy
-    prefixes split by their next words."""
+def in_blocks():
+    """mapInArrow body: heavy prefixes' stripes with their number of blocks ->
+    stripes split by their next words, with a block number."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = heavy.value
-        names = pa.array(sorted({prefix for _, prefix in blocks}), pa.string())
-        for b in batches:
-            parts = np.ones(b.num_rows, np.int64)
-            for i in np.flatnonzero(pc.is_in(b.column(1), value_set=names).to_numpy(zero_copy_only=False)):
-                if len(b.column(3)[i].as_py()):
-                    parts[i] = blocks.get((b.column(0)[i].as_py(), b.column(1)[i].as_py()), 1)
-            whole, split = b.filter(pa.array(parts == 1)), b.filter(pa.array(parts > 1))
-            yield whole.append_column("block", pa.array(np.zeros(whole.num_rows, np.int32)))
+        for split in batches:
             if not split.num_rows:
                 continue
             words, counts, sizes = unpacked(split.column(3), split.column(4))
-            coded, dealt = words.dictionary_encode(), parts[parts > 1]
+            coded, dealt = words.dictionary_encode(), split.column(5).to_numpy()
             sums = np.array([zlib.crc32(w.encode()) for w in coded.dictionary.to_pylist()], np.int64)
             row = np.repeat(np.arange(len(sizes)), sizes)
             block = sums[coded.indices.to_numpy()] % dealt[row] if len(row) else row
@@ -274,15 +272,20 @@ def merged(stripes: DataFrame, min_count: int, name: str) -> DataFrame:
     spark, parts = stripes.sparkSession, shuffle_partitions(stripes.sparkSession)
     whole = stripes.agg(F.sum("total")).first()[0] or 0
     heavy = (stripes.groupBy("lang", "prefix").agg(F.sum("total").alias("total"))
-             .filter(F.col("total") * HEAVY * parts > whole).collect())          # HEAVY * parts rows at most
-    blocks = spark.sparkContext.broadcast({(r.lang, r.prefix): 1 + r.total * HEAVY * parts // whole for r in heavy})
-    rows = (stripes.mapInArrow(in_blocks(blocks), STRIPES + ", block int")
-            .repartition(parts, "lang", "prefix", "block").sortWithinPartitions("lang", "prefix", "block")
+             .filter(F.col("total") * HEAVY * parts > whole)
+             .selectExpr("lang", "prefix", f"1 + total * {HEAVY * parts} div {max(whole, 1)} as blocks"))
+    heavy = F.broadcast(stored(heavy, "heavy"))                                  # HEAVY * parts rows at most
+    # a stripe without a next word (only ends of pieces) has nothing to split
+    dealt = stripes.join(heavy, ["lang", "prefix"], "left").withColumn("split", F.expr("blocks is not null and nexts <> ''"))
+    columns = ["lang", "prefix", "total", "nexts", "counts"]
+    rows = (dealt.filter("not split").select(*columns, F.lit(0).alias("block"))
+            .unionByName(dealt.filter("split").select(*columns, "blocks").mapInArrow(in_blocks(), STRIPES + ", block int"))
+            # a hash first: the sort's first eight bytes then tell nearly all keys apart
+            .withColumn("h", F.xxhash64("lang", "prefix", "block"))
+            .repartition(parts, "h").sortWithinPartitions("h", "lang", "prefix", "block").drop("h")
             .mapInArrow(merge(min_count), "lang string, prefix string, total long, best long, "
                                           "nexts array<string>, counts array<long>"))
-    rows = stored(rows, name)
-    blocks.destroy()
-    return rows
+    return stored(rows, name)
 
 
 def frequent_map(pairs: DataFrame) -> np.ndarray:

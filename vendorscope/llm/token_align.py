@@ -46,7 +46,7 @@ by_value(__name__)
 
 BROADCAST_PAIRS = 4_000_000
 SLICE_CHARS = 1_500_000
-MAX_STRETCHES = 300_000
+MAX_STRETCHES = 600_000
 SPLIT = re.compile(r"(?<=\S)(?= )")
 SPACE = "▁"
 BYTE = re.compile(r"<0x([0-9A-F]{2})>\Z")
