@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from vendorscope.sources.csv_records import csv_records
 from vendorscope.sources.schemas import SOURCE_SCHEMAS
 
 # The strings pandas' read_csv treats as missing by default.
@@ -51,35 +52,42 @@ NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$|^\s*[+-]?(?i:in
 INTEGER_PATTERN = r"^\s*[+-]?\d+\s*$"
 
 
-def read_csv_strings(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+def read_csv_strings(spark: SparkSession, path: str, multiline: bool | None = None) -> DataFrame:
     """Header row, every column as text, pandas' NA tokens as NULL.
 
     Quoting follows RFC 4180, as pandas and ``export_csv`` write it: a quote
     inside a quoted field is doubled, a backslash is an ordinary character.
     Short rows are filled with NULL; a row with more fields than the header
-    fails the job. Line breaks inside quotes need ``multiline=True``: such a
-    file cannot be split, so it is not the default, and without it a field
-    that is still open at the end of a line fails the job with a message.
+    fails the job. Line breaks inside quotes are found by a first scan and such
+    files are read by splits like others (``csv_records``). ``multiline=True``
+    reads with Spark's own reader instead, one task a file; with ``False`` the first
+    scan is saved, and a field still open at the end of a line fails the job.
     """
+    dialect = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+               "nullValue": "", "emptyValue": ""}
+    records = csv_records(spark, path) if multiline is None else None
+
     def reader():
-        return (spark.read.option("header", True).option("inferSchema", False)
-                .option("quote", '"').option("escape", '"').option("multiLine", multiline)
-                .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-                .option("nullValue", "").option("emptyValue", ""))
+        whole = multiline or records is not None
+        return (spark.read.options(**dialect).option("header", True).option("inferSchema", False)
+                .option("multiLine", whole))
     columns = reader().csv(path).columns
     bad = "_corrupt_line"
     while bad in columns:
         bad = "_" + bad
     schema = StructType([*[StructField(c, StringType()) for c in columns], StructField(bad, StringType())])
-    raw = (reader().option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad)
-           .option("enforceSchema", True).schema(schema).csv(path))
+    permissive = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}
+    if records is not None:
+        raw = records.select(F.from_csv("record", schema.toDDL(), dialect | permissive).alias("r")).select("r.*")
+    else:
+        raw = reader().options(**permissive).option("enforceSchema", True).schema(schema).csv(path)
     line = F.col(f"`{bad}`")
     # a short row is corrupt to the reader too; what it may not be is too long, or open-ended
     quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
     unquoted = F.regexp_replace(line, r'"(?:[^"]|"")*"', "")
     fields = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(","), F.lit(""))) + 1
     fault = (F.when(quotes % 2 == 1, F.concat(F.lit("a quoted field is open at the end of a line "
-                                                    "(line breaks inside quotes need multiline=True): "), line))
+                                                    "(line breaks inside quotes need multiline=None or True): "), line))
              .when(fields > len(columns), F.concat(F.lit(f"more than {len(columns)} fields: "), line)))
     checked = raw.withColumn(bad, F.when(fault.isNotNull(), F.raise_error(fault).cast("string")))
     # the check rides on the first column, so column pruning cannot drop it
@@ -135,7 +143,7 @@ def infer_pandas_types(df: DataFrame) -> DataFrame:
 
 
 def read_extract(spark: SparkSession, path: str, schema: StructType | None = None,
-                 lenient: bool = False, multiline: bool = False) -> DataFrame:
+                 lenient: bool = False, multiline: bool | None = None) -> DataFrame:
     """One CSV extract as a typed DataFrame."""
     text = read_csv_strings(spark, path, multiline)
     return cast_to_schema(text, schema, lenient) if schema is not None else infer_pandas_types(text)
@@ -182,7 +190,7 @@ def write_table(df: DataFrame, path: str, table: str | None = None) -> None:
 
 def ingest_directory(spark: SparkSession, data_dir: str, out_dir: str,
                      schemas: Mapping[str, StructType] = SOURCE_SCHEMAS,
-                     lenient: bool = False, multiline: bool = False, register: bool = False) -> DataFrame:
+                     lenient: bool = False, multiline: bool | None = None, register: bool = False) -> DataFrame:
     """S1 + S10: ingest every extract in ``data_dir`` into ``out_dir/<table>``
     and return the run report (table, file, rows, seconds, total minutes).
     ``register`` also makes every table a catalog table of its name (S3, S5)."""
