@@ -180,6 +180,11 @@ def test_describe_against_pandas(spark):
                 assert math.isclose(got[c][ours], want.loc[theirs, c], rel_tol=1e-15), (c, ours)
             assert math.isclose(got[c]["std"], want.loc["std", c], rel_tol=1e-9)
         assert got["b"]["std"] == 0.0 and got["d"]["count"] == 0 and got["d"]["mean"] is None
+        # batches with and without the infinite value
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+        split = describe(spark.createDataFrame(frame[["e"]]).coalesce(1)).first()
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert split["mean"] == -math.inf and split["std"] is None
         assert got["e"]["mean"] == -math.inf and got["e"]["std"] is None and got["e"]["q50"] == 1.5
 
 

@@ -31,8 +31,10 @@ def ctx(spark):
 JVM_ONLY = ["vendor_summary_raw", "purchase_summary", "sales_summary", "freight_by_vendor",
             "brand_performance", "target_brands", "top_vendors_sales", "top_brands_sales",
             "vendor_pareto", "vendor_dependency", "order_size", "unit_price_by_order_size",
-            "slow_vendors", "unsold_total", "unsold_by_vendor", "describe", "correlation",
-            "histogram", "boxplot", "category_counts"]
+            "slow_vendors", "unsold_total", "unsold_by_vendor",
+            "histogram", "category_counts"]
+# reduced to a few numbers a task in vectors, in one scan
+ONE_SCAN = ["describe", "correlation", "boxplot"]
 
 
 @pytest.mark.parametrize("name", JVM_ONLY)
@@ -42,6 +44,13 @@ def test_no_python_in_plan(spark, name):
     assert "PythonUDF" not in plan and "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan
 
 
+@pytest.mark.parametrize("name", ONE_SCAN)
+def test_one_vectorised_scan(spark, name):
+    plan = physical(E.queries()[name](spark, SF001))
+    assert "PythonUDF" not in plan and "MapInArrow" in plan
+    assert len(re.findall(r"^\(\d+\) Scan parquet", plan, re.M)) == 1
+
+
 def test_filter_pushdown_and_pruning(ctx):
     df = ctx.clean.select("VendorName", "TotalSalesDollars")
     plan = physical(df)

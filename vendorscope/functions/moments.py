@@ -144,7 +144,8 @@ def column_rows(width: int):
                     if n[k]:
                         gap, share = own - mean[k], len(x) / (n[k] + len(x))
                         m2[k] += m2_own + gap * gap * n[k] * share
-                        mean[k] += gap * share
+                        # an infinite mean stays; two of opposite signs have none
+                        mean[k] = mean[k] + gap * share if np.isfinite(gap) else mean[k] + own
                     else:
                         mean[k], m2[k] = own, m2_own
                     n[k] += len(x)

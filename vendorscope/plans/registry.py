@@ -90,4 +90,4 @@ def oracle_queries() -> dict[str, str]:
 def _load() -> None:
     # importing the query modules fills REGISTRY
     from vendorscope.plans import (queries_analysis, queries_edge, queries_explore,  # noqa: F401
-                                   queries_mart, queries_stats)
+                                   queries_mart, queries_order, queries_stats)
