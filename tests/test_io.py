@@ -238,3 +238,18 @@ def test_ingest_registers_catalog_tables(spark, tmp_dir):
     assert sorted(tuple(r) for r in spark.table("ingest_probe").collect()) == [(1, "x"), (2, "y")]
     assert "ingest_probe" in {r.table_name for r in catalog_profile(spark).collect()}
     spark.sql("DROP TABLE ingest_probe")
+
+
+def test_stream_reads_the_batch_dialect(spark, tmp_dir):
+    from pyspark.sql.types import StructType
+
+    from vendorscope.streaming.csv_stream import start_extract_stream
+    data = os.path.join(tmp_dir, "in")
+    os.makedirs(data)
+    write(os.path.join(data, "a.csv"), 'id,name\n1,"say ""hi"", she"\n2,"end\\"\n3, pad \n')
+    schema = StructType.fromDDL("id long, name string")
+    q = start_extract_stream(spark, data, schema, os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "ck"))
+    q.awaitTermination(60)
+    got = sorted(tuple(r) for r in spark.read.parquet(os.path.join(tmp_dir, "out")).collect())
+    assert got == sorted(tuple(r) for r in CI.read_extract(spark, data, schema).collect())
+    assert got == [(1, 'say "hi", she'), (2, "end\\"), (3, " pad ")]

@@ -30,6 +30,11 @@ TRUE_TOKENS = ("True", "TRUE", "true")
 FALSE_TOKENS = ("False", "FALSE", "false")
 
 
+#: RFC 4180 as pandas reads and writes it, for Spark's CSV reader.
+DIALECT = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+           "nullValue": "", "emptyValue": ""}
+
+
 def list_csv_files(spark: SparkSession, data_dir: str) -> list[tuple[str, str]]:
     """(table name, path) for each ``*.csv`` directly inside ``data_dir``
     (a true suffix test: ``a.csv.bak`` is not an extract), sorted by name."""
@@ -63,13 +68,11 @@ def read_csv_strings(spark: SparkSession, path: str, multiline: bool | None = No
     reads with Spark's own reader instead, one task a file; with ``False`` the first
     scan is saved, and a field still open at the end of a line fails the job.
     """
-    dialect = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
-               "nullValue": "", "emptyValue": ""}
     records = csv_records(spark, path) if multiline is None else None
 
     def reader():
         whole = multiline or records is not None
-        return (spark.read.options(**dialect).option("header", True).option("inferSchema", False)
+        return (spark.read.options(**DIALECT).option("header", True).option("inferSchema", False)
                 .option("multiLine", whole))
     columns = reader().csv(path).columns
     bad = "_corrupt_line"
@@ -78,7 +81,7 @@ def read_csv_strings(spark: SparkSession, path: str, multiline: bool | None = No
     schema = StructType([*[StructField(c, StringType()) for c in columns], StructField(bad, StringType())])
     permissive = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}
     if records is not None:
-        raw = records.select(F.from_csv("record", schema.toDDL(), dialect | permissive).alias("r")).select("r.*")
+        raw = records.select(F.from_csv("record", schema.toDDL(), DIALECT | permissive).alias("r")).select("r.*")
     else:
         raw = reader().options(**permissive).option("enforceSchema", True).schema(schema).csv(path)
     line = F.col(f"`{bad}`")

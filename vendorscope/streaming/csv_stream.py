@@ -4,7 +4,8 @@ The batch ingest re-reads a whole folder; when extracts keep arriving (one
 new ``purchases_<date>.csv`` a day), the file source picks up only the new
 files, and the checkpoint makes each file land exactly once even if the job
 or an executor dies mid-batch. ``availableNow`` processes what is there and
-stops, so the same code serves scheduled runs.
+stops, so the same code serves scheduled runs. Quoting is that of the batch
+ingest; line breaks inside quotes are not: the stream reads a line as a record.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StringType, StructField, StructType
 
-from vendorscope.sources.csv_ingest import cast_to_schema, na_to_null
+from vendorscope.sources.csv_ingest import DIALECT, cast_to_schema, na_to_null
 
 
 def start_extract_stream(spark: SparkSession, source_dir: str, schema: StructType, out_dir: str,
@@ -23,7 +24,7 @@ def start_extract_stream(spark: SparkSession, source_dir: str, schema: StructTyp
     """Stream ``source_dir/*.csv`` (all with ``schema``'s columns) into Parquet
     at ``out_dir``; the pandas NA tokens become NULL before the typed cast."""
     text_schema = StructType([StructField(f.name, StringType(), True) for f in schema.fields])
-    raw = (spark.readStream.schema(text_schema).option("header", True)
+    raw = (spark.readStream.schema(text_schema).options(**DIALECT).option("header", True)
            .option("pathGlobFilter", "*.csv").csv(source_dir))
     typed = cast_to_schema(raw.select(*[na_to_null(F.col(c)).alias(c) for c in raw.columns]),
                            schema, lenient)
