@@ -21,6 +21,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vendorscope.functions.moments import column_moments
 from vendorscope.functions.numeric import is_finite, numeric_columns
 from vendorscope.functions.quantile import exact_quantiles_wide
 
@@ -50,9 +51,41 @@ def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 3
     """``numpy.histogram(x, bins)`` per column: equal-width edges from
     ``linspace(min, max, bins + 1)`` (min == max widens by 0.5 each side),
     half-open bins with the last one closed. All bins are returned, empty
-    ones with count 0: (column_name, bin, bin_lo, bin_hi, count)."""
+    ones with count 0: (column_name, bin, bin_lo, bin_hi, count). Ranges are one
+    scan, run at once; counts are another, in vectors over the wide rows."""
     cols = list(columns) if columns is not None else numeric_columns(df.schema)
-    return histogram_long(finite_long(df, cols), bins, known=True)
+    wide = df.select(*[_finite_col(c).alias(f"c{i}") for i, c in enumerate(cols)])
+    edges = {}
+    for r in column_moments(wide, wide.columns).select("k", "min", "max").collect():      # one row per column
+        lo, hi = (r["min"] - 0.5, r["max"] + 0.5) if r["min"] == r["max"] else (r["min"], r["max"])
+        # numpy linspace: k * step + lo, with the last edge set to hi exactly
+        edges[r["k"]] = np.append(np.arange(bins) * ((hi - lo) / bins) + lo, hi)
+    grid = df.sparkSession.createDataFrame(
+        [(cols[k], b, float(e[b]), float(e[b + 1]), k) for k, e in sorted(edges.items()) for b in range(bins)],
+        "column_name string, bin long, bin_lo double, bin_hi double, k long")
+    counts = (wide.mapInArrow(bin_counts(edges), "k long, bin long, n long")
+              .groupBy("k", "bin").agg(F.sum("n").alias("count")))
+    # ``bins`` rows per column of the caller
+    return (grid.join(F.broadcast(counts), ["k", "bin"], "left")
+            .select("column_name", "bin", "bin_lo", "bin_hi", F.coalesce("count", F.lit(0)).alias("count")))
+
+
+def bin_counts(edges: dict[int, np.ndarray]):
+    """mapInArrow body: rows of doubles -> (column, bin, count), one row a bin
+    that has values, per task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = {k: np.zeros(len(e) - 1, np.int64) for k, e in edges.items()}
+        for b in batches:
+            for k, e in edges.items():
+                x = b.column(k).to_numpy(zero_copy_only=False)
+                at = np.searchsorted(e, x[np.isfinite(x)], "right") - 1
+                counts[k] += np.bincount(np.minimum(at, len(e) - 2), minlength=len(e) - 1)     # the last bin is closed
+        for k, n in counts.items():
+            used = np.flatnonzero(n)
+            if len(used):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), k)), pa.array(used), pa.array(n[used])],
+                                                 ["k", "bin", "n"])
+    return run
 
 
 def histogram_long(long: DataFrame, bins: int = 30, known: bool = False) -> DataFrame:
