@@ -1,10 +1,11 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 from tests.llm.helpers import docs_of, prose, words
 from vendorscope.llm.components import components
-from vendorscope.llm.jaccard_join import jaccard_components, keep_first_of_groups, prefix_size
+from vendorscope.llm.jaccard_join import jaccard_components, keep_first_of_groups, prefix_size, token_stars
 
 
 def shingles(text, k):
@@ -69,6 +70,46 @@ def test_prefix_size_is_what_a_link_allows():
             assert prefix_size(n, num, den) == n - least + 1
 
 
+@pytest.mark.parametrize("at", [0, 1, 2, 3])
+def test_one_id_with_two_texts(spark, at):
+    one, two = prose(1, 60), prose(2, 60)
+    rows = [(7, one), (7, two), (8, near(one, 1, 0.01)), (9, near(two, 2, 0.01)), (3, one), (10, prose(3, 60))]
+    rows = rows[at:] + rows[:at]
+    got = {(r.doc_id, r.component_id) for r in jaccard_components(docs_of(spark, rows).coalesce(1), 3, 80, 100).collect()}
+    assert got == {(3, 3), (7, 3), (8, 3), (9, 3), (10, 10)}
+
+
+def test_chains_of_near_copies_that_stars_leave_apart(spark):
+    """Every text differs a little from the one before, so most pairs do not
+    link and several parts meet in the second opening only."""
+    text, rows = prose(5, 150).split(" "), []
+    for i in range(80):
+        text = list(text)
+        text[(i * 7) % 150] = f"v{i}"
+        rows.append((i, " ".join(text)))
+    rows += [(100 + i, prose(5, 150) + f" x{i}") for i in range(20)]
+    got = {r.doc_id: r.component_id for r in jaccard_components(docs_of(spark, rows).repartition(3), 3, 90, 100, block=4).collect()}
+    assert got == brute(rows, 3, 90, 100)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
+def test_stars_are_the_same_for_any_batches(size):
+    rng = random.Random(4)
+    rows = sorted({(rng.randrange(40), rng.randrange(4), rng.randrange(30)) for _ in range(400)})
+    rows = [(t, b, 100 * b + g) for t, b, g in rows for _ in range(rng.choice((1, 2)))]
+    data = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["token", "band", "least"])
+    out = [r for b in token_stars(data.slice(i, size) for i in range(0, len(rows), size)) for r in zip(*(c.to_pylist() for c in b.columns))]
+    first, want = {}, set()
+    for t, b, g in rows:
+        for c in (first.setdefault((t, b), g), first.get((t, b - 1), g)):
+            if c != g:
+                want.add((min(c, g), max(c, g)))
+    assert {(a, b) for t, a, b in out if t is None} == want
+    lists = {(t, b, a) for t, a, b in out if t is not None}
+    several = {t for t, _, _ in rows if len({r for r in rows if r[0] == t}) >= 3}
+    assert lists <= set(rows) and {r for r in set(rows) if r[0] in several} <= lists
+
+
 def test_null_ids_empty_and_clashing_columns(spark):
     df = spark.createDataFrame([(None, "a b c d", 1, 2), (3, "a b c d", 1, 2), (4, "a b c d", 1, 2)],
                                "doc_id long, text string, node int, component_id int")

@@ -12,9 +12,15 @@ Each text becomes its set of distinct word shingles; equal sets are one node
    is right). A group's tokens are the union over its members, each once.
 3. Two groups can hold a linked pair only if they share such a token (the
    bound on the overlap is otherwise below what a link needs) and their size
-   ranges are compatible. Only these pairs of groups are opened, and every
-   group with itself. Groups over ``BLOCK`` sets open block by block, small
-   ones together, so a unit of work holds about two blocks.
+   ranges are compatible. First every group is opened with itself, and per
+   token and size band one group (by a hash of a few salts) with the others of
+   its band and the next: as many pairs as the matrix has rows, however large a
+   group of near copies is. The links found give components. Then every other
+   pair of groups that share a token is opened, but for pairs whose members all
+   lie in one component already: no link there could change the result. Groups
+   over ``BLOCK`` sets open block by block, small ones together, so a unit of
+   work holds about two blocks. Where many groups share deciding tokens without
+   linking, the second opening still grows with the square of their number.
 4. An opened unit first sees its members' sizes and parity bitmaps (one bit a
    bucket, flipped by every token): two bitmaps differ in no more bits than the
    sets differ in tokens, so pairs that differ in too many cannot link. Texts
@@ -26,7 +32,9 @@ Each text becomes its set of distinct word shingles; equal sets are one node
 Defined cases: null and empty texts, and those without words, have size 0 and
 link with nothing; with fewer words than a shingle, the whole sequence counts
 as one; rows with a null id have no component and link with nothing; rows
-with equal ids are one node; an empty table gives an empty result.
+with equal ids lie in one component, whatever their texts; texts of any length
+are whole sets; other columns are not looked at, so their names cannot clash;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -54,6 +62,7 @@ UNIT = pa.struct([("host", pa.int64()), ("i", pa.int32()), ("bundle", pa.int32()
 BUCKET_BITS = 20
 CHUNK_BITS = 14
 BLOCK = 64
+STARS = 4
 COLUMNS = 8192
 MARK_BITS = 1024
 MOST_ID_BITS = 1 << 27
@@ -176,51 +185,62 @@ def token_groups(words: int, bits: int, counts, num: int, den: int):
     return run
 
 
-def group_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow body over (token, group, band) sorted by token and group:
-    pairs of groups in neighbouring bands that share a token, distinct within
-    a batch."""
-    rest = np.empty((0, 3), np.int64)
-
-    def pairs_of(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        rows = rows[np.concatenate(([True], (rows[1:] != rows[:-1]).any(axis=1)))]
-        begin = np.flatnonzero(np.concatenate(([True], rows[1:, 0] != rows[:-1, 0])))
-        size = np.diff(np.append(begin, len(rows)))
-        two = begin[size == 2]
-        two = two[np.abs(rows[two, 2] - rows[two + 1, 2]) <= 1]
-        out = [np.stack([rows[two, 1], rows[two + 1, 1]], 1)]
-        held = len(two)
-        for a, n in zip(begin[size > 2].tolist(), size[size > 2].tolist()):
-            own = rows[a:a + n]
-            own = own[np.argsort(own[:, 2], kind="stable")]      # by band: partners are a short run
-            last = np.searchsorted(own[:, 2], own[:, 2] + 1, side="right")
-            for i in range(n - 1):
-                more = own[i + 1:last[i], 1]
-                if len(more):
-                    first = np.full(len(more), own[i, 1])
-                    out.append(np.stack([np.minimum(first, more), np.maximum(first, more)], 1))
-                    held += len(more)
-                if held > 500_000:
-                    yield batch(out)
-                    out, held = [], 0
-        if held:
-            yield batch(out)
-
-    def batch(out: list[np.ndarray]) -> pa.RecordBatch:
-        found = np.unique(np.concatenate(out), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in (0, 1)], ["a", "b"])
-
+def token_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow body over (token, band, group), all rows of a token and band
+    together: rows (null, a, b) for the first group of a token and band with the
+    others of its band and those of the next, and rows (token, group, band)
+    for tokens of three groups or more. Three rows are held between batches."""
+    held = np.empty((0, 3), np.int64)
     for b in batches:
         rows = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(3)], 1)
-        rows = np.concatenate([rest, rows])
         if not len(rows):
             continue
-        cut = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
-        rest = rows[cut:]
-        if cut:
-            yield from pairs_of(rows[:cut])
-    if len(rest):
-        yield from pairs_of(rest)
+        new = np.arange(len(held) + len(rows)) >= len(held)
+        rows = np.concatenate([held, rows])
+        keep = np.concatenate(([True], (rows[1:] != rows[:-1]).any(axis=1)))
+        rows, new = rows[keep], new[keep]
+        at = np.arange(len(rows))
+        first = np.concatenate(([True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)))
+        runs = np.flatnonzero(first)
+        run = np.cumsum(first) - 1
+        before = runs[np.maximum(run - 1, 0)]
+        near = (rows[before, 0] == rows[:, 0]) & (rows[before, 1] == rows[:, 1] - 1) & (run > 0)
+        other = new & (runs[run] != at)
+        pairs = np.concatenate([rows[np.stack([at[other], runs[run][other]], 1), 2],
+                                rows[np.stack([at[new & near], before[new & near]], 1), 2]])
+        pairs = np.unique(np.sort(pairs, axis=1), axis=0)
+        token = np.concatenate(([0], np.cumsum(rows[1:, 0] != rows[:-1, 0])))
+        size = np.bincount(token)
+        size[-1] = 3                                         # goes on in the next batch, perhaps
+        size[0] += 3 * (len(held) > 0)                       # began in the last one, where it was listed
+        lists = rows[new & (size[token] >= 3)]
+        held = rows[[before[-1], runs[-1], len(rows) - 1] if near[-1] else [runs[-1], len(rows) - 1]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(np.ascontiguousarray(lists[:, 0]))]),
+             pa.array(np.concatenate([pairs[:, 0], lists[:, 2]])), pa.array(np.concatenate([pairs[:, 1], lists[:, 1]]))],
+            ["token", "a", "b"])
+
+
+def pairs_left(stars: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs of groups that share a token, are not among the stars' pairs, and
+    whose members do not all lie in one component."""
+    home = (nodes.join(found, "node", "left").withColumn("own", F.coalesce("component", "node"))
+            .groupBy("least").agg(F.min("own").alias("own"), F.max("own").alias("last")))
+    kind = F.struct((F.col("own") == F.col("last")).alias("whole"),
+                    F.when(F.col("own") == F.col("last"), F.col("own")).otherwise(F.col("least")).alias("own"))
+    lists = (stars.filter("token is not null").select("token", F.col("a").alias("least"), F.col("b").alias("band"))
+             .join(home.select("least", kind.alias("kind")), "least"))
+    mixed = lists.groupBy("token").agg(F.min("kind").alias("x"), F.max("kind").alias("y")).filter("x < y")
+    lists = stored(lists.join(mixed.select("token"), "token", "left_semi").distinct(), "join-undecided")
+    kinds = lists.select("token", "kind").distinct()
+    met = (kinds.withColumnRenamed("kind", "kind_a").join(kinds.withColumnRenamed("kind", "kind_b"), "token")
+           .filter("kind_a < kind_b"))
+    for x in ("a", "b"):
+        met = met.join(lists.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("kind", "least", "band")]),
+                       ["token", f"kind_{x}"])
+    pairs = met.filter("abs(band_a - band_b) <= 1").select(
+        F.least("least_a", "least_b").alias("a"), F.greatest("least_a", "least_b").alias("b")).distinct()
+    return pairs.join(stars.filter("token is null").select("a", "b").distinct(), ["a", "b"], "left_anti")
 
 
 @F.pandas_udf(BinaryType())
@@ -353,12 +373,12 @@ def verify_units(words: int, num: int, den: int):
                 yield from zip(*(b.column(k).to_pylist() for k in range(5)))
 
         for _, members in groupby(records(), key=lambda r: r[0]):
-            sides: dict[int, dict[int, np.ndarray]] = {0: {}, 1: {}}
-            rows = {(r[1], r[2], r[3]): r[4] for r in members}
-            keys, texts = list(rows), [unpack(x) for x in rows.values()]
-            for (side, node, digest), tokens in zip(keys, shingler.sets(texts)):
+            sides: dict[int, dict[tuple[int, bytes], np.ndarray]] = {0: {}, 1: {}}
+            keys = list({r[1:] for r in members})
+            texts = [unpack(x[3]) for x in keys]
+            for (side, node, digest, _), tokens in zip(keys, shingler.sets(texts)):
                 if digest_of(tokens) == digest:          # another row of this id may have other text
-                    sides[side][node] = tokens
+                    sides[side][node, digest] = tokens
             left = sides[0]
             right = sides[1] or left
             if not left or (right is left and len(left) < 2):
@@ -369,7 +389,7 @@ def verify_units(words: int, num: int, den: int):
             nb = np.array([len(right[x]) for x in b])[None, :]
             forest = UnionFind()
             for i, j in zip(*np.nonzero(den * common >= num * (na + nb - common))):
-                forest.join(a[i], b[j])
+                forest.join(a[i][0], b[j][0])
             if edges := forest.edges():
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x for x, _ in edges], pa.int64()), pa.array([x for _, x in edges], pa.int64())],
@@ -377,10 +397,11 @@ def verify_units(words: int, num: int, den: int):
     return run
 
 
-def units_of(groups: DataFrame, pairs: DataFrame, num: int, den: int, block: int) -> DataFrame:
+def units_of(groups: DataFrame, pairs: DataFrame, num: int, den: int, block: int, alone: bool) -> DataFrame:
     """(unit, side, least, block): blocks of groups to open together. Of two
     groups the larger is host; a host's blocks each meet its guests in bundles
-    of about ``block`` sets, so a large group is not sent out once per guest."""
+    of about ``block`` sets, so a large group is not sent out once per guest.
+    With ``alone`` every group also meets itself."""
     a, b = (groups.select(F.col("least").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "blocks", "low", "high")])
             for x in ("a", "b"))
     opened = (pairs.distinct().join(a, "a").join(b, "b")
@@ -399,6 +420,8 @@ def units_of(groups: DataFrame, pairs: DataFrame, num: int, den: int, block: int
         unit, F.lit(1).alias("side"), F.col("guest").alias("least"), F.col("j").alias("block"))
     hosts = met.select("host", "host_blocks", "bundle").distinct().withColumn("i", upto("host_blocks")).select(
         unit, F.lit(0).alias("side"), F.col("host").alias("least"), F.col("i").alias("block"))
+    if not alone:
+        return guests.unionByName(hosts)
     own = (groups.filter("n > 1").select(F.col("least").alias("host"), "blocks", upto("blocks").alias("i"))
            .withColumn("other", upto("blocks")).filter("i <= other"))
     own_unit = F.struct("host", "i", F.lit(-1).alias("bundle"), "other").alias("unit")
@@ -426,6 +449,41 @@ def gathered(met: DataFrame, block: int) -> DataFrame:
                          F.when(small, F.lit(0)).otherwise(F.col("side")).alias("side"), "node", "digest").distinct()
 
 
+def links(texts: DataFrame, placed: DataFrame, units: DataFrame, words: int, num: int, den: int, block: int,
+          most_broadcast: int) -> DataFrame:
+    """(u, v): edges that join the nodes which links inside the units join."""
+    spark = texts.sparkSession
+    parts = shuffle_partitions(spark)
+    members = placed.join(units, ["least", "block"]).select("unit", "side", "node", "digest", "n", "marks")
+    met = stored(members.repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(
+        qualify(num, den), f"unit {UNIT_SQL}, side int, node long, digest binary, root long"), "join-met")
+    wanted = stored(gathered(met, block), "join-members")
+    known, some, bits = texts.filter("id is not null"), wanted, None
+    if wanted.count() <= most_broadcast:                 # stored and counted: small enough to send to every task
+        some = F.broadcast(wanted)
+    else:
+        # most texts have no partner: a bitmap of bounded size keeps them out of the shuffle
+        table, size = id_bits(wanted.select("node").distinct())
+        bits = spark.sparkContext.broadcast(table)
+        known = known.withColumn("place", F.pmod(F.xxhash64("id", F.lit(41)), F.lit(size)))
+        known = known.filter(maybe_in(bits)("place"))
+    opened = known.join(some, known["id"] == some["node"]).select(
+        "unit", "side", "node", "digest", packed("text").alias("text"))
+    edges = stored(opened.repartition(parts, "unit").sortWithinPartitions("unit")
+                   .mapInArrow(verify_units(words, num, den), "u long, v long"), "join-links")
+    if bits is not None:
+        bits.destroy()
+    return edges
+
+
+def same_ids(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(u, v): the id of rows with different sets, with each set's node."""
+    several = (sets.groupBy("id").agg(F.min("digest").alias("x"), F.max("digest").alias("y"))
+               .filter("x < y").select("id"))
+    return (sets.select("id", "digest").join(several, "id").join(nodes.select("digest", "node"), "digest")
+            .select(F.col("id").alias("u"), F.col("node").alias("v")))
+
+
 def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id",
                        text_col: str = "text", bits: int = BUCKET_BITS, block: int = BLOCK,
                        most_broadcast: int = MOST_BROADCAST) -> DataFrame:
@@ -436,37 +494,30 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     rows = stored(texts.mapInArrow(first_pass(words, bits, num, den), schema), "shingle-sets")
     counts = spark.sparkContext.broadcast(bucket_counts(rows, bits).tobytes())
     sets = rows.filter("chunk is null").select("id", "n", "digest", "least", "marks")
-    nodes = (sets.filter("digest is not null and id is not null").groupBy("digest")
-             .agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("least").alias("least"),
-                  F.first("marks").alias("marks")))
+    named = sets.filter("digest is not null and id is not null")
+    nodes = stored(named.groupBy("digest").agg(
+        F.min("id").alias("node"), F.first("n").alias("n"), F.first("least").alias("least"),
+        F.first("marks").alias("marks")), "join-nodes")
     groups = nodes.groupBy("least").agg(F.count(F.lit(1)).alias("n"), F.min("n").alias("low"), F.max("n").alias("high"))
-    groups = groups.withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    groups = stored(groups.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), "join-groups")
     matrix = texts.select("text").mapInArrow(token_groups(words, bits, counts, num, den),
-                                              "token long, least long, band long")
-    pairs = (matrix.repartition(shuffle_partitions(spark), "token").sortWithinPartitions("token", "least")
-             .mapInArrow(group_pairs, "a long, b long"))
-    units = stored(units_of(groups, pairs, num, den, block), "join-units")
+                                              "token long, least long, band long").select("token", "band", "least")
+    order = F.xxhash64("least", F.col("token").bitwiseAND(F.lit(STARS - 1)))
+    stars = stored(matrix.repartition(shuffle_partitions(spark), "token")
+                   .sortWithinPartitions("token", "band", order, "least")
+                   .mapInArrow(token_stars, "token long, a long, b long"), "join-stars", None)
+    counts.destroy()
     # members of the groups that are opened, each with its block
     placed = nodes.join(groups.select("least", "blocks"), "least").withColumn(
         "block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
-    members = placed.join(units, ["least", "block"]).select("unit", "side", "node", "digest", "n", "marks")
-    parts = shuffle_partitions(spark)
-    met = stored(members.repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(
-        qualify(num, den), f"unit {UNIT_SQL}, side int, node long, digest binary, root long"), "join-met")
-    wanted = stored(gathered(met, block), "join-members")
-    known, some = texts.filter("id is not null"), wanted
-    if wanted.count() <= most_broadcast:                 # stored and counted: small enough to send to every task
-        some = F.broadcast(wanted)
-    else:
-        # most texts have no partner: a bitmap of bounded size keeps them out of the shuffle
-        table, size = id_bits(wanted.select("node").distinct())
-        known = known.withColumn("place", F.pmod(F.xxhash64("id", F.lit(41)), F.lit(size)))
-        known = known.filter(maybe_in(spark.sparkContext.broadcast(table))("place"))
-    opened = known.join(some, known["id"] == some["node"]).select(
-        "unit", "side", "node", "digest", packed("text").alias("text"))
-    edges = (opened.repartition(parts, "unit").sortWithinPartitions("unit")
-             .mapInArrow(verify_units(words, num, den), "u long, v long"))
+    units = stored(units_of(groups, stars.filter("token is null").select("a", "b"), num, den, block, True), "join-units")
+    edges = links(texts, placed, units, words, num, den, block, most_broadcast).unionByName(same_ids(named, nodes))
     found = components(edges, "join-edges")
+    left = stored(pairs_left(stars, nodes, found), "join-left")
+    if not left.isEmpty():
+        units = stored(units_of(groups, left, num, den, block, False), "join-units")
+        edges = links(texts, placed, units, words, num, den, block, most_broadcast)
+        found = components(edges.unionByName(found.toDF("u", "v")), "join-edges")
     # copies follow their set's node; a row without links is its own component
     home = nodes.select("digest", "node").join(found, "node", "left").select(
         "digest", F.coalesce("component", "node").alias("component"))
