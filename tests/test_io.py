@@ -221,6 +221,39 @@ def test_csv_faults_have_a_message(spark, tmp_dir, text, message):
         CI.read_extract(spark, path, lenient=True, multiline=False).collect()
 
 
+@pytest.mark.parametrize("parts,block", [(1, 1 << 20), (7, 1), (3, 64)])
+def test_one_csv_file_equals_pandas(spark, tmp_dir, parts, block):
+    rows = [(i, f"n{i % 7}" + ['', ', "q"', "\n", "\r", " é", "\\"][i % 6], None if i % 5 == 0 else i / 3, i % 2 == 0) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, `a,b` string, x double, flag boolean").repartition(parts, "x")
+    path = os.path.join(tmp_dir, "one.csv")
+    write(path, "old")
+    size = EX.export_csv_file(df, path, ["id"], block_bytes=block)
+    want = pd.DataFrame(rows, columns=["id", "a,b", "x", "flag"]).to_csv(index=False).encode("utf-8-sig")
+    with open(path, "rb") as f:
+        assert f.read() == want
+    assert size == len(want) and os.listdir(tmp_dir).count("one.csv") == 1
+    assert not [x for x in os.listdir(tmp_dir) if x.endswith(".part")]
+
+
+def test_one_csv_file_of_no_rows_and_of_one_column(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "few.csv")
+    EX.export_csv_file(spark.createDataFrame([], "a long, b string"), path)
+    assert open(path, "rb").read() == "\ufeffa,b\n".encode("utf-8")
+    EX.export_csv_file(spark.createDataFrame([("",), (None,), ("x",)], "a string").coalesce(1), "file://" + path, bom=False)
+    assert open(path, "rb").read() == b'a\n""\n""\nx\n'
+    with pytest.raises(ValueError):
+        EX.export_csv_file(spark.range(1), "s3://bucket/few.csv")
+
+
+def test_one_csv_file_stays_when_the_job_fails(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "kept.csv")
+    write(path, "old")
+    with pytest.raises(Exception):
+        EX.export_csv_file(spark.range(10).selectExpr("if(id = 7, raise_error('x'), id) AS a"), path)
+    assert open(path).read() == "old" and os.listdir(tmp_dir).count("kept.csv") == 1
+    assert not [x for x in os.listdir(tmp_dir) if x.endswith(".part")]
+
+
 def test_export_is_read_back(spark, tmp_dir):
     rows = [(1, 'say "hi", she said', 1.5), (2, "end\\", None), (3, "plain", -2.0), (4, ' pad ', 0.0), (5, 'a""b', 7.25)]
     df = spark.createDataFrame(rows, "id long, name string, x double")

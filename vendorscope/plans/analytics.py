@@ -24,7 +24,7 @@ from vendorscope.operators import stats as ST
 from vendorscope.operators import summary as S
 from vendorscope.plans.context import VendorContext
 from vendorscope.sources.csv_ingest import write_table
-from vendorscope.sources.export import export_csv
+from vendorscope.sources.export import export_csv, export_csv_file
 from vendorscope.sources.fixtures import VendorSources, vendor_sources
 
 
@@ -153,6 +153,10 @@ class VendorAnalytics:
                 "tables": self.tables()}
 
     # --------------------------------------------------------------- B13 --
-    def export(self, path: str) -> None:
-        """The analysed frame (21 columns) as UTF-8 CSV with a BOM."""
-        export_csv(self.ctx.analysis, path)
+    def export(self, path: str, one_file: bool = False) -> None:
+        """The analysed frame (21 columns) as UTF-8 CSV with a BOM: a folder of
+        parts, or one file by vendor and brand in a folder that all machines share."""
+        if one_file:
+            export_csv_file(self.ctx.analysis, path, ["VendorNumber", "Brand", "VendorName", "Description"])
+        else:
+            export_csv(self.ctx.analysis, path)
