@@ -78,6 +78,24 @@ def test_write_table_refuses_to_overwrite_its_input(spark, tmp_dir):
     assert ok
 
 
+def test_replaced_tables_are_old_or_new(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "tables", "t")
+    ids = lambda: sorted(r.id for r in spark.read.parquet(path).collect())
+    CI.write_table(spark.range(3), path)
+    held = spark.read.parquet(path)
+    with pytest.raises(Exception):                                      # some tasks wrote, one failed
+        CI.write_table(spark.range(40).selectExpr("if(id = 33, raise_error('x'), id) AS id"), path)
+    assert ids() == [0, 1, 2] and held.count() == 3
+    CI.write_table(spark.range(5), path)
+    assert ids() == [0, 1, 2, 3, 4] and spark.read.parquet(path).count() == 5
+    assert os.listdir(os.path.dirname(path)) == ["t"]
+    aside = os.path.join(os.path.dirname(path), "_t.replaced")          # as if the driver died between the renames
+    os.rename(path, aside)
+    with pytest.raises(Exception):
+        CI.write_table(spark.range(9).selectExpr("if(id = 3, raise_error('x'), id) AS id"), path)
+    assert ids() == [0, 1, 2, 3, 4] and os.listdir(os.path.dirname(path)) == ["t"]
+
+
 def test_declared_table(spark, tmp_dir):
     t = EX.create_summary_table(spark, "vendor_sales_summary_decl", os.path.join(tmp_dir, "decl"))
     assert [f.name for f in t.schema] == [f.name for f in schemas.VENDOR_SALES_SUMMARY]

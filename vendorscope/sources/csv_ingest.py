@@ -12,7 +12,8 @@ read + write; the driver only sees file names and a per-table report.
 from __future__ import annotations
 
 import time
-from collections.abc import Mapping
+import uuid
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -176,17 +177,54 @@ def _scan_roots(df: DataFrame) -> list[str]:
     return roots
 
 
+def replace_folder(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Have ``write`` fill a new folder beside ``path`` and, once it is whole, put
+    it in the place of ``path`` by two renames. Both the new folder and the one
+    put aside have names that readers of the parent folder pass over.
+
+    If ``write`` fails, or the driver dies in it, ``path`` is what it was. A folder
+    that a driver's death between the renames left aside is put back by the
+    next call. One writer at a time; where a rename copies (object stores) the
+    swap takes that long. A remote session, which cannot rename, has ``write``
+    go to ``path`` itself."""
+    if not hasattr(spark, "_jvm"):
+        write(path)
+        return
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path_of(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    target = fs.makeQualified(path_of(path))
+    parent, name = target.getParent(), target.getName()
+    new = path_of(parent, f"_{name}.{uuid.uuid4().hex}.new")
+    aside = path_of(parent, f"_{name}.replaced")
+    if fs.exists(aside) and not fs.exists(target) and not fs.rename(aside, target):
+        raise OSError(f"cannot put {aside} back to {target}")
+    try:
+        write(new.toString())
+    except BaseException:
+        fs.delete(new, True)
+        raise
+    if fs.exists(aside):                             # left by a driver that died after both renames
+        fs.delete(aside, True)
+    if fs.exists(target) and not fs.rename(target, aside):
+        raise OSError(f"cannot put {target} aside; the new table is in {new}")
+    if not fs.rename(new, target):
+        fs.rename(aside, target)
+        raise OSError(f"cannot rename {new} to {target}")
+    fs.delete(aside, True)
+    spark.catalog.refreshByPath(path)
+
+
 def write_table(df: DataFrame, path: str, table: str | None = None) -> None:
     """Replace the table at ``path`` (Parquet); with ``table``, also
     register it in the catalog under that name. Refuses to overwrite a table
-    the DataFrame is still reading from."""
+    the DataFrame is still reading from. A job that fails leaves the table as it was."""
     target = _norm_path(path)
     if any(_norm_path(f) == target or _norm_path(f).startswith(target + "/") or target.startswith(_norm_path(f) + "/")
            for f in _scan_roots(df)):
         raise ValueError(f"refusing to overwrite {path}: the DataFrame reads from it")
-    df.write.mode("overwrite").parquet(path)
+    spark = df.sparkSession
+    replace_folder(spark, path, df.write.mode("overwrite").parquet)
     if table is not None:
-        spark = df.sparkSession
         spark.sql(f"DROP TABLE IF EXISTS {table}")
         spark.catalog.createTable(table, path=path, source="parquet")
 
