@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vendorscope.functions.exact_sum import exact_sums
 from vendorscope.functions.numeric import ieee_div, round_half_even
 from vendorscope.functions.quantile import quantile_values
 from vendorscope.functions.text import dollar_label
@@ -94,20 +95,23 @@ def cents_label(c: str, exact: bool = False) -> Column:
     with every digit (``str``), and the last digits of a floating-point sum
     depend on the summation order, which no parallel engine fixes; the label
     therefore uses the cent-rounded value (the number column stays exact).
-    ``exact`` labels the sum as it is, as the original does."""
+    ``exact`` labels the sum as it is, as the original does; the functions below
+    then take exact sums, so that label does not depend on partitions."""
     return dollar_label(F.col(c) if exact else round_half_even(F.col(c), 2))
 
 
 def unsold_total(clean: DataFrame, exact_label: bool = False) -> DataFrame:
     """B8 headline: total unsold capital, with its dollar label."""
-    total = clean.agg(F.coalesce(F.sum(unsold_inventory_value()), F.lit(0.0)).alias("TotalUnsoldValue"))
+    value = unsold_inventory_value()
+    one = exact_sums(clean, [], {"sum": value}) if exact_label else clean.agg(F.sum(value).alias("sum"))
+    total = one.select(F.coalesce("sum", F.lit(0.0)).alias("TotalUnsoldValue"))
     return total.withColumn("TotalUnsoldLabel", cents_label("TotalUnsoldValue", exact_label))
 
 
 def unsold_by_vendor(clean: DataFrame, k: int = 10, exact_label: bool = False) -> DataFrame:
     """Vendors with the most capital locked in unsold stock."""
     per = group_sum(clean.withColumn("UnsoldInventoryValue", unsold_inventory_value()),
-                    "VendorName", "UnsoldInventoryValue")
+                    "VendorName", "UnsoldInventoryValue", exact=exact_label)
     return (top_k(per, "UnsoldInventoryValue", "VendorName", k)
             .withColumn("UnsoldLabel", cents_label("UnsoldInventoryValue", exact_label)))
 

@@ -13,16 +13,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vendorscope.functions.exact_sum import exact_sums
 from vendorscope.functions.numeric import ieee_div, round_half_even
 from vendorscope.functions.quantile import exact_quantiles_wide
 from vendorscope.functions.text import dollar_label
 from vendorscope.session import materialize
 
 
-def group_sum(df: DataFrame, key: str, *metrics: str) -> DataFrame:
-    """pandas ``groupby(key)[metrics].sum()``: NULL keys dropped, empty sums 0."""
-    return (df.filter(F.col(key).isNotNull()).groupBy(key)
-              .agg(*[F.coalesce(F.sum(m), F.lit(0.0)).alias(m) for m in metrics]))
+def group_sum(df: DataFrame, key: str, *metrics: str, exact: bool = False) -> DataFrame:
+    """pandas ``groupby(key)[metrics].sum()``: NULL keys dropped, empty sums 0.
+    ``exact``, here and below: sums are exact and rounded once, so no digit of an
+    answer depends on how the rows are partitioned (``exact_sums``)."""
+    known = df.filter(F.col(key).isNotNull())
+    if exact:
+        sums = exact_sums(known, [key], {m: m for m in metrics})
+        return sums.select(key, *[F.coalesce(F.col(m), F.lit(0.0)).alias(m) for m in metrics])
+    return known.groupBy(key).agg(*[F.coalesce(F.sum(m), F.lit(0.0)).alias(m) for m in metrics])
 
 
 def top_k(df: DataFrame, metric: str, key: str, k: int = 10, ascending: bool = False) -> DataFrame:
@@ -34,8 +40,14 @@ def top_k(df: DataFrame, metric: str, key: str, k: int = 10, ascending: bool = F
 
 # ---------------------------------------------------------------- B2 -------
 
-def brand_performance(clean: DataFrame) -> DataFrame:
+def brand_performance(clean: DataFrame, exact: bool = False) -> DataFrame:
     """Per Description, total sales dollars and the unweighted mean margin."""
+    if exact:
+        sums = exact_sums(clean.filter(F.col("Description").isNotNull()), ["Description"],
+                          {"sales": "TotalSalesDollars", "margins": "ProfitMargin"},
+                          {"n": F.col("ProfitMargin").isNotNull().cast("long")})
+        return sums.select("Description", F.coalesce("sales", F.lit(0.0)).alias("TotalSalesDollars"),
+                           F.when(F.col("n") > 0, F.col("margins") / F.col("n")).alias("ProfitMargin"))
     return (clean.filter(F.col("Description").isNotNull()).groupBy("Description")
             .agg(F.coalesce(F.sum("TotalSalesDollars"), F.lit(0.0)).alias("TotalSalesDollars"),
                  F.avg("ProfitMargin").alias("ProfitMargin")))
@@ -91,9 +103,9 @@ def brand_scatter(clean: DataFrame, max_sales: float = 10_000.0, low_sales_q: fl
 
 # ---------------------------------------------------------------- B3 -------
 
-def top_sales(clean: DataFrame, key: str, k: int = 10) -> DataFrame:
+def top_sales(clean: DataFrame, key: str, k: int = 10, exact: bool = False) -> DataFrame:
     """A16 + O4 + P15: top ``k`` of ``key`` by summed sales dollars, labelled."""
-    top = top_k(group_sum(clean, key, "TotalSalesDollars"), "TotalSalesDollars", key, k)
+    top = top_k(group_sum(clean, key, "TotalSalesDollars", exact=exact), "TotalSalesDollars", key, k)
     return top.withColumn("SalesLabel", dollar_label("TotalSalesDollars"))
 
 
@@ -107,20 +119,21 @@ def top_brands_by_sales(clean: DataFrame, k: int = 10) -> DataFrame:
 
 # ---------------------------------------------------------------- B4 / B5 --
 
-def vendor_performance(clean: DataFrame) -> DataFrame:
+def vendor_performance(clean: DataFrame, exact: bool = False) -> DataFrame:
     """A15 + W2: per vendor purchase $, gross profit, sales $, and the share of
     all purchase dollars (the total is a scalar subquery, not a window)."""
-    vp = group_sum(clean, "VendorName", "TotalPurchaseDollars", "GrossProfit", "TotalSalesDollars")
-    total = vp.agg(F.sum("TotalPurchaseDollars")).scalar()
+    vp = group_sum(clean, "VendorName", "TotalPurchaseDollars", "GrossProfit", "TotalSalesDollars", exact=exact)
+    total = (exact_sums(vp, [], {"total": "TotalPurchaseDollars"}) if exact
+             else vp.agg(F.sum("TotalPurchaseDollars"))).scalar()
     return vp.withColumn("PurchaseContributionPct",
                          ieee_div(F.col("TotalPurchaseDollars"), total) * 100)
 
 
-def vendor_pareto(clean: DataFrame, k: int = 10) -> DataFrame:
+def vendor_pareto(clean: DataFrame, k: int = 10, exact: bool = False) -> DataFrame:
     """The top ``k`` vendors by purchase share. As in the original, every
     number is rounded half-even to 2 decimals *before* the cumulative share is
     summed (sorting uses the unrounded share)."""
-    vp = vendor_performance(clean)
+    vp = vendor_performance(clean, exact)
     money = ["TotalPurchaseDollars", "GrossProfit", "TotalSalesDollars", "PurchaseContributionPct"]
     # plain columns only up to the limit: a per-partition top k, then a merge of k rows
     top = top_k(vp.select("VendorName", *money), "PurchaseContributionPct", "VendorName", k)
@@ -137,9 +150,9 @@ def vendor_pareto(clean: DataFrame, k: int = 10) -> DataFrame:
         dollar_label("TotalSalesDollars").alias("SalesDollarsLabel"))
 
 
-def _top_shares(clean: DataFrame, k: int) -> DataFrame:
+def _top_shares(clean: DataFrame, k: int, exact: bool = False) -> DataFrame:
     """One row: the top ``k`` (rank, vendor, rounded share) as an array."""
-    top = vendor_pareto(clean, k)
+    top = vendor_pareto(clean, k, exact)
     return top.agg(F.array_sort(F.collect_list(F.struct("Rank", "VendorName", "PurchaseContributionPct"))).alias("top"))
 
 
@@ -147,13 +160,14 @@ def _share_sum(top: Column) -> Column:
     return F.aggregate(top, F.lit(0.0), lambda a, x: a + F.coalesce(x["PurchaseContributionPct"], F.lit(0.0)))
 
 
-def vendor_dependency(clean: DataFrame, k: int = 10, other_label: str = "Other Vendors") -> DataFrame:
+def vendor_dependency(clean: DataFrame, k: int = 10, other_label: str = "Other Vendors",
+                      exact: bool = False) -> DataFrame:
     """The top ``k`` rounded shares plus one residual row,
     100 minus the sum of the rounded top shares (both from one run of the
     ranking: its k rows travel as one array)."""
     rest = F.struct(F.lit(k + 1).cast("long").alias("Rank"), F.lit(other_label).alias("VendorName"),
                     (F.lit(100.0) - _share_sum(F.col("top"))).alias("PurchaseContributionPct"))
-    return _top_shares(clean, k).select(F.inline(F.concat("top", F.array(rest))))
+    return _top_shares(clean, k, exact).select(F.inline(F.concat("top", F.array(rest))))
 
 
 def top_vendor_share(clean: DataFrame, k: int = 10) -> DataFrame:

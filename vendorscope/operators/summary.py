@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vendorscope.functions.exact_sum import exact_sums
 from vendorscope.functions.numeric import ieee_div
 from vendorscope.functions.text import strip_ws
 
@@ -21,48 +22,54 @@ PURCHASE_KEYS = ["VendorNumber", "VendorName", "Brand", "Description", "Purchase
 SUMMARY_KEYS = PURCHASE_KEYS + ["ActualPrice", "Volume"]
 
 
-def freight_summary(vendor_invoice: DataFrame) -> DataFrame:
+def group_sums(df: DataFrame, keys: list[str], whole: dict[str, str], doubles: dict[str, str], exact: bool) -> DataFrame:
+    """Sums per ``keys`` (name -> column): integers, then doubles. ``exact`` adds the
+    doubles exactly (``exact_sums``), so the result does not depend on partitions;
+    its partial sums are six longs a column, against one double."""
+    if exact:
+        return exact_sums(df, keys, doubles, whole)
+    return df.groupBy(*keys).agg(*[F.sum(c).alias(n) for n, c in {**whole, **doubles}.items()])
+
+
+def freight_summary(vendor_invoice: DataFrame, exact: bool = False) -> DataFrame:
     """A1: freight per vendor (SQL GROUP BY: a NULL vendor is its own group)."""
-    return vendor_invoice.groupBy("VendorNumber").agg(F.sum("Freight").alias("FreightCost"))
+    return group_sums(vendor_invoice, ["VendorNumber"], {}, {"FreightCost": "Freight"}, exact)
 
 
-def purchase_totals(purchases: DataFrame) -> DataFrame:
+def purchase_totals(purchases: DataFrame, exact: bool = False) -> DataFrame:
     """Purchases with a positive price, summed per purchase key."""
-    return (purchases.filter(F.col("PurchasePrice") > 0).groupBy(*PURCHASE_KEYS)
-            .agg(F.sum("Quantity").alias("Quantity"), F.sum("Dollars").alias("Dollars")))
+    return group_sums(purchases.filter(F.col("PurchasePrice") > 0), PURCHASE_KEYS,
+                      {"Quantity": "Quantity"}, {"Dollars": "Dollars"}, exact)
 
 
-def purchase_summary(purchases: DataFrame, purchase_prices: DataFrame, totals: DataFrame | None = None) -> DataFrame:
+def purchase_summary(purchases: DataFrame, purchase_prices: DataFrame, totals: DataFrame | None = None,
+                     exact: bool = False) -> DataFrame:
     """A2: purchases with a positive price, joined to the price list on Brand
     alone (fan-out kept), summed per 7 keys. ``totals``: the purchases already
     summed per purchase key (see ``purchase_totals``)."""
-    pre = totals if totals is not None else purchase_totals(purchases)
+    pre = totals if totals is not None else purchase_totals(purchases, exact)
     prices = purchase_prices.select("Brand", F.col("Price").alias("ActualPrice"), "Volume")
-    return (pre.join(prices, "Brand")
-            .groupBy(*SUMMARY_KEYS)
-            .agg(F.sum("Quantity").alias("TotalPurchaseQuantity"),
-                 F.sum("Dollars").alias("TotalPurchaseDollars")))
+    return group_sums(pre.join(prices, "Brand"), SUMMARY_KEYS, {"TotalPurchaseQuantity": "Quantity"},
+                      {"TotalPurchaseDollars": "Dollars"}, exact)
 
 
-def sales_summary(sales: DataFrame) -> DataFrame:
+def sales_summary(sales: DataFrame, exact: bool = False) -> DataFrame:
     """A3: sales per (vendor, brand)."""
-    return sales.groupBy("VendorNo", "Brand").agg(
-        F.sum("SalesQuantity").alias("TotalSalesQuantity"),
-        F.sum("SalesDollars").alias("TotalSalesDollars"),
-        F.sum("SalesPrice").alias("TotalSalesPrice"),
-        F.sum("ExciseTax").alias("TotalExciseTax"),
-    )
+    return group_sums(sales, ["VendorNo", "Brand"], {"TotalSalesQuantity": "SalesQuantity"},
+                      {"TotalSalesDollars": "SalesDollars", "TotalSalesPrice": "SalesPrice", "TotalExciseTax": "ExciseTax"},
+                      exact)
 
 
 def vendor_summary_raw(purchases: DataFrame, purchase_prices: DataFrame, vendor_invoice: DataFrame,
-                       sales: DataFrame, sort: bool = False, totals: DataFrame | None = None) -> DataFrame:
+                       sales: DataFrame, sort: bool = False, totals: DataFrame | None = None,
+                       exact: bool = False) -> DataFrame:
     """A4: purchase summary LEFT JOIN sales summary on (vendor, brand) LEFT
     JOIN freight on vendor: the 14 raw columns. ``sort`` adds the reference's
     ORDER BY TotalPurchaseDollars DESC (a full range-partitioned sort; stored
-    tables do not need it)."""
-    ps = purchase_summary(purchases, purchase_prices, totals)
-    ss = sales_summary(sales).withColumnRenamed("Brand", "_ss_brand")
-    fs = freight_summary(vendor_invoice).withColumnRenamed("VendorNumber", "_fs_vendor")
+    tables do not need it); ``exact`` takes sums that do not depend on partitions."""
+    ps = purchase_summary(purchases, purchase_prices, totals, exact)
+    ss = sales_summary(sales, exact).withColumnRenamed("Brand", "_ss_brand")
+    fs = freight_summary(vendor_invoice, exact).withColumnRenamed("VendorNumber", "_fs_vendor")
     out = (ps.join(ss, (ps.VendorNumber == ss.VendorNo) & (ps.Brand == ss._ss_brand), "left")
              .join(fs, ps.VendorNumber == fs._fs_vendor, "left")
              .select(*SUMMARY_KEYS, "TotalPurchaseQuantity", "TotalPurchaseDollars",
@@ -105,9 +112,10 @@ def clean_summary_columns(raw: DataFrame, lenient_volume: bool = False) -> DataF
 
 def vendor_sales_summary(purchases: DataFrame, purchase_prices: DataFrame,
                          vendor_invoice: DataFrame, sales: DataFrame,
-                         lenient_volume: bool = False, totals: DataFrame | None = None) -> DataFrame:
+                         lenient_volume: bool = False, totals: DataFrame | None = None,
+                         exact: bool = False) -> DataFrame:
     """B1 without the write: the 18-column cleaned mart."""
-    raw = vendor_summary_raw(purchases, purchase_prices, vendor_invoice, sales, totals=totals)
+    raw = vendor_summary_raw(purchases, purchase_prices, vendor_invoice, sales, totals=totals, exact=exact)
     return clean_summary_columns(raw, lenient_volume)
 
 

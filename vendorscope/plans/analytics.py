@@ -23,6 +23,7 @@ from vendorscope.operators import rankings as R
 from vendorscope.operators import stats as ST
 from vendorscope.operators import summary as S
 from vendorscope.plans.context import VendorContext
+from vendorscope.session import materialize
 from vendorscope.sources.csv_ingest import write_table
 from vendorscope.sources.export import export_csv, export_csv_file
 from vendorscope.sources.fixtures import VendorSources, vendor_sources
@@ -47,9 +48,15 @@ class VendorAnalytics:
         return cls(spark, vendor_sources(spark, sf_dir))
 
     # ---------------------------------------------------------------- B1 --
-    def build_mart(self, path: str | None = None) -> DataFrame:
+    def build_mart(self, path: str | None = None, exact: bool = False) -> DataFrame:
         """B1: build the vendor x brand summary and store it (at ``path``, or
-        under the session's checkpoint folder); later questions read it."""
+        under the session's checkpoint folder); later questions read it.
+        ``exact``: sums that do not depend on how the extracts are partitioned."""
+        if exact:
+            s = self.ctx.sources
+            self.ctx._raw = materialize(S.vendor_summary_raw(
+                s.purchases, s.purchase_prices, s.vendor_invoice, s.sales, exact=True), "vendor_summary_exact")
+            self.ctx._summary = self.ctx._brands = self.ctx._analysis = None
         if path is None:
             return self.ctx.summary
         write_table(S.clean_summary_columns(self.ctx.summary_raw), path)

@@ -89,5 +89,5 @@ def oracle_queries() -> dict[str, str]:
 
 def _load() -> None:
     # importing the query modules fills REGISTRY
-    from vendorscope.plans import (queries_analysis, queries_edge, queries_explore,  # noqa: F401
+    from vendorscope.plans import (queries_analysis, queries_edge, queries_exact, queries_explore,  # noqa: F401
                                    queries_mart, queries_order, queries_stats)
