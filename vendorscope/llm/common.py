@@ -78,13 +78,18 @@ def worker_kept(key: Hashable, make: Callable[[], object]) -> object:
 
 def free_worker() -> None:
     """Give up what ``worker_kept`` holds; other operators' first passes call
-    it, so a table does not outlive its operator in a reused worker. Freed memory
-    goes back to the system, where the C library has a call for that."""
+    it, so a table does not outlive its operator in a reused worker."""
+    sys.modules.pop("_vendorscope_worker", None)
+    trim_memory()
+
+
+def trim_memory() -> None:
+    """Give freed memory back to the system, where the C library has a call for
+    that: a reused worker otherwise keeps the most it ever held."""
     import ctypes
     import gc
 
     import pyarrow as pa
-    sys.modules.pop("_vendorscope_worker", None)
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

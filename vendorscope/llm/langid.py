@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vendorscope.llm.common import by_value, crc_mod, free_worker
+from vendorscope.llm.common import by_value, crc_mod, free_worker, trim_memory
 from vendorscope.llm.pretokens import slices
 
 by_value(__name__)
@@ -252,6 +252,7 @@ def predict_batches(model):
                 [*(b.column(i) for i in range(b.num_columns) if i != 1), pa.array(langs, pa.string()),
                  pa.array(scores, pa.float64())],
                 [*(c for i, c in enumerate(b.schema.names) if i != 1), "lang_pred", "score"])
+        trim_memory()
     return run
 
 

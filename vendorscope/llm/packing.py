@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vendorscope.llm.common import by_value, stored, task_number, text_or_empty, worker_kept
+from vendorscope.llm.common import by_value, stored, task_number, text_or_empty, trim_memory, worker_kept
 from vendorscope.llm.pretokens import WordTable, by_spaces, slices, stretch
 
 by_value(__name__)
@@ -142,6 +142,7 @@ def piece_batches(tokenizer, capacity: int, end_id: int, with_ids: bool):
             yield pa.RecordBatch.from_arrays(
                 out + ([pa.array(blobs, pa.binary())] if with_ids else []),
                 ["id", "piece", "start", "length", "ids_crc32", "part", "nth"] + ["ids"] * with_ids)
+        trim_memory()
     return run
 
 

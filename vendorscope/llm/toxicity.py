@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vendorscope.llm.common import by_value, crc_mod, free_worker, stored, text_or_empty
+from vendorscope.llm.common import by_value, crc_mod, free_worker, stored, text_or_empty, trim_memory
 from vendorscope.llm.langid import FTRL, letter_table, letters
 from vendorscope.llm.pretokens import slices
 
@@ -365,6 +365,7 @@ def score_batches(lm, model):
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(i) for i in range(b.num_columns) if i != 1), pa.array(score)],
                 [*(c for i, c in enumerate(b.schema.names) if i != 1), "score"])
+        trim_memory()
     return run
 
 
