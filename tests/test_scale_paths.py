@@ -203,3 +203,19 @@ def test_mart_shuffles_sums_not_lines(spark):
             # from the part join upwards: the join, a partial aggregate, then the next exchange
             order = [("join" if "SortMergeJoin" in x else "agg" if "HashAggregate" in x else "exchange") for x in reversed(above)]
             assert order[0] == "join" and order[1] == "agg"
+
+
+def test_check_grid_below_its_smallest_step(spark):
+    """The tail of a KDE curve may be any subnormal number."""
+    import duckdb
+
+    from vendorscope.plans.registry import Query, _oracle, check_round
+
+    values = [0.0, -0.0, 5e-324, -1e-318, 1e-317, 3.3e-310, 2.2250738585072014e-308, -1e-300, 0.125, 1.7e308]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, x double")
+    got = [r.x for r in df.select("i", check_round(F.col("x")).alias("x")).orderBy("i").collect()]
+    sql = ", ".join(f"({i}, CAST('{v!r}' AS DOUBLE))" for i, v in enumerate(values))
+    want = duckdb.sql(_oracle(Query("q", None, f"SELECT * FROM (VALUES {sql}) AS t(i, x)", ("x",)))
+                      + " ORDER BY i").fetchall()
+    assert [repr(abs(x)) for x in got] == [repr(abs(x)) for _, x in want]
+    assert [math.isnan(x) for x in got] == [i in (2, 3, 4) for i in range(len(values))]

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
+from vendorscope.functions.numeric import ieee_div
 from vendorscope.plans.context import VendorContext, context_for
 
 CHECK_DIGITS = 7
@@ -47,12 +48,13 @@ def register(name: str, sql: str | None = None, doubles: tuple[str, ...] | list[
 
 def check_round(c: Column) -> Column:
     """``c`` on the check grid; zeros (either sign) as 0.0, what is not finite
-    as it is."""
+    as it is. The grid ends where its step underflows to 0 (values below about
+    1e-316): such a value is NaN (inf * 0), as in the SQL."""
     magnitude = F.floor(F.log10(F.abs(c)) + SHIFT) - CHECK_DIGITS
     step = F.concat(F.lit("1e"), magnitude.cast("string")).cast("double") * GRID
     return (F.when(c == 0, F.lit(0.0))
             .when(F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), c)
-            .otherwise(F.rint(c / step) * step))
+            .otherwise(F.rint(ieee_div(c, step)) * step))
 
 
 def for_check(df: DataFrame) -> DataFrame:
