@@ -6,7 +6,8 @@ hash aggregation, so a hot vendor or brand collapses map-side before the
 shuffle); purchases are pre-summed on their own five keys *before* the
 brand-only price join, which fans rows out (several price rows per brand).
 Summing after the fan-out equals fanning out the sums, and this way the
-shuffle carries aggregated rows, never raw purchase lines.
+shuffle carries aggregated rows, never raw purchase lines. Equal price rows
+are counted first, so the fanned-out sums need no second aggregation.
 """
 
 from __future__ import annotations
@@ -46,11 +47,20 @@ def purchase_summary(purchases: DataFrame, purchase_prices: DataFrame, totals: D
                      exact: bool = False) -> DataFrame:
     """A2: purchases with a positive price, joined to the price list on Brand
     alone (fan-out kept), summed per 7 keys. ``totals``: the purchases already
-    summed per purchase key (see ``purchase_totals``)."""
+    summed per purchase key, one row a key (see ``purchase_totals``)."""
     pre = totals if totals is not None else purchase_totals(purchases, exact)
-    prices = purchase_prices.select("Brand", F.col("Price").alias("ActualPrice"), "Volume")
-    return group_sums(pre.join(prices, "Brand"), SUMMARY_KEYS, {"TotalPurchaseQuantity": "Quantity"},
-                      {"TotalPurchaseDollars": "Dollars"}, exact)
+    return with_price_list(pre, purchase_prices).select(*SUMMARY_KEYS, "TotalPurchaseQuantity", "TotalPurchaseDollars")
+
+
+def with_price_list(totals: DataFrame, purchase_prices: DataFrame) -> DataFrame:
+    """``totals`` (one row per purchase key) joined to the distinct price rows of
+    their brand. A price row counts as often as it stands in the list, which is
+    what sums over the fanned-out rows come to, without adding them up again."""
+    listed = (purchase_prices.groupBy("Brand", F.col("Price").alias("ActualPrice"), "Volume")
+              .agg(F.count(F.lit(1)).alias("_times")))
+    return (totals.join(listed, "Brand")
+            .withColumn("TotalPurchaseQuantity", F.col("Quantity") * F.col("_times"))
+            .withColumn("TotalPurchaseDollars", F.col("Dollars") * F.col("_times")))
 
 
 def sales_summary(sales: DataFrame, exact: bool = False) -> DataFrame:
@@ -62,16 +72,21 @@ def sales_summary(sales: DataFrame, exact: bool = False) -> DataFrame:
 
 def vendor_summary_raw(purchases: DataFrame, purchase_prices: DataFrame, vendor_invoice: DataFrame,
                        sales: DataFrame, sort: bool = False, totals: DataFrame | None = None,
-                       exact: bool = False) -> DataFrame:
+                       exact: bool = False, freight: DataFrame | None = None) -> DataFrame:
     """A4: purchase summary LEFT JOIN sales summary on (vendor, brand) LEFT
     JOIN freight on vendor: the 14 raw columns. ``sort`` adds the reference's
     ORDER BY TotalPurchaseDollars DESC (a full range-partitioned sort; stored
-    tables do not need it); ``exact`` takes sums that do not depend on partitions."""
-    ps = purchase_summary(purchases, purchase_prices, totals, exact)
+    tables do not need it); ``exact`` takes sums that do not depend on partitions.
+    ``freight``: the freight summary, where it is stored already (its size then
+    lets the planner join it without shuffling the wide rows by vendor)."""
+    # the price list joins last: its fan-out and columns are not shuffled with the sums
+    ps = totals if totals is not None else purchase_totals(purchases, exact)
     ss = sales_summary(sales, exact).withColumnRenamed("Brand", "_ss_brand")
-    fs = freight_summary(vendor_invoice, exact).withColumnRenamed("VendorNumber", "_fs_vendor")
-    out = (ps.join(ss, (ps.VendorNumber == ss.VendorNo) & (ps.Brand == ss._ss_brand), "left")
-             .join(fs, ps.VendorNumber == fs._fs_vendor, "left")
+    fs = freight if freight is not None else freight_summary(vendor_invoice, exact)
+    fs = fs.withColumnRenamed("VendorNumber", "_fs_vendor")
+    sold = ps.join(ss, (ps.VendorNumber == ss.VendorNo) & (ps.Brand == ss._ss_brand), "left")
+    out = (with_price_list(sold, purchase_prices)
+             .join(fs, F.col("VendorNumber") == fs._fs_vendor, "left")
              .select(*SUMMARY_KEYS, "TotalPurchaseQuantity", "TotalPurchaseDollars",
                      # unmatched purchases leave the integer sum NULL: a float column,
                      # as in the original frame

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vendorscope.operators.inventory import final_frame
 from vendorscope.operators.rankings import brand_performance_stored
-from vendorscope.operators.summary import clean_summary_columns, consistent_rows, vendor_summary_raw
+from vendorscope.operators.summary import clean_summary_columns, consistent_rows, freight_summary, vendor_summary_raw
 from vendorscope.session import materialize
 from vendorscope.sources.fixtures import VendorSources, edge_sources, vendor_sources
 
@@ -29,21 +29,28 @@ class VendorContext:
     _brands: DataFrame | None = field(default=None, repr=False)
     _edge: "VendorContext | None" = field(default=None, repr=False)
 
+    def _raw_rows(self) -> DataFrame:
+        """The raw columns as a plan over the extracts; only the freight per
+        vendor is stored, so its size is known to the planner."""
+        s = self.sources
+        freight = s.freight_totals if s.freight_totals is not None else freight_summary(s.vendor_invoice)
+        return vendor_summary_raw(s.purchases, s.purchase_prices, s.vendor_invoice, s.sales, totals=s.purchase_totals,
+                                  freight=materialize(freight, "freight_by_vendor"))
+
     @property
     def summary_raw(self) -> DataFrame:
         """The 14 raw columns before cleaning (materialised on first use)."""
         if self._raw is None:
-            s = self.sources
-            self._raw = materialize(vendor_summary_raw(
-                s.purchases, s.purchase_prices, s.vendor_invoice, s.sales, totals=s.purchase_totals),
-                "vendor_summary_raw")
+            self._raw = materialize(self._raw_rows(), "vendor_summary_raw")
         return self._raw
 
     @property
     def summary(self) -> DataFrame:
-        """The 18-column cleaned mart, all rows (materialised on first use)."""
+        """The 18-column cleaned mart, all rows (materialised on first use, from
+        the raw columns if they are stored; they are not stored for it)."""
         if self._summary is None:
-            self._summary = materialize(clean_summary_columns(self.summary_raw), "vendor_sales_summary")
+            raw = self._raw if self._raw is not None else self._raw_rows()
+            self._summary = materialize(clean_summary_columns(raw), "vendor_sales_summary")
         return self._summary
 
     @property
