@@ -86,3 +86,23 @@ def test_a_window_keeps_its_least_gram():
     assert all(fp[k] == grams[s:s + 6].min() for k, s in enumerate(start))
     part = tool.windows(w, first, 10, lambda p: np.arange(len(p)) % 2 == 0)
     assert 0 < len(part[0]) < len(start) and set(part[0]) <= set(start)
+
+
+def test_a_worker_holds_a_slice_not_a_batch():
+    """Winnowing a batch of 6 MB keeps arrays of a slice only."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from vendorscope.llm.decontam import doc_candidates
+
+    class Shared:
+        value = np.full(1 << 13, 0, np.uint8)
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array([prose(i, 14_000) for i in range(60)])], ["id", "text"])
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in doc_candidates(Shared, [10], pa.int64())(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 60 and peak < 60e6, peak

@@ -44,12 +44,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vendorscope.llm.common import by_value, free_worker, stored, task_number
+from vendorscope.llm.common import by_value, free_worker, stored, task_number, trim_memory
 from vendorscope.llm.shingles import Shingler, byte_slices, mix
 
 by_value(__name__)
 
 WINDOW_WORDS = 10
+#: Bytes of texts winnowed at once: a worker holds about 30 times that in arrays.
+SLICE_BYTES = 500_000
 #: Items' windows that one executor may hold as a broadcast (about 60 bytes each).
 BROADCAST_WINDOWS = 1_000_000
 MIN_BITS, MAX_BITS, BITS_PER_PRINT = 16, 28, 32
@@ -128,6 +130,7 @@ def item_windows(length: int):
                     [pa.array(np.full(len(fp), m, np.int32)), pa.array(fp.view(np.int64)),
                      pa.array(win.view(np.int64)), pa.array([item] * len(fp), pa.string())],
                     ["m", "fp", "win", "item"])
+        trim_memory()
     return run
 
 
@@ -148,7 +151,7 @@ def doc_candidates(bits, sizes: Sequence[int], id_type: pa.DataType):
         key = task_number() << 40
         for b in batches:
             texts = utf8(b.column(1))
-            for lo, hi in byte_slices(texts):
+            for lo, hi in byte_slices(texts, SLICE_BYTES):
                 w, first = tool.word_hashes(texts[lo:hi])
                 found = [(m, *tool.windows(w, first, m, wanted)) for m in sizes]
                 start = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
@@ -165,6 +168,7 @@ def doc_candidates(bits, sizes: Sequence[int], id_type: pa.DataType):
                      lists(fp.view(np.int64), offsets), lists(win.view(np.int64), offsets)],
                     ["row_key", "id", "n_words", "start", "m", "fp", "win"])
                 key += hi - lo
+        trim_memory()
     return run
 
 
