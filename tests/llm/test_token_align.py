@@ -91,3 +91,27 @@ def test_run_length(n, more):
     a = np.arange(n + more, dtype="<u4")
     b = np.concatenate((a[:n], a[n:] + 100))
     assert run_length(a.tobytes(), b.astype("<u4").tobytes(), 0, 0, n + more) == n
+
+
+def test_a_worker_holds_a_slice_not_a_batch():
+    """Aligning a batch of 3 MB keeps arrays of a slice only, and no copy of the worker's tables."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from vendorscope.llm.token_align import aligned_batches
+
+    class Files:
+        value = (open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read(),
+                 open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read())
+
+    def rows(n):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([prose(i, 7_000) for i in range(n)])], ["id", "text"])
+        return sum(b.num_rows for b in aligned_batches(Files, pa.int64())(iter([batch])))
+
+    assert rows(1) == 1                       # the tokenizers are loaded
+    tracemalloc.start()
+    assert rows(60) == 60
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6, peak

@@ -39,13 +39,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vendorscope.llm.common import by_value, stored, task_number, worker_kept
+from vendorscope.llm.common import by_value, free_worker, stored, task_number, trim_memory, worker_kept
 from vendorscope.llm.pretokens import Numbers, slices
 
 by_value(__name__)
 
 BROADCAST_PAIRS = 4_000_000
-SLICE_CHARS = 1_500_000
+SLICE_CHARS = 400_000
 MAX_STRETCHES = 600_000
 SPLIT = re.compile(r"(?<=\S)(?= )")
 SPACE = "▁"
@@ -168,11 +168,12 @@ class Pair:
         ends = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
         ids, bounds = [], []
         for own, offsets in zip(self.ids, self.offsets):
-            at = np.array(offsets)
-            count = at[flat + 1] - at[flat]
+            # views: the tables of a worker are far larger than a slice
+            at = np.frombuffer(offsets, np.int64)
+            first, count = at[flat], at[flat + 1] - at[flat]
             total = np.concatenate(([0], np.cumsum(count)))
-            place = np.repeat(at[flat] - total[:-1], count) + np.arange(total[-1])
-            ids.append(np.array(own, np.int64)[place] if len(own) else place)
+            place = np.repeat(first - total[:-1], count) + np.arange(total[-1])
+            ids.append(np.frombuffer(own, np.int32)[place].astype(np.int64) if len(own) else place)
             bounds.append(total[ends])
         return ids, bounds
 
@@ -191,6 +192,7 @@ def aligned_batches(files, id_type: pa.DataType):
                      *documents(pair, texts[lo:hi])],
                     ["row_key", "id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])
                 key += hi - lo
+        trim_memory()
     return run
 
 
@@ -240,6 +242,7 @@ def documents(pair: Pair, texts: Sequence[str | None]) -> list[pa.Array]:
 def sum_links(table):
     """mapInArrow body: documents -> documents with n_best and count_sum."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         codes, docs, best = table.value
         for b in batches:
             pairs, times = b.column("pairs"), b.column("times").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
