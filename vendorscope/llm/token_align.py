@@ -31,7 +31,7 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterator, Sequence
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +45,7 @@ from vendorscope.llm.pretokens import Numbers, slices
 by_value(__name__)
 
 BROADCAST_PAIRS = 4_000_000
-SLICE_CHARS = 400_000
+SLICE_CHARS = 700_000
 MAX_STRETCHES = 600_000
 SPLIT = re.compile(r"(?<=\S)(?= )")
 SPACE = "▁"
@@ -144,14 +144,21 @@ class Pair:
             some = keys[lo:lo + 2000]
             first = [e.ids for e in self.one.encode_batch(some, add_special_tokens=False)]
             second = self.two.encode([k[1:] for k in some], num_threads=1)
-            for key, x, y in zip(some, first, second):
-                y = y or self.only_space
-                raw = key.encode()
-                self.spelt.append(b"".join([self.bytes_a[k] for k in x]) == raw
-                                  and b"".join([self.bytes_b[k] for k in y]) == raw)
-                for ids, offsets, own in zip(self.ids, self.offsets, (x, y)):
-                    ids.extend(own)
-                    offsets.append(len(ids))
+            second = [y or self.only_space for y in second]
+            raw = [key.encode() for key in some]
+            ends, whole, spelt = np.cumsum([len(r) for r in raw]), b"".join(raw), True
+            for ids, offsets, own, sizes, table in zip(self.ids, self.offsets, (first, second), self.sizes,
+                                                       (self.bytes_a, self.bytes_b)):
+                total = np.concatenate(([0], np.cumsum([len(x) for x in own])))
+                flat = np.fromiter(chain.from_iterable(own), np.int32, total[-1])
+                # all keys are spelt when their bytes in a row are, and end where theirs do
+                spelt = (spelt and b"".join(map(table.__getitem__, flat.tolist())) == whole
+                         and np.array_equal(np.concatenate(([0], np.cumsum(sizes[flat])))[total[1:]], ends))
+                offsets.frombytes((total[1:] + len(ids)).astype(np.int64).tobytes())
+                ids.frombytes(flat.tobytes())
+            self.spelt.extend([1] * len(some) if spelt else
+                              [b"".join([self.bytes_a[k] for k in x]) == r and b"".join([self.bytes_b[k] for k in y]) == r
+                               for x, y, r in zip(first, second, raw)])
 
     def tokens(self, texts: Sequence[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """A's and B's ids of all texts in a row, and the offsets of each text's."""
