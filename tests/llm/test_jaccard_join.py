@@ -128,3 +128,59 @@ def test_components_of_long_chains_and_stars(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(1, 200)}, **{1000 + i: 1000 for i in range(1, 300)}, 3000: 2999}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_near_copies_that_do_not_link_are_not_opened_in_pairs(spark, monkeypatch):
+    """Copies of one text, each with words of its own, share their deciding
+    tokens but link with few: the second opening gets no pair for most of them."""
+    import vendorscope.llm.jaccard_join as J
+    rng, rows = random.Random(3), []
+    for i in range(150):
+        text = [f"b{k}" for k in range(60)]
+        for place in rng.sample(range(60), 42):
+            text[place] = f"u{i}x{place}"
+        rows.append((i, " ".join(text)))
+    opened, units_of = [], J.units_of
+
+    def counted(groups, pairs, num, den, block, alone):
+        if not alone:
+            opened.append(pairs.distinct().count())
+        return units_of(groups, pairs, num, den, block, alone)
+    monkeypatch.setattr(J, "units_of", counted)
+    got = {r.doc_id: r.component_id for r in J.jaccard_components(docs_of(spark, rows).repartition(3), 1, 20, 100).collect()}
+    assert got == brute(rows, 1, 20, 100)
+    assert len(set(got.values())) > 10 and sum(opened) < 300      # 3346 where all that share a token were opened
+
+
+@pytest.mark.parametrize("meet", [1, 3, 1000])
+def test_second_opening_keeps_every_pair_that_may_link(spark, meet):
+    from vendorscope.llm.jaccard_join import pairs_left
+    rng = random.Random(8)
+    base = [rng.getrandbits(1024) for _ in range(3)]
+    nodes, lists = [], []
+    for i in range(60):
+        marks = base[i % 3]
+        for _ in range(rng.randrange(30)):
+            marks ^= 1 << rng.randrange(1024)
+        group = 1000 + (i if i < 40 else i % 7)                          # some groups hold several sets
+        nodes.append((i, 100 + rng.randrange(12), group, marks.to_bytes(128, "big")))
+        lists += [(t, group, 7 + i % 3) for t in range(4) if rng.random() < 0.6]
+    found = [(i, 30) for i in range(31, 38)] + [(i, 2) for i in range(3, 30, 5)]
+    stars = [(None, 1000, 1001), (None, 1010, 1020)]
+    got = {(r.a, r.b) for r in pairs_left(
+        spark.createDataFrame(lists + stars, "token long, a long, b long"),
+        spark.createDataFrame(nodes, "node long, n long, least long, marks binary"),
+        spark.createDataFrame(found, "node long, component long"), 80, 100, meet).collect()}
+    own = {i: dict(found).get(i, i) for i in range(60)}
+    members = {g: [x for x in nodes if x[2] == g] for g in {x[2] for x in nodes}}
+    kind = {g: {own[x[0]] for x in m} for g, m in members.items()}
+    could, linked = set(), set()
+    for t, a, x in lists:
+        for u, b, y in lists:
+            if t == u and a < b and abs(x - y) <= 1 and (a, b) not in {(1000, 1001), (1010, 1020)} and (
+                    len(kind[a] | kind[b]) > 1):
+                could.add((a, b))
+                if any((int.from_bytes(p[3], "big") ^ int.from_bytes(q[3], "big")).bit_count() * 180
+                       <= (p[1] + q[1]) * 20 for p in members[a] for q in members[b]):
+                    linked.add((a, b))
+    assert linked <= got <= could and linked and len(got) < len(could)

@@ -17,10 +17,15 @@ Each text becomes its set of distinct word shingles; equal sets are one node
    its band and the next: as many pairs as the matrix has rows, however large a
    group of near copies is. The links found give components. Then every other
    pair of groups that share a token is opened, but for pairs whose members all
-   lie in one component already: no link there could change the result. Groups
-   over ``BLOCK`` sets open block by block, small ones together, so a unit of
-   work holds about two blocks. Where many groups share deciding tokens without
-   linking, the second opening still grows with the square of their number.
+   lie in one component already (no link there could change the result) and those
+   whose outlines forbid a link: a group's outline is the range of its sizes and
+   the parity bits (below) that all and that any of its sets have, which bounds
+   how many bits two members differ in from below. The groups of an undecided
+   token meet for that in blocks of ``MEET``, no list of pairs is joined; the
+   comparisons of outlines still grow with the square of a token's undecided
+   groups, the rows only with that over the block size. Groups over ``BLOCK``
+   sets open block by block, small ones together, so a unit of work holds about
+   two blocks.
 4. An opened unit first sees its members' sizes and parity bitmaps (one bit a
    bucket, flipped by every token): two bitmaps differ in no more bits than the
    sets differ in tokens, so pairs that differ in too many cannot link. Texts
@@ -63,6 +68,7 @@ BUCKET_BITS = 20
 CHUNK_BITS = 14
 BLOCK = 64
 STARS = 4
+MEET = 1024
 COLUMNS = 8192
 MARK_BITS = 1024
 MOST_ID_BITS = 1 << 27
@@ -221,9 +227,61 @@ def token_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["token", "a", "b"])
 
 
-def pairs_left(stars: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of groups that share a token, are not among the stars' pairs, and
-    whose members do not all lie in one component."""
+def outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow body over (least, low, high, every, some): one row per group
+    of a batch: the range of its sizes, the bits that all and that any of its
+    sets have."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        least, low, high = (b.column(k).to_numpy() for k in range(3))
+        order = np.argsort(least, kind="stable")
+        every, some = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(len(least), -1)[order]
+                       for k in (3, 4))
+        least, low, high = least[order], low[order], high[order]
+        first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(least[first]), pa.array(np.minimum.reduceat(low, first)), pa.array(np.maximum.reduceat(high, first)),
+             pa.array([x.tobytes() for x in np.bitwise_and.reduceat(every, first)], pa.binary()),
+             pa.array([x.tobytes() for x in np.bitwise_or.reduceat(some, first)], pa.binary())],
+            ["least", "low", "high", "every", "some"])
+
+
+def may_link(num: int, den: int):
+    """mapInArrow body over (unit, block, least, band, whole, own, low, high,
+    every, some) sorted by unit: the pairs of groups of its two blocks that are
+    of different kinds and whose outlines allow a link."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def records():
+            for b in batches:
+                yield from zip(*(b.column(k).to_pylist() for k in range(10)))
+
+        for unit, members in groupby(records(), key=lambda r: r[0]):
+            rows = list(members)
+            block, least, band, whole, own, low, high = (np.array([r[k] for r in rows]) for k in range(1, 8))
+            every, some = (np.frombuffer(b"".join(r[k] for r in rows), np.uint64).reshape(len(rows), -1) for k in (8, 9))
+            right, found = np.flatnonzero(block == unit["j"]), []
+            for x in np.flatnonzero(block == unit["i"]).tolist():
+                y = right[right > x] if unit["i"] == unit["j"] else right
+                y = y[((own[y] != own[x]) | (whole[y] != whole[x])) & (np.abs(band[y] - band[x]) <= 1)
+                      & (low[y] * num <= high[x] * den) & (low[x] * num <= high[y] * den)]
+                apart = (np.bitwise_count(every[x] & ~some[y]).sum(axis=1, dtype=np.int64)
+                         + np.bitwise_count(every[y] & ~some[x]).sum(axis=1, dtype=np.int64))
+                y = y[apart * (den + num) <= (high[x] + high[y]) * (den - num)]
+                found.append(np.stack([np.minimum(least[x], least[y]), np.maximum(least[x], least[y])], 1))
+            if sum(map(len, found)):
+                pairs = np.unique(np.concatenate(found), axis=0)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.ascontiguousarray(pairs[:, k])) for k in range(2)], ["a", "b"])
+    return run
+
+
+def pairs_left(stars: DataFrame, nodes: DataFrame, found: DataFrame, num: int, den: int, meet: int = MEET) -> DataFrame:
+    """Pairs of groups that share a token, are not among the stars' pairs, whose
+    members do not all lie in one component and whose outlines allow a link. The
+    groups of a token meet in blocks of about ``meet``; those of its most
+    common kind meet the others only."""
+    parts = shuffle_partitions(nodes.sparkSession)
     home = (nodes.join(found, "node", "left").withColumn("own", F.coalesce("component", "node"))
             .groupBy("least").agg(F.min("own").alias("own"), F.max("own").alias("last")))
     kind = F.struct((F.col("own") == F.col("last")).alias("whole"),
@@ -232,14 +290,28 @@ def pairs_left(stars: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFram
              .join(home.select("least", kind.alias("kind")), "least"))
     mixed = lists.groupBy("token").agg(F.min("kind").alias("x"), F.max("kind").alias("y")).filter("x < y")
     lists = stored(lists.join(mixed.select("token"), "token", "left_semi").distinct(), "join-undecided")
-    kinds = lists.select("token", "kind").distinct()
-    met = (kinds.withColumnRenamed("kind", "kind_a").join(kinds.withColumnRenamed("kind", "kind_b"), "token")
-           .filter("kind_a < kind_b"))
-    for x in ("a", "b"):
-        met = met.join(lists.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("kind", "least", "band")]),
-                       ["token", f"kind_{x}"])
-    pairs = met.filter("abs(band_a - band_b) <= 1").select(
-        F.least("least_a", "least_b").alias("a"), F.greatest("least_a", "least_b").alias("b")).distinct()
+    blocks = lambda n: F.ceil(n / meet).cast("int")
+    sizes = (lists.groupBy("token", "kind").agg(F.count(F.lit(1)).alias("n"))
+             .groupBy("token").agg(F.max(F.struct("n", "kind")).alias("top"), F.sum("n").alias("n"))
+             .select("token", F.col("top.kind").alias("main"), blocks(F.col("top.n")).alias("mains"),
+                     blocks(F.col("n") - F.col("top.n")).alias("rests")))
+    inside = lambda n: F.pmod(F.xxhash64("least"), n).cast("int")
+    main, last = F.col("kind") == F.col("main"), F.col("mains") + F.col("rests") - 1
+    dealt = lists.join(sizes, "token").select(
+        "token", "least", "band", "kind", F.when(main, inside(F.col("mains")))
+        .otherwise(F.col("mains") + inside(F.col("rests"))).alias("block"),
+        F.explode(F.sequence(F.when(main, F.col("mains")).otherwise(F.lit(0)), last)).alias("other"))
+    shapes = (nodes.join(lists.select("least").distinct(), "least", "left_semi")
+              .select("least", F.col("n").alias("low"), F.col("n").alias("high"), F.col("marks").alias("every"),
+                      F.col("marks").alias("some")))
+    schema = "least long, low long, high long, every binary, some binary"
+    shapes = (shapes.mapInArrow(outlines, schema).repartition(parts, "least").sortWithinPartitions("least")
+              .mapInArrow(outlines, schema))
+    unit = F.struct("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    pairs = (dealt.join(shapes, "least")
+             .select(unit.alias("unit"), "block", "least", "band", "kind.whole", "kind.own", "low", "high", "every", "some")
+             .repartition(parts, "unit").sortWithinPartitions("unit")
+             .mapInArrow(may_link(num, den), "a long, b long").distinct())
     return pairs.join(stars.filter("token is null").select("a", "b").distinct(), ["a", "b"], "left_anti")
 
 
@@ -513,7 +585,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     units = stored(units_of(groups, stars.filter("token is null").select("a", "b"), num, den, block, True), "join-units")
     edges = links(texts, placed, units, words, num, den, block, most_broadcast).unionByName(same_ids(named, nodes))
     found = components(edges, "join-edges")
-    left = stored(pairs_left(stars, nodes, found), "join-left")
+    left = stored(pairs_left(stars, nodes, found, num, den), "join-left")
     if not left.isEmpty():
         units = stored(units_of(groups, left, num, den, block, False), "join-units")
         edges = links(texts, placed, units, words, num, den, block, most_broadcast)
