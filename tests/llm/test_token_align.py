@@ -115,3 +115,24 @@ def test_a_worker_holds_a_slice_not_a_batch():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 60e6, peak
+
+
+def test_a_stretch_is_aligned_once(monkeypatch):
+    """However often a word occurs, its tokens are aligned when it is new."""
+    import vendorscope.llm.token_align as A
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f, \
+            open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as g:
+        pair = A.Pair(f.read(), g.read())
+    tokens, plain = [], A.align
+    monkeypatch.setattr(A, "align", lambda a, b: tokens.append(len(a)) or plain(a, b))
+    texts = ["unbelievably antidisestablishment " * 500, None, "", "antidisestablishment unbelievably", "\u2581 x", " a  b\t c\n\n d "]
+    one, two = (A.documents(pair, texts) for _ in range(2))
+    assert [x.to_pylist() for x in one] == [x.to_pylist() for x in two]
+    assert sum(tokens) < 60 and one[0].to_pylist()[0] > 2000
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab \t\n\u00a0\u3000", max_size=20))
+def test_stretches_by_both_ways(text):
+    from vendorscope.llm.token_align import SPLIT, split
+    assert [" " + s for s in split(text)] == SPLIT.split(" " + text)

@@ -11,9 +11,10 @@ jumps it whole: its tokens are one to one. At an end that differs, the group is
 walked token by token until both end together, which gives the next shift.
 
 1. One pass: a slice's texts are split at spaces after a non-space, which neither
-   tokenizer's tokens cross; a stretch is encoded once in a worker, texts are
-   concatenated from them and aligned. Per document its counts, group digest,
-   distinct linked id pairs and how often each is linked are stored.
+   tokenizer's tokens cross, so its ends are common; a stretch is encoded and
+   aligned once in a worker, and texts' groups and links are those of their
+   stretches in a row. Per document its counts, group digest, distinct linked
+   id pairs and how often each is linked are stored.
 2. Documents a pair (pre-aggregated in every task), and the highest number of an A id.
 3. Sums over links: pairs and counts are broadcast while they are ``BROADCAST_PAIRS``
    at most (16 bytes each), else pairs are joined, Spark picking how.
@@ -48,6 +49,7 @@ BROADCAST_PAIRS = 4_000_000
 SLICE_CHARS = 700_000
 MAX_STRETCHES = 600_000
 SPLIT = re.compile(r"(?<=\S)(?= )")
+LOOSE = re.compile(r"\s ")
 SPACE = "▁"
 BYTE = re.compile(r"<0x([0-9A-F]{2})>\Z")
 
@@ -106,8 +108,14 @@ def byte_level() -> dict[str, int]:
     return {chr(x): x for x in printable} | {chr(0x100 + k): x for k, x in enumerate(others)}
 
 
+def split(text: str) -> list[str]:
+    """The stretches of space + text, without the space that each starts with."""
+    whole = " " + text
+    return [s[1:] for s in SPLIT.split(whole)] if LOOSE.search(whole) else text.split(" ")
+
+
 class Pair:
-    """Both tokenizers, and the stretches that they encoded so far."""
+    """Both tokenizers, and the stretches that they encoded so far, aligned."""
 
     def __init__(self, definition: str, model: bytes):
         import os
@@ -131,58 +139,83 @@ class Pair:
         self.vocab = (n, m)
         # decimal ids with what follows them: within and at the end of a group's part
         self.decimals = [f"{k}{end}" for size, ends in ((n, ",|"), (m, ",;")) for end in ends for k in range(size)]
+        self.widths = np.array([len(x) for x in self.decimals], np.int64)
         self.reset()
 
     def reset(self) -> None:
         self.numbers = Numbers()
-        self.ids = (array("i"), array("i"))
-        self.offsets = (array("q", [0]), array("q", [0]))
+        self.counts = tuple(array("q") for _ in range(3))       # n_a, n_b, n_groups of every stretch
+        self.links, self.offsets = array("q"), array("q", [0])  # linked id pairs, and where each stretch's begin
+        self.lines: list[str] = []
         self.spelt = array("b")
 
     def encode(self, keys: list[str]) -> None:
         for lo in range(0, len(keys), 2000):
             some = keys[lo:lo + 2000]
-            first = [e.ids for e in self.one.encode_batch(some, add_special_tokens=False)]
-            second = self.two.encode([k[1:] for k in some], num_threads=1)
+            first = [e.ids for e in self.one.encode_batch([" " + k for k in some], add_special_tokens=False)]
+            second = self.two.encode(some, num_threads=1)
             second = [y or self.only_space for y in second]
-            raw = [key.encode() for key in some]
+            raw = [b" " + key.encode() for key in some]
             ends, whole, spelt = np.cumsum([len(r) for r in raw]), b"".join(raw), True
-            for ids, offsets, own, sizes, table in zip(self.ids, self.offsets, (first, second), self.sizes,
-                                                       (self.bytes_a, self.bytes_b)):
-                total = np.concatenate(([0], np.cumsum([len(x) for x in own])))
-                flat = np.fromiter(chain.from_iterable(own), np.int32, total[-1])
+            flat, counts = [], []
+            for own, sizes, table in zip((first, second), self.sizes, (self.bytes_a, self.bytes_b)):
+                counts.append(np.array([len(x) for x in own], np.int64))
+                total = np.cumsum(counts[-1])
+                flat.append(np.fromiter(chain.from_iterable(own), np.int64, total[-1]))
                 # all keys are spelt when their bytes in a row are, and end where theirs do
-                spelt = (spelt and b"".join(map(table.__getitem__, flat.tolist())) == whole
-                         and np.array_equal(np.concatenate(([0], np.cumsum(sizes[flat])))[total[1:]], ends))
-                offsets.frombytes((total[1:] + len(ids)).astype(np.int64).tobytes())
-                ids.frombytes(flat.tobytes())
-            self.spelt.extend([1] * len(some) if spelt else
-                              [b"".join([self.bytes_a[k] for k in x]) == r and b"".join([self.bytes_b[k] for k in y]) == r
-                               for x, y, r in zip(first, second, raw)])
-
-    def tokens(self, texts: Sequence[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """A's and B's ids of all texts in a row, and the offsets of each text's."""
+                spelt = (spelt and b"".join(map(table.__getitem__, flat[-1].tolist())) == whole
+                         and np.array_equal(np.concatenate(([0], np.cumsum(sizes[flat[-1]])))[total], ends))
+            ok = np.array([spelt or (b"".join([self.bytes_a[k] for k in x]) == r and b"".join([self.bytes_b[k] for k in y]) == r)
+                           for x, y, r in zip(first, second, raw)], bool)
+            if not ok.all():                                    # the others' tokens are not aligned
+                flat, counts = [f[np.repeat(ok, c)] for f, c in zip(flat, counts)], [c * ok for c in counts]
+            self.align(*flat, *counts)
+            self.spelt.frombytes(ok.astype(np.int8).tobytes())
+
+    def align(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> None:
+        """Keep the groups and links of stretches, whose tokens come in a row."""
+        groups, link_a, link_b = align(np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b]))
+        last_a, last_b = np.ones(len(a), bool), np.ones(len(b), bool)     # the last token of its group's part
+        one_a, one_b = np.ones(len(a), bool), np.ones(len(b), bool)       # in a group of one to one
+        if groups:
+            g = np.array(groups)
+            for one, last, lo, hi in ((one_a, last_a, g[:, 0], g[:, 1]), (one_b, last_b, g[:, 2], g[:, 3])):
+                step = np.zeros(len(one) + 1, np.int64)
+                step[lo] += 1
+                step[hi] -= 1
+                one[:] = np.cumsum(step[:-1]) == 0
+                last[:] = one
+                last[hi - 1] = True
+        i = np.concatenate((np.flatnonzero(one_a), np.array(link_a, np.int64)))
+        j = np.concatenate((np.flatnonzero(one_b), np.array(link_b, np.int64)))
+        key = np.repeat(np.arange(len(n_a)), n_a)
+        order = np.argsort(key[i], kind="stable")
+        self.links.frombytes((a[i] * self.vocab[1] + b[j])[order].tobytes())
+        self.offsets.frombytes((self.offsets[-1] + np.cumsum(np.bincount(key[i], minlength=len(n_a)))).tobytes())
+        for own, n in zip(self.counts, (n_a, n_b, np.bincount(key[last_a], minlength=len(n_a)))):
+            own.frombytes(n.astype(np.int64).tobytes())
+
+        # A's and B's tokens of every group in turn, as numbers of decimals
+        stop_a, stop_b = np.flatnonzero(last_a) + 1, np.flatnonzero(last_b) + 1
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        order = np.empty(len(a) + len(b), np.int64)
+        order[np.arange(len(a)) + np.concatenate(([0], stop_b))[group_a]] = a + last_a * self.vocab[0]
+        order[np.arange(len(b)) + stop_a[group_b]] = b + last_b * self.vocab[1] + 2 * self.vocab[0]
+        line = "".join(map(self.decimals.__getitem__, order.tolist()))
+        cuts = np.concatenate(([0], np.cumsum(self.widths[order])))[np.cumsum(n_a + n_b)].tolist()
+        self.lines += [line[x:y] for x, y in zip([0, *cuts], cuts)]
+
+    def stretches(self, texts: Sequence[str | None]) -> list[array]:
+        """The numbers of every text's stretches, none for those without tokens."""
         if len(self.numbers) > MAX_STRETCHES:
             self.reset()
         known, number = len(self.numbers), self.numbers.__getitem__
-        rows = [array("q", map(number, SPLIT.split(" " + t))) if t else array("q") for t in texts]
+        rows = [array("q", map(number, split(t))) if t else array("q") for t in texts]
         new = list(islice(self.numbers, known, None))
         if new:
             self.encode(new)
         spelt = np.frombuffer(self.spelt, np.int8) if len(self.spelt) else np.zeros(0, np.int8)
-        rows = [r if len(r) and spelt[np.frombuffer(r, np.int64)].all() else array("q") for r in rows]
-        flat = np.concatenate([np.frombuffer(r, np.int64) for r in rows if len(r)] or [np.zeros(0, np.int64)])
-        ends = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
-        ids, bounds = [], []
-        for own, offsets in zip(self.ids, self.offsets):
-            # views: the tables of a worker are far larger than a slice
-            at = np.frombuffer(offsets, np.int64)
-            first, count = at[flat], at[flat + 1] - at[flat]
-            total = np.concatenate(([0], np.cumsum(count)))
-            place = np.repeat(first - total[:-1], count) + np.arange(total[-1])
-            ids.append(np.frombuffer(own, np.int32)[place].astype(np.int64) if len(own) else place)
-            bounds.append(total[ends])
-        return ids, bounds
+        return [r if len(r) and spelt[np.frombuffer(r, np.int64)].all() else array("q") for r in rows]
 
 
 def aligned_batches(files, id_type: pa.DataType):
@@ -205,43 +238,27 @@ def aligned_batches(files, id_type: pa.DataType):
 
 def documents(pair: Pair, texts: Sequence[str | None]) -> list[pa.Array]:
     """n_a, n_b, n_groups, n_links, groups_sha256, pairs and times of texts."""
-    (a, b), (at_a, at_b) = pair.tokens(texts)
-    n = len(texts)
-    ends_a, ends_b = np.cumsum(pair.sizes[0][a]), np.cumsum(pair.sizes[1][b])
-    groups, link_a, link_b = align(ends_a, ends_b)
-    last_a, last_b = np.ones(len(a), bool), np.ones(len(b), bool)     # the last token of its group's part
-    one_a, one_b = np.ones(len(a), bool), np.ones(len(b), bool)       # in a group of one to one
-    if groups:
-        g = np.array(groups)
-        for one, last, lo, hi in ((one_a, last_a, g[:, 0], g[:, 1]), (one_b, last_b, g[:, 2], g[:, 3])):
-            step = np.zeros(len(one) + 1, np.int64)
-            step[lo] += 1
-            step[hi] -= 1
-            one[:] = np.cumsum(step[:-1]) == 0
-            last[:] = one
-            last[hi - 1] = True
-    i = np.concatenate((np.flatnonzero(one_a), np.array(link_a, np.int64)))
-    j = np.concatenate((np.flatnonzero(one_b), np.array(link_b, np.int64)))
-
-    doc_a = np.repeat(np.arange(n), np.diff(at_a))
+    def view(own: array) -> np.ndarray:
+        # the tables of a worker are far larger than a slice
+        return np.frombuffer(own, np.int64) if len(own) else np.zeros(0, np.int64)
+
+    rows, n = pair.stretches(texts), len(texts)
+    flat = np.concatenate([view(r) for r in rows])
+    ends = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+    sums = [np.diff(np.concatenate(([0], np.cumsum(view(c)[flat])))[ends]) for c in pair.counts]
+    at = view(pair.offsets)
+    first, count = at[flat], at[flat + 1] - at[flat]
+    total = np.concatenate(([0], np.cumsum(count)))
+    n_links = np.diff(total[ends])
+    linked = view(pair.links)[np.repeat(first - total[:-1], count) + np.arange(total[-1])]
     codes = np.int64(pair.vocab[0] * pair.vocab[1])
-    keys, times = np.unique(doc_a[i] * codes + a[i] * pair.vocab[1] + b[j], return_counts=True)
+    keys, times = np.unique(np.repeat(np.arange(n), n_links) * codes + linked, return_counts=True)
     offsets = np.searchsorted(keys, np.arange(n + 1) * codes)
-
-    # A's and B's tokens of every group in turn, as numbers of decimals
-    stop_a, stop_b = np.flatnonzero(last_a) + 1, np.flatnonzero(last_b) + 1
-    group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
-    order = np.empty(len(a) + len(b), np.int64)
-    order[np.arange(len(a)) + np.concatenate(([0], stop_b))[group_a]] = a + last_a * pair.vocab[0]
-    order[np.arange(len(b)) + stop_a[group_b]] = b + last_b * pair.vocab[1] + 2 * pair.vocab[0]
-    name, bounds = pair.decimals.__getitem__, (at_a + at_b).tolist()
-    shas = []
-    for lo, hi in zip(bounds, bounds[1:]):
-        line = "".join(map(name, order[lo:hi].tolist()))[:-1]
-        shas.append(hashlib.sha256(line.encode()).hexdigest() if line else "")
-    return [pa.array(np.diff(at_a)), pa.array(np.diff(at_b)),
-            pa.array(np.bincount(doc_a[last_a], minlength=n).astype(np.int64)),
-            pa.array(np.bincount(doc_a[i], minlength=n).astype(np.int64)), pa.array(shas, pa.string()),
+    line, shas = pair.lines.__getitem__, []
+    for row in rows:
+        text = "".join(map(line, row))[:-1]
+        shas.append(hashlib.sha256(text.encode()).hexdigest() if text else "")
+    return [*(pa.array(x) for x in (*sums, n_links)), pa.array(shas, pa.string()),
             pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys % codes)),
             pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(times, pa.int32()))]
 
