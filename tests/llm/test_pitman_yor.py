@@ -108,3 +108,50 @@ def test_every_previous_word_has_its_own_restaurant(spark):
     a, b, c, d = (got[i] for i in held)
     assert a - b > 1 and d - c > 1
     assert abs(10 ** a - 0.5) < 0.1                # START has two words, each has one successor and the end
+
+
+def test_pairs_are_sent_once_and_asked_for_by_place():
+    """A bucket keeps a batch's pairs as places, far shorter than the pairs
+    themselves, and they answer every pair with its count in training."""
+    import pyarrow as pa
+    from vendorscope.llm.pitman_yor import START, answer, make_batches, merge_counts, send, unpack_places
+
+    def table(columns):
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [str(k) for k in range(len(columns))])
+    texts = [prose(i, 400) + f" rare{i} rarer{i} " * (i % 3) for i in range(60)] + ["", None]
+    held = [i % 7 == 0 for i in range(62)]
+    made = [b for lo in (0, 40) for b in make_batches(pa.int64())(iter(
+        [table((list(range(lo, min(lo + 40, 62))), held[lo:lo + 40], texts[lo:lo + 40]))]))]
+    rows = [r for b in made for r in zip(*(b.column(c).to_pylist() for c in ("held", "sizes", "words", "tokens")))]
+    parts = [pa.RecordBatch.from_arrays([pa.array([k]), *(pa.array([x]) for x in r)], list("abcde")) for k, r in enumerate(rows)]
+    messages = sorted(r for b in send(5)(iter(parts)) for r in zip(*(c.to_pylist() for c in b.columns)))
+    kept = [r for b in merge_counts(5)(iter([table(list(zip(*messages)))])) for r in b.to_pylist()]
+    places = [r for r in kept if r["batch"] is not None]
+    assert 2 * sum(len(r["places"]) for r in places) < sum(len(m[2]) for m in messages)
+    seen = Counter()
+    batches = [Batch(*r[1:]) for r in rows]
+    names = [np.append(b.words, START) for b in batches]
+    for b, name, r in zip(batches, names, rows):
+        for k, train in zip(b.pair_at.tolist(), np.repeat(~np.array(r[0]), b.sizes).tolist()):
+            seen[int(name[b.pair_word[k]]), int(name[b.pair_context[k]])] += train
+    served = [(r["bucket"], 0, 0, r["blob"]) for r in kept if r["blob"] is not None]
+    served += [(r["bucket"], 1, 0, pack(np.ones(len(unpack(r["many"])[2]), np.float32), np.ones(r["words"], np.float32)))
+               for r in kept if r["blob"] is not None]
+    served += [(r["bucket"], 3, r["batch"], r["places"]) for r in places]
+    got = {}
+    for b in answer(iter([table(list(zip(*sorted(served, key=lambda r: r[:3]))))])):
+        for k, bucket, blob in zip(*(c.to_pylist() for c in b.columns)):
+            got.setdefault(k, []).append((bucket, unpack(blob)))
+    for k, (b, name) in enumerate(zip(batches, names)):
+        n = np.concatenate([x[3] for _, x in sorted(got[k], key=lambda x: x[0])]).tolist()
+        assert n == [seen[int(name[w]), int(name[c])] for w, c in zip(b.pair_word, b.pair_context)]
+    assert all(len(x) == 2 for x in map(unpack_places, (r["places"] for r in places)))
+
+
+def test_ascending_hashes_and_small_numbers_pack_short():
+    rng = np.random.default_rng(1)
+    hashes = np.sort(rng.integers(0, 1 << 64, 100_000, dtype=np.uint64))
+    small = rng.integers(0, 200, 100_000).astype(np.uint64)
+    for a, most in ((hashes, 6.5), (small, 1.3)):
+        blob = pack(a)
+        assert len(blob) < most * len(a) and (unpack(blob)[0] == a).all()

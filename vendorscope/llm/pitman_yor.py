@@ -17,10 +17,11 @@ One job starts from the types, one burns in, one draws the samples whose
 predictive probabilities are averaged; its own totals normalise the result.
 
 Data flow (tokens are 64-bit hashes): texts become stored batches of token
-numbers with the batch's distinct words. Batches send their training counts by
-(word, previous word), already summed, to buckets of words; buckets merge them,
-run the sweeps, and answer the batches' distinct pairs; batches add up their
-texts. The tables of a context lie in many buckets: each bucket sends its sums by
+numbers with the batch's distinct words. Batches send their distinct (word,
+previous word) pairs with training counts once to buckets of words; buckets merge
+them and keep, per batch, the places of its words and pairs (steps of a byte or
+so); they run the sweeps and answer the batches by these places; batches add up
+their texts. The tables of a context lie in many buckets: each bucket sends its sums by
 context to the context's bucket, which adds them up and answers the buckets that
 seat there (a pair seen once has one table, so only contexts of pairs seen more
 often are sent again after a job). A context's customers are its own count as a
@@ -36,6 +37,7 @@ learned) like any other row; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,6 +55,7 @@ by_value(__name__)
 SLICE_BYTES = 12_000_000
 SMALL_BYTES = 2_000_000
 BUCKET_TOKENS = 2_000_000
+SPOOL_BYTES = 32_000_000
 BURN_IN, SAMPLES = 3, 4
 STRENGTH = 1.0
 #: Hashes of the end token and of the context before a text (no word's but by chance).
@@ -60,18 +63,26 @@ END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays in byte planes (every number's first byte, then every second one
+    and so on), ascending 64-bit ones as differences: short when packed."""
     out = [len(arrays).to_bytes(2, "little")]
     for a in arrays:
-        out += [a.dtype.str.ljust(4).encode(), len(a).to_bytes(8, "little"), a.tobytes()]
+        kind, ascending = a.dtype.str, a.dtype == np.uint64 and bool((a[1:] >= a[:-1]).all())
+        if ascending:
+            a = np.diff(a, prepend=np.uint64(0))
+        planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T
+        out += [(kind + "+" * ascending).ljust(4).encode(), len(a).to_bytes(8, "little"), planes.tobytes()]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
     data, at, out = zstandard.ZstdDecompressor().decompress(blob), 2, []
     for _ in range(int.from_bytes(data[:2], "little")):
-        kind, n = np.dtype(data[at:at + 4].decode().strip()), int.from_bytes(data[at + 4:at + 12], "little")
-        at += 12
-        out.append(np.frombuffer(data, kind, n, at))
+        mark, n = data[at:at + 4].decode(), int.from_bytes(data[at + 4:at + 12], "little")
+        kind, at = np.dtype(mark[:3]), at + 12
+        planes = np.frombuffer(data, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
+        a = np.ascontiguousarray(planes.T).view(kind).reshape(n)
+        out.append(np.cumsum(a, dtype=kind) if mark[3] == "+" else a)
         at += n * kind.itemsize
     return out
 
@@ -160,13 +171,16 @@ def ranges(hashes: np.ndarray, n: int) -> list[tuple[int, int, int]]:
 
 
 class Batch:
-    """A stored batch: words, token numbers and its distinct (word, previous
-    word) pairs; START is the context after the last word."""
-
-    def __init__(self, sizes: bytes, words: bytes, tokens: bytes):
-        (self.sizes,), (self.words,) = unpack(sizes), unpack(words)
+    """A stored batch: words (or their number only), token numbers and its
+    distinct (word, previous word) pairs; START is the context after the last word."""
+
+    def __init__(self, sizes: bytes, words: bytes | None, tokens: bytes, n_words: int = 0):
+        (self.sizes,) = unpack(sizes)
+        if words is not None:
+            (self.words,) = unpack(words)
+            n_words = len(self.words)
         self.at = unpack_tokens(tokens)
-        code = (self.at << 32) | contexts_of(self.at, self.sizes, len(self.words))
+        code = (self.at << 32) | contexts_of(self.at, self.sizes, n_words)
         self.pairs, self.pair_at = np.unique(code, return_inverse=True)
         self.pair_word = self.pairs >> 32
         self.pair_context = self.pairs & 0xFFFFFFFF
@@ -176,37 +190,49 @@ class Batch:
         return ranges(self.words, n)
 
 
-def send(n_buckets: int, counting: bool):
-    """mapInArrow body over batches: (bucket, batch, blob) requests; with
-    training counts, or of all pairs."""
+def send(n_buckets: int):
+    """mapInArrow body over batches: (bucket, batch, blob), all pairs with their
+    training counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for number, held, *blobs in zip(*(b.column(k).to_pylist() for k in range(5))):
                 batch = Batch(*blobs)
                 word, context = batch.pair_word, np.append(batch.words, START)[batch.pair_context]
-                if counting:
-                    train = np.repeat(~np.array(held, bool), batch.sizes)
-                    counts = np.bincount(batch.pair_at[train], minlength=len(batch.pairs))
-                    some = np.flatnonzero(counts)
-                    word, context, counts = word[some], context[some], counts[some]
+                train = np.repeat(~np.array(held, bool), batch.sizes)
+                counts = np.bincount(batch.pair_at[train], minlength=len(batch.pairs)).astype(np.uint32)
                 rows = []
                 for bucket, a, z in batch.buckets(n_buckets):
                     i, j = np.searchsorted(word, (a, z))
                     per_word = np.bincount(word[i:j] - a, minlength=z - a).astype(np.uint32)
-                    parts = [batch.words[a:z], per_word]
-                    if counting:
-                        used = per_word > 0
-                        if not used.any():
-                            continue
-                        parts = [parts[0][used], per_word[used], counts[i:j].astype(np.uint32)]
-                    rows.append((bucket, number, pack(*parts, *pack_contexts(context[i:j]))))
-                if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary()))],
-                        ["bucket", "batch", "blob"])
+                    rows.append((bucket, number, pack(batch.words[a:z], per_word, counts[i:j], *pack_contexts(context[i:j]))))
+                yield table_rows(rows, ["bucket", "batch", "blob"], [pa.int32(), pa.int64(), pa.binary()])
     return run
 
 
+def found(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the asked in sorted keys, and whether they are there."""
+    if not len(keys):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return at, keys[at] == asked
+
+
+def pack_places(*places: tuple[np.ndarray, np.ndarray]) -> bytes:
+    """What ``found`` gave, as steps from place to place (of those there)."""
+    out = []
+    for at, there in places:
+        if len(at):
+            at = at[np.maximum.accumulate(np.where(there, np.arange(len(at)), 0))]
+        out += [np.diff(at, prepend=0).astype(np.uint32), there.astype(np.uint8)]
+    return pack(*out)
+
+
+def unpack_places(blob: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
+    parts = unpack(blob)
+    return [((np.cumsum(steps, dtype=np.uint64) & np.uint64(0xFFFFFFFF)).astype(np.int64), there > 0)
+            for steps, there in zip(parts[::2], parts[1::2])]
+
+
 def runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple]:
     """Rows of sorted batches, one tuple each."""
     for b in batches:
@@ -218,16 +244,33 @@ def table_rows(rows: list[tuple], names: list[str], types: list) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
 
-COUNT_COLUMNS = ["bucket", "blob", "many", "words", "tokens", "pairs", "one", "two", "root_one", "root_two", "to", "message"]
-COUNT_TYPES = [pa.int32(), pa.binary(), pa.binary()] + [pa.int64()] * 7 + [pa.int32(), pa.binary()]
+COUNT_COLUMNS = ["bucket", "blob", "many", "words", "tokens", "pairs", "one", "two", "root_one", "root_two", "to", "message",
+                 "batch", "places"]
+COUNT_TYPES = [pa.int32(), pa.binary(), pa.binary()] + [pa.int64()] * 7 + [pa.int32(), pa.binary(), pa.int64(), pa.binary()]
 COUNT_SCHEMA = ("bucket int, blob binary, many binary, words long, tokens long, pairs long, one long, two long, "
-                "root_one long, root_two long, to int, message binary")
+                "root_one long, root_two long, to int, message binary, batch long, places binary")
 
 
 def merge_counts(n_buckets: int):
-    """mapInArrow body over (bucket, blob) sorted by bucket: one merged row per
-    bucket, with what the sweeps need of it, and its messages to the buckets of
-    its contexts: (hashes, types, whether the tables are asked for)."""
+    """mapInArrow body over (bucket, batch, blob) sorted by bucket: one merged
+    row per bucket of its training pairs, with what the sweeps need of it, its
+    messages to the buckets of its contexts: (hashes, types, whether the tables
+    are asked for), and per batch the places of its words and pairs in the
+    bucket. Blobs are read twice, so they wait in an unnamed file of the task
+    where they are more than ``SPOOL_BYTES``."""
+    def trained(words, per_word, n, contexts, at) -> list[np.ndarray]:
+        """Without what occurs in no training text."""
+        some = n > 0
+        if some.all():
+            return [words, per_word, n, contexts, at]
+        left = np.bincount(np.repeat(np.arange(len(words)), per_word)[some], minlength=len(words))
+        used, at = np.unique(at[some], return_inverse=True)
+        return [words[left > 0], left[left > 0].astype(np.uint32), n[some], contexts[used], at]
+
+    def read(blob: bytes) -> list[np.ndarray]:
+        words, per_word, n, *contexts = unpack(blob)
+        return [words, per_word, n, *unpack_contexts(*contexts)]
+
     def merged(held: list[list[np.ndarray]]) -> list[np.ndarray]:
         words, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
         word = np.repeat(at, np.concatenate([h[1] for h in held]))
@@ -239,37 +282,61 @@ def merge_counts(n_buckets: int):
         per_word = np.bincount(pairs >> 32, minlength=len(words))
         return [words, per_word.astype(np.uint32), n.astype(np.uint64), contexts, pairs & 0xFFFFFFFF]
 
-    def row(bucket: int, held: list[list[np.ndarray]]) -> pa.RecordBatch:
-        words, per_word, n, contexts, at = merged(held)
+    def row(bucket: int, words, per_word, n, contexts, at) -> pa.RecordBatch:
         word = np.repeat(np.arange(len(words), dtype=np.uint32), per_word)
         many = np.flatnonzero(n > 1)
         asked, place = np.unique(at[many], return_inverse=True)
         single = np.bincount(word[n == 1], minlength=len(words)).astype(np.uint32)
         small = pack(per_word, single, word[many], n[many], contexts[asked], place.astype(np.uint32))
-        rows = [(bucket, pack(words, per_word, n, *pack_contexts(contexts[at])), small, len(words), int(n.sum()), len(n),
-                 int((n == 1).sum()), int((n == 2).sum()), int((per_word == 1).sum()), int((per_word == 2).sum()), None, None)]
+        rows = [(bucket, pack(words, per_word, n), small, len(words), int(n.sum()), len(n), int((n == 1).sum()),
+                 int((n == 2).sum()), int((per_word == 1).sum()), int((per_word == 2).sum()), *[None] * 4)]
         types = np.bincount(at, minlength=len(contexts)).astype(np.uint32)
         ask = np.zeros(len(contexts), np.uint8)
         ask[asked] = 1
-        rows += [(bucket, *[None] * 9, to, pack(contexts[a:z], types[a:z], ask[a:z]))
+        rows += [(bucket, *[None] * 9, to, pack(contexts[a:z], types[a:z], ask[a:z]), None, None)
                  for to, a, z in ranges(contexts, n_buckets)]
         return table_rows(rows, COUNT_COLUMNS, COUNT_TYPES)
 
+    def bucket_rows(bucket: int, held: list[list[np.ndarray]], sizes: list[tuple[int, int]], spool) -> Iterator[pa.RecordBatch]:
+        words = contexts = np.zeros(0, np.uint64)
+        pairs = np.zeros(0, np.int64)
+        if held:
+            words, per_word, n, contexts, at = merged(held)
+            held.clear()
+            yield row(bucket, words, per_word, n, contexts, at)
+            pairs = (np.repeat(np.arange(len(words)), per_word) << 32) | at
+        spool.seek(0)
+        for batch, size in sizes:
+            asked, per_word, _, own, at = read(spool.read(size))
+            word, known = found(words, asked)
+            context, seen = found(contexts, own)
+            place, there = found(pairs, (np.repeat(word, per_word) << 32) | context[at])
+            there &= np.repeat(known, per_word) & seen[at]
+            yield table_rows([(bucket, *[None] * 11, batch, pack_places((word, known), (place, there)))],
+                             COUNT_COLUMNS, COUNT_TYPES)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held, size = None, [], 0
-        for bucket, blob in runs(batches, 2):
-            if bucket != last and held:
-                yield row(last, held)
-                held, size = [], 0
-            last = bucket
-            words, per_word, n, *contexts = unpack(blob)
-            held.append([words, per_word, n, *unpack_contexts(*contexts)])
-            size += len(n)
+        last, held, size, sizes = None, [], 0, []
+        spool = tempfile.SpooledTemporaryFile(SPOOL_BYTES)
+        for bucket, batch, blob in runs(batches, 3):
+            if bucket != last:
+                if sizes:
+                    yield from bucket_rows(last, held, sizes, spool)
+                last, held, size, sizes = bucket, [], 0, []
+                spool.close()
+                spool = tempfile.SpooledTemporaryFile(SPOOL_BYTES)
+            spool.write(blob)
+            sizes.append((batch, len(blob)))
+            message = trained(*read(blob))
+            if len(message[2]):
+                held.append(message)
+                size += len(message[2])
             if size > 4_000_000:                   # what is held stays near the bucket's distinct pairs
                 held = [merged(held)]
                 size = len(held[0][2]) // 2
-        if held:
-            yield row(last, held)
+        if sizes:
+            yield from bucket_rows(last, held, sizes, spool)
+        spool.close()
     return run
 
 
@@ -386,66 +453,48 @@ def sweep(model, burn_in: int, samples: int, answer: bool, n_buckets: int):
     return run
 
 
-def answer(model):
+def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """mapInArrow body over (bucket, kind, batch, blob) sorted by bucket and
     kind (0 the bucket's dishes, 1 their sweeps, 2 the tables of the bucket's
-    words as contexts, 3 requests): (batch, bucket, blob) answers."""
-    def found(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(keys):
-            return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
-        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-        return at, keys[at] == asked
-
-    def looked_up(values: np.ndarray, at: np.ndarray, ok: np.ndarray, kind: str) -> np.ndarray:
-        out = np.zeros(len(at), kind)
+    words as contexts, 3 places asked for): (batch, bucket, blob) answers."""
+    def looked_up(values: np.ndarray, at: np.ndarray, ok: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(at), values.dtype)
         out[ok] = values[at[ok]]
         return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d, own = model.value["d"], None
-        none, no_hash = np.zeros(0), np.zeros(0, np.uint64)
-        for bucket, kind, batch, blob in runs(batches, 4):
-            if bucket != own:
-                own, words, contexts, hashes = bucket, no_hash, no_hash, no_hash
-                pair, x, r, total, tables = np.zeros(0, np.int64), none, none, none, none
-            if kind == 0:
-                words, per_word, n, *rest = unpack(blob)
-                contexts, place = unpack_contexts(*rest)
-                word = np.repeat(np.arange(len(words)), per_word)
-                pair, n = (word << 32) | place, n.astype(np.int64)
-                total = np.bincount(word, weights=n, minlength=len(words)).astype(np.uint64)
-            elif kind == 1:
-                t_mean, r = unpack(blob)
-                t = np.ones(len(n))
-                t[n > 1] = t_mean
-                x = n - d * t
-            elif kind == 2:
-                hashes, tables = unpack(blob)
-            else:
-                asked, per_word, *rest = unpack(blob)
-                after, place = unpack_contexts(*rest)
-                at, known = found(words, asked)
-                c, r_out = looked_up(total, at, known, "u8"), looked_up(r, at, known, "f4")
-                t_out = looked_up(tables, *found(hashes, asked), "f4")
-                there, seen = found(contexts, after)
-                code = (np.repeat(at, per_word) << 32) | there[place]
-                where, ok = found(pair, code)
-                x_out = looked_up(x, where, ok & np.repeat(known, per_word) & seen[place], "f4")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([batch], pa.int64()), pa.array([bucket], pa.int32()),
-                     pa.array([pack(c, r_out, t_out, x_out)], pa.binary())], ["batch", "bucket", "blob"])
-    return run
+    own = None
+    for bucket, kind, batch, blob in runs(batches, 4):
+        if bucket != own:
+            own, words, n, total = bucket, *(np.zeros(0, np.uint64) for _ in range(3))
+            seats, r, tables = (np.zeros(0, np.float32) for _ in range(3))
+        if kind == 0:
+            words, per_word, n = unpack(blob)
+            word = np.repeat(np.arange(len(words)), per_word)
+            total = np.bincount(word, weights=n, minlength=len(words)).astype(np.uint64)
+            seats, tables = np.ones(len(n), np.float32), np.zeros(len(words), np.float32)
+        elif kind == 1:
+            t_mean, r = unpack(blob)
+            seats[n > 1] = t_mean
+        elif kind == 2:
+            hashes, of_context = unpack(blob)
+            tables = looked_up(of_context, *found(hashes, words))
+        else:
+            word, pair = unpack_places(blob)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([batch], pa.int64()), pa.array([bucket], pa.int32()),
+                 pa.array([pack(*(looked_up(x, *word) for x in (total, r, tables)),
+                                *(looked_up(x, *pair) for x in (n, seats)))], pa.binary())], ["batch", "bucket", "blob"])
 
 
 def score_batches(model, kind: pa.DataType):
-    """mapInArrow body over (batch, bucket, ids, held, sizes, words, tokens,
-    blob) sorted by batch and bucket (null first: the batch, then its answers)."""
+    """mapInArrow body over (batch, bucket, ids, held, sizes, tokens, blob) sorted by batch and bucket (null first: the batch, then its answers)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
 
-        def scored(ids, held, sizes, words, tokens, answers) -> pa.RecordBatch:
-            batch = Batch(sizes, words, tokens)
-            c, r, t, x = (np.concatenate([a[k] for a in answers]) for k in range(4))
+        def scored(ids, held, sizes, tokens, answers) -> pa.RecordBatch:
+            c, r, t, n, seats = (np.concatenate([a[k] for a in answers]) for k in range(5))
+            batch = Batch(sizes, None, tokens, len(c))
+            x = (n.astype(np.int64) - m["d"] * seats.astype(float)).astype(np.float32)
             base = (STRENGTH + m["d0"] * m["root_tables"]) / (m["v"] + 1)
             p = (r.astype(float) + base) / (STRENGTH + m["root"])
             customers = np.append(c.astype(float), m["texts"])[batch.pair_context]
@@ -464,13 +513,13 @@ def score_batches(model, kind: pa.DataType):
                 ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
         own, answers = None, []
-        for row in runs(batches, 8):
+        for row in runs(batches, 7):
             if row[1] is None:
                 if own is not None:
                     yield scored(*own, answers)
-                own, answers = row[2:7], []
+                own, answers = row[2:6], []
             else:
-                answers.append(unpack(row[7]))
+                answers.append(unpack(row[6]))
         if own is not None:
             yield scored(*own, answers)
     return run
@@ -498,8 +547,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     total = sums["n"] or 0
     n_buckets = max(shuffle_partitions(spark), -(-total // BUCKET_TOKENS))
     parts = batches.select("batch", "held", "sizes", "words", "tokens")
-    requests = "bucket int, batch long, blob binary"
-    counted = (parts.mapInArrow(send(n_buckets, True), requests).select("bucket", "blob")
+    counted = (parts.mapInArrow(send(n_buckets), "bucket int, batch long, blob binary")
                .repartition(n_buckets, "bucket").sortWithinPartitions("bucket"))
     counts = stored(counted.mapInArrow(merge_counts(n_buckets), COUNT_SCHEMA), "lm-counts", None)
     dishes = counts.filter("blob is not null")
@@ -539,16 +587,16 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     served = (kept(dishes, "bucket", 0).unionByName(kept(final.filter("blob is not null"), "bucket", 1))
               .unionByName(kept(tables, "to", 2))
-              .unionByName(parts.mapInArrow(send(n_buckets, False), requests)
-                           .select("bucket", F.lit(3).alias("kind"), "batch", "blob")))
+              .unionByName(counts.filter("batch is not null")
+                           .select("bucket", F.lit(3).alias("kind"), "batch", F.col("places").alias("blob"))))
     answers = (served.repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "kind")
-               .mapInArrow(answer(held), "batch long, bucket int, blob binary"))
+               .mapInArrow(answer, "batch long, bucket int, blob binary"))
     none = F.lit(None)
-    whole = batches.select("batch", none.cast("int").alias("bucket"), "ids", "held", "sizes", "words", "tokens",
+    whole = batches.select("batch", none.cast("int").alias("bucket"), "ids", "held", "sizes", "tokens",
                            none.cast("binary").alias("blob"))
     parts_back = answers.select("batch", "bucket", none.cast(f"array<{name}>").alias("ids"),
                                 none.cast("array<boolean>").alias("held"), *[none.cast("binary").alias(c) for c in
-                                ("sizes", "words", "tokens")], "blob")
+                                ("sizes", "tokens")], "blob")
     n_batches = batches.count()
     joined = (whole.unionByName(parts_back).repartition(max(1, min(n_batches, 4 * shuffle_partitions(spark))), "batch")
               .sortWithinPartitions("batch", F.col("bucket").asc_nulls_first()))
