@@ -56,7 +56,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from vendorscope.llm.common import by_value, free_worker, shuffle_partitions, stored
+from vendorscope.llm.common import by_value, free_worker, shuffle_partitions, stored, trim_memory
 from vendorscope.llm.components import components
 from vendorscope.llm.shingles import Shingler, mix
 
@@ -561,6 +561,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
                        most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """One row per row: id, n_shingles, component_id."""
     spark = docs.sparkSession
+    trim_memory()                                        # the driver's, of whatever ran before
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = "id long, n long, digest binary, least long, marks binary, chunk int, counts binary"
     rows = stored(texts.mapInArrow(first_pass(words, bits, num, den), schema), "shingle-sets")
@@ -585,6 +586,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     units = stored(units_of(groups, stars.filter("token is null").select("a", "b"), num, den, block, True), "join-units")
     edges = links(texts, placed, units, words, num, den, block, most_broadcast).unionByName(same_ids(named, nodes))
     found = components(edges, "join-edges")
+    trim_memory()
     left = stored(pairs_left(stars, nodes, found, num, den), "join-left")
     if not left.isEmpty():
         units = stored(units_of(groups, left, num, den, block, False), "join-units")
