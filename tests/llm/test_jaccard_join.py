@@ -5,7 +5,7 @@ import pytest
 
 from tests.llm.helpers import docs_of, prose, words
 from vendorscope.llm.components import components
-from vendorscope.llm.jaccard_join import jaccard_components, keep_first_of_groups, prefix_size, token_stars
+from vendorscope.llm.jaccard_join import jaccard_components, keep_first_of_groups, prefix_size, token_stars, unmet_groups
 
 
 def shingles(text, k):
@@ -184,3 +184,42 @@ def test_second_opening_keeps_every_pair_that_may_link(spark, meet):
                        <= (p[1] + q[1]) * 20 for p in members[a] for q in members[b]):
                     linked.add((a, b))
     assert linked <= got <= could and linked and len(got) < len(could)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
+def test_lists_hold_the_groups_that_have_not_met_a_partner(size):
+    """Of the groups that share a token those listed are in a pair that is in
+    one band or two neighbouring ones and not among the stars' pairs."""
+    rng = random.Random(9)
+    rows = sorted({(rng.randrange(60), rng.randrange(6), rng.randrange(12)) for _ in range(300)} | {(70, 3, g) for g in range(90)})
+    rows = [(t, b, 100 * b + g) for t, b, g in rows]
+    data = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["token", "band", "least"])
+    out = [r for b in unmet_groups(token_stars(data.slice(i, size) for i in range(0, len(rows), size)))
+           for r in zip(*(c.to_pylist() for c in b.columns))]
+    lists = [(t, b, a) for t, a, b in out if t is not None]
+    first = {}
+    for t, b, g in rows:
+        first.setdefault((t, b), g)
+    want = set()
+    for t, b, g in rows:
+        for u, c, h in rows:
+            if t == u and b <= c <= b + 1 and g < h and first[t, b] != g:
+                want |= {(t, b, g), (u, c, h)}
+    assert sorted(lists) == sorted(want) and len(want) < len(rows)
+
+
+def test_a_token_of_many_sizes_lists_no_groups(spark, monkeypatch):
+    """Texts of very different sizes share a token: no two can link, and the
+    second opening has nothing to look up."""
+    import vendorscope.llm.jaccard_join as J
+    texts = [" ".join(f"w{i}x{k}" for k in range(4 * 5 ** i)) for i in range(5)]
+    rows = [(i, t + " shared") for i, t in enumerate(texts)] + [(10 * i + j, t) for i, t in enumerate(texts, 1) for j in range(9)]
+    listed, pairs_left = [], J.pairs_left
+
+    def counted(stars, *args):
+        listed.append(stars.filter("token is not null").count())
+        return pairs_left(stars, *args)
+    monkeypatch.setattr(J, "pairs_left", counted)
+    got = {r.doc_id: r.component_id for r in J.jaccard_components(docs_of(spark, rows).repartition(3), 1, 1, 2).collect()}
+    assert got == brute(rows, 1, 1, 2) and len(set(got.values())) == 5
+    assert listed == [0]                                             # 5 before, one a size

@@ -20,10 +20,11 @@ Each text becomes its set of distinct word shingles; equal sets are one node
    lie in one component already (no link there could change the result) and those
    whose outlines forbid a link: a group's outline is the range of its sizes and
    the parity bits (below) that all and that any of its sets have, which bounds
-   how many bits two members differ in from below. The groups of an undecided
-   token meet for that in blocks of ``MEET``, no list of pairs is joined; the
-   comparisons of outlines still grow with the square of a token's undecided
-   groups, the rows only with that over the block size. Groups over ``BLOCK``
+   how many bits two members differ in from below. Only groups with a partner of
+   their own or a neighbouring band that the first opening left out are listed
+   for that. Those of an undecided token meet in blocks of ``MEET``, no list of
+   pairs is joined; the comparisons of outlines still grow with the square of a
+   token's undecided groups, the rows only with that over the block size. Groups over ``BLOCK``
    sets open block by block, small ones together, so a unit of work holds about
    two blocks.
 4. An opened unit first sees its members' sizes and parity bitmaps (one bit a
@@ -227,6 +228,37 @@ def token_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["token", "a", "b"])
 
 
+def unmet_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow body over the rows of ``token_stars``: the pairs, and of the
+    rows (token, group, band) those with a partner they have not met. Two groups
+    of a band are such partners if neither is the first, groups of neighbouring
+    bands if the one of the lower band is not. Six rows are held between batches."""
+    held, sent = np.empty((0, 3), np.int64), np.empty(0, bool)           # (token, band, group)
+    for b in batches:
+        listed = b.column(0).is_valid()
+        yield b.filter(b.column(0).is_null())
+        rows = np.stack([b.filter(listed).column(k).to_numpy() for k in (0, 2, 1)], 1)
+        if not len(rows):
+            continue
+        rows, sent = np.concatenate([held, rows]), np.concatenate([sent, np.zeros(len(rows), bool)])
+        at = np.arange(len(rows))
+        runs = np.flatnonzero(np.concatenate(([True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1))))
+        size = np.diff(np.append(runs, len(rows)))
+        run = np.repeat(np.arange(len(runs)), size)
+        follows = np.concatenate(([False], (rows[runs[1:], 0] == rows[runs[:-1], 0])
+                                  & (rows[runs[1:], 1] == rows[runs[:-1], 1] + 1)))
+        under = follows & (np.concatenate(([0], size[:-1])) > 1)         # the run below has more than its first
+        over = np.append(follows[1:], False)
+        keep = under[run] | ((at != runs[run]) & ((size > 2) | over)[run])
+        out = rows[keep & ~sent]
+        sent |= keep
+        if len(out):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(out[:, k])) for k in (0, 2, 1)], ["token", "a", "b"])
+        place = at - runs[run]                                           # three rows of a run stand for all of them
+        last = (run >= len(runs) - 2) & (place < 3)
+        held, sent = rows[last], sent[last]
+
+
 def outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """mapInArrow body over (least, low, high, every, some): one row per group
     of a batch: the range of its sizes, the bits that all and that any of its
@@ -288,8 +320,9 @@ def pairs_left(stars: DataFrame, nodes: DataFrame, found: DataFrame, num: int, d
                     F.when(F.col("own") == F.col("last"), F.col("own")).otherwise(F.col("least")).alias("own"))
     lists = (stars.filter("token is not null").select("token", F.col("a").alias("least"), F.col("b").alias("band"))
              .join(home.select("least", kind.alias("kind")), "least"))
+    lists = stored(lists.distinct(), "join-lists")
     mixed = lists.groupBy("token").agg(F.min("kind").alias("x"), F.max("kind").alias("y")).filter("x < y")
-    lists = stored(lists.join(mixed.select("token"), "token", "left_semi").distinct(), "join-undecided")
+    lists = stored(lists.join(mixed.select("token"), "token", "left_semi"), "join-undecided")
     blocks = lambda n: F.ceil(n / meet).cast("int")
     sizes = (lists.groupBy("token", "kind").agg(F.count(F.lit(1)).alias("n"))
              .groupBy("token").agg(F.max(F.struct("n", "kind")).alias("top"), F.sum("n").alias("n"))
@@ -578,7 +611,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     order = F.xxhash64("least", F.col("token").bitwiseAND(F.lit(STARS - 1)))
     stars = stored(matrix.repartition(shuffle_partitions(spark), "token")
                    .sortWithinPartitions("token", "band", order, "least")
-                   .mapInArrow(token_stars, "token long, a long, b long"), "join-stars", None)
+                   .mapInArrow(lambda rows: unmet_groups(token_stars(rows)), "token long, a long, b long"), "join-stars", None)
     counts.destroy()
     # members of the groups that are opened, each with its block
     placed = nodes.join(groups.select("least", "blocks"), "least").withColumn(
